@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldweave.llm import minhash, packing, url_filter
+from goldweave.llm import compact_windows, decontaminate, html_extract, minhash, packing, pii, quality, secrets, toxicity, url_filter
+from goldweave.llm.spans import count_kind, joined
 
 #: Fixed values of the query: (verdict, host, path).
 URL_RULES = [
@@ -42,10 +43,60 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _digest(found: DataFrame, base: list[str]) -> DataFrame:
+    """Counts, digest and list of the spans of each document."""
+    own = F.filter("spans", lambda s: s["kind"].isin(base))
+    counts = [count_kind(F.col("spans"), k).alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE_KINDS)
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE_KINDS)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_packing": op4_packing,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_pii": op7_pii,
+    "op8_secret_scans": op8_secret_scans,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
 }
 
 _OP1_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)

@@ -8,6 +8,7 @@ byte of a longer character is above 0x7F.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -23,12 +24,13 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+@lru_cache(maxsize=256)
 def constants(n: int, seed: int) -> np.ndarray:
     """``n`` odd 64-bit constants, the same on every machine."""
     return splitmix(np.arange(1, n + 1, dtype=U) * U(0xD1342543DE82EF95) + U(seed)) | U(1)
 
 
-_BYTE = constants(256, 11)
+_BYTE = constants(256, 11).copy()
 _BASE = 0xF1357AEA2E62A9C5
 _BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
 _SPACE = np.zeros(256, dtype=bool)
@@ -50,18 +52,22 @@ def hash_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, start and end byte of each word of ``data``."""
     raw = np.frombuffer(data, dtype=np.uint8)
     inside = ~_SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(raw) and inside[0]:
+        edge = np.concatenate(([0], edge))
+    if len(edge) % 2:
+        edge = np.concatenate((edge, [len(raw)]))
     start, end = edge[0::2], edge[1::2]
     if not len(start):
         return np.empty(0, dtype=U), start, end
     length = end - start
     at = np.concatenate(([0], np.cumsum(length)[:-1]))
-    place = np.arange(at[-1] + length[-1]) - np.repeat(at, length)
+    place = np.arange(at[-1] + length[-1], dtype=np.int32) - np.repeat(at.astype(np.int32), length)
     terms = _BYTE[raw[inside]] * _power_table(int(length.max()))[place]
     return splitmix(np.add.reduceat(terms, at) + length.astype(U) * U(0xA0761D6478BD642F)), start, end
 
 
-def chunks(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int, bytes, list[int]]]:
+def chunks(texts: list, limit: int = 1 << 18) -> Iterator[tuple[int, int, bytes, list[int]]]:
     """Runs of texts of about ``limit`` bytes: first, last, joined bytes, byte offset of each text."""
     first, parts, offsets, size = 0, [], [], 0
     for i, text in enumerate(texts):
@@ -76,12 +82,18 @@ def chunks(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int, bytes,
         yield first, len(texts), b"\n".join(parts), offsets
 
 
+def hash_chunks(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of texts: the first one's index, all word hashes, and where each text's words start (and the last end)."""
+    for first, _, data, offsets in chunks(texts):
+        hashes, start, _ = hash_long(data)
+        yield first, hashes, np.concatenate((np.searchsorted(start, np.array(offsets, dtype=np.int64)), [len(hashes)]))
+
+
 def hash_texts(texts: list) -> Iterator[np.ndarray]:
     """The word hashes of each text, in order; None counts as empty."""
-    for _, _, data, offsets in chunks(texts):
-        hashes, start, _ = hash_long(data)
-        cut = np.searchsorted(start, np.array(offsets[1:], dtype=np.int64))
-        yield from np.split(hashes, cut)
+    for _, hashes, cut in hash_chunks(texts):
+        for i in range(len(cut) - 1):
+            yield hashes[cut[i] : cut[i + 1]]
 
 
 def hash_long(data: bytes, piece: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
