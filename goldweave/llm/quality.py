@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldweave.llm.durable import durable
+from goldweave.llm.spans import let
 
 WINDOW = 5
 MIN_WORDS, REPEAT_PERCENT = 10, 20
@@ -39,15 +40,16 @@ def repeated_words(windows: Column, window: int = WINDOW) -> Column:
     neighbours show which repeat; those sort back by place, and each covers
     the words up to the next one, ``window`` at most.
     """
-    n = F.size(windows)
     placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeated = let(placed, _repeated_places)
+    return F.when(F.size(windows) == F.size(F.array_distinct(windows)), F.lit(0)).otherwise(_covered(repeated, window))
+
+
+def _repeated_places(placed: Column) -> Column:
     marked = F.transform(
-        placed,
-        lambda p, k: F.when(
-            ((k > 0) & (F.get(placed, k - 1)["h"] == p["h"])) | ((k < n - 1) & (F.get(placed, k + 1)["h"] == p["h"])), p["i"]
-        ),
+        placed, lambda p, k: F.when((F.get(placed, k - 1)["h"] == p["h"]) | (F.get(placed, k + 1)["h"] == p["h"]), p["i"])
     )
-    return F.when(n == F.size(F.array_distinct(windows)), F.lit(0)).otherwise(_covered(F.array_sort(F.filter(marked, lambda i: i.isNotNull())), window))
+    return F.array_sort(F.filter(marked, lambda i: i.isNotNull()))
 
 
 def _covered(at: Column, window: int) -> Column:
@@ -106,37 +108,53 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*sums)
 
 
-def _cholesky(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """Centre m and the lower factor l of each group's scatter, a column at a time."""
-    d, out = len(FEATURES), moments
+def _inverse(cells: Column, d: int) -> Column:
+    """The inverse of a positive definite matrix, row by row in an array, by Gauss-Jordan steps in place."""
+
+    def step(k: int):
+        def body(a: Column) -> Column:
+            pivot = F.greatest(F.get(a, k * d + k), F.lit(1e-9))
+            out = []
+            for i in range(d):
+                for j in range(d):
+                    row, col, cell = F.get(a, k * d + j), F.get(a, i * d + k), F.get(a, i * d + j)
+                    if i == k:
+                        out.append(F.lit(1.0) / pivot if j == k else row / pivot)
+                    else:
+                        out.append(-col / pivot if j == k else cell - col * row / pivot)
+            return F.array(*out)
+
+        return body
+
+    for k in range(d):
+        cells = let(cells, step(k))
+    return cells
+
+
+def _factors(moments: DataFrame, keys: list[str]) -> DataFrame:
+    """Centre m0, m1, ... and the inverse scatter of each group."""
+    d = len(FEATURES)
+    cells = []
     for i in range(d):
-        for j in range(i + 1):
-            cell = F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
-            if i == j:
-                cell = F.greatest(cell, F.lit(0.0)) + RIDGE[FEATURES[i]]
-            for k in range(j):
-                cell = cell - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            cell = F.sqrt(F.greatest(cell, F.lit(1e-9))) if i == j else cell / F.col(f"l{j}{j}")
-            out = out.withColumn(f"l{i}{j}", cell)
-    return out.select(*keys, *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)])
+        for j in range(d):
+            cell = F.col(f"p{max(i, j)}{min(i, j)}") - F.col(f"m{i}") * F.col(f"m{j}")
+            cells.append(F.greatest(cell, F.lit(0.0)) + RIDGE[FEATURES[i]] if i == j else cell)
+    return moments.select(*keys, *[f"m{i}" for i in range(d)], _inverse(F.array(*cells), d).alias("inverse"))
 
 
 def _distances(rows: DataFrame, factors: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with d2, the squared Mahalanobis distance, by forward substitution."""
+    """``rows`` with d2, the squared Mahalanobis distance from their group's centre."""
     match = None
     for k in keys:
         c = rows[k].eqNullSafe(factors[f"g_{k}"])
         match = c if match is None else match & c
-    own = rows.columns
-    out = rows.join(factors, match, "left")
+    d = len(FEATURES)
+    away = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(FEATURES)]
     total = F.lit(0.0)
-    for i, f in enumerate(FEATURES):
-        z = F.col(f) - F.col(f"m{i}")
-        for k in range(i):
-            z = z - F.col(f"l{i}{k}") * F.col(f"z{k}")
-        out = out.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
-        total = total + F.col(f"z{i}") * F.col(f"z{i}")
-    return out.withColumn("d2", total).select(*own, "d2")
+    for i in range(d):
+        for j in range(i + 1):
+            total = total + F.lit(1.0 if i == j else 2.0) * away[i] * away[j] * F.get("inverse", i * d + j)
+    return rows.join(factors, match, "left").select(*rows.columns, total.alias("d2"))
 
 
 def _named(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -193,7 +211,7 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         near = near if factors is None else _distances(pool, factors, groups)
         bound = _named(durable(near.groupBy(*groups).agg(F.percentile_approx("d2", share, 2000)[0].alias("bound")), "bounds"), groups)
         core = near.join(bound, match, "left").where("d2 <= bound")
-        factors = _named(durable(_cholesky(_moments(core, groups), groups), "factors"), groups)
+        factors = _named(durable(_factors(_moments(core, groups), groups), "factors"), groups)
     final = _distances(pool, factors, groups)
     scale = _named(durable(final.groupBy(*groups).agg(F.percentile_approx("d2", 0.5, 2000).alias("half")), "scales"), groups)
     whole = grouped(stats)

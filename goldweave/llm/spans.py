@@ -15,6 +15,11 @@ _BLOCK = 256
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a name bound to ``value``: its uses don't evaluate the expression again."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def found_spans(text: Column, pattern: str, kind: str) -> Column:
     """array<struct<kind, start, end, value>> of the leftmost non-overlapping matches; code points, end exclusive.
 
@@ -23,10 +28,13 @@ def found_spans(text: Column, pattern: str, kind: str) -> Column:
     """
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
-    pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
+    zipped = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
+    return let(F.filter(zipped, lambda p: p["hit"].isNotNull()), lambda pairs: _placed(pairs, kind))
+
+
+def _placed(pairs: Column, kind: str) -> Column:
     blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / F.lit(_BLOCK)).cast("int")),
+        F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / F.lit(_BLOCK)).cast("int")),
         lambda b: _running(F.slice(pairs, b * _BLOCK + 1, F.lit(_BLOCK)), kind),
     )
     joined = F.aggregate(
@@ -38,7 +46,7 @@ def found_spans(text: Column, pattern: str, kind: str) -> Column:
         ),
         lambda acc: F.flatten(acc["out"]),
     )
-    return F.when(F.size(hits) > 0, joined).otherwise(F.array().cast(SPANS))
+    return F.when(F.size(pairs) > 0, joined).otherwise(F.array().cast(SPANS))
 
 
 def _moved(s: Column, by: Column) -> Column:
