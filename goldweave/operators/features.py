@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from goldweave.functions import text as T
 from goldweave.functions.numeric import price_log_delta, price_similarity
+from goldweave.operators.graph import settled
 
 K1, B = 1.5, 0.75
 FEATURES = (
@@ -110,6 +111,7 @@ class FeatureBuilder:
         return self
 
     def transform(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+        pairs = settled(pairs)  # every feature reads the pairs
         out = token_features(pairs)
         for name, terms in (("char", T.char_ngrams), ("word", T.word_ngrams)):
             sides = [tfidf_vectors(term_counts(x, terms(F.col("title_norm"))), self.idf[name]) for x in (left, right)]
