@@ -7,10 +7,13 @@
 2. Texts with one set collapse to their smallest id, however many there are.
 3. Representatives that share a band value are candidates.  First each is
    compared with the centre (smallest id) with which it shares most bands;
-   this joins large groups without forming their pairs.  Then only buckets
-   that still hold several components are searched in full, in blocks of
-   bounded size, where odd sketches rule out pairs before any set is read.
-4. Every link is confirmed on the full shingle sets.
+   this joins large groups without forming their pairs.  Then buckets that
+   still hold several components are dealt into blocks of bounded size.  A
+   first pass over blocks reads odd sketches only and tells which members have
+   a partner in another component that can't be ruled out; a second one reads
+   the sets of these.  A pair counts in the first bucket that it shares.
+4. Every link is confirmed on the full shingle sets.  Blocks return no more
+   links than join their components, so no pairs are listed.
 
 With 24 bands of 4 rows a pair of similarity 0.8 shares no band with
 probability (1 - 0.8**4)**24 = 3e-6, and the sketch bound lies more than five
@@ -26,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from goldweave.llm import bloom
 from goldweave.llm.components import connected_components
 from goldweave.llm.durable import bound_batches, durable
 from goldweave.llm.words import U, constants, hash_texts, shingles, splitmix
 
-BANDS, ROWS, SKETCH_BITS, BLOCK = 24, 4, 256, 256
-_SKETCHED = "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary"
+BANDS, ROWS, SKETCH_BITS, BLOCK = 24, 4, 256, 1024
+_SKETCHED = "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary, digest binary"
+_MEMBER = ["rep", "label", "n_shingles", "side", "own", "sketch", "digest"]
 
 
 def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
@@ -56,49 +61,48 @@ def _sketcher(k: int, bands: int, rows: int):
         weight = constants(rows, 13)[None, :]
         tag = splitmix(np.arange(bands, dtype=U))
         for batch in batches:
-            ids, count, keys, band, sketches = batch.column(0), [], [], [], []
+            ids, count, keys, band, sketches, digests = batch.column(0), [], [], [], [], []
             for words in hash_texts(batch.column(1).to_pylist()):
                 own = np.unique(shingles(words, k))
                 count.append(len(own))
                 if not len(own):
-                    keys.append(None), band.append(None), sketches.append(None)
+                    keys.append(None), band.append(None), sketches.append(None), digests.append(None)
                     continue
                 keys.append(np.array([splitmix(own).sum(), splitmix(own ^ U(0x5851F42D4C957F2D)).sum(), len(own)], dtype=U).tobytes())
                 low = np.full(bands * rows, ~U(0), dtype=U)
                 for at in range(0, len(own), 4096):
                     np.minimum(low, (own[None, at : at + 4096] * scale + shift).min(axis=1), out=low)
-                band.append((splitmix((low.reshape(bands, rows) * weight).sum(axis=1)) ^ tag).view(np.int64))
+                own_bands = splitmix((low.reshape(bands, rows) * weight).sum(axis=1)) ^ tag
+                band.append(own_bands.view(np.int64))
+                digests.append((own_bands >> U(32)).astype(np.uint32).tobytes())
                 sketches.append(odd_sketch(low))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(count, pa.int64()), pa.array(keys, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "key", "bands", "sketch"],
+                [ids.cast(pa.int64()), pa.array(count, pa.int64()), pa.array(keys, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(digests, pa.binary())],
+                ["doc_id", "n_shingles", "key", "bands", "sketch", "digest"],
             )
 
     return sketch
 
 
 def _shingle_sets(k: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.unique(shingles(w, k)).tobytes() for w in hash_texts(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(own, pa.binary())], ["doc_id", "own"])
+    return lambda texts: [np.unique(shingles(w, k)).tobytes() for w in hash_texts(texts)]
+
 
-    return sets
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets without repeats reach the similarity."""
+    small, large = min(len(p), len(q)), max(len(p), len(q))
+    if not small or 100 * small < percent * large:
+        return False
+    both = np.concatenate((p, q))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(p) + len(q) - common)
 
 
 def _confirm(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)
-                small, large = min(len(p), len(q)), max(len(p), len(q))
-                common = 0
-                if small and 100 * small >= percent * large:
-                    both = np.concatenate((p, q))
-                    both.sort(kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                keep.append(bool(small) and 100 * common >= percent * (len(p) + len(q) - common))
+            keep = [_similar(np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return confirm
@@ -111,7 +115,7 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> Data
     its partners, so no task holds more than a block of them.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    own = durable(texts.join(ids, "doc_id", "left_semi").mapInArrow(_shingle_sets(k), "doc_id long, own binary"), "sets")
+    own = durable(bloom.of_ids(texts, ids, _shingle_sets(k), "doc_id long, own binary"), "sets")
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("copies"))
     centres = own.join(degree, own.doc_id == degree.a).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("own").alias("own_a"))
     members = pairs.join(degree, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), copies) as int)").alias("salt"))
@@ -120,37 +124,75 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> Data
     return joined.mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _block_pairs(limit: int, percent: int):
-    """Pairs of one group across components that sizes and sketches do not rule out.
+def _partners(table: pa.Table, limit: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows of other components that may be similar to it) of one group.
 
     A group of kind 1 holds a left and a right block and pairs rows across the
     two; kind 0 holds one left block, or two, and pairs them likewise.
     """
+    ids, label, size = (table[c].to_numpy() for c in ("rep", "label", "n_shingles"))
+    part = table["side" if table["kind"][0].as_py() else "own"].to_numpy()
+    alone = part.min() == part.max()
+    bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=U).reshape(len(ids), -1)
+    digest = np.frombuffer(b"".join(table["digest"].to_pylist()), dtype=np.uint32).reshape(len(ids), -1)
+    band = table["band"][0].as_py()
+    for i in range(len(ids)) if alone else np.flatnonzero(part == part.min()):
+        other = (label != label[i]) & (ids > ids[i] if alone else part != part[i])
+        at = np.flatnonzero(other & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+        far = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        at, far = at[far <= limit], far[far <= limit]
+        if band and len(at):
+            new = ~(digest[at, :band] == digest[i, :band]).any(axis=1)
+            at, far = at[new], far[new]
+        if len(at):
+            yield i, at[np.argsort(far, kind="stable")]
+
+
+def _active_members(limit: int, percent: int):
+    def active(table: pa.Table) -> pa.Table:
+        use = np.zeros(len(table), dtype=bool)
+        for i, at in _partners(table, limit, percent):
+            use[i] = True
+            use[at] = True
+        return table.select(["bucket", "band", "rep"]).filter(pa.array(use))
+
+    return active
+
+
+def _block_links(limit: int, percent: int):
+    """Confirmed links of one group, at most one fewer than it has components."""
+
+    def links(table: pa.Table) -> pa.Table:
+        ids, label = table["rep"].to_pylist(), table["label"].to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), dtype=U) for x in table["words"].combine_chunks()] if len(table) else []
+        root = {x: x for x in label}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
 
-    def block(table: pa.Table) -> pa.Table:
-        ids, label, size = (table[c].to_numpy() for c in ("rep", "label", "n_shingles"))
-        part = table["side" if table["kind"][0].as_py() else "own"].to_numpy()
-        alone = part.min() == part.max()
-        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=U).reshape(len(ids), -1)
         a, b = [], []
-        for i in range(len(ids)) if alone else np.flatnonzero(part == part.min()):
-            other = (label != label[i]) & (ids > ids[i] if alone else part != part[i])
-            at = np.flatnonzero(other & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
-            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= limit]
-            a.append(np.minimum(ids[at], ids[i])), b.append(np.maximum(ids[at], ids[i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        for i, at in _partners(table, limit, percent):
+            for j in at.tolist():
+                x, y = find(label[i]), find(label[j])
+                if x != y and _similar(sets[i], sets[j], percent):
+                    root[x] = y
+                    a.append(min(ids[i], ids[j])), b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return block
+    return links
 
 
-def _cross_component_pairs(shared: DataFrame, reps: DataFrame, labels: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Distinct pairs that share a bucket but no component and that their sketches do not rule out.
+def _dealt(members: DataFrame, labels: DataFrame, reps: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """Members of buckets with several components, dealt into groups (bucket, band, i, j, kind) of two blocks.
 
-    In each bucket with several components the largest one is the right side
-    and all others are the left side.  Both are dealt into blocks; a group
-    holds one left block with one right block, or two left blocks.
+    In each bucket the largest component is the right side and all others are
+    the left side.  Both are dealt into blocks; a group holds one left block
+    with one right block, or two left blocks.
     """
-    marked = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("label"))
+    marked = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("label"))
     parts = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     split = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
     split = split.select(
@@ -158,7 +200,10 @@ def _cross_component_pairs(shared: DataFrame, reps: DataFrame, labels: DataFrame
         F.ceil(F.col("top.n") / F.lit(BLOCK)).cast("int").alias("right_blocks"),
         F.ceil((F.col("all") - F.col("top.n")) / F.lit(BLOCK)).cast("int").alias("left_blocks"),
     )
-    rows = marked.join(split, "bucket").join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    rows = marked.join(split, "bucket").join(reps.select("rep", "n_shingles", "sketch", "digest"), "rep")
+    names = [*_MEMBER]
+    if extra is not None:
+        rows, names = rows.join(extra, "rep"), [*names, "words"]
     rows = rows.withColumn("side", (F.col("label") == F.col("major")).cast("int"))
     rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(rep), if(side = 1, right_blocks, left_blocks)) as int)"))
     groups = F.when(
@@ -169,9 +214,18 @@ def _cross_component_pairs(shared: DataFrame, reps: DataFrame, labels: DataFrame
             F.expr("transform(sequence(0, left_blocks - 1), x -> struct(least(own, x) as i, greatest(own, x) as j, 0 as kind))"),
         )
     )
-    dealt = rows.select("bucket", F.explode(groups).alias("g"), "rep", "label", "n_shingles", "side", "own", "sketch")
-    dealt = dealt.select("bucket", "g.i", "g.j", "g.kind", "rep", "label", "n_shingles", "side", "own", "sketch")
-    return dealt.groupBy("bucket", "i", "j", "kind").applyInArrow(_block_pairs(limit, percent), "a long, b long").distinct()
+    dealt = rows.select("bucket", "band", F.explode(groups).alias("g"), *names)
+    return dealt.select("bucket", "band", "g.i", "g.j", "g.kind", *names)
+
+
+def _cross_component_links(members: DataFrame, texts: DataFrame, reps: DataFrame, labels: DataFrame, k: int, limit: int, percent: int) -> DataFrame:
+    """Links that join components which share buckets."""
+    groups = ["bucket", "band", "i", "j", "kind"]
+    found = _dealt(members, labels, reps).groupBy(*groups).applyInArrow(_active_members(limit, percent), "bucket long, band int, rep long")
+    active = durable(found.distinct(), "active")
+    ids = active.select(F.col("rep").alias("doc_id")).distinct()
+    own = bloom.of_ids(texts, ids, _shingle_sets(k), "doc_id long, own binary").select(F.col("doc_id").alias("rep"), F.col("own").alias("words"))
+    return _dealt(active, labels, reps, durable(own, "sets")).groupBy(*groups).applyInArrow(_block_links(limit, percent), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -195,20 +249,20 @@ def near_duplicates(
     sketched = durable(texts.mapInArrow(_sketcher(k, bands, rows), _SKETCHED), "sketches")
     members = sketched.where("key is not null and doc_id is not null")
     classes = durable(members.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = durable(
-        members.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch").dropDuplicates(["rep"]), "reps"
-    )
-    placed = reps.select("rep", F.explode("bands").alias("bucket"))
+    reps = members.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["doc_id"])
+    reps = durable(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch", "digest"), "reps")
+    placed = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     buckets = placed.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1")
     shared = durable(placed.join(buckets.select("bucket", "centre"), "bucket"), "shared")
     votes = shared.where("rep <> centre").groupBy("rep", "centre").agg(F.count("*").alias("n"))
-    stars = durable(votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("best")).select((-F.col("best.c")).alias("a"), F.col("rep").alias("b")), "stars")
+    best = votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("best"))
+    stars = durable(best.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b")), "stars")
     first = durable(_confirmed(texts, stars, k, percent), "links")
     labels = connected_components(first)
     limit = sketch_limit(percent / 100, bands * rows)
-    rest = durable(_cross_component_pairs(shared.select("bucket", "rep"), reps, labels, limit, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    rest = durable(_cross_component_links(shared.select("bucket", "band", "rep"), texts, reps, labels, k, limit, percent), "links")
     if not rest.isEmpty():
-        labels = connected_components(first.union(_confirmed(texts, rest, k, percent)))
+        labels = connected_components(first.union(rest))
     named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     found = sketched.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
