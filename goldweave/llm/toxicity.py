@@ -24,6 +24,8 @@ from goldweave.llm.durable import bound_batches, durable
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS, LEAST_DOCS = 4000, 12000, 4096, 3
 #: Least contrast, in standard errors, of a word between the two samples.
 LEAST_CONTRAST = 3.5
+#: Least ratio of its shares in them.
+LEAST_RATIO = 2.5
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -55,23 +57,37 @@ class Model:
         return score
 
 
-def nnpu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, epochs: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+class Presence:
+    """Which of ``d`` words each of some documents has, as index pairs, so that memory follows the hits."""
+
+    def __init__(self, docs: list[list[int]], d: int) -> None:
+        self.n, self.d = len(docs), d
+        self.row = np.repeat(np.arange(self.n), [len(x) for x in docs])
+        self.col = np.array([j for x in docs for j in x], dtype=np.int64)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.col], minlength=self.n) + w[-1]
+
+    def gradient(self, r: np.ndarray) -> np.ndarray:
+        """Mean over documents of ``r`` times their words, and of ``r`` itself for the bias."""
+        return np.append(np.bincount(self.col, weights=r[self.row], minlength=self.d), r.sum()) / max(self.n, 1)
+
+
+def nnpu_fit(positive: Presence, unlabelled: Presence, prior: float, *, epochs: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias for the non-negative risk with the logistic loss, by full-batch Adam steps.
 
     Where the corrected negative risk is below zero the step goes against its
     gradient, as the estimator prescribes.
     """
-    d = positive.shape[1]
+    d = positive.d
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     w[-1] = np.log(prior / (1 - prior))
-    p = np.hstack([positive, np.ones((len(positive), 1), dtype=positive.dtype)])
-    u = np.hstack([unlabelled, np.ones((len(unlabelled), 1), dtype=unlabelled.dtype)])
     for t in range(1, epochs + 1):
-        sp, su = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
-        negative = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
-        g_plus = prior * (p.T @ (sp - 1)) / len(p)
-        g_minus = (u.T @ su) / len(u) - prior * (p.T @ sp) / len(p)
-        g = g_plus + g_minus if negative >= 0 else -g_minus
+        zp, zu = positive.times(w), unlabelled.times(w)
+        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        g_minus = unlabelled.gradient(su) - prior * positive.gradient(sp)
+        g = prior * positive.gradient(sp - 1) + g_minus if negative >= 0 else -g_minus
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -92,7 +108,8 @@ def _vocabulary(words: DataFrame, sizes: dict[int, int], max_words: int) -> list
     counts = words.groupBy("word").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u")).where(F.col("p") >= LEAST_DOCS)
     both = (F.col("p") + F.col("u")) / (a + b)
     error = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / a + 1 / b))
-    found = counts.select("word", ((F.col("p") / a - F.col("u") / b) / error).alias("z")).where(F.col("z") > LEAST_CONTRAST)
+    often = F.col("p") / a >= LEAST_RATIO * F.col("u") / b
+    found = counts.where(often).select("word", ((F.col("p") / a - F.col("u") / b) / error).alias("z")).where(F.col("z") > LEAST_CONTRAST)
     return [bytes(r["word"]) for r in found.orderBy(F.desc("z"), "word").limit(max_words).collect()]
 
 
@@ -136,13 +153,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int32()))], ["kind", "own"])
 
     rows = sample.mapInArrow(find, "kind int, own array<int>").collect()  # at most the two bounds
-    parts = []
-    for kind in (1, 0):
-        found = sorted([r["own"] for r in rows if r["kind"] == kind])
-        x = np.zeros((len(found), len(words)), dtype=np.float32)
-        for i, own in enumerate(found):
-            x[i, own] = 1
-        parts.append(x)
+    parts = [Presence(sorted(r["own"] for r in rows if r["kind"] == kind), len(words)) for kind in (1, 0)]
     weights, bias = nnpu_fit(*parts, prior)
     return Model(words, weights, bias, prior)
 
