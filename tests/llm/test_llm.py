@@ -262,6 +262,21 @@ def test_repeated_passages(spark):
     assert compact_windows.repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def test_passages_behind_lines_of_earlier_documents(spark):
+    rng = random.Random(17)
+    rows, want, at = [], {}, 0
+    for _ in range(12):
+        lines = [prose(rng, 30) for _ in range(2)]
+        for n in range(8):
+            rows.append((at + n, " ".join([prose(rng, 40), lines[n % 2], prose(rng, 40)])))
+        for n in (8, 9):
+            rows.append((at + n, " ".join([prose(rng, 60), *lines, prose(rng, 60)])))
+        want[at + 9] = at + 8
+        at += 10
+    got = compact_windows.repeated_passages(docs_of(spark, rows)).collect()
+    assert {r.doc_id: r.other_id for r in got} == want
+
+
 # ---- 6 -------------------------------------------------------------------------
 
 
