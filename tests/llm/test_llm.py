@@ -277,6 +277,27 @@ def test_passages_behind_lines_of_earlier_documents(spark):
     assert {r.doc_id: r.other_id for r in got} == want
 
 
+@pytest.mark.parametrize("n", [55, 60])
+def test_passages_with_an_inserted_or_deleted_word(n):
+    rng = random.Random(n)
+    found = whole = 0
+    for trial in range(200):
+        passage = prose(rng, n).split()
+        at = rng.randrange(n // 3, 2 * n // 3)
+        changed = [*passage[:at], "zz", *passage[at:]] if trial % 2 else [*passage[:at], *passage[at + 1 :]]
+        texts = [" ".join([prose(rng, 40), *x, prose(rng, 40)]) for x in (passage, changed)]
+        a, b = (np.asarray(x).astype(np.uint32) for x in words.hash_texts(texts))
+        x, y = 40 + np.arange(5), 40 + np.arange(5)
+        # One anchor, on one side of the edit, with the narrow bounds of its window.
+        spots = [(int(x[2]), 40, 85, int(y[2]), 40, 85)]
+        got = compact_windows.passages_of_pair(b, a, spots)
+        shared = compact_windows._similarity(b[40 : 40 + len(changed)], a[40 : 40 + n], 5)
+        if shared >= 0.8:
+            whole += 1
+            found += any(s <= 45 and e >= 35 + len(changed) and v >= 0.8 for s, e, _, _, v in got)
+    assert whole >= 150 and found == whole
+
+
 # ---- 6 -------------------------------------------------------------------------
 
 
