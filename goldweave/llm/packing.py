@@ -16,6 +16,7 @@ further transitions without the padding term.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,15 @@ _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
+def _splits(body: bytes) -> bool:
+    """Whether the tokenizer splits ``body`` from punctuation after it: a run of what is no letter or digit stays whole."""
+    if body[-1] < 128:
+        return body[-1:].isalnum()
+    # The tokenizer composes and lower-cases first, after which a letter may end in a mark.
+    last = unicodedata.normalize("NFC", body[-4:].decode("utf-8", "ignore")[-1]).lower()[-1]
+    return unicodedata.category(last)[0] in "LN"
+
+
 class CachedEncoder:
     """Ids of a text as little-endian uint32 bytes, equal to one call of the tokenizer.
 
@@ -80,7 +90,7 @@ class CachedEncoder:
         if len(held) >= self.capacity:
             held.clear()
         body = piece.rstrip(_PUNCT)
-        if body and len(body) < len(piece) and b"<" not in piece:
+        if body and len(body) < len(piece) and b"<" not in piece and _splits(body):
             tail = piece[len(body) :]
             found = (held.get(body) or self._missing(body)) + (held.get(tail) or self._missing(tail))
         else:
@@ -92,7 +102,13 @@ class CachedEncoder:
         if not text:
             return b""
         get, missing = self.held.get, self._missing
-        return b"".join([get(x) or missing(x) for x in text.encode("utf-8", "replace").lower().split()])
+        data = text.encode("utf-8", "replace")
+        if b"<" in data:
+            # A special token counts only as it is written.
+            pieces = [x if b"<" in x else x.lower() for x in data.split()]
+        else:
+            pieces = data.lower().split()
+        return b"".join([get(x) or missing(x) for x in pieces])
 
 
 def cut_places(tokens: int, sentence_ends: np.ndarray, document_ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

@@ -213,6 +213,18 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(df.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_encoder_equals_one_call_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    t, encoder = Tokenizer.from_file(queries.tokenizer_path()), packing.CachedEncoder(queries.tokenizer_path())
+    texts = [
+        "“word”, so", "«a».", "wait…\"", "5€.", "20°,", "x™)", "a–,", "日本。\"", "<|ENDOFTEXT|>", "A<|EndOfText|>B <|endoftext|>",
+        "é. x́, ½. Ⅷ. 1², ΑΣ. Iİ. \u0958.", "“It's”. 😀! (A<B). THE_END...", "　, a​, a .",
+    ]
+    for x in texts:
+        assert np.frombuffer(encoder.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
 def test_cuts_are_the_cheapest():
     rng = np.random.default_rng(2)
     for _ in range(30):
