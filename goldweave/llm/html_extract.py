@@ -25,6 +25,8 @@ _NAMES = re.compile(r"[^a-z0-9]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes".split())
+#: Searched in the page itself: lower-casing can change the length of a text.
+_RAW_END = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in _RAW}
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -79,7 +81,7 @@ def _unwanted(tag: str, raw: str, parent: Node) -> bool:
 def parse(html: str) -> Node:
     """The tree; ends that are missing are implied, and an unfinished tag at the end of the page is markup."""
     root = Node("html", None, False)
-    node, at, low = root, 0, None
+    node, at = root, 0
     while at < len(html):
         m = _TOKEN.match(html, at)
         at = m.end()
@@ -108,9 +110,8 @@ def parse(html: str) -> Node:
                 node.inside.append(" ") if tag == "img" else None
             continue
         if tag in _RAW:
-            low = html.lower() if low is None else low
-            end = low.find(f"</{tag}", at)
-            at = len(html) if end < 0 else end
+            end = _RAW_END[tag].search(html, at)
+            at = len(html) if end is None else end.start()
             close = html.find(">", at)
             at = len(html) if close < 0 else close + 1
             continue

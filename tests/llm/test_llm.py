@@ -171,6 +171,11 @@ def test_html_extraction(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_raw_elements_behind_letters_that_grow_in_lower_case():
+    page = "<article><p>" + "İ" * 30 + " before</p><script>x</SCRIPT><p>After <b>the</b> script.</p><p>Last.</p></article>"
+    assert html_extract.main_text(page) == "İ" * 30 + " before\nAfter the script.\nLast."
+
+
 def test_html_extraction_on_pages(spark, sf):
     from html import unescape
 
