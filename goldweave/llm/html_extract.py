@@ -4,7 +4,9 @@ Paragraphs pass points for their length and commas to their ancestors, less
 with distance; an ancestor's points are discounted by the share of its text
 that lies in links.  The best container is kept with those siblings that score
 alike, without the parts that are navigation, notices or comments by their
-element, role, class or id.
+element or role.  A class or id is evidence only: what it names is left out
+unless it holds most of the page's text, an article, or the best container,
+and if hardly any text is left the names do not count.
 """
 
 from __future__ import annotations
@@ -46,36 +48,46 @@ _WHOLE = frozenset({"html", "body", "article", "main"})
 _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li td th pre blockquote dd dt figcaption".split())
 
 
+#: A named part goes if this share of it is links, or if it holds less than this share of the page's text.
+LINKED, SHARE = 0.5, 0.5
+#: Names do not count if less than this share of the text is left.
+LITTLE = 0.2
+
+
 class Node:
-    __slots__ = ("tag", "parent", "inside", "dropped", "score", "length", "linked")
+    __slots__ = ("tag", "parent", "inside", "dropped", "named", "score", "length", "linked")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.inside: list = []
+        self.named = 0
         self.score, self.length, self.linked = 0.0, 0, 0
 
 
-def _unwanted(tag: str, raw: str, parent: Node) -> bool:
+def _unwanted(tag: str, raw: str, parent: Node) -> tuple[bool, int]:
+    """Whether the element is no text by its kind, and how far its class or id says so: 1 in a part of a name, 2 as a whole name."""
     if tag in _DROPPED:
-        return True
+        return True, 0
     if tag == "header":
         # The head of an article holds its title; that of a page does not.
         node = parent
         while node is not None and node.tag not in ("article", "main"):
             node = node.parent
         if node is None:
-            return True
+            return True, 0
     if not raw or raw.isspace():
-        return False
+        return False, 0
     attributes = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(raw)}
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
+        return True, 0
     if attributes.get("role") in _ROLES:
-        return True
+        return True, 0
     if tag in _WHOLE:
-        return False
+        return False, 0
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return bool(_PARTS.intersection(_NAMES.split(named)))
+    if _PARTS.isdisjoint(_NAMES.split(named)):
+        return False, 0
+    return False, 1 if _PARTS.isdisjoint(named.split()) else 2
 
 
 def parse(html: str) -> Node:
@@ -128,7 +140,9 @@ def parse(html: str) -> Node:
                     node = up.parent
                     break
                 up = up.parent
-        child = Node(tag, node, node.dropped or _unwanted(tag, m[3], node))
+        unwanted, named = _unwanted(tag, m[3], node)
+        child = Node(tag, node, node.dropped or unwanted)
+        child.named = named
         node.inside.append(child)
         node = child
     return root
@@ -234,7 +248,59 @@ def main_text(html: str | None) -> str:
     """Blocks of the article joined by line feeds; empty if there are none."""
     if not html:
         return ""
-    return "\n".join(_blocks(_kept(_best(parse(html)))))
+    root = parse(html)
+    top = _best(root)
+    named, holders = _named(root)
+    if not named:
+        return "\n".join(_blocks(_kept(top)))
+    size = root.length
+    path = set()
+    while top is not None:
+        path.add(id(top))
+        if top.named < 2:
+            holders.add(id(top))
+        top = top.parent
+    gone = [x for x in named if id(x) not in holders and (x.named == 2 or x.linked >= LINKED * x.length or x.length < SHARE * size)]
+    for x in gone:
+        x.dropped = True
+    text = _text_again(root)
+    # Those that hold the best container come back first, then all.
+    for back in ([x for x in gone if id(x) in path], gone):
+        if back and len(text) < LITTLE * size:
+            for x in back:
+                x.dropped = False
+            text = _text_again(root)
+    return text
+
+
+def _named(root: Node) -> tuple[list[Node], set[int]]:
+    """Kept nodes whose class or id names another part, and the ids of nodes that hold an article."""
+    named: list[Node] = []
+    holders: set[int] = set()
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.dropped:
+            continue
+        if node.named:
+            named.append(node)
+        if node.tag in ("article", "main"):
+            up = node.parent
+            while up is not None and id(up) not in holders:
+                holders.add(id(up))
+                up = up.parent
+        stack.extend(x for x in node.inside if isinstance(x, Node))
+    return named, holders
+
+
+def _text_again(root: Node) -> str:
+    """The text by scores that are made anew."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.score, node.length, node.linked = 0.0, 0, 0
+        stack.extend(x for x in node.inside if isinstance(x, Node))
+    return "\n".join(_blocks(_kept(_best(root))))
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -171,6 +171,16 @@ def test_html_extraction(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ['class="content has-sidebar"', 'class="no-sidebar"', 'class="post comments-open"', 'id="main-share-wrap"', 'class="widget"'])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<div>{}</div>", "{}"])
+def test_wrappers_named_like_parts_keep_the_article(name, inner):
+    paragraphs = [f"Paragraph {i}, of the article, with commas, that goes on for long enough to count as text." for i in range(5)]
+    body = inner.format("".join(f"<p>{x}</p>" for x in paragraphs))
+    side = '<div class="sidebar"><p>Side, text, that is, not, of the article</p></div>'
+    thread = '<div class="comments">' + "<p>Comment, by a, reader</p>" * 2 + "</div>"
+    assert html_extract.main_text(f"<body><div {name}>{body}</div>{side}{thread}</body>") == "\n".join(paragraphs)
+
+
 def test_raw_elements_behind_letters_that_grow_in_lower_case():
     page = "<article><p>" + "İ" * 30 + " before</p><script>x</SCRIPT><p>After <b>the</b> script.</p><p>Last.</p></article>"
     assert html_extract.main_text(page) == "İ" * 30 + " before\nAfter the script.\nLast."
