@@ -29,8 +29,11 @@ _RUN = r"[A-Za-z0-9+/_=-]{20,}+"
 _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Least entropy in bits of a window of 20: 4.3 is the most; words of prose stay below 3.5.
 LIMITS = {"base64": 3.8, "hex": 3.1}
-#: Runs that are not secrets: placeholders, paths, identifiers in words, and one class of characters alone.
-ALLOW = r"(?i)example|placeholder|changeme|dummy|sample|lorem|xxxx|0000|1234567890|abcdef|^[A-Za-z+/_=-]*$|^[0-9+/_=-]*$|^[/_=-]|//"
+#: Placeholders, around which a run is judged in parts.
+PLACEHOLDERS = "(?i)example|placeholder|changeme|dummy|sample|lorem|xxxx|0000|1234567890|abcdef"
+#: Runs without letters or without digits are identifiers, numbers and rules, unless their case changes as in random letters.
+PLAIN = "^[A-Za-z+/_=-]*$|^[0-9+/_=-]*$"
+MIXED = "[A-Z][a-z]{1,2}[A-Z].*[A-Z][a-z]{1,2}[A-Z]"
 
 
 def _c_log_c(c: Column) -> Column:
@@ -64,7 +67,9 @@ def highest_entropy(run: Column) -> Column:
 def _secret_like(s: Column) -> Column:
     value = s["value"]
     limit = F.when(value.rlike("^[0-9a-fA-F]+$"), F.lit(LIMITS["hex"])).otherwise(F.lit(LIMITS["base64"]))
-    return F.when(value.rlike(ALLOW), F.lit(False)).otherwise(highest_entropy(value) >= limit)
+    parts = F.filter(F.split(value, PLACEHOLDERS), lambda x: F.length(x) >= WINDOW)
+    high = F.exists(parts, lambda x: highest_entropy(x) >= limit)
+    return F.when(value.rlike(PLAIN) & ~value.rlike(MIXED), F.lit(False)).otherwise(high)
 
 
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -407,6 +407,17 @@ def test_added_kinds(spark):
     assert found[7] == ["entropy"]
 
 
+def test_random_keys_are_found(spark):
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = [(n, "".join(rng.choice(alphabet) for _ in range(n))) for n, count in ((20, 400), (40, 200), (88, 100), (1600, 4)) for _ in range(count)]
+    rows = [(i, f"a {x} b") for i, (_, x) in enumerate(keys)]
+    found = Counter(keys[r.doc_id][0] for r in secrets.find_secrets(docs_of(spark, rows)).collect() if any(s.kind == "entropy" for s in r.spans))
+    assert found[20] >= 360 and found[40] >= 197 and found[88] == 100 and found[1600] == 4
+    plain = ["exampleexampleexampleexample1", "getServletRequestFactoryInstanceName", "0000000000000000000000000000"]
+    assert not any(r.spans for r in secrets.find_secrets(docs_of(spark, [(i, f"a {x} b") for i, x in enumerate(plain)])).select("doc_id", F.filter("spans", lambda s: s["kind"] == "entropy").alias("spans")).collect())
+
+
 def test_entropy_of_a_window(spark):
     run = "aaaaabbbbbcccccdddddk9X2pLq8Vn3Zr7Tb5Wm1"
     want = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(run[i : i + 20]).values()) for i in range(len(run) - 19))
