@@ -35,6 +35,10 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def is_durable(df: DataFrame) -> bool:
+    return hasattr(df, "_goldweave_path")
+
+
 def forget(df: DataFrame) -> None:
     """Delete a durable table that no pending plan reads any more."""
     path = getattr(df, "_goldweave_path", None)

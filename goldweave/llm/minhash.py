@@ -5,15 +5,16 @@
    bitmap in which every sample flips one bit.  The population count of the
    XOR of two sketches estimates how many samples differ.
 2. Texts with one set collapse to their smallest id, however many there are.
-3. Representatives that share a band value are candidates.  First each is
-   compared with the centre (smallest id) with which it shares most bands;
-   this joins large groups without forming their pairs.  Then buckets that
-   still hold several components are dealt into blocks of bounded size.  A
-   first pass over blocks reads odd sketches only and tells which members have
-   a partner in another component that can't be ruled out; a second one reads
-   the sets of these.  A pair counts in the first bucket that it shares.
-4. Every link is confirmed on the full shingle sets.  Blocks return no more
-   links than join their components, so no pairs are listed.
+3. Representatives that share a band value are candidates.  Buckets with the
+   same members count as one.  First each representative is compared with the
+   centre (smallest id) with which it shares most bands; this joins large
+   groups without forming their pairs.  Then buckets that still hold several
+   components are dealt into blocks of bounded size.  A first pass over blocks
+   reads odd sketches only and tells which members have a partner in another
+   component that can't be ruled out; a second one reads the texts of these.
+4. Every link is confirmed on the full shingle sets, which are made from the
+   texts where they are compared: texts are smaller than their sets.  Blocks
+   return no more links than join their components, so no pairs are listed.
 
 With 24 bands of 4 rows a pair of similarity 0.8 shares no band with
 probability (1 - 0.8**4)**24 = 3e-6, and the sketch bound lies more than five
@@ -31,12 +32,13 @@ from pyspark.sql import functions as F
 
 from goldweave.llm import bloom
 from goldweave.llm.components import connected_components
-from goldweave.llm.durable import bound_batches, durable
+from goldweave.llm.durable import bound_batches, durable, forget
+from goldweave.llm.skew import with_hot
 from goldweave.llm.words import U, constants, hash_texts, shingles, splitmix
 
 BANDS, ROWS, SKETCH_BITS, BLOCK = 24, 4, 256, 1024
-_SKETCHED = "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary, digest binary"
-_MEMBER = ["rep", "label", "n_shingles", "side", "own", "sketch", "digest"]
+_SKETCHED = "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary"
+_MEMBER = ["rep", "label", "n_shingles", "side", "own", "sketch"]
 
 
 def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
@@ -55,39 +57,41 @@ def sketch_limit(threshold: float, samples: int, bits: int = SKETCH_BITS, sigmas
     return int(min(bits, np.ceil(mean + sigmas * spread)))
 
 
+def _set_key(own: np.ndarray) -> bytes | None:
+    """A key of a set of shingles; none for the empty set."""
+    if not len(own):
+        return None
+    return np.array([splitmix(own).sum(), splitmix(own ^ U(0x5851F42D4C957F2D)).sum(), len(own)], dtype=U).tobytes()
+
+
 def _sketcher(k: int, bands: int, rows: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale, shift = constants(bands * rows, 5)[:, None], constants(bands * rows, 7)[:, None]
         weight = constants(rows, 13)[None, :]
         tag = splitmix(np.arange(bands, dtype=U))
         for batch in batches:
-            ids, count, keys, band, sketches, digests = batch.column(0), [], [], [], [], []
+            ids, count, keys, band, sketches = batch.column(0), [], [], [], []
             for words in hash_texts(batch.column(1).to_pylist()):
                 own = np.unique(shingles(words, k))
                 count.append(len(own))
+                keys.append(_set_key(own))
                 if not len(own):
-                    keys.append(None), band.append(None), sketches.append(None), digests.append(None)
+                    band.append(None), sketches.append(None)
                     continue
-                keys.append(np.array([splitmix(own).sum(), splitmix(own ^ U(0x5851F42D4C957F2D)).sum(), len(own)], dtype=U).tobytes())
                 low = np.full(bands * rows, ~U(0), dtype=U)
                 for at in range(0, len(own), 4096):
                     np.minimum(low, (own[None, at : at + 4096] * scale + shift).min(axis=1), out=low)
                 own_bands = splitmix((low.reshape(bands, rows) * weight).sum(axis=1)) ^ tag
                 band.append(own_bands.view(np.int64))
-                digests.append((own_bands >> U(32)).astype(np.uint32).tobytes())
                 sketches.append(odd_sketch(low))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(count, pa.int64()), pa.array(keys, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(digests, pa.binary())],
-                ["doc_id", "n_shingles", "key", "bands", "sketch", "digest"],
+                [ids.cast(pa.int64()), pa.array(count, pa.int64()), pa.array(keys, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "n_shingles", "key", "bands", "sketch"],
             )
 
     return sketch
 
 
-def _shingle_sets(k: int):
-    return lambda texts: [np.unique(shingles(w, k)).tobytes() for w in hash_texts(texts)]
-
-
 def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets without repeats reach the similarity."""
     small, large = min(len(p), len(q)), max(len(p), len(q))
@@ -99,29 +103,65 @@ def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(p) + len(q) - common)
 
 
-def _confirm(percent: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _placed(bits: object):
+    """(bucket, rep) of the bands that may be in the filter."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_similar(np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            bands = batch.column(1)
+            flat, width = bands.flatten().to_numpy(), np.diff(bands.offsets.to_numpy())
+            may = bloom.may_hold(bits.value, flat)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[may]), pa.array(np.repeat(batch.column(0).to_numpy(), width)[may])], ["bucket", "rep"])
 
-    return confirm
+    return placed
 
 
-def _confirmed(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the distinct ``pairs(a, b)`` whose full sets are similar enough.
+def _buckets(reps: DataFrame, total: int) -> DataFrame:
+    """(bucket, centre, n, weight) of buckets of two representatives or more.
 
-    A centre that takes part in many pairs is copied once for each block of
-    its partners, so no task holds more than a block of them.
+    Buckets with the same members, which are those of one group of near copies
+    for the most part, count as one of that ``weight``.  Members are told by
+    two sums over hashes of their ids.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    own = durable(bloom.of_ids(texts, ids, _shingle_sets(k), "doc_id long, own binary"), "sets")
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("copies"))
-    centres = own.join(degree, own.doc_id == degree.a).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("own").alias("own_a"))
-    members = pairs.join(degree, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), copies) as int)").alias("salt"))
-    members = members.join(own.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b")), "b")
-    joined = centres.join(members, ["a", "salt"]).select("a", "b", "own_a", "own_b")
-    return joined.mapInArrow(_confirm(percent), "a long, b long")
+    placed = reps.select("rep", F.explode("bands").alias("bucket"))
+    mark = lambda seed: F.sum(F.hash("rep", F.lit(seed)))
+    every = placed.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n"), mark(1).alias("x"), mark(2).alias("y")).where("n > 1")
+    return every.groupBy("centre", "n", "x", "y").agg(F.min("bucket").alias("bucket"), F.count("*").alias("weight")).select("bucket", "centre", "n", "weight")
+
+
+def _star_links(texts: DataFrame, stars: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of ``stars(a, b)``, each ``b`` with one centre ``a`` of a smaller id, whose full sets are similar enough.
+
+    Texts go to their centre once.  A centre of many partners is copied for
+    each block of them, so no task holds more than a block.
+    """
+    stars = durable(stars, "votes")
+    degree = durable(stars.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("copies")), "degree")
+    centres = degree.select(F.col("a").alias("doc_id"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    members = with_hot(stars, degree, "a", stars.count(), BLOCK).select(F.col("b").alias("doc_id"), F.col("a").alias("centre"), F.expr("cast(pmod(xxhash64(b), copies) as int)").alias("salt"))
+    placed = durable(centres.union(members), "stars")
+    rows = bloom.rows_of(texts, placed.select("doc_id")).join(placed.hint("merge"), "doc_id").select("centre", "salt", "doc_id", "text")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, []
+        for batch in batches:
+            a, b = [], []
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            for (centre, salt, doc), words in zip(keys, hash_texts(batch.column(3).to_pylist()), strict=True):
+                found = np.unique(shingles(words, k))
+                if (centre, salt) != at:
+                    at, own = (centre, salt), []
+                if doc == centre:
+                    if not any(np.array_equal(x, found) for x in own):
+                        own.append(found)
+                elif any(_similar(x, found, percent) for x in own):
+                    a.append(centre), b.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    together = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "doc_id")
+    links = durable(together.mapInArrow(confirm, "a long, b long"), "links")
+    forget(placed), forget(stars), forget(degree)
+    return links
 
 
 def _partners(table: pa.Table, limit: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -134,16 +174,11 @@ def _partners(table: pa.Table, limit: int, percent: int) -> Iterator[tuple[int,
     part = table["side" if table["kind"][0].as_py() else "own"].to_numpy()
     alone = part.min() == part.max()
     bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=U).reshape(len(ids), -1)
-    digest = np.frombuffer(b"".join(table["digest"].to_pylist()), dtype=np.uint32).reshape(len(ids), -1)
-    band = table["band"][0].as_py()
     for i in range(len(ids)) if alone else np.flatnonzero(part == part.min()):
         other = (label != label[i]) & (ids > ids[i] if alone else part != part[i])
         at = np.flatnonzero(other & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
         far = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
         at, far = at[far <= limit], far[far <= limit]
-        if band and len(at):
-            new = ~(digest[at, :band] == digest[i, :band]).any(axis=1)
-            at, far = at[new], far[new]
         if len(at):
             yield i, at[np.argsort(far, kind="stable")]
 
@@ -154,17 +189,17 @@ def _active_members(limit: int, percent: int):
         for i, at in _partners(table, limit, percent):
             use[i] = True
             use[at] = True
-        return table.select(["bucket", "band", "rep"]).filter(pa.array(use))
+        return table.select(["bucket", "rep"]).filter(pa.array(use))
 
     return active
 
 
-def _block_links(limit: int, percent: int):
+def _block_links(k: int, limit: int, percent: int):
     """Confirmed links of one group, at most one fewer than it has components."""
 
     def links(table: pa.Table) -> pa.Table:
         ids, label = table["rep"].to_pylist(), table["label"].to_pylist()
-        sets = [np.frombuffer(x.as_buffer(), dtype=U) for x in table["words"].combine_chunks()] if len(table) else []
+        sets = [np.unique(shingles(w, k)) for w in hash_texts(table["text"].to_pylist())]
         root = {x: x for x in label}
 
         def find(x: int) -> int:
@@ -185,25 +220,26 @@ def _block_links(limit: int, percent: int):
     return links
 
 
-def _dealt(members: DataFrame, labels: DataFrame, reps: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """Members of buckets with several components, dealt into groups (bucket, band, i, j, kind) of two blocks.
+def _dealt(members: DataFrame, labels: DataFrame, reps: DataFrame, total: int, extra: DataFrame | None = None) -> DataFrame:
+    """Members of buckets with several components, dealt into groups (bucket, i, j, kind) of two blocks.
 
     In each bucket the largest component is the right side and all others are
     the left side.  Both are dealt into blocks; a group holds one left block
     with one right block, or two left blocks.
     """
-    marked = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("label"))
-    parts = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    split = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    own = labels.withColumnRenamed("node", "rep").hint("merge")
+    marked = members.join(own, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("label"))
+    parts = marked.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    split = parts.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("labels")).where("labels > 1")
     split = split.select(
-        "bucket", F.col("top.label").alias("major"),
-        F.ceil(F.col("top.n") / F.lit(BLOCK)).cast("int").alias("right_blocks"),
-        F.ceil((F.col("all") - F.col("top.n")) / F.lit(BLOCK)).cast("int").alias("left_blocks"),
+        "bucket", "n", F.col("top.label").alias("major"),
+        F.ceil(F.col("top.k") / F.lit(BLOCK)).cast("int").alias("right_blocks"),
+        F.ceil((F.col("n") - F.col("top.k")) / F.lit(BLOCK)).cast("int").alias("left_blocks"),
     )
-    rows = marked.join(split, "bucket").join(reps.select("rep", "n_shingles", "sketch", "digest"), "rep")
+    rows = with_hot(marked, split, "bucket", total, BLOCK).join(reps.select("rep", "n_shingles", "sketch").hint("merge"), "rep")
     names = [*_MEMBER]
     if extra is not None:
-        rows, names = rows.join(extra, "rep"), [*names, "words"]
+        rows, names = rows.join(extra.hint("merge"), "rep"), [*names, "text"]
     rows = rows.withColumn("side", (F.col("label") == F.col("major")).cast("int"))
     rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(rep), if(side = 1, right_blocks, left_blocks)) as int)"))
     groups = F.when(
@@ -214,18 +250,52 @@ def _dealt(members: DataFrame, labels: DataFrame, reps: DataFrame, extra: DataFr
             F.expr("transform(sequence(0, left_blocks - 1), x -> struct(least(own, x) as i, greatest(own, x) as j, 0 as kind))"),
         )
     )
-    dealt = rows.select("bucket", "band", F.explode(groups).alias("g"), *names)
-    return dealt.select("bucket", "band", "g.i", "g.j", "g.kind", *names)
+    dealt = rows.select("bucket", F.explode(groups).alias("g"), *names)
+    return dealt.select("bucket", "g.i", "g.j", "g.kind", *names)
 
 
-def _cross_component_links(members: DataFrame, texts: DataFrame, reps: DataFrame, labels: DataFrame, k: int, limit: int, percent: int) -> DataFrame:
+def _cross_component_links(members: DataFrame, texts: DataFrame, reps: DataFrame, labels: DataFrame, total: int, k: int, limit: int, percent: int) -> DataFrame:
     """Links that join components which share buckets."""
-    groups = ["bucket", "band", "i", "j", "kind"]
-    found = _dealt(members, labels, reps).groupBy(*groups).applyInArrow(_active_members(limit, percent), "bucket long, band int, rep long")
+    groups = ["bucket", "i", "j", "kind"]
+    found = _dealt(members, labels, reps, total).groupBy(*groups).applyInArrow(_active_members(limit, percent), "bucket long, rep long")
     active = durable(found.distinct(), "active")
     ids = active.select(F.col("rep").alias("doc_id")).distinct()
-    own = bloom.of_ids(texts, ids, _shingle_sets(k), "doc_id long, own binary").select(F.col("doc_id").alias("rep"), F.col("own").alias("words"))
-    return _dealt(active, labels, reps, durable(own, "sets")).groupBy(*groups).applyInArrow(_block_links(limit, percent), "a long, b long").distinct()
+    own = bloom.rows_of(texts, ids).join(ids.hint("merge"), "doc_id").withColumnRenamed("doc_id", "rep")
+    links = durable(_dealt(active, labels, reps, total, own).groupBy(*groups).applyInArrow(_block_links(k, limit, percent), "a long, b long").distinct(), "links")
+    forget(active)
+    return links
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, key) of each row, and (key, rep, component) of each class of equal sets."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sketched = durable(texts.mapInArrow(_sketcher(k, bands, rows), _SKETCHED), "sketches")
+    members = sketched.where("key is not null and doc_id is not null")
+    classes = durable(members.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    same = (F.col("key") == F.col("own_key")) & (F.col("doc_id") == F.col("rep"))
+    # Rows that repeat an id and a set are equal here, and meet before they are shuffled.
+    reps = members.dropDuplicates(["key", "doc_id"]).join(classes.withColumnRenamed("key", "own_key").hint("merge"), same, "left_semi")
+    reps = durable(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch"), "reps")
+    total = reps.count() * bands
+    buckets = durable(_buckets(reps, total), "buckets")
+    bits = spark.sparkContext.broadcast(bloom.build(buckets.select("bucket"), buckets.count()))
+    placed = reps.select("rep", "bands").mapInArrow(_placed(bits), "bucket long, rep long")
+    shared = durable(with_hot(placed, buckets, "bucket", total, BLOCK).select("bucket", "rep", "centre", "weight"), "shared")
+    forget(buckets)
+    votes = shared.where("rep <> centre").groupBy("rep", "centre").agg(F.sum("weight").alias("n"))
+    best = votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("best"))
+    first = _star_links(texts, best.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b")), k, percent)
+    labels = connected_components(first)
+    limit = sketch_limit(percent / 100, bands * rows)
+    rest = _cross_component_links(shared.select("bucket", "rep"), texts, reps, labels, total, k, limit, percent)
+    forget(reps), forget(shared)
+    if not rest.isEmpty():
+        labels = connected_components(first.union(rest))
+    forget(first), forget(rest)
+    named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component_id"))
+    return sketched.select("doc_id", "n_shingles", "key"), named
 
 
 def near_duplicates(
@@ -240,45 +310,52 @@ def near_duplicates(
     Null and empty texts, and those of white space only, have no shingles and
     link with nothing.  Rows with a null id are never linked and have a null
     component; ``kept`` is true.  Rows that repeat an id count as one
-    document.  Very long texts are taken whole.  Columns other than the id and
-    text, whatever their names, are not read.  No rows give no rows.
+    document, which is linked where any of its texts is.  Very long texts are
+    taken whole.  Columns other than the id and text, whatever their names,
+    are not read.  No rows give no rows.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = durable(texts.mapInArrow(_sketcher(k, bands, rows), _SKETCHED), "sketches")
-    members = sketched.where("key is not null and doc_id is not null")
-    classes = durable(members.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = members.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["doc_id"])
-    reps = durable(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch", "digest"), "reps")
-    placed = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    buckets = placed.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    shared = durable(placed.join(buckets.select("bucket", "centre"), "bucket"), "shared")
-    votes = shared.where("rep <> centre").groupBy("rep", "centre").agg(F.count("*").alias("n"))
-    best = votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("best"))
-    stars = durable(best.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b")), "stars")
-    first = durable(_confirmed(texts, stars, k, percent), "links")
-    labels = connected_components(first)
-    limit = sketch_limit(percent / 100, bands * rows)
-    rest = durable(_cross_component_links(shared.select("bucket", "band", "rep"), texts, reps, labels, k, limit, percent), "links")
-    if not rest.isEmpty():
-        labels = connected_components(first.union(rest))
-    named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    found = sketched.select("doc_id", "n_shingles", "key").join(named, "key", "left")
+    found, named = _classes(docs, id_col, text_col, k, percent, bands, rows)
+    found = found.join(named.select("key", "component_id"), "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _keyed(k: int, at: int):
+    """Rows of a struct and a text to the struct and the key of the text's set."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_set_key(np.unique(shingles(w, k))) for w in hash_texts(batch.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["row", "key"])
+
+    return keyed
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` of which each group of near duplicates keeps its smallest id.
 
-    Columns stay as they are.  Rows with a null id stay.  Of rows that repeat
-    an id, the least row by all sortable columns stays.
+    Columns stay as they are, and rows with a null id stay.  Rows that repeat
+    an id with one set of shingles are one document, of which the least row by
+    all columns that can be sorted stays.  An id with several sets can't name
+    one document: of its rows one for each set stays, so that no text is lost.
     """
-    found = durable(near_duplicates(docs, id_col=id_col, text_col=text_col, k=k, percent=percent).where("doc_id is not null").select("doc_id", "kept"), "kept")
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+    spark = docs.sparkSession
+    found, named = _classes(docs, id_col, text_col, k, percent, BANDS, ROWS)
+    rows = found.where("doc_id is not null").join(named.select("key", "component_id"), "key", "left")
+    sets = F.xxhash64(F.coalesce("key", F.lit(b"")))
+    by_id = rows.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("times"), F.min(sets).alias("low"), F.max(sets).alias("high"))
+    by_id = durable(by_id.select("doc_id", (F.col("component") < F.col("doc_id")).alias("copy"), F.col("times") > 1, F.col("low") < F.col("high")).toDF("doc_id", "copy", "twice", "several"), "ids")
+    gone = by_id.where("copy and not several").select(F.col("doc_id").alias("__own_id"))
+    own = F.col(f"`{id_col}`").cast("long") == F.col("__own_id")
+    left = docs.join(gone, own, "left_anti")
+    twice = by_id.where("twice and (several or not coalesce(copy, false))").select(F.col("doc_id").alias("__own_id"))
+    if twice.isEmpty():
         return left
-    named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(left.where(F.col(id_col).isNull()))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    again = left.join(twice, own, "left_semi").select(row, F.col(f"`{text_col}`").alias("text"))
+    kind = again.schema["row"].dataType.simpleString()
+    keyed = again.mapInArrow(_keyed(k, 1), f"row {kind}, key binary")
+    order = F.struct(*[F.col(f"row.`{f.name}`") for f in docs.schema if f.dataType.simpleString().split("<")[0] not in ("map", "variant")])
+    least = keyed.groupBy(F.col(f"row.`{id_col}`").alias("__own_id"), "key").agg(F.min_by("row", order).alias("row"))
+    one = least.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return left.join(twice, own, "left_anti").unionByName(one)

@@ -58,10 +58,10 @@ def test_components(spark):
 
 
 def test_bloom_loses_nothing(spark):
-    table = bloom.build(spark.range(0, 5000, 7))
+    table = bloom.build(spark.range(0, 5000, 7), 715)
     mask = bloom.may_hold(table, np.arange(5000))
     assert mask[::7].all() and mask.mean() < 0.2
-    assert not bloom.may_hold(bloom.build(spark.range(0)), np.arange(10)).any()
+    assert not bloom.may_hold(bloom.build(spark.range(0), 0), np.arange(10)).any()
 
 
 # ---- 1 -------------------------------------------------------------------------
