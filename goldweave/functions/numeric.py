@@ -16,6 +16,23 @@ def parse_float(value: Column) -> Column:
     return F.regexp_extract(value.cast("string"), r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
 
 
+def is_number_like(value: Column) -> Column:
+    return parse_float(value).isNotNull()
+
+
+def safe_float(value: Column, default: float = 0.0) -> Column:
+    """The number that the text is, else ``default``; NaN counts as none."""
+    x = value.cast("string").try_cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.lit(default)).otherwise(x)
+
+
+def clean_price(text: Column) -> Column:
+    """A positive number without trailing zeros of its cents, else an empty text; on text without quotes."""
+    x = F.trim(text).try_cast("double")
+    plain = F.format_string("%.2f", x)
+    return F.when(x > 0, F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))).otherwise(F.lit(""))
+
+
 def digits_only(value: Column) -> Column:
     return F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"\D", "")
 

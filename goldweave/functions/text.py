@@ -30,15 +30,12 @@ MANUFACTURER_ALIASES = {
     "adobe systems incorporated": "adobe",
 }
 # Words that say little about a product.
-STOPWORDS = (
-    "a an and bundle cd complete download dvd edition for in mac new of package pack pc software the to version win windows with"
-).split()
-
-# Character references in plain use; the ampersand comes last, so that each is decoded once.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-# Full-width ASCII forms and the wide space are what NFKC changes most often.
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　 "
-_NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + "  "
+STOPWORDS = [
+    "a", "an", "and", "bundle", "cd", "complete", "download", "dvd", "edition", "for", "in", "mac", "new", "of",
+    "package", "pack", "pc", "software", "the", "to", "version", "win", "windows", "with",
+]
+# What marks the side of a column in tables of pairs.
+SIDE_PREFIXES = ["table1.", "table2.", "ltable_", "rtable_", "left_", "right_"]
 
 
 @F.pandas_udf(StringType())
@@ -47,24 +44,54 @@ def _full_forms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: None if x is None else html.unescape(unicodedata.normalize("NFKC", x)))
 
 
-def normalize_text(value: Column, *, full_unicode: bool = False) -> Column:
+def normalize_text(value: Column, *, ascii_only: bool = False) -> Column:
     """Lower-case words joined by single spaces; null is empty.
 
-    Order: character forms, entities, tags, case, punctuation, white space.
-    The plain form stays in the JVM: it maps full-width characters and the
-    plain entities.  ``full_unicode`` applies NFKC and HTML 5 in Arrow batches.
+    Order: character forms (NFKC), HTML 5 references, tags, case, punctuation,
+    white space.  Texts with characters beyond ASCII or an ampersand, which
+    alone the first two change, go through Python in Arrow batches; all others
+    stay in the JVM.  ``ascii_only`` leaves that step out.
     """
     x = F.coalesce(value.cast("string"), F.lit(""))
-    if full_unicode:
-        x = _full_forms(x)
-    else:
-        x = F.translate(x, _WIDE, _NARROW)
-        for entity, char in ENTITIES.items():
-            x = F.replace(x, F.lit(entity), F.lit(char))
+    if not ascii_only:
+        x = F.coalesce(_full_forms(F.when(x.rlike("[^\\x00-\\x7F]|&"), x)), x)
     x = F.regexp_replace(F.lower(F.regexp_replace(x, "<[^>]+>", " ")), r"\p{Punct}", " ")
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
+def clean_scalar(value: Column) -> Column:
+    """The text with single spaces; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"(?U)\s+", " "))
+
+
+def folded(value: Column) -> Column:
+    """``clean_scalar`` in lower case, for comparisons of titles."""
+    return F.lower(clean_scalar(value))
+
+
+def clean_quotes(value: Column) -> Column:
+    """Without the matching quotes around the whole text, however many layers, and with doubled quotes as one."""
+    x = F.trim(F.coalesce(value.cast("string"), F.lit("")))
+    # Layers of quotes at the start meet the same layers in reverse order at the end.
+    heads = F.regexp_extract(x, r"^((?:[\"']\s*)*)", 1)
+    ends = F.reverse(F.regexp_extract(x, r"((?:\s*[\"'])*)$", 1))
+    marks = lambda c: F.split(F.regexp_replace(c, r"\s", ""), "")
+    same = F.zip_with(marks(heads), marks(ends), lambda p, q: F.coalesce((p == q) & (p != ""), F.lit(False)))
+    odd = F.array_position(F.transform(same, lambda t: t.cast("int")), 0)
+    paired = F.when(odd == 0, F.size(same)).otherwise(odd - 1)
+    layers = F.least(paired, F.floor(F.length(F.regexp_replace(x, r"\s", "")) / 2)).cast("int")
+    inner = F.aggregate(
+        F.when(layers > 0, F.sequence(F.lit(1), layers)).otherwise(F.array().cast("array<int>")), x, lambda t, _: F.trim(t.substr(F.lit(2), F.length(t) - 2))
+    )
+    return F.trim(F.replace(inner, F.lit('""'), F.lit('"')))
+
+
+def field_name(name: str) -> str:
+    """A column's name without the mark of its side."""
+    text = name.strip()
+    return next((text[len(p) :] for p in SIDE_PREFIXES if text.lower().startswith(p)), text)
+
+
 def _alias(norm: Column, table: dict[str, str]) -> Column:
     pairs = [F.lit(x) for pair in table.items() for x in pair]
     return F.create_map(*pairs)[norm]

@@ -109,3 +109,108 @@ def fallback_groups(uncovered: DataFrame) -> DataFrame:
     key = F.when(safe_key(norm), norm).otherwise(F.concat(F.lit("#"), F.col("node_id")))
     out = uncovered.groupBy("cluster_id", key.alias("key")).agg(F.array_sort(F.collect_set("node_id")).alias("members"))
     return out.withColumn("merged", F.size("members") > 1)
+
+
+# Keys under which an answer may hold its result, in this order.
+RESULT_KEYS = ["result", "text", "answer", "records", "choices", "items"]
+
+
+def normalized_payload(payload: dict) -> dict:
+    """A commit request with its result under ``llm_result`` and defaults for what is missing."""
+    out = dict(payload)
+    if "llm_result" not in out:
+        out["llm_result"] = next((out[k] for k in RESULT_KEYS if k in out), None)
+    return {"offset": 0, "limit": 50, "source": "llm", "reason": "", **{k: v for k, v in out.items() if v is not None}}
+
+
+def result_object(answer: object) -> dict:
+    """The object with clusters or records that an answer holds, however it is wrapped."""
+    value = answer if isinstance(answer, dict) else loads_tolerant(answer if isinstance(answer, str) else json.dumps(answer))
+    for _ in range(5):
+        if "clusters" in value or any(isinstance(value.get(k), list) for k in ("records", "choices", "items", "entities")):
+            return value
+        inner = next((value[k] for k in ("llm_result", *RESULT_KEYS, "data", "outputs") if isinstance(value.get(k), (dict, str))), None)
+        if inner is None:
+            return value
+        value = inner if isinstance(inner, dict) else loads_tolerant(inner)
+    return value
+
+
+def uncovered_members(expected: DataFrame, given: DataFrame) -> DataFrame:
+    """Members of ``expected(cluster_id, member)`` that no merging entity of ``given`` names."""
+    merged = given.where(is_merge(F.col("decision"))).select("cluster_id", "member").distinct()
+    return expected.select("cluster_id", "member").distinct().join(merged, ["cluster_id", "member"], "left_anti")
+
+
+def joined_results(records: DataFrame, results: DataFrame) -> DataFrame:
+    """Entities of decided clusters with their members' records: cluster_id, entity_pos, title, confidence, reason, members.
+
+    ``records`` has cluster_id, node_id, source_table, source_id, title,
+    manufacturer, price and max_confidence; members that no record has, and
+    clusters that are not asked for, are left out.  ``foreign_title`` warns of
+    a title that none of the members has.
+    """
+    wanted = results.where(is_merge(F.col("decision"))).select("cluster_id", "entity_pos", "canonical_title", "confidence", "reason", F.col("member").alias("node_id"))
+    both = records.join(wanted, ["cluster_id", "node_id"])
+    member = F.struct("source_table", "source_id", "title", "manufacturer", "price")
+    out = both.groupBy("cluster_id", "entity_pos").agg(
+        F.first("canonical_title").alias("title"), F.coalesce(F.max("confidence"), F.max("max_confidence"), F.lit(0.9)).alias("confidence"), F.max("reason").alias("reason"),
+        F.array_sort(F.collect_set(member)).alias("members"),
+    )
+    same = F.exists("members", lambda m: m["title"] == F.col("title"))
+    return out.withColumn("foreign_title", ~F.coalesce(same, F.lit(False)))
+
+
+def local_pairs(pairs: DataFrame) -> DataFrame:
+    """Answers without a model: of each pair the longer raw title, the left one on a tie; clusters are left open."""
+    l, r = F.coalesce("l_title", F.lit("")), F.coalesce("r_title", F.lit(""))  # noqa: E741
+    return pairs.withColumns({"chosen_title": F.when(F.length(l) >= F.length(r), l).otherwise(r), "confidence": F.coalesce("confidence", F.lit(0.9))})
+
+
+def knowledge_query(titles: list[str]) -> str:
+    """What a reviewer looks up: the titles at hand, at most 1000 characters of them."""
+    return "titles, brand aliases, makers, earlier matches: " + " | ".join(t for t in titles if t)[:1000]
+
+
+def file_resolver(spark, path: str):
+    """A resolver that takes its answers from JSON lines with cluster_id and answer."""
+
+    def resolve(members: DataFrame) -> DataFrame:
+        answers = spark.read.schema("cluster_id string, answer string").json(path)
+        return answers.join(members.select("cluster_id").distinct(), "cluster_id", "left_semi")
+
+    return resolve
+
+
+class BatchState:
+    """Retries, stop and commits of a run's batches, as one small document on the driver."""
+
+    MOST = 3
+
+    def __init__(self, document: dict | None = None) -> None:
+        self.document = {"retries": {}, "commits": [], "stopped": None, **(document or {})}
+
+    @staticmethod
+    def key(offset: int, limit: int) -> str:
+        return f"{offset}:{limit}"
+
+    def committed(self, offset: int, limit: int) -> dict | None:
+        return next((c for c in self.document["commits"] if (c["offset"], c["limit"]) == (offset, limit)), None)
+
+    def failed(self, offset: int, limit: int, reason: str) -> str:
+        """Counts a failure of the batch; the third one in a row stops the run."""
+        n = self.document["retries"].get(self.key(offset, limit), 0) + 1
+        self.document["retries"][self.key(offset, limit)] = n
+        if n >= self.MOST:
+            self.document["stopped"] = f"the batch failed {n} times: {reason}"
+            return "invalid_llm_output_stopped"
+        return "retry_required"
+
+    def done(self, offset: int, limit: int, count: int, next_offset: int, status: str) -> None:
+        self.document["retries"].pop(self.key(offset, limit), None)
+        self.document["commits"].append({"offset": offset, "limit": limit, "committed_count": count, "next_offset": next_offset, "status": status})
+
+
+def loop_state(reply: dict) -> tuple[int, bool, int]:
+    """(next offset, whether more batches wait, committed entities) of a commit's reply."""
+    return int(reply.get("next_offset") or 0), str(reply.get("has_more")).lower() == "true", int(reply.get("committed_count") or 0)

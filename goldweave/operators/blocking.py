@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldweave.functions.text import jaccard
@@ -29,21 +29,32 @@ def token_pairs(left: DataFrame, right: DataFrame, *, cap: int | None = None) ->
     return l.join(r, "token").select("l_id", "r_id").distinct()
 
 
-def posting_cap(rows: int) -> int:
-    return max(POSTING_FLOOR, int(rows * POSTING_RATIO))
+def posting_cap(rows: int, most: int | None = None) -> int:
+    """The rule for the cap, a share of the right rows; ``most`` bounds it where tables are large."""
+    cap = max(POSTING_FLOOR, int(rows * POSTING_RATIO))
+    return cap if most is None else min(cap, most)
 
 
-def block_canonical(left: DataFrame, right: DataFrame, *, rough: float = ROUGH) -> DataFrame:
-    """Pairs by title token, by maker, or with both titles empty, whose maker is the same or whose titles overlap."""
+def block_canonical(left: DataFrame, right: DataFrame, *, rough: float = ROUGH, makers: int | None = None) -> DataFrame:
+    """Pairs by title token, by maker, or with both titles empty, whose maker is the same or whose titles overlap.
+
+    A maker of more than ``makers`` right rows, where that is given, brings no
+    pairs of its own: only title tokens do, and then the overlap counts.
+    """
     l_maker = left.where("manufacturer_norm <> ''").select(F.col("id").alias("l_id"), "manufacturer_norm")
     r_maker = right.where("manufacturer_norm <> ''").select(F.col("id").alias("r_id"), "manufacturer_norm")
+    if makers is not None:
+        few = r_maker.groupBy("manufacturer_norm").agg(F.count("*").alias("n")).where(F.col("n") <= makers).select("manufacturer_norm")
+        r_maker = r_maker.join(few, "manufacturer_norm", "left_semi")
     blank = lambda df, name: df.where("title_norm = ''").select(F.col("id").alias(name), "title_norm")
     pairs = token_pairs(left, right)
     pairs = pairs.union(l_maker.join(r_maker, "manufacturer_norm").select("l_id", "r_id"))
     pairs = pairs.union(blank(left, "l_id").join(blank(right, "r_id"), "title_norm").select("l_id", "r_id")).distinct()
-    scored = with_sides(pairs, left, right)
-    same = (F.col("l_maker") != "") & (F.col("l_maker") == F.col("r_maker"))
-    return scored.withColumn("rough_score", jaccard(F.col("l_tokens"), F.col("r_tokens"))).where(same | (F.col("rough_score") >= rough))
+    slim = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("tokens").alias(f"{p}_t"), F.col("manufacturer_norm").alias(f"{p}_m"))
+    scored = pairs.join(slim(left, "l"), "l_id").join(slim(right, "r"), "r_id")
+    same = (F.col("l_m") != "") & (F.col("l_m") == F.col("r_m"))
+    kept = scored.withColumn("rough_score", jaccard(F.col("l_t"), F.col("r_t"))).where(same | (F.col("rough_score") >= rough))
+    return with_sides(kept.select("l_id", "r_id", "rough_score"), left, right)
 
 
 def with_sides(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -58,19 +69,41 @@ def with_sides(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame
     return pairs.join(side(left, "l"), "l_id").join(side(right, "r"), "r_id")
 
 
-def block_schema(left: DataFrame, right: DataFrame, *, cap: int, rough: float = ROUGH, top_k: int = TOP_K) -> DataFrame:
-    """Pairs by capped tokens with overlap of ``rough`` or more; the ``top_k`` best per left row, ties by right id.
+def rough_score(l_parts: Column, r_parts: Column, weights: list[float]) -> Column:
+    """Weighted overlap of the columns' tokens; columns that are empty on both sides don't count."""
+    total, used = F.lit(0.0), F.lit(0.0)
+    for i, w in enumerate(weights):
+        if w > 0:
+            l, r = F.get(l_parts, i), F.get(r_parts, i)  # noqa: E741
+            some = (F.size(l) > 0) | (F.size(r) > 0)
+            total = total + F.when(some, F.lit(w) * jaccard(l, r)).otherwise(0.0)
+            used = used + F.when(some, F.lit(w)).otherwise(0.0)
+    return F.when(used > 0, total / used).otherwise(0.0)
+
+
+def block_schema(left: DataFrame, right: DataFrame, *, cap: int, weights: list[float] | None = None, rough: float = ROUGH, top_k: int = TOP_K) -> DataFrame:
+    """Pairs by capped blocking tokens with a rough score of ``rough`` or more; the ``top_k`` best per left row, ties by right id.
 
-    Rows without tokens overlap only with each other, and wholly: of the right
-    ones the first ``top_k`` are enough for every left one.
+    ``parts`` holds the tokens of each column and ``weights`` their weights;
+    without weights the blocking tokens are the only column.  A left row to
+    which the tokens bring no candidate is compared with the right rows that
+    have no blocking token at all.  Such a pair can only score by a token of
+    another column, so these meet by those tokens.  Pairs are scored on
+    tokens alone, and only the best fetch their records.
     """
+    parts = "parts"
+    if weights is None:
+        weights = [1.0]
+        left, right = (df.withColumn(parts, F.array("tokens")) for df in (left, right))
     pairs = token_pairs(left, right, cap=cap)
-    bare = right.where(F.size("tokens") == 0).select(F.col("id").alias("r_id")).orderBy("r_id").limit(top_k)
-    first = bare.agg(F.collect_list("r_id").alias("ids"))
-    empty = left.where(F.size("tokens") == 0).select(F.col("id").alias("l_id")).crossJoin(F.broadcast(first))  # one row of top_k ids
-    pairs = pairs.union(empty.select("l_id", F.explode("ids").alias("r_id")))
-    scored = with_sides(pairs, left, right).withColumn("rough_score", jaccard(F.col("l_tokens"), F.col("r_tokens"))).where(F.col("rough_score") >= rough)
-    return top_per_left(scored, top_k)
+    bare = right.where(F.size("tokens") == 0).select("id", F.array_distinct(F.flatten(parts)).alias("tokens"))
+    alone = left.join(pairs.select(F.col("l_id").alias("id")).distinct(), "id", "left_anti").select("id", F.array_distinct(F.flatten(parts)).alias("tokens"))
+    if len(weights) > 1:
+        pairs = pairs.union(token_pairs(alone, bare))
+    slim = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col(parts).alias(f"{p}_parts"))
+    scored = pairs.join(slim(left, "l"), "l_id").join(slim(right, "r"), "r_id")
+    scored = scored.select("l_id", "r_id", rough_score(F.col("l_parts"), F.col("r_parts"), weights).alias("rough_score")).where(F.col("rough_score") >= rough)
+    return with_sides(top_per_left(scored, top_k), left, right)
 
 
 def top_per_left(scored: DataFrame, top_k: int = TOP_K) -> DataFrame:

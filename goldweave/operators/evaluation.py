@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from goldweave.functions.text import folded
+
 
 def precision_recall(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     p = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
@@ -68,3 +70,112 @@ def cluster_exact(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 def candidate_recall(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     found = truth.join(candidates.select("l_id", "r_id").distinct().withColumn("hit", F.lit(1)), ["l_id", "r_id"], "left")
     return found.agg(F.count("hit").alias("found"), F.count("*").alias("total"), F.round(F.count("hit") / F.greatest(F.count("*"), F.lit(1)), 6).alias("recall"))
+
+
+def accuracy(labeled: DataFrame, score: str, threshold: float) -> DataFrame:
+    """The measures of ``prf`` with the share of right verdicts and the number of positive ones."""
+    hit, pos = F.col(score) >= threshold, F.col("label") == 1
+    more = labeled.agg(F.round(F.avg((hit == pos).cast("double")), 6).alias("accuracy"), F.count_if(hit).alias("predicted_positive"))
+    return prf(labeled, score, threshold).crossJoin(more)  # single rows
+
+
+def labeled_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Labeled pairs of ids with both rows; pairs of which a side is missing are left out."""
+    side = lambda df, p: df.select(*[F.col(f"`{c}`").alias(f"{p}_{c}") for c in df.columns])
+    return pairs.join(side(left, "l"), "l_id").join(side(right, "r"), "r_id")
+
+
+def clusters_of(links: DataFrame) -> DataFrame:
+    """(entity_id, members) of links(entity_id, ref): all references of an entity as one sorted text, singletons as well."""
+    return links.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_set("ref")), "|").alias("members"))
+
+
+def cross_pairs(links: DataFrame) -> DataFrame:
+    """Distinct (l_id, r_id) of references to table1 and table2 within each entity."""
+    of = lambda t, n: links.where(F.startswith("ref", F.lit(f"{t}:"))).select("entity_id", F.expr(f"substring(ref, {len(t) + 2})").alias(n)).distinct()
+    return of("table1", "l_id").join(of("table2", "r_id"), "entity_id").select("l_id", "r_id").distinct()
+
+
+def _share(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, F.round(part / whole, 6)).otherwise(0.0)
+
+
+def eval_report(predicted: DataFrame, truth: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row: clusters, coverage of both sources, exact clusters, pair measures and titles of predicted links against a reference.
+
+    ``predicted`` has entity_id and ref, ``truth`` also title, ``entities``
+    entity_id and canonical_title.
+    """
+    p, t = clusters_of(predicted), clusters_of(truth)
+    titles = truth.groupBy("entity_id").agg(F.min("title").alias("title"))
+    p = p.join(entities.select("entity_id", "canonical_title"), "entity_id", "left").groupBy("members").agg(F.min("canonical_title").alias("p_title"))
+    t = t.join(titles, "entity_id", "left").groupBy("members").agg(F.min("title").alias("t_title"))
+    both = p.withColumn("p", F.lit(1)).join(t.withColumn("t", F.lit(1)), "members", "full")
+    x, y = folded(F.col("p_title")), folded(F.col("t_title"))
+    hit = F.col("p").isNotNull() & F.col("t").isNotNull()
+    out = both.agg(
+        F.count("t").alias("reference_clusters"), F.count("p").alias("predicted_clusters"), F.count_if(hit).alias("exact_clusters"),
+        F.count_if(hit & ((x != "") | (y != ""))).alias("titles_compared"), F.count_if(hit & ((x != "") | (y != "")) & (x == y)).alias("titles_equal"),
+    )
+    refs = predicted.select("ref").distinct().withColumn("p", F.lit(1)).join(truth.select("ref").distinct().withColumn("t", F.lit(1)), "ref", "full")
+    for name, table in (("a", "table1"), ("b", "table2")):
+        own = F.startswith("ref", F.lit(f"{table}:"))
+        seen = refs.where(own).agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias(f"{name}_covered"), F.count_if(F.col("p").isNull()).alias(f"{name}_missing"), F.count_if(F.col("t").isNull()).alias(f"{name}_extra"))
+        out = out.crossJoin(seen)  # single rows
+    pairs = cross_pairs(predicted).withColumn("p", F.lit(1)).join(cross_pairs(truth).withColumn("t", F.lit(1)), ["l_id", "r_id"], "full")
+    out = out.crossJoin(pairs.agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn")))
+    c = F.col
+    return out.withColumns(
+        {
+            "cluster_precision": _share(c("exact_clusters"), c("predicted_clusters")), "cluster_recall": _share(c("exact_clusters"), c("reference_clusters")),
+            "a_recall": _share(c("a_covered"), c("a_covered") + c("a_missing")), "b_recall": _share(c("b_covered"), c("b_covered") + c("b_missing")),
+            "title_rate": _share(c("titles_equal"), c("titles_compared")), **precision_recall(c("tp"), c("fp"), c("fn")),
+        }
+    )
+
+
+def mismatches(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """(side, members) of clusters that only one of the two has, the missing ones first."""
+    p, t = clusters_of(predicted).select("members").distinct(), clusters_of(truth).select("members").distinct()
+    one = lambda a, b, name: a.join(b, "members", "left_anti").select(F.lit(name).alias("side"), "members")
+    return one(t, p, "missing_reference_cluster").unionByName(one(p, t, "extra_predicted_cluster")).orderBy(F.desc("side"), "members")
+
+
+def weight_grid(names: list[str], step: int = 5) -> list[tuple[float, ...]]:
+    """All weights of the names in steps of ``step`` percent that sum to one."""
+    units = 100 // step
+
+    def rest(n: int, left: int) -> list[tuple[int, ...]]:
+        return [(left,)] if n == 1 else [(k, *x) for k in range(left + 1) for x in rest(n - 1, left - k)]
+
+    return [tuple(k * step / 100 for k in x) for x in rest(len(names), units)]
+
+
+def tune_weights(labeled: DataFrame, names: list[str], *, step: int = 5, thresholds: list[float] | None = None) -> DataFrame:
+    """The weights and the threshold of the best F1, one row.
+
+    Each row is counted once for each weighting in the bin of its mixed score
+    between two thresholds; the counts of bins, at most weightings x
+    thresholds x 2 rows, then give every threshold's measures.
+    """
+    thresholds = thresholds or [k / 100 for k in range(5, 96)]
+    grid = weight_grid(names, step)
+    weights = F.array(*[F.struct(F.lit(i).alias("g"), F.array(*[F.lit(w) for w in ws]).alias("w")) for i, ws in enumerate(grid)])
+    steps = F.array(*[F.lit(t) for t in thresholds])
+    each = labeled.select((F.col("label") == 1).alias("pos"), *names, F.explode(weights).alias("__x"))
+    mixed = F.lit(0.0)
+    for i, n in enumerate(names):
+        mixed = mixed + F.get("__x.w", i) * F.col(n)
+    at = F.size(F.filter(steps, lambda t: mixed >= t))
+    counts = each.groupBy("__x.g", at.alias("upto")).agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("n"))
+    # A row whose score reaches the first k thresholds counts for each of them.
+    w = Window.partitionBy("g").orderBy(F.desc("upto")).rangeBetween(Window.unboundedPreceding, 0)
+    ladder = labeled.sparkSession.createDataFrame([(g, k + 1) for g in range(len(grid)) for k in range(len(thresholds))], "g int, upto int").withColumns({"p": F.lit(0).cast("long"), "n": F.lit(0).cast("long")})
+    summed = counts.select("g", F.col("upto").cast("int").alias("upto"), "p", "n").unionByName(ladder).groupBy("g", "upto").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    all_p = F.sum("p").over(Window.partitionBy("g"))
+    scored = summed.select("g", "upto", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), all_p.alias("all")).where("upto > 0")
+    f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("all"))).otherwise(0.0)
+    best = scored.withColumn("f1", f1).agg(F.max(F.struct("f1", (-F.col("g")).alias("g"), (-F.col("upto")).alias("k"))).alias("b"))
+    table = F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in grid])
+    row = best.select(F.round("b.f1", 6).alias("f1"), F.get(steps, -F.col("b.k") - 1).alias("threshold"), F.get(table, -F.col("b.g")).alias("w"))
+    return row.select(*[F.get("w", i).alias(f"w_{n}") for i, n in enumerate(names)], "threshold", "f1")

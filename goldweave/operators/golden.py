@@ -118,6 +118,17 @@ def safe_alias_groups(entities: DataFrame, aliases: DataFrame, *, spread: float
     return g.where((F.size("members") > 1) & (F.col("makers") <= 1) & near).select("normalized_title", "keep", "members")
 
 
+_MERGED = ("entity_id", "canonical_title", "manufacturer", "price", "confidence")
+
+
+def merge_decisions(remap: DataFrame, run_id: str, reason: str) -> DataFrame:
+    """A decision row for each entity that went into another."""
+    return remap.select(
+        F.lit(run_id).alias("run_id"), F.lit("").alias("cluster_id"), F.concat(F.lit("entity:"), F.col("keep").cast("string")).alias("left_id"),
+        F.concat(F.lit("entity:"), F.col("entity_id").cast("string")).alias("right_id"), F.lit("same_entity").alias("decision"), F.lit(1.0).alias("confidence"), F.lit(reason).alias("reason"),
+    )
+
+
 def merge_entities(entities: DataFrame, aliases: DataFrame, links: DataFrame, remap: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables after each ``entity_id`` of ``remap`` has gone into its ``keep``.
 
@@ -128,8 +139,8 @@ def merge_entities(entities: DataFrame, aliases: DataFrame, links: DataFrame, re
     size = F.length(normalize_text(F.col("canonical_title")))
     first = lambda c: F.min_by(c, F.when(present(F.col(c)).isNotNull(), F.col("entity_id")))
     merged = moved.groupBy(F.col("to").alias("entity_id")).agg(
-        F.max_by("canonical_title", F.struct(size, -F.col("entity_id"))).alias("canonical_title"), first("manufacturer").alias("manufacturer"), first("price").alias("price"),
-        F.max("confidence").alias("confidence"), F.min_by("status", "entity_id").alias("status"),
+        F.min_by("canonical_title", F.struct(-size, "entity_id")).alias("canonical_title"), first("manufacturer").alias("manufacturer"), first("price").alias("price"),
+        F.max("confidence").alias("confidence"), *[F.min_by(c, "entity_id").alias(c) for c in entities.columns if c not in _MERGED],
     )
 
     def follow(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,41 +149,62 @@ def merge_entities(entities: DataFrame, aliases: DataFrame, links: DataFrame, re
     return merged, follow(aliases, ["entity_id", "normalized_title", "source_table", "source_id"]), follow(links, ["source_table", "source_id"])
 
 
-def merge_duplicate_aliases(entities: DataFrame, aliases: DataFrame, links: DataFrame, *, rounds: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Merge safe alias groups until none is left; a round takes groups that share no entity, in title order."""
-    for _ in range(rounds):
-        groups = safe_alias_groups(entities, aliases)
-        each = groups.select("normalized_title", "keep", F.explode("members").alias("entity_id"))
-        first = F.min("normalized_title").over(Window.partitionBy("entity_id"))
-        clean = each.withColumn("own", first == F.col("normalized_title")).groupBy("normalized_title").agg(F.min("own").alias("all_own")).where("all_own")
-        remap = each.join(clean.select("normalized_title"), "normalized_title", "left_semi").where("entity_id <> keep").select("entity_id", "keep")
+def alias_remap(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(entity_id, keep) of safe alias groups that share no entity with a group of a smaller title."""
+    groups = safe_alias_groups(entities, aliases)
+    each = groups.select("normalized_title", "keep", F.explode("members").alias("entity_id"))
+    first = F.min("normalized_title").over(Window.partitionBy("entity_id"))
+    clean = each.withColumn("own", first == F.col("normalized_title")).groupBy("normalized_title").agg(F.min("own").alias("all_own")).where("all_own")
+    return each.join(clean.select("normalized_title"), "normalized_title", "left_semi").where("entity_id <> keep").select("entity_id", "keep")
+
+
+def merge_duplicate_aliases(entities: DataFrame, aliases: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Merge safe alias groups until none is left; a round takes groups that share no entity, in title order.
+
+    The group of the smallest title is always among them, so each round merges
+    some and the rounds end.
+    """
+    from goldweave.operators.graph import settled
+
+    while True:
+        remap = settled(alias_remap(entities, aliases))
         if remap.isEmpty():
-            break
-        entities, aliases, links = merge_entities(entities, aliases, links, remap)
-    return entities, aliases, links
+            return entities, aliases, links
+        entities, aliases, links = (settled(t) for t in merge_entities(entities, aliases, links, remap))
+
 
+def entity_quality(entities: DataFrame, golden: DataFrame, links: DataFrame, aliases: DataFrame, decisions: DataFrame, *, expected_a: int | None = None, expected_b: int | None = None) -> DataFrame:
+    """One row of counts, coverage and ``valid``.
 
-def entity_quality(entities: DataFrame, golden: DataFrame, links: DataFrame, aliases: DataFrame, decisions: DataFrame) -> DataFrame:
-    """One row of counts, coverage and ``valid``."""
+    Expected counts of source rows, where they are known, must equal the
+    links; repeated titles and aliases and uncertain decisions are told but
+    don't make the master invalid.
+    """
     twice = lambda df, *keys: df.groupBy(*keys).count().where("count > 1").agg(F.count("*"))
     one = entities.agg(F.count("*").alias("entities"))
+    of = lambda t: F.count_if(F.col("source_table") == t)
     parts = [
         golden.agg(F.count("*").alias("golden_records"), F.count_if(F.col("entity_id").isNull()).alias("null_golden_entity_ids")),
         twice(golden.where("entity_id is not null"), "entity_id").toDF("duplicate_golden_entity_ids"),
         twice(links, "source_table", "source_id").toDF("duplicate_source_links"),
-        aliases.groupBy("normalized_title").agg(F.count_distinct("entity_id").alias("n")).where("n > 1").agg(F.count("*").alias("duplicate_aliases")),
-        twice(entities.select(F.lower(F.trim("canonical_title")).alias("t")), "t").toDF("duplicate_titles"),
+        aliases.where("normalized_title <> ''").groupBy("normalized_title").agg(F.count_distinct("entity_id").alias("n")).where("n > 1").agg(F.count("*").alias("duplicate_aliases")),
+        twice(entities.select(F.lower(F.trim("canonical_title")).alias("t")).where("t <> ''"), "t").toDF("duplicate_titles"),
         decisions.agg(F.count_if(F.col("decision") == "uncertain").alias("uncertain_decisions")),
-        links.agg(F.count_if(F.col("source_table") == "table1").alias("links_a"), F.count_if(F.col("source_table") == "table2").alias("links_b")),
+        links.agg(of("table1").alias("links_a"), of("table2").alias("links_b"), of("incoming").alias("links_incoming")),
     ]
     for p in parts:
         one = one.crossJoin(p)  # single rows
+    covered = lambda c, n: F.lit(True) if n is None else F.col(c) == n
+    one = one.withColumns({"coverage_a": covered("links_a", expected_a), "coverage_b": covered("links_b", expected_b)})
     ok = (F.col("entities") == F.col("golden_records")) & (F.col("duplicate_golden_entity_ids") == 0) & (F.col("null_golden_entity_ids") == 0) & (F.col("duplicate_source_links") == 0)
-    return one.withColumn("valid", ok)
+    return one.withColumn("valid", ok & F.col("coverage_a") & F.col("coverage_b"))
 
 
 def search(records: DataFrame, query: str, fields: list[str], *, limit: int = 10) -> DataFrame:
-    """Records by the best rule over their fields: exact, prefix, contained, initials, characters."""
+    """Records by the best rule over their fields: exact, prefix, contained, initials, characters.
+
+    A field may be an array of texts, such as the aliases.
+    """
     from goldweave.functions.text import compact, initials
 
     q = "".join(ch for ch in query.lower() if ch.isascii() and ch.isalnum() or "一" <= ch <= "鿿")
@@ -182,9 +214,11 @@ def search(records: DataFrame, query: str, fields: list[str], *, limit: int = 10
         c, i = compact(f), initials(f)
         every = F.forall(chars, lambda x: F.contains(c, x))
         return (
-            F.when(c == q, 1.0).when(F.startswith(c, F.lit(q)), 0.94).when(F.contains(c, F.lit(q)), 0.86)
+            F.when(c == "", None).when(c == q, 1.0).when(F.startswith(c, F.lit(q)), 0.94).when(F.contains(c, F.lit(q)), 0.86)
             .when(F.startswith(i, F.lit(q)), 0.78).when(F.contains(i, F.lit(q)), 0.70).when(every, 0.48)
         )
 
-    best = F.array_max(F.array(*[score(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields]))
+    kinds = dict(records.dtypes)
+    texts = [F.col(f) if kinds[f].startswith("array") else F.array(F.col(f).cast("string")) for f in fields]
+    best = F.array_max(F.transform(F.concat(*texts), lambda x: score(F.coalesce(x, F.lit("")))))
     return records.withColumn("score", best).where(F.col("score").isNotNull() & F.lit(bool(q))).orderBy(F.desc("score"), F.desc("confidence"), "entity_id").limit(min(max(limit, 1), 100))

@@ -41,6 +41,14 @@ def retained(scored: DataFrame, merged: DataFrame, floor: float = FLOOR) -> Data
     return out.join(merged.select("l_id"), "l_id", "left_anti").join(merged.select("r_id"), "r_id", "left_anti")
 
 
+def low_pairs(scored: DataFrame, used: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """Pairs below the floor of which no end is in a cluster; ``used`` has l_id and r_id, of which one may be null."""
+    out = scored.where(F.col("confidence") < floor)
+    for side in ("l_id", "r_id"):
+        out = out.join(used.where(F.col(side).isNotNull()).select(side).distinct(), side, "left_anti")
+    return out
+
+
 def components(pairs: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """(side, id, component) of the bipartite graph of ``pairs``; the component is its smallest node name.
 
@@ -94,7 +102,22 @@ def routed(found: DataFrame, *, auto: float = AUTO, floor: float = FLOOR) -> Dat
     return found.withColumn("routing_decision", route)
 
 
+def rank_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the place of each row in the rising order of the columns, from 1.
+
+    Rows are sorted in range partitions; only one count per partition meets in
+    one task.
+    """
+    keys = [c.alias(f"__k{i}") for i, c in enumerate(order)]
+    own = settled(df.select("*", *keys).repartitionByRange(*[F.col(f"__k{i}") for i in range(len(keys))]).withColumn("__p", F.spark_partition_id()))
+    sums = own.groupBy("__p").agg(F.count("*").alias("__s"))
+    before = sums.select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("__p").orderBy(*[F.col(f"__k{i}") for i in range(len(keys))]))
+    out = own.withColumn("__r", inner).join(F.broadcast(before), "__p")  # one row per partition
+    return out.withColumn(name, (F.col("__before") + F.col("__r")).cast("long")).drop("__p", "__r", "__before", *[f"__k{i}" for i in range(len(keys))])
+
+
 def numbered(found: DataFrame) -> DataFrame:
-    """Clusters in the order of their best confidence, from 1; clusters are few against pairs."""
-    w = Window.orderBy(F.desc("max_confidence"), "component")
-    return found.withColumn("cluster_seq", F.row_number().over(w))
+    """Clusters in the order of their best confidence, from 1."""
+    out = rank_rows(found.withColumn("__c", -F.col("max_confidence")), [F.col("__c"), F.col("component")], "cluster_seq")
+    return out.drop("__c").withColumn("cluster_seq", F.col("cluster_seq").cast("int"))

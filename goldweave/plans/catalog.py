@@ -2,8 +2,10 @@
 
 Documents play both sources: even ids are the left table and odd ids the right
 one; title is the first 80 characters, manufacturer the source, price the
-number of characters.  Labels play the labeled pairs, parts the products,
-customers and suppliers the entities and their links.
+number of characters.  Titles are the column that the queries on ``records``
+compare, so those read the first line of a text and not the whole of it.
+Labels play the labeled pairs, parts the products, customers and suppliers the
+entities and their links.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ from pyspark.sql import functions as F
 
 from goldweave.functions import numeric as N
 from goldweave.functions import text as T
-from goldweave.operators import adjudicate, blocking, evaluation, features, golden, graph, prepare, scoring
+from goldweave.operators import adjudicate, blocking, cards, evaluation, features, golden, graph, prepare, scoring
 from goldweave.plans import profile
+from goldweave.streaming.incremental import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,11 +66,10 @@ BLOCKED = f"""WITH {RECORDS},
 cap AS (SELECT greatest(25, CAST(floor(count(*) * 0.08) AS BIGINT)) AS c FROM b),
 lt AS (SELECT id, unnest(k) AS x FROM a), rt AS (SELECT id, unnest(k) AS x FROM b),
 rare AS (SELECT x FROM rt GROUP BY x HAVING count(*) <= (SELECT c FROM cap)),
-hits AS (SELECT DISTINCT lt.id AS l_id, rt.id AS r_id FROM lt JOIN rt ON lt.x = rt.x WHERE lt.x IN (SELECT x FROM rare)),
-cand AS (SELECT * FROM hits UNION ALL SELECT a.id, b.id FROM a, b WHERE len(b.k) = 0 AND a.id NOT IN (SELECT l_id FROM hits)),
+cand AS (SELECT DISTINCT lt.id AS l_id, rt.id AS r_id FROM lt JOIN rt ON lt.x = rt.x WHERE lt.x IN (SELECT x FROM rare)),
 rough AS (SELECT l_id, r_id, {jac("a.k", "b.k")} AS s, a.t AS lt, b.t AS rt, a.m AS lm, b.m AS rm, a.p AS lp, b.p AS rp FROM cand JOIN a ON l_id = a.id JOIN b ON r_id = b.id),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY s DESC, r_id) AS rk FROM rough WHERE s >= 0.18) WHERE rk <= 40)"""
-CONFLICT = "(lm <> '' AND rm <> '' AND lm <> rm AND false) OR abs(lp - rp) / greatest(lp, rp, 1.0) > 0.35"
+CONFLICT = "(lm <> '' AND rm <> '' AND lm <> rm) OR abs(lp - rp) / greatest(lp, rp, 1.0) > 0.35"
 SCORED = f"{BLOCKED}, sc AS (SELECT l_id, r_id, round(s, 9) AS c, coalesce({CONFLICT}, false) AS x FROM top)"
 MARGINS = f"""{SCORED}, mg AS (SELECT *,
   row_number() OVER (PARTITION BY l_id ORDER BY c DESC, r_id) AS l_rank, c - coalesce(lead(c) OVER (PARTITION BY l_id ORDER BY c DESC, r_id), -1.0) AS l_margin,
@@ -114,7 +116,7 @@ def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conflict = graph.field_conflict(F.lit(""), F.lit(""), F.col("l_price"), F.col("r_price"))
+    conflict = graph.field_conflict(F.col("l_maker"), F.col("r_maker"), F.col("l_price"), F.col("r_price"))
     return graph.settled(blocked(spark, sf_dir).select("l_id", "r_id", F.round("rough_score", 9).alias("confidence"), conflict.alias("conflict")))
 
 
@@ -521,7 +523,14 @@ def entity_quality(spark, sf_dir):
     return out.select("entities", "golden_records", "duplicate_source_links", "duplicate_aliases", "duplicate_titles", "links_a", "valid")
 
 
-@query("WITH f AS (SELECT p_partkey AS entity_id, lower(regexp_replace(p_name, '[^0-9a-zA-Z]', '', 'g')) AS c FROM part) SELECT entity_id, CASE WHEN c = 'redwidget' THEN 1.0 ELSE 0.94 END AS score FROM f WHERE starts_with(c, 'redwidget') ORDER BY score DESC, entity_id LIMIT 25")
+@query(
+    """WITH f AS (SELECT p_partkey AS entity_id, lower(regexp_replace(p_name, '[^0-9a-zA-Z]', '', 'g')) AS c,
+  list_aggregate(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^0-9a-z]+'), lambda w: w <> ''), lambda w: substr(w, 1, 1)), 'string_agg', '') AS i FROM part),
+s AS (SELECT entity_id, CASE WHEN c = '' THEN NULL WHEN c = 'redwidget' THEN 1.0 WHEN starts_with(c, 'redwidget') THEN 0.94 WHEN contains(c, 'redwidget') THEN 0.86
+  WHEN starts_with(i, 'redwidget') THEN 0.78 WHEN contains(i, 'redwidget') THEN 0.70
+  WHEN contains(c, 'r') AND contains(c, 'e') AND contains(c, 'd') AND contains(c, 'w') AND contains(c, 'i') AND contains(c, 'g') AND contains(c, 't') THEN 0.48 END AS score FROM f)
+SELECT entity_id, CAST(score AS DOUBLE) AS score FROM s WHERE score IS NOT NULL ORDER BY score DESC, entity_id LIMIT 25"""
+)
 def search(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("title"), F.lit(1.0).alias("confidence"))
     return golden.search(p, "Red Widget", ["title"], limit=25).select("entity_id", "score")
@@ -542,7 +551,7 @@ def llm_validate(spark, sf_dir):
     return adjudicate.validate_members(e, e.where("(cluster_id + member) % 7 <> 0").union(extra)).select("cluster_id", "missing", "unexpected", "valid")
 
 
-@query("WITH b AS (SELECT DISTINCT conv_id AS cluster_id FROM conversations), c AS (SELECT cluster_id FROM b WHERE cluster_id % 37 <> 36) SELECT cluster_id FROM b WHERE cluster_id < (SELECT min(cluster_id) FROM b WHERE cluster_id NOT IN (SELECT cluster_id FROM c))")
+@query("WITH b AS (SELECT DISTINCT conv_id AS cluster_id FROM conversations), c AS (SELECT cluster_id FROM b WHERE cluster_id % 37 <> 36) SELECT cluster_id FROM b WHERE cluster_id < (SELECT coalesce(min(cluster_id), (SELECT max(cluster_id) + 1 FROM b)) FROM b WHERE cluster_id NOT IN (SELECT cluster_id FROM c))")
 def llm_prefix(spark, sf_dir):
     b = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("cluster_id")).distinct().withColumn("seq", F.col("cluster_id"))
     return adjudicate.covered_prefix(b, b.where("cluster_id % 37 <> 36")).select("cluster_id")
@@ -655,18 +664,13 @@ def fuse_scores(spark, sf_dir):
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def incremental_batch(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    out = arrivals(e.withColumn("ts", F.col("ts").cast("timestamp")), time="ts", by="event_type")
+    return out.select(F.col("window.start").alias("day"), "event_type", "n")
 
 
 @query(None)
 def stratified(spark, sf_dir):
-    return table(spark, sf_dir, "labels").sampleBy("quality", {0: 0.5, 1: 0.2}, seed=42)
-
-
-@query(None)
-def dataset_cards(spark, sf_dir):
-    out = profile.column_profile(table(spark, sf_dir, "part"))
-    return out.select("name", "filled", "distinct", "numeric_ratio", "avg_length")
+    return cards.stratified(table(spark, sf_dir, "labels"), "quality", {0: 0.5, 1: 0.2})
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

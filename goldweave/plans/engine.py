@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldweave.functions.text import normalize_text
-from goldweave.operators import adjudicate, blocking, features, golden, graph, prepare, scoring
+from goldweave.operators import adjudicate, blocking, commit, evaluation, features, golden, graph, prepare, review, scoring
 from goldweave.plans import profile as schema
-from goldweave.sources.tables import Store, read_header
+from goldweave.sources.tables import Store, latest_run, master_scan, read_header
 
 
 class SchemaMismatch(ValueError):
@@ -26,18 +28,72 @@ class Run:
     profile: schema.SchemaProfile | None
     auto: DataFrame
     pending: DataFrame
+    low: dict = field(default_factory=dict)
 
 
 Resolver = Callable[[DataFrame], DataFrame]
-LINK = "entity_id string, source_table string, source_id string, title string, manufacturer string, price double"
+#: Columns of the master tables; all are written as new versions.
+SCHEMAS = {
+    "entities": "entity_id string, canonical_title string, manufacturer string, price double, status string, selected_source_table string, confidence double",
+    "golden": "entity_id string, title string, manufacturer string, price double, selected_source_table string, source_payload string, source string, confidence double",
+    "links": "entity_id string, source_table string, source_id string, title string, manufacturer string, price double",
+    "aliases": "entity_id string, alias_title string, normalized_title string, source_table string, source_id string",
+    "decisions": "run_id string, cluster_id string, left_id string, right_id string, decision string, confidence double, reason string, model_scores string",
+    "log": "operation string, payload string",
+    "waiting": "run_id string, cluster_id string, cluster_seq int, node_id string, source_table string, source_id string, title string, manufacturer string, price string, max_confidence double",
+    "runs": "run_id string, payload string, updated_at double",
+    "tasks": "task_id string, position long, status string, confidence double, l_id string, r_id string, l_title string, r_title string, l_maker string, r_maker string, l_price string, r_price string",
+}
+MASTER_SPECS = [("title", "title"), ("manufacturer", "manufacturer"), ("price", "price")]
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.store = spark, Store(spark, root)
+    """Master tables below ``root``.  ``most_postings`` bounds the pairs of one token where tables are large."""
+
+    def __init__(self, spark: SparkSession, root: str, *, most_postings: int | None = None) -> None:
+        self.spark, self.store, self.most_postings = spark, Store(spark, root), most_postings
+
+    # ---- tables ------------------------------------------------------------------
+
+    def table(self, name: str) -> DataFrame:
+        found = self.store.read(name)
+        return self.spark.createDataFrame([], SCHEMAS[name]) if found is None else found
 
     def status(self) -> dict:
-        return {name: self.store.version(name) for name in ("entities", "links", "aliases", "golden", "decisions", "clusters")}
+        return {name: self.store.version(name) for name in SCHEMAS}
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        self.store.write(name, self.table(name).unionByName(rows, allowMissingColumns=True).select(*self.table(name).columns))
+
+    def _log(self, operation: str, payload: dict) -> None:
+        self._append("log", self.spark.createDataFrame([(operation, json.dumps(payload))], SCHEMAS["log"]))
+
+    def _write(self, candidates: DataFrame, run_id: str, specs: list[tuple[str, str]] | None = None) -> None:
+        """Candidates to master rows; all six tables are computed before the first is replaced."""
+        names = ("entities", "golden", "links", "aliases", "decisions", "log")
+        done = commit.commit({n: self.table(n) for n in names}, graph.settled(candidates), specs=specs, run_id=run_id)
+        ready = {n: graph.settled(df.select(*self.table(n).columns)) for n, df in done.items()}
+        for n, df in ready.items():
+            self.store.write(n, df)
+
+    # ---- runs --------------------------------------------------------------------
+
+    def _save_run(self, run_id: str, payload: dict) -> None:
+        self._append("runs", self.spark.createDataFrame([(run_id, json.dumps(payload), time.time())], SCHEMAS["runs"]))
+
+    def run_document(self, run_id: object = None) -> dict:
+        """The last state of a run by its id, a payload or JSON text that names it, or of the latest run."""
+        if isinstance(run_id, str) and run_id.lstrip().startswith("{"):
+            run_id = json.loads(run_id)
+        if isinstance(run_id, dict):
+            run_id = run_id.get("match_run_id") or run_id.get("run_id")
+        runs = self.table("runs") if run_id is None else self.table("runs").where(F.col("run_id") == str(run_id))
+        found = latest_run(runs).first()
+        if found is None:
+            raise KeyError(f"no run {run_id}")
+        return {"run_id": found["run_id"], **json.loads(found["payload"])}
+
+    # ---- schema ------------------------------------------------------------------
 
     def validate(self, a: DataFrame, b: DataFrame | None = None) -> dict:
         if b is None:
@@ -49,24 +105,32 @@ class Engine:
     def analyze_schema(self, a: DataFrame, b: DataFrame, override: dict | None = None) -> schema.SchemaProfile:
         return schema.analyze(prepare.rename_aliases(a), prepare.rename_aliases(b), override)
 
-    def strict_schema(self, a: object, b: object) -> bool:
-        return schema.strict_match(read_header(self.spark, a), read_header(self.spark, b))
+    def strict_schema(self, a: object, b: object) -> schema.SchemaProfile | None:
+        """The plan of two files with one header, else nothing."""
+        one, two = read_header(self.spark, a), read_header(self.spark, b)
+        return schema.header_plan(one) if one and schema.strict_match(one, two) else None
+
+    # ---- matching ----------------------------------------------------------------
 
     def resolve(self, a: DataFrame, b: DataFrame, *, override: dict | None = None, names: tuple[str, str] = ("table1", "table2")) -> Run:
         """Initial load: profile, candidates, scores, routes, and master tables."""
         a, b = prepare.rename_aliases(a), prepare.rename_aliases(b)
         found = schema.analyze(a, b, override)
-        if not found.related:
-            raise SchemaMismatch(found.reason)
-        left, right = schema.apply_profile(a, found, "a").persist(), schema.apply_profile(b, found, "b").persist()
-        cap = blocking.posting_cap(right.count())
-        pairs = blocking.block_schema(left, right, cap=cap)
+        reason = None if found.related else found.reason
+        if reason := reason or schema.incompatible(a, b, found):
+            raise SchemaMismatch(reason)
+        left, right = (graph.settled(schema.apply_profile(x, found, side)) for x, side in ((a, "a"), (b, "b")))
+        pairs = blocking.block_schema(left, right, cap=blocking.posting_cap(right.count(), self.most_postings), weights=schema.part_weights(found))
         extra = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), *[F.col(f"m_{i}").alias(f"{p}_m_{i}") for i in range(len(found.column_mapping))])
-        pairs = pairs.join(extra(left, "l"), "l_id").join(extra(right, "r"), "r_id")
-        scored = pairs.withColumn("confidence", schema.schema_confidence(found))
+        scored = self.schema_scores(pairs.join(extra(left, "l"), "l_id").join(extra(right, "r"), "r_id"), found)
         strict = found.entity_type in ("product", "unknown", "")
-        conflict = graph.field_conflict(F.col("l_maker"), F.col("r_maker"), F.col("l_price"), F.col("r_price")) if strict else F.lit(False)
-        return self._plan(scored.withColumn("conflict", conflict), left, right, names, found)
+        return self._plan(scored.withColumn("conflict", _conflict() if strict else F.lit(False)), left, right, names, found)
+
+    def schema_scores(self, pairs: DataFrame, found: schema.SchemaProfile) -> DataFrame:
+        """All score columns of the schema regime: the weighted similarity stands for each, its rank for the fusion."""
+        out = graph.settled(schema.schema_features(pairs, found))
+        out = scoring.rank_pct(out, "schema_weighted_similarity", "rank_fusion_score")
+        return out.withColumns({c: F.col("schema_weighted_similarity") for c in ("gbt_score", "mlp_score", "lexical_score", "confidence")})
 
     def resolve_incremental(self, incoming: DataFrame, *, models: tuple | None = None, name: str = "incoming") -> Run:
         """Rows that arrive later against the master, by the thirteen features."""
@@ -74,161 +138,298 @@ class Engine:
         if errors := prepare.missing_columns(ready):
             raise SchemaMismatch("; ".join(errors))
         right = prepare.with_tokens(prepare.preprocess(ready))
-        links = self.store.read("links")
-        if links is not None:  # rows that are linked already arrive twice without effect
-            known = links.where(F.col("source_table") == name).select(F.col("source_id").alias("id"))
-            right = right.join(known, "id", "left_anti")
-        entities = self.store.read("entities")
-        if entities is None:
+        # Rows that are linked already arrive twice without effect.
+        known = self.table("links").where(F.col("source_table") == name).select(F.col("source_id").alias("id"))
+        right = right.join(known, "id", "left_anti")
+        if self.store.read("entities") is None:
             raise SchemaMismatch("there is no master to match against")
-        master = entities.select(F.concat(F.lit("entity:"), "entity_id").alias("id"), F.col("canonical_title").alias("title"), "manufacturer", F.col("price").cast("string").alias("price"))
-        left, right = prepare.with_tokens(prepare.preprocess(master)).persist(), right.persist()
-        pairs = blocking.block_canonical(left, right)
+        master = master_scan(self.table("entities"), self.table("golden"))
+        left, right = graph.settled(prepare.with_tokens(prepare.preprocess(master))), graph.settled(right)
+        pairs = blocking.block_canonical(left, right, makers=self.most_postings)
         built = features.FeatureBuilder().fit(left.unionByName(right))
         scored = built.transform(pairs, left, right)
         for model, c in zip(models or (None, None), ("gbt_score", "mlp_score"), strict=True):
             scored = scoring.probability(model, scored, c) if model is not None else scored.withColumn(c, F.lit(None).cast("double"))
-        scored = scoring.fused_scores(scored)
-        conflict = graph.field_conflict(F.col("l_maker"), F.col("r_maker"), F.col("l_price"), F.col("r_price"))
-        return self._plan(scored.withColumn("conflict", conflict), left, right, ("master", name), None)
+        return self._plan(scoring.fused_scores(scored).withColumn("conflict", _conflict()), left, right, ("master", name), None)
 
     def _plan(self, scored: DataFrame, left: DataFrame, right: DataFrame, names: tuple[str, str], found: schema.SchemaProfile | None) -> Run:
         scored = graph.settled(scored)
         mutual = graph.settled(graph.mutual_best(scored).select("l_id", "r_id", "confidence"))
         rest = graph.retained(scored, mutual)
-        labels = graph.components(rest)
-        routed = graph.settled(graph.numbered(graph.routed(graph.clusters(rest, labels))))
+        routed = graph.settled(graph.numbered(graph.routed(graph.clusters(rest, graph.components(rest)))))
         single = routed.where("routing_decision = 'auto_merge'").select(F.col("l_ids")[0].alias("l_id"), F.col("r_ids")[0].alias("r_id"), F.col("max_confidence").alias("confidence"))
-        auto, pending = mutual.unionByName(single), routed.where("routing_decision = 'llm_cluster'")
-        run = Run(uuid.uuid4().hex, "llm_required" if not pending.isEmpty() else "completed", found, auto, pending)
-        self._commit(run, left, right, names)
+        auto, pending = graph.settled(mutual.unionByName(single)), routed.where("routing_decision = 'llm_cluster'")
+        used = auto.select("l_id", "r_id").unionByName(pending.select(F.explode("l_ids").alias("l_id"), F.lit(None).alias("r_id"))).unionByName(pending.select(F.lit(None).alias("l_id"), F.explode("r_ids").alias("r_id")))
+        low = graph.low_pairs(scored, used).agg(F.count("*").alias("count"), F.max("confidence").alias("best")).first().asDict()
+        run = Run(uuid.uuid4().hex, "llm_required" if not pending.isEmpty() else "completed", found, auto, pending, low)
+        expected = {} if names[0] == "master" else {"expected_a": left.count(), "expected_b": right.count()}
+        document = {"status": run.status, "profile": found.as_dict() if found else None, "clusters": pending.count(), "low": low, "names": names, **expected}
+        self._save_run(run.run_id, document)
+        self._commit(run, scored, left, right, names)
         return run
 
-    def _members(self, left: DataFrame, right: DataFrame, names: tuple[str, str]) -> DataFrame:
-        cols = lambda df, n: df.select(F.lit(n).alias("source_table"), F.col("id").alias("source_id"), "title", F.nullif("manufacturer", F.lit("")).alias("manufacturer"), F.col("price_norm").alias("price"))
-        return cols(left, names[0]).unionByName(cols(right, names[1]))
-
-    def _commit(self, run: Run, left: DataFrame, right: DataFrame, names: tuple[str, str]) -> None:
+    def _commit(self, run: Run, scored: DataFrame, left: DataFrame, right: DataFrame, names: tuple[str, str]) -> None:
         """Merged pairs and unmatched rows become entities; rows of pending clusters wait for their decision."""
-        ref = lambda n, c: F.concat(F.lit(f"{n}:"), F.col(c))
-        if names[0] == "master":
-            target = F.expr("substring(l_id, 8)")  # entity:<id>
-        else:
-            target = F.sha2(ref(names[0], "l_id"), 256)
-        merged = run.auto.select(target.alias("entity_id"), ref(names[0], "l_id").alias("l_ref"), ref(names[1], "r_id").alias("r_ref"), "confidence")
-        owner = merged.select(F.explode(F.array("l_ref", "r_ref")).alias("ref"), "entity_id")
-        waiting = run.pending.select(F.explode(F.concat(F.transform("l_ids", lambda x: F.concat(F.lit(f"{names[0]}:"), x)), F.transform("r_ids", lambda x: F.concat(F.lit(f"{names[1]}:"), x)))).alias("ref")).distinct()
-        rows = self._members(left, right, names).withColumn("ref", F.concat_ws(":", "source_table", "source_id"))
-        if names[0] == "master":
-            rows = rows.where(F.col("source_table") != "master")
-        placed = rows.join(waiting, "ref", "left_anti").join(owner, "ref", "left").withColumn("entity_id", F.coalesce("entity_id", F.sha2("ref", 256)))
-        self._add_members(placed, "auto")
-        held = rows.join(waiting, "ref", "left_semi").withColumn("run_id", F.lit(run.run_id))
+        whole = scored.join(run.auto.select("l_id", "r_id"), ["l_id", "r_id"], "left_semi")
+        merged = whole.select(
+            F.concat(F.lit("pair:"), "l_id", F.lit("|"), "r_id").alias("cand_id"), golden.pair_title(F.col("l_title"), F.col("r_title")).alias("title"), F.lit("auto").alias("source"), "confidence",
+            F.lit("clear best pair").alias("reason"), F.lit(None).cast("string").alias("entity_id"), _as_members(names, "l", "r").alias("members"), _side("l").alias("table1"),
+            (_side("r") if names[0] != "master" else F.lit(None).cast(commit.SIDE)).alias("table2"), F.lit(None).cast("map<string,string>").alias("attributes"),
+            F.struct("gbt_score", "mlp_score", "lexical_score", "rank_fusion_score", "confidence").cast(commit.SCORES).alias("scores"),
+        )
+        if names[0] != "master":
+            merged = merged.withColumns({"table1": F.col("table1"), "members": F.lit(None).cast(f"array<{commit.MEMBER}>")})
+        pending = run.pending.select(F.col("component").alias("cluster_id"), "cluster_seq", "max_confidence", "l_ids", "r_ids")
+        waiting = [pending.select("cluster_id", "cluster_seq", "max_confidence", F.lit(side).alias("side"), F.explode(f"{side}_ids").alias("id")) for side in ("l", "r")]
+        waiting = graph.settled(waiting[0].unionByName(waiting[1]))
+        rows = _rows(left, names[0], "l").unionByName(_rows(right, names[1], "r"))
+        taken = run.auto.select(F.lit("l").alias("side"), F.col("l_id").alias("id")).union(run.auto.select(F.lit("r"), "r_id"))
+        alone = rows.where(F.col("source_table") != "master").join(taken.union(waiting.select("side", "id")), ["side", "id"], "left_anti")
+        self._write(merged.unionByName(self._single(alone, "auto", "no partner")), run.run_id)
+        held = rows.join(waiting, ["side", "id"]).select(
+            F.lit(run.run_id).alias("run_id"), "cluster_id", "cluster_seq", F.concat_ws(":", "source_table", F.regexp_replace("source_id", "^entity:", "")).alias("node_id"),
+            "source_table", F.regexp_replace("source_id", "^entity:", "").alias("source_id"), "title", "manufacturer", "price", "max_confidence",
+        )
         self._append("waiting", held)
-        self._append("clusters", run.pending.withColumn("run_id", F.lit(run.run_id)))
-        self._append("decisions", merged.select(F.lit(run.run_id).alias("run_id"), "l_ref", "r_ref", F.lit("same_entity").alias("decision"), "confidence"))
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        old = self.store.read(name)
-        self.store.write(name, rows if old is None else old.unionByName(rows, allowMissingColumns=True))
+    def _single(self, rows: DataFrame, source: str, reason: str) -> DataFrame:
+        """Candidates of one row each."""
+        member = F.struct("source_table", "source_id", "title", "manufacturer", F.col("price").cast("string").alias("price"))
+        made = rows.select(
+            F.concat_ws(":", "source_table", "source_id").alias("cand_id"), F.col("title").alias("title"), F.lit(source).alias("source"), F.lit(1.0).alias("confidence"), F.lit(reason).alias("reason"),
+            F.array(member).alias("members"), F.lit(None).cast(commit.SCORES).alias("scores"),
+        )
+        return commit.candidates_from_members(made).withColumns({"table1": F.lit(None).cast(commit.SIDE), "table2": F.lit(None).cast(commit.SIDE)})
 
-    def _add_members(self, placed: DataFrame, source: str) -> None:
-        """Links, aliases, entities and golden rows of ``placed`` (LINK columns)."""
-        placed = graph.settled(placed.select(*[x.split()[0] for x in LINK.split(", ")]))
-        links, aliases, entities = (self.store.read(x) for x in ("links", "aliases", "entities"))
-        keys = ["source_table", "source_id"]
-        fresh = placed.dropDuplicates(keys)
-        if links is not None:
-            fresh = fresh.join(links.select(*keys), keys, "left_anti")
-        fresh = graph.settled(fresh)
-        alias = fresh.select("entity_id", F.col("title").alias("alias_title"), normalize_text(F.col("title")).alias("normalized_title"), *keys)
-        self.store.write("links", fresh if links is None else links.unionByName(fresh))
-        self.store.write("aliases", alias.dropDuplicates(["entity_id", "normalized_title", *keys]) if aliases is None else golden.insert_missing(aliases, alias, ["entity_id", "normalized_title", *keys]))
-        mine = self.store.read("links").join(fresh.select("entity_id").distinct(), "entity_id", "left_semi")
-        size = F.length(normalize_text(F.col("title")))
-        first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*keys)))
-        made = mine.groupBy("entity_id").agg(
-            F.coalesce(golden.present(F.max_by("title", F.struct(size, "source_table"))), F.lit("untitled")).alias("canonical_title"), first("manufacturer").alias("manufacturer"),
-            first("price").alias("price"), F.min_by("source_table", F.struct(*keys)).alias("selected_source_table"),
-        ).withColumns({"status": golden.status_for(F.lit(source)), "confidence": F.lit(1.0)})
-        self.store.write("entities", made if entities is None else golden.upsert(entities, made, ["entity_id"]))
-        self.rebuild()
+    # ---- decisions ---------------------------------------------------------------
+
+    def expected_members(self, run_id: str, offset: int = 0, limit: int | None = None) -> DataFrame:
+        """(cluster_id, member) of a run's waiting clusters, in the batch of their numbers."""
+        found = self.table("waiting").where(F.col("run_id") == run_id)
+        if limit is not None:
+            found = found.where((F.col("cluster_seq") > offset) & (F.col("cluster_seq") <= offset + limit))
+        return found.select("cluster_id", "cluster_seq", F.col("node_id").alias("member"), "title").distinct()
 
     def cluster_batch(self, run_id: str, offset: int = 0, limit: int = 30) -> DataFrame:
-        return adjudicate.cluster_batch(self.store.read("clusters").where(F.col("run_id") == run_id), offset=offset, limit=limit)
-
-    def commit_decisions(self, run_id: str, answers: DataFrame, column: str = "answer") -> DataFrame:
-        """Commit valid clusters of model answers; the result tells for each cluster what is wrong with it."""
-        given = graph.settled(adjudicate.parsed_results(answers, column))
-        waiting = self.store.read("waiting").where(F.col("run_id") == run_id)
-        expected = graph.settled(self.expected_members(run_id))
-        verdict = graph.settled(adjudicate.validate_members(expected, given.select("cluster_id", "member")))
-        good = given.join(verdict.where("valid").select("cluster_id"), "cluster_id", "left_semi")
-        good = good.withColumn("entity_id", F.when(adjudicate.is_merge(F.col("decision")), F.sha2(F.concat_ws("|", "cluster_id", F.col("entity_pos").cast("string")), 256)).otherwise(F.sha2("member", 256)))
-        self._add_members(good.join(waiting, good.member == waiting.ref).select(good.entity_id, "source_table", "source_id", "title", "manufacturer", "price"), "llm")
-        return verdict
-
-    def expected_members(self, run_id: str) -> DataFrame:
-        found = self.store.read("clusters").where(F.col("run_id") == run_id)
-        refs = self.store.read("waiting").where(F.col("run_id") == run_id).select("ref", "source_table", "source_id")
-        sides = found.select(F.col("component").alias("cluster_id"), F.explode(F.concat("l_ids", "r_ids")).alias("source_id")).distinct()
-        return sides.join(refs, "source_id").select("cluster_id", F.col("ref").alias("member")).distinct()
-
-    def adjudicate(self, run_id: str, resolver: Resolver) -> DataFrame:
-        """All waiting clusters by a resolver from members to answers."""
-        return self.commit_decisions(run_id, resolver(self.expected_members(run_id)))
+        limit, offset = min(max(limit, 1), 100), max(offset, 0)
+        return self.expected_members(run_id, offset, limit)
+
+    def commit_batch(self, run_id: str, answer: object, *, offset: int = 0, limit: int = 50, source: str = "llm") -> dict:
+        """Commit one batch of clusters by a model's answer.
+
+        A stopped run and a batch that is committed already change nothing.
+        Of the batch the clusters from its start that the answer names are
+        taken; each must name all its members once.  Else the batch is to be
+        asked again, and after the third failure the run stops.
+        """
+        document = self.run_document(run_id)
+        state = adjudicate.BatchState(document.get("batches"))
+        total = self.table("waiting").where(F.col("run_id") == run_id).agg(F.count_distinct("cluster_id")).first()[0]
+        reply = lambda status, n=0, at=offset, more=None, message="": {"status": status, "match_run_id": run_id, "committed_count": n, "next_offset": at, "has_more": at < total if more is None else more, "message": message}
+        if state.document["stopped"]:
+            return reply("stopped", more=False, message=state.document["stopped"])
+        if done := state.committed(offset, limit):
+            return reply("already_committed", done["committed_count"], done["next_offset"])
+        text = json.dumps(adjudicate.result_object(answer))
+        given = graph.settled(adjudicate.parsed_results(self.spark.createDataFrame([(text,)], "answer string")))
+        expected = graph.settled(self.expected_members(run_id, offset, limit))
+        batch = expected.select("cluster_id", F.col("cluster_seq").alias("seq")).distinct()
+        prefix = graph.settled(adjudicate.covered_prefix(batch, given.select("cluster_id")))
+        wanted, asked = prefix.count(), batch.count()
+        reason = "" if wanted else "no cluster from the start of the batch is answered"
+        if wanted:
+            own = expected.join(prefix.select("cluster_id"), "cluster_id", "left_semi")
+            bad = adjudicate.validate_members(own.select("cluster_id", "member"), given.select("cluster_id", "member")).where("not valid").orderBy("cluster_id").first()
+            blank = given.join(prefix.select("cluster_id"), "cluster_id", "left_semi").where("coalesce(trim(canonical_title), '') = ''").first()
+            open_ = adjudicate.uncovered_members(own, given).first()
+            reason = f"members of {bad['cluster_id']} are not named once" if bad else f"a title of {blank['cluster_id']} is missing" if blank else f"members of {open_['cluster_id']} are left open" if open_ else ""
+        if reason:
+            status = state.failed(offset, limit, reason)
+            self._save_run(run_id, {**document, "batches": state.document})
+            self._log("commit_batch_retry_required", {"run_id": run_id, "offset": offset, "limit": limit, "reason": reason})
+            return reply(status, more=False if status.endswith("stopped") else None, message=reason)
+        records = self.table("waiting").where(F.col("run_id") == run_id).join(prefix.select("cluster_id"), "cluster_id", "left_semi")
+        made = graph.settled(adjudicate.joined_results(records, given))
+        self._write(self._decided(made, source), run_id, self._specs(document))
+        count, to = made.count(), offset + wanted
+        status = "committed" if wanted == asked else "partial_committed"
+        state.done(offset, limit, count, to, status)
+        self._save_run(run_id, {**document, "batches": state.document})
+        return reply(status, count, to)
+
+    def _decided(self, made: DataFrame, source: str) -> DataFrame:
+        """Candidates of decided entities; a member that is a master row names the entity."""
+        out = commit.candidates_from_members(made.select(
+            F.concat_ws("#", "cluster_id", F.col("entity_pos").cast("string")).alias("cand_id"), "title", F.lit(source).alias("source"), "confidence", "reason",
+            "members", F.lit(None).cast(commit.SCORES).alias("scores"),
+        ))
+        master = F.get(F.filter("members", lambda m: m["source_table"] == "master"), 0)["source_id"]
+        return out.withColumns({"entity_id": master, "members": F.filter("members", lambda m: m["source_table"] != "master")})
+
+    @staticmethod
+    def _specs(document: dict) -> list[tuple[str, str]]:
+        columns = (document.get("profile") or {}).get("master_columns") or []
+        return [(c, c) for c in columns] if columns and set(columns) <= {"title", "manufacturer", "price"} else MASTER_SPECS
+
+    def adjudicate(self, run_id: str, resolver: Resolver, *, limit: int = 30, rounds: int = 100) -> dict:
+        """All waiting clusters, batch by batch, by a resolver from members to answers(answer); failures are collected."""
+        offset, committed, failures = 0, 0, []
+        for _ in range(rounds):
+            members = self.cluster_batch(run_id, offset, limit)
+            if members.isEmpty():
+                break
+            answers = [r["answer"] for r in resolver(members).select("answer").collect()]  # a batch of at most 100 clusters
+            merged = {"clusters": [c for a in answers for c in adjudicate.result_object(a).get("clusters", [])]}
+            reply = self.commit_batch(run_id, merged, offset=offset, limit=limit)
+            to, more, n = adjudicate.loop_state(reply)
+            committed += n
+            if reply["status"] not in ("committed", "partial_committed", "already_committed"):
+                failures.append(reply)
+                if not more:
+                    break
+                continue
+            offset = to
+            if not more:
+                break
+        return {"committed_count": committed, "next_offset": offset, "failures": failures}
+
+    # ---- finalise ----------------------------------------------------------------
 
     def finalize(self, run_id: str) -> DataFrame:
-        """Undecided rows by their titles, then duplicates, then the golden table and its quality."""
-        waiting = self.store.read("waiting")
-        if waiting is not None:
-            keys = ["source_table", "source_id"]
-            left = waiting.where(F.col("run_id") == run_id).join(self.store.read("links").select(*keys), keys, "left_anti")
+        """Undecided rows by their titles, then duplicate titles and aliases, then the golden table and its quality."""
+        keys = ["source_table", "source_id"]
+        left = self.table("waiting").where((F.col("run_id") == run_id) & (F.col("source_table") != "master")).join(self.table("links").select(*keys), keys, "left_anti")
+        left = graph.settled(left.dropDuplicates(keys))
+        if not left.isEmpty():
             norm = normalize_text(F.col("title"))
-            key = F.when(golden.safe_key(norm), F.concat(F.lit("title:"), norm)).otherwise(F.col("ref"))
-            self._add_members(left.withColumn("entity_id", F.sha2(key, 256)), "backend")
-        self.merge_duplicates()
+            own = left.withColumn("key", F.when(golden.safe_key(norm), F.concat(F.lit("title:"), norm)).otherwise(F.col("node_id")))
+            member = F.struct(*keys, "title", "manufacturer", "price")
+            made = own.groupBy("cluster_id", "key").agg(F.array_sort(F.collect_set(member)).alias("members"), F.max("max_confidence").alias("best"))
+            many = F.size("members") > 1
+            made = made.select(
+                F.concat_ws("#", "cluster_id", "key").alias("cand_id"), F.lit(None).cast("string").alias("title"), F.lit("auto").alias("source"), F.when(many, F.col("best")).otherwise(1.0).alias("confidence"),
+                F.when(many, "one safe title").otherwise("left open").alias("reason"), "members", F.lit(None).cast(commit.SCORES).alias("scores"),
+            )
+            self._write(commit.candidates_from_members(made), run_id)
+        self.merge_duplicates(run_id)
         return self.quality()
 
-    def merge_duplicates(self) -> None:
-        entities, aliases, links = (self.store.read(x) for x in ("entities", "aliases", "links"))
+    def merge_duplicates(self, run_id: str = "") -> None:
+        """Merge entities of one safe title, then of one safe alias, and rebuild the golden table."""
+        entities, aliases, links = (self.table(x) for x in ("entities", "aliases", "links"))
+        before = entities.select("entity_id")
         remap = graph.settled(golden.duplicate_titles(entities))
-        rank = entities.select("entity_id")
         if not remap.isEmpty():
-            to = remap.select("entity_id", "keep")
-            follow = lambda df: df.join(to, "entity_id", "left").withColumn("entity_id", F.coalesce("keep", "entity_id")).drop("keep")
-            for name, df, keys in (("aliases", aliases, ["entity_id", "normalized_title", "source_table", "source_id"]), ("links", links, ["source_table", "source_id"])):
-                self.store.write(name, follow(df).dropDuplicates(keys))
-            self.store.write("entities", entities.join(rank.join(to, "entity_id", "left_anti"), "entity_id", "left_semi"))
+            entities, aliases, links = (graph.settled(t) for t in golden.merge_entities(entities, aliases, links, remap))
+        entities, aliases, links = golden.merge_duplicate_aliases(entities, aliases, links)
+        gone = graph.settled(before.join(entities.select("entity_id"), "entity_id", "left_anti"))
+        if not gone.isEmpty():
+            to = self.table("links").select("source_table", "source_id", "entity_id").join(gone, "entity_id").join(links.select("source_table", "source_id", F.col("entity_id").alias("keep")), ["source_table", "source_id"])
+            self._append("decisions", golden.merge_decisions(to.select("entity_id", "keep").distinct(), run_id, "duplicate title or alias"))
+            ready = {n: graph.settled(df.select(*self.table(n).columns)) for n, df in (("entities", entities), ("aliases", aliases), ("links", links))}
+            for n, df in ready.items():
+                self.store.write(n, df)
         self.rebuild()
 
     def repair(self, source: DataFrame, name: str) -> int:
         """Link source rows that no entity holds; the number of them."""
         ready = prepare.preprocess(prepare.rename_aliases(source))
-        links = self.store.read("links").where(F.col("source_table") == name).select(F.col("source_id").alias("id"))
-        lost = ready.join(links, "id", "left_anti")
+        links = self.table("links").where(F.col("source_table") == name).select(F.col("source_id").alias("id"))
+        lost = graph.settled(_rows(ready.join(links, "id", "left_anti"), name, "l"))
         n = lost.count()
         if n:
-            ref = F.concat(F.lit(f"{name}:"), "id")
-            self._add_members(lost.select(F.sha2(ref, 256).alias("entity_id"), F.lit(name).alias("source_table"), F.col("id").alias("source_id"), "title", "manufacturer", F.col("price_norm").alias("price")), "auto")
+            self._write(self._single(lost, "auto", "repaired link"), "")
+            self._log("repair_links", {"source_table": name, "count": n})
         return n
 
+    def backfill(self) -> None:
+        """Lineage labels and states where they are missing."""
+        fixed = commit.backfill(self.table("entities"), self.table("golden"), self.table("aliases"), self.table("links"))
+        ready = [graph.settled(df) for df in fixed]
+        for n, df in zip(("entities", "golden"), ready, strict=True):
+            self.store.write(n, df)
+
     def rebuild(self) -> None:
-        self.store.write("golden", golden.golden_from_entities(self.store.read("entities")))
+        """One golden row for each entity, from the entities alone."""
+        made = golden.golden_from_entities(self.table("entities"))
+        own = self.table("entities").select("entity_id", "selected_source_table")
+        self.store.write("golden", graph.settled(made.join(own, "entity_id").select(*self.table("golden").columns)))
+
+    # ---- reading -----------------------------------------------------------------
 
     def golden(self, **paging) -> DataFrame:
-        return golden.page(golden.golden_read(self.store.read("golden"), self.store.read("aliases"), self.store.read("links")), "entity_id", **paging)
+        return golden.page(golden.golden_read(self.table("golden"), self.table("aliases"), self.table("links")), "entity_id", **paging)
+
+    def master(self, specs: list[tuple[str, str]] | None = None, **paging) -> DataFrame:
+        return golden.page(commit.master_view(self.table("golden"), self.table("entities"), specs or MASTER_SPECS), "id", **paging)
 
     def quality(self) -> DataFrame:
-        decisions = self.store.read("decisions")
-        return golden.entity_quality(self.store.read("entities"), self.store.read("golden"), self.store.read("links"), self.store.read("aliases"), decisions)
+        try:
+            document = self.run_document()
+        except KeyError:
+            document = {}
+        first = self.table("runs").where(F.get_json_object("payload", "$.expected_a").isNotNull()).orderBy(F.desc("updated_at")).select("payload").first()
+        expected = json.loads(first["payload"]) if first else document
+        return golden.entity_quality(
+            self.table("entities"), self.table("golden"), self.table("links"), self.table("aliases"), self.table("decisions"), expected_a=expected.get("expected_a"), expected_b=expected.get("expected_b")
+        )
+
+    def evaluate(self, truth: DataFrame) -> DataFrame:
+        """The report of the links against reference(entity_id, title, ref)."""
+        links = self.table("links").select("entity_id", F.concat_ws(":", "source_table", "source_id").alias("ref"))
+        return evaluation.eval_report(links, truth, self.table("entities"))
 
     def search(self, query: str, limit: int = 10) -> DataFrame:
-        return golden.search(self.store.read("golden"), query, ["title", "manufacturer"], limit=limit)
+        read = golden.golden_read(self.table("golden"), self.table("aliases"), self.table("links"))
+        return golden.search(read, query, ["title", "manufacturer", "selected_source_table", "source", "aliases", "links"], limit=limit)
 
     def dashboard(self) -> dict[str, DataFrame]:
         return {
-            "sources": self.store.read("entities").groupBy("selected_source_table").count(),
-            "decisions": self.store.read("decisions").groupBy("decision").count(),
+            "sources": self.table("entities").groupBy("selected_source_table").count(),
+            "states": self.table("entities").groupBy("status").count(),
+            "decisions": self.table("decisions").groupBy("decision").count(),
+            "runs": latest_run(self.table("runs")),
             "quality": self.quality(),
         }
+
+    # ---- review ------------------------------------------------------------------
+
+    def create_review(self, pairs: DataFrame) -> str | None:
+        """A task of pairs with titles that wait for a person; none if there are no pairs."""
+        if pairs.isEmpty():
+            return None
+        task = uuid.uuid4().hex
+        self._append("tasks", review.review_task(pairs, task))
+        return task
+
+    def review_page(self, task: str, page: int = 1, page_size: int = 50) -> DataFrame:
+        return review.review_page(self.table("tasks").where(F.col("task_id") == task), page, page_size)
+
+    def submit_review(self, task: str, choices: DataFrame) -> int:
+        """Commit the choices(position, choice) of a task; the number of them."""
+        made = graph.settled(review.apply_choices(self.table("tasks").where(F.col("task_id") == task), choices))
+        n = made.count()
+        if n:
+            self._write(made, task)
+        return n
+
+
+def _conflict() -> Column:
+    return graph.field_conflict(F.col("l_maker"), F.col("r_maker"), F.col("l_price"), F.col("r_price"))
+
+
+def _side(p: str) -> Column:
+    return F.struct(F.col(f"{p}_id").cast("string").alias("id"), F.col(f"{p}_title").alias("title"), F.col(f"{p}_maker").alias("manufacturer"), F.col(f"{p}_price").cast("string").alias("price")).cast(commit.SIDE)
+
+
+def _as_members(names: tuple[str, str], *sides: str) -> Column:
+    """The right row as a member of its own source table; the left one is a side."""
+    p = sides[-1]
+    return F.array(F.struct(F.lit(names[1]).alias("source_table"), F.col(f"{p}_id").cast("string").alias("source_id"), F.col(f"{p}_title").alias("title"), F.col(f"{p}_maker").alias("manufacturer"), F.col(f"{p}_price").cast("string").alias("price"))).cast(f"array<{commit.MEMBER}>")
+
+
+def _rows(df: DataFrame, name: str, side: str) -> DataFrame:
+    return df.select(
+        F.lit(side).alias("side"), F.col("id"), F.lit(name).alias("source_table"), F.col("id").alias("source_id"), "title", F.nullif("manufacturer", F.lit("")).alias("manufacturer"),
+        F.col("price_norm").cast("string").alias("price"),
+    )

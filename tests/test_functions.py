@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from goldweave.functions import jsontext as J
 from goldweave.functions import numeric as N
 from goldweave.functions import text as T
 
@@ -17,10 +18,9 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("full", [False, True])
-def test_normalize_text(spark, full):
-    df = spark.createDataFrame(TEXTS, "x string, want string")
-    assert df.where(T.normalize_text(F.col("x"), full_unicode=full) != F.col("want")).count() == 0
+def test_normalize_text(spark):
+    df = spark.createDataFrame([*TEXTS, ("ﬁne … caf&eacute; &copy;", "fine café ©")], "x string, want string")
+    assert df.where(T.normalize_text(F.col("x")) != F.col("want")).count() == 0
 
 
 def test_prices(spark):
@@ -43,5 +43,38 @@ def test_aliases_and_search_forms(spark):
 
 
 def test_no_python_for_plain_text(spark):
-    plan = spark.createDataFrame([("x",)], "x string").select(T.normalize_text(F.col("x")))._jdf.queryExecution().executedPlan().toString()
+    plan = spark.createDataFrame([("x",)], "x string").select(T.normalize_text(F.col("x"), ascii_only=True))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def unquoted(text):
+    """By the rule, one layer after the other."""
+    text = text.strip()
+    while len(text) >= 2 and text[0] == text[-1] and text[0] in "\"'":
+        text = text[1:-1].strip()
+    return text.replace('""', '"').strip()
+
+
+def test_quotes_in_layers(spark):
+    texts = ['"a"', '""a""', "'\"a b\"'", "\"a'", " \" 'x' \" ", '"', '""', "'''", 'a "" b', '"a"b"', '"""', '" "', "x", "", "'\"'", '"a" "b"', None]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert [r[0] for r in df.select(T.clean_quotes(F.col("x"))).collect()] == [unquoted(x or "") for x in texts]
+
+
+def test_prices_and_numbers_of_prepared_tables(spark):
+    df = spark.createDataFrame([("1.50", "1.5"), ("2", "2"), ("-1", ""), ("x", ""), ("1e3", "1000"), ("", "")], "x string, want string")
+    assert df.where(N.clean_price(F.col("x")) != F.col("want")).count() == 0
+    row = spark.createDataFrame([("NaN", "7", "x")], "a string, b string, c string").select(N.safe_float(F.col("a"), 0.5), N.safe_float(F.col("b")), N.is_number_like(F.col("c"))).first()
+    assert tuple(row) == (0.5, 7.0, False)
+
+
+def test_json_texts(spark):
+    df = spark.createDataFrame([('{"title":"T"}', "T"), ('{"chosen_title":"C","title":"T"}', "C"), ('"q"', "q"), ("plain", "plain"), ("{bad", "{bad"), (None, "")], "x string, want string")
+    assert df.where(J.chosen_title(F.col("x")) != F.col("want")).count() == 0
+    one = spark.createDataFrame([('{"a.b":{"c":1}}', "{bad")], "x string, y string").select(J.json_value(F.col("x"), "a.b", "c"), J.json_value(F.col("y"), "c")).first()
+    assert tuple(one) == ("1", None)
+    assert J.mask_url("pg://u:pw@h/db") == "pg://u:***@h/db" and J.quote_identifier("a`b") == "`a``b`"
+
+
+def test_field_names():
+    assert [T.field_name(x) for x in ("table1.Title", "LTABLE_name", " right_id ", "price")] == ["Title", "name", "id", "price"]
