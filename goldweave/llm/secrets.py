@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldweave.llm.spans import SPANS, guarded, in_order
+from goldweave.llm.spans import SPANS, guarded, in_order, let
 
 BASE_KINDS = ["assign", "access", "hex"]
 KINDS = [*BASE_KINDS, "entropy"]
@@ -46,22 +46,23 @@ def highest_entropy(run: Column) -> Column:
     none = F.array_repeat(F.lit(0), len(_BASE64) + 1)
     start = F.struct(none.alias("counts"), F.lit(0.0).alias("s"), F.lit(WINDOW * math.log2(WINDOW)).alias("least"))
 
-    def code(i: Column) -> Column:
-        return F.instr(F.lit(_BASE64), F.substring(run, i, 1))
-
-    def step(acc: Column, i: Column) -> Column:
-        enter = code(i)
-        leave = F.when(i > WINDOW, code(i - WINDOW)).otherwise(F.lit(-1))
+    def step(codes: Column, acc: Column, i: Column) -> Column:
+        enter = F.get(codes, i)
+        leave = F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(-1))
         gained = F.element_at(acc["counts"], enter + 1)
         with_new = acc["s"] + _c_log_c(gained + 1) - _c_log_c(gained)
         lost = F.element_at(acc["counts"], F.greatest(leave, F.lit(0)) + 1) + F.when(leave == enter, F.lit(1)).otherwise(F.lit(0))
         total = F.when(leave >= 0, with_new + _c_log_c(lost - 1) - _c_log_c(lost)).otherwise(with_new)
         counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == enter, F.lit(1)).otherwise(F.lit(0)) - F.when(k == leave, F.lit(1)).otherwise(F.lit(0)))
-        least = F.when(i >= WINDOW, F.least(acc["least"], total)).otherwise(acc["least"])
+        least = F.when(i >= WINDOW - 1, F.least(acc["least"], total)).otherwise(acc["least"])
         return F.struct(counts.alias("counts"), total.alias("s"), least.alias("least"))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.length(run)), start, step, lambda acc: acc["least"])
-    return F.lit(math.log2(WINDOW)) - found / F.lit(float(WINDOW))
+    def folded(codes: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, lambda acc, i: step(codes, acc, i), lambda acc: acc["least"])
+
+    # The run is split into characters once: to take each by its place would walk the run from its start.
+    codes = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.instr(F.lit(_BASE64), c))
+    return F.lit(math.log2(WINDOW)) - let(codes, folded) / F.lit(float(WINDOW))
 
 
 def _secret_like(s: Column) -> Column:
