@@ -52,13 +52,25 @@ def _splits(body: bytes) -> bool:
     return unicodedata.category(last)[0] in "LN"
 
 
+def _short_cuts(tokenizer: object) -> bool:
+    """Whether the tokenizer composes, lower-cases, splits words from other signs and drops white space."""
+    import json
+
+    told = json.loads(tokenizer.to_str())
+    normal = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
+    split = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pattern = split[0].get("pattern", {}).get("Regex", "") if split else ""
+    return normal == ["NFC", "Replace", "Lowercase"] and r"[^\s\p{L}\p{N}]+" in pattern and (told.get("model") or {}).get("end_of_word_suffix") == "</w>"
+
+
 class CachedEncoder:
     """Ids of a text as little-endian uint32 bytes, equal to one call of the tokenizer.
 
     The tokenizer of words drops white space and never joins across it, so a
     text's ids are those of its pieces between ASCII white space, and those of
     a piece without ``<`` are those of its body and of the punctuation after
-    it.  A body of letters up to U+00FF is one word, for which the model alone
+    it where the body ends in a letter or digit.  ``_short_cuts`` tells whether
+    a tokenizer is of this kind; with others each text is encoded whole.  A body of letters up to U+00FF is one word, for which the model alone
     is asked.  Pieces repeat, so their ids are kept in a bounded table.
     """
 
@@ -73,6 +85,7 @@ class CachedEncoder:
         bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelled = {i: bytewise.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x100)}
         closing = re.compile(r".*[.!?]['\")\]]*</w>\Z", re.DOTALL)
+        self.piecewise = _short_cuts(self.tokenizer)
         self.closes = np.zeros(size, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = bool(closing.match(token))
@@ -101,6 +114,8 @@ class CachedEncoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.piecewise:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         get, missing = self.held.get, self._missing
         data = text.encode("utf-8", "replace")
         if b"<" in data:
@@ -112,7 +127,11 @@ class CachedEncoder:
 
 
 def cut_places(tokens: int, sentence_ends: np.ndarray, document_ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted places to cut and the cost of each; a gap wider than the window gets places inside."""
+    """Sorted places to cut and the cost of each.
+
+    Cuts lie at the ends of documents and sentences; a sentence longer than a
+    quarter of the window may also be cut inside, every ``STEP`` tokens.
+    """
     place = np.union1d(sentence_ends, document_ends)
     cost = np.where(np.isin(place, document_ends, assume_unique=True), 0, SENTENCE_COST)
     gaps = np.diff(np.concatenate(([0], place)))
@@ -132,8 +151,7 @@ def plan_cuts(place: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> tupl
     n = len(at)
     exact: dict[int, list[int]] = {}
     for power in (1 << k for k in range(window.bit_length()) if 1 << k <= window):
-        # A short window pays off only at the end of the stream.
-        ends = np.arange(1, n) if 16 * power >= window else np.array([n - 1])
+        ends = np.arange(1, n)
         source = np.searchsorted(spots, spots[ends] - power)
         hit = spots[source] == spots[ends] - power
         for i, k in zip(ends[hit].tolist(), source[hit].tolist(), strict=True):
