@@ -6,6 +6,10 @@ longest runs.  Tiling marks the longest run whose words are still free on both
 sides, cuts the others, and repeats until no run of ``least`` words is left;
 so passages are found in any order.  The share of an item's words under tiles
 is its coverage, and ``threshold`` of it marks the document.
+
+Karp-Rabin runs once, not once for each length: a match of n words is n -
+``least`` + 1 seeds in a row on one diagonal and nothing else is, so the
+longest runs of seeds are the longest matches of every length.
 """
 
 from __future__ import annotations
@@ -25,99 +29,129 @@ LEAST, THRESHOLD = 5, 0.6
 #: Characters of benchmark text in one broadcast; a larger benchmark is searched in blocks of this size.
 BLOCK_CHARS = 32 << 20
 _MASK_BITS = 20
+#: Pairs of equal seeds of a document and an item that are listed at once; more are joined row by row.
+PAIRS = 1 << 21
 
 
 class ItemIndex:
-    """The seeds of a block of items."""
+    """The seeds of a block of items; an item of fewer than ``least`` words is one seed, the whole of it."""
 
     def __init__(self, ids: list, texts: list, least: int) -> None:
         self.least, self.ids = least, ids
         self.words = [w for w in hash_texts(texts)]
-        seeds, item, place = [], [], []
-        for i, w in enumerate(self.words):
-            if len(w) >= least:
-                s = shingles(w, least)
-                seeds.append(s), item.append(np.full(len(s), i)), place.append(np.arange(len(s)))
+        self.parts = [SeedTable([i for i, w in enumerate(self.words) if min(len(w), least) == n], self.words, n) for n in range(1, least + 1)]
+        self.parts = [x for x in self.parts if len(x.seeds)]
+
+
+class SeedTable:
+    """The seeds of ``width`` words of some items, sorted."""
+
+    def __init__(self, items: list[int], words: list[np.ndarray], width: int) -> None:
+        self.width = width
+        self.own = {i: shingles(words[i], width) for i in items}
         empty = np.empty(0, dtype=U)
-        every = np.concatenate(seeds) if seeds else empty
+        every = np.concatenate([self.own[i] for i in items]) if items else empty
+        item = np.repeat(np.array(items, dtype=np.int64), [len(self.own[i]) for i in items])
         order = np.argsort(every, kind="stable")
-        self.seeds = every[order]
-        self.item = np.concatenate(item)[order] if item else empty.astype(np.int64)
-        self.place = np.concatenate(place)[order] if place else empty.astype(np.int64)
+        self.seeds, self.item = every[order], item[order]
         self.mask = np.zeros(1 << _MASK_BITS, dtype=bool)
         self.mask[(self.seeds & U((1 << _MASK_BITS) - 1)).astype(np.int64)] = True
 
-    def shared(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the document, item, place in the item) of every seed that both have."""
+    def held(self, seeds: np.ndarray) -> np.ndarray:
+        """Places of those ``seeds`` that some item has."""
         at = np.flatnonzero(self.mask[(seeds & U((1 << _MASK_BITS) - 1)).astype(np.int64)])
-        low = np.searchsorted(self.seeds, seeds[at], "left")
-        n = np.searchsorted(self.seeds, seeds[at], "right") - low
-        at, low, n = at[n > 0], low[n > 0], n[n > 0]
+        spot = np.minimum(np.searchsorted(self.seeds, seeds[at]), len(self.seeds) - 1)
+        return at[self.seeds[spot] == seeds[at]]
+
+    def items_of(self, seeds: np.ndarray) -> np.ndarray:
+        """The items that have one of the distinct ``seeds``."""
+        low, high = (np.searchsorted(self.seeds, seeds, side) for side in ("left", "right"))
+        return np.unique(np.concatenate([self.item[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)])) if len(seeds) else np.empty(0, dtype=np.int64)
+
+
+def runs(doc: np.ndarray, item: np.ndarray, least: int, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length in words, place in the document, place in the item) of the longest runs of equal seeds on one diagonal.
+
+    ``doc`` and ``item`` are the seeds of both.  Few pairs of equal seeds are
+    listed; many, as of texts that repeat themselves, are joined one place of
+    the item after the other, so memory follows the document and the runs.
+    """
+    order = np.argsort(doc, kind="stable")
+    low, high = (np.searchsorted(doc[order], item, side) for side in ("left", "right"))
+    n = high - low
+    if n.sum() <= pairs:
         spot = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[spot], self.place[spot]
-
-
-def runs(at: np.ndarray, place: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(length, place in the document, place in the item) of the longest runs that seeds on one diagonal form."""
-    order = np.lexsort((at, at - place))
-    at, place = at[order], place[order]
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(place) != 1))))
-    length = np.diff(np.concatenate((new, [len(at)]))) + least - 1
-    return list(zip(length.tolist(), at[new].tolist(), place[new].tolist(), strict=True))
-
-
-def tile(found: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (length, place in the document, place in the item); of equal lengths the first in the document."""
-    heap = [(-n, p, q) for n, p, q in found]
-    heapq.heapify(heap)
-    used_doc: set[int] = set()
-    used_item: set[int] = set()
-    tiles = []
-    while heap:
-        n, p, q = heapq.heappop(heap)
+        at, place = order[spot], np.repeat(np.arange(len(item)), n)
+        by = np.lexsort((at, at - place))
+        at, place = at[by], place[by]
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(place) != 1)))[: len(at)])
+        return np.diff(np.concatenate((new, [len(at)]))) + least - 1, at[new], place[new]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = len(doc)
+    length, equal = np.zeros(size + 1, dtype=np.int32), doc == item[-1]
+    for q in range(len(item) - 1, -1, -1):
+        length[:size] = np.where(equal, length[1:] + 1, 0)
+        length[size] = 0
+        before = doc == item[q - 1] if q else np.zeros(size, dtype=bool)
+        first = equal.copy()
+        first[1:] &= ~before[:-1]
+        p = np.flatnonzero(first)
+        out.append((length[p].astype(np.int64) + least - 1, p, np.full(len(p), q)))
+        equal = before
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def tile(found: tuple[np.ndarray, np.ndarray, np.ndarray] | list[tuple[int, int, int]], least: int, doc_words: int, item_words: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (length, place in the document, place in the item); of equal lengths the first in the document.
+
+    Ends when fewer words of the item are free than a tile has.
+    """
+    n, p, q = (np.asarray(x, dtype=np.int64) for x in (found if isinstance(found, tuple) else zip(*found, strict=True)))
+    order = np.lexsort((q, p, -n))
+    whole = iter(zip((-n[order]).tolist(), p[order].tolist(), q[order].tolist(), strict=True))
+    used_doc, used_item = np.zeros(doc_words, dtype=bool), np.zeros(item_words, dtype=bool)
+    cut: list[tuple[int, int, int]] = []  # what is left of runs that tiles cut
+    tiles, free, following = [], item_words, next(whole, None)
+    while free >= least and (cut or following is not None):
+        if following is None or cut and cut[0] < following:
+            n, p, q = heapq.heappop(cut)
+        else:
+            (n, p, q), following = following, next(whole, None)
         n = -n
-        free = [p + i not in used_doc and q + i not in used_item for i in range(n)]
-        if all(free):
+        taken = used_doc[p : p + n] | used_item[q : q + n]
+        if not taken.any():
             tiles.append((n, p, q))
-            used_doc.update(range(p, p + n))
-            used_item.update(range(q, q + n))
+            used_doc[p : p + n] = used_item[q : q + n] = True
+            free -= n
             continue
-        i = 0
-        while i < n:
-            if not free[i]:
-                i += 1
-                continue
-            j = i
-            while j < n and free[j]:
-                j += 1
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True])).astype(np.int8)))
+        for i, j in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
             if j - i >= least:
-                heapq.heappush(heap, (-(j - i), p + i, q + i))
-            i = j
+                heapq.heappush(cut, (i - j, p + i, q + i))
     return tiles
 
 
 def contaminated(words: np.ndarray, index: ItemIndex, threshold: float) -> list[tuple[int, float, int, int, int, int]]:
     """(item number, coverage, tiles, longest tile, first and last covered word + 1) of items covered by ``threshold``."""
-    least, out = index.least, []
-    if len(words) < least or not len(index.seeds):
-        return out
-    at, item, place = index.shared(shingles(words, least))
-    if not len(at):
-        return out
-    order = np.argsort(item, kind="stable")
-    at, item, place = at[order], item[order], place[order]
-    for i, first in zip(*np.unique(item, return_index=True), strict=True):
-        last = np.searchsorted(item, i, "right")
-        size = len(index.words[i])
-        under = np.zeros(size + 1, dtype=np.int64)
-        own = np.unique(place[first:last])
-        np.add.at(under, own, 1), np.add.at(under, own + least, -1)
-        if (np.cumsum(under)[:size] > 0).sum() < threshold * size:
-            continue  # tiles cover no more than all seeds together
-        tiles = tile(runs(at[first:last], place[first:last], least), least)
-        covered = sum(n for n, _, _ in tiles)
-        if covered >= threshold * size:
-            out.append((int(i), covered / size, len(tiles), max(n for n, _, _ in tiles), min(p for _, p, _ in tiles), max(p + n for n, p, _ in tiles)))
+    out = []
+    for part in index.parts:
+        least = part.width
+        if len(words) < least:
+            continue
+        seeds = shingles(words, least)
+        at = part.held(seeds)
+        own = np.unique(seeds[at])
+        for i in part.items_of(own).tolist():
+            mine, size = part.own[i], len(index.words[i])
+            under = np.zeros(size + 1, dtype=np.int64)
+            spot = np.flatnonzero(np.isin(mine, own))
+            np.add.at(under, spot, 1), np.add.at(under, spot + least, -1)
+            if (np.cumsum(under)[:size] > 0).sum() < threshold * size:
+                continue  # tiles cover no more than all seeds together
+            tiles = tile(runs(seeds, mine, least), least, len(words), size)
+            covered = sum(n for n, _, _ in tiles)
+            if covered >= threshold * size:
+                out.append((int(i), covered / size, len(tiles), max(n for n, _, _ in tiles), min(p for _, p, _ in tiles), max(p + n for n, p, _ in tiles)))
     return out
 
 
@@ -127,16 +161,12 @@ def search_texts(texts: list, index: ItemIndex, threshold: float) -> Iterator[tu
     Seeds are looked up for many texts at once; a seed across two texts only
     costs a second look.
     """
-    if not len(index.seeds):
-        return
     for first, words, cut in hash_chunks(texts):
-        if len(words) < index.least:
-            continue
-        seeds = shingles(words, index.least)
-        at = np.flatnonzero(index.mask[(seeds & U((1 << _MASK_BITS) - 1)).astype(np.int64)])
-        spot = np.minimum(np.searchsorted(index.seeds, seeds[at]), len(index.seeds) - 1)
-        at = at[index.seeds[spot] == seeds[at]]
-        for i in np.unique(np.searchsorted(cut, at, "right") - 1).tolist():
+        near = [np.empty(0, dtype=np.int64)]
+        for part in index.parts:
+            if len(words) >= part.width:
+                near.append(part.held(shingles(words, part.width)))
+        for i in np.unique(np.searchsorted(cut, np.concatenate(near), "right") - 1).tolist():
             found = contaminated(words[cut[i] : cut[i + 1]], index, threshold)
             if found:
                 yield first + i, found
@@ -159,9 +189,9 @@ def find_contamination(
 ) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id (as text), coverage, n_tiles, longest, start_word, end_word.
 
-    Words are those between white space, lower-cased for A-Z.  Documents of
-    fewer than ``least`` words and null or empty texts hold nothing; items of
-    fewer words say too little and are not looked for.  Null ids and repeated
+    Words are those between white space, lower-cased for A-Z.  An item of
+    fewer than ``least`` words is found where all of them follow one another.
+    Null and empty texts and items hold nothing.  Null ids and repeated
     rows are searched like others; further columns are not read; texts of any
     length are searched whole.  Without documents or items there are no rows.
     """
