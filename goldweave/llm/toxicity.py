@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from goldweave.llm.durable import bound_batches, durable
 
-#: Bounds of the training sample and of the vocabulary, and the least number of training positives with a word.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS, LEAST_DOCS = 4000, 12000, 4096, 3
+#: Bounds of the training sample, and the least number of training positives with a word.
+MAX_POSITIVE, MAX_UNLABELLED, LEAST_DOCS = 4000, 12000, 3
 #: Least contrast, in standard errors, of a word between the two samples.
 LEAST_CONTRAST = 3.5
 #: Least ratio of its shares in them.
@@ -73,6 +73,11 @@ class Presence:
         return np.append(np.bincount(self.col, weights=r[self.row], minlength=self.d), r.sum()) / max(self.n, 1)
 
 
+def nnpu_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The risk of positives as such, and the corrected risk of the unlabelled as negatives, with the logistic loss."""
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
 def nnpu_fit(positive: Presence, unlabelled: Presence, prior: float, *, epochs: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias for the non-negative risk with the logistic loss, by full-batch Adam steps.
 
@@ -85,7 +90,7 @@ def nnpu_fit(positive: Presence, unlabelled: Presence, prior: float, *, epochs:
     for t in range(1, epochs + 1):
         zp, zu = positive.times(w), unlabelled.times(w)
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        _, negative = nnpu_risk(zp, zu, prior)
         g_minus = unlabelled.gradient(su) - prior * positive.gradient(sp)
         g = prior * positive.gradient(sp - 1) + g_minus if negative >= 0 else -g_minus
         g[:-1] += decay * w[:-1]
@@ -95,32 +100,40 @@ def nnpu_fit(positive: Presence, unlabelled: Presence, prior: float, *, epochs:
 
 
 def _sample(docs: DataFrame, usable: DataFrame, max_positive: int, max_unlabelled: int) -> DataFrame:
-    """(text, kind) of the confirmed (1) and the unlabelled (0), each the first by a hash of the id."""
+    """(text, kind) of the confirmed (1) and the unlabelled (0), each the first rows by a hash of their id and text."""
     some = usable.where("toxic").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(max_positive).select("doc_id", F.lit(1).alias("kind"))
     rest = usable.select("doc_id", F.lit(0).alias("kind")).orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(max_unlabelled)
     wanted = F.broadcast(some.union(rest))  # at most max_positive + max_unlabelled ids
-    return docs.join(wanted, "doc_id").select("text", "kind")
+    rows = docs.join(wanted, "doc_id").select("doc_id", "text", "kind")
+    # Ids that repeat bring more rows than ids, so the bounds hold for rows as well.
+    of = lambda kind, n: rows.where(F.col("kind") == kind).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(n)
+    return of(1, max_positive).unionByName(of(0, max_unlabelled)).select("text", "kind")
 
 
-def _vocabulary(words: DataFrame, sizes: dict[int, int], max_words: int) -> list[bytes]:
-    """The words whose share among the confirmed exceeds that among the unlabelled most clearly."""
+def _vocabulary(words: DataFrame, sizes: dict[int, int]) -> list[bytes]:
+    """The words whose share among the confirmed exceeds that among the unlabelled clearly.
+
+    Each is in ``LEAST_DOCS`` of at most ``MAX_POSITIVE`` documents, which
+    bounds their number.
+    """
     a, b = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     counts = words.groupBy("word").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u")).where(F.col("p") >= LEAST_DOCS)
     both = (F.col("p") + F.col("u")) / (a + b)
     error = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / a + 1 / b))
     often = F.col("p") / a >= LEAST_RATIO * F.col("u") / b
     found = counts.where(often).select("word", ((F.col("p") / a - F.col("u") / b) / error).alias("z")).where(F.col("z") > LEAST_CONTRAST)
-    return [bytes(r["word"]) for r in found.orderBy(F.desc("z"), "word").limit(max_words).collect()]
+    return [bytes(r["word"]) for r in found.orderBy(F.desc("z"), "word").collect()]
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5,
-    max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_words: int = MAX_WORDS,
+    max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED,
 ) -> Model:
     """Train from labels outside the held-out fold.
 
     The confirmed are at most ``max_positive`` toxic documents; the unlabelled
-    are at most ``max_unlabelled`` documents whose label is not looked at.  The
+    are at most ``max_unlabelled`` documents of those in ``labels``, whose label
+    is not looked at; both bounds hold for rows, however ids repeat.  The
     prior is the share of toxic ones among all labels that may be used.  Their
     words are counted by Spark, and only the vocabulary and the places of its
     words in the sample come to the driver.  Without confirmed documents the
@@ -128,7 +141,8 @@ def fit(
     """
     bound_batches(docs.sparkSession)
     usable = labels.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col), folds))
-    usable = usable.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) == 1).alias("toxic"))
+    # Of labels that repeat an id the toxic one counts.
+    usable = usable.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col) == 1).alias("toxic"))
     prior = usable.where("toxic is not null").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     prior = float(min(max(prior or 0.0, 1e-3), 0.5))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -143,7 +157,7 @@ def fit(
                 words = list(word_set(text))
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([kind] * len(words), pa.int32())], ["word", "kind"])
 
-    words = _vocabulary(sample.mapInArrow(spell, "word binary, kind int"), sizes, max_words)
+    words = _vocabulary(sample.mapInArrow(spell, "word binary, kind int"), sizes)
     place = {w: i for i, w in enumerate(words)}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
