@@ -21,17 +21,18 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 _CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_IBAN = r"[A-Z][A-Z][0-9][0-9][A-Z0-9]++"
-_SSN = r"[0-9]++-[0-9]++-[0-9]++"
+#: As one word, or in groups of four as it is printed.
+_IBAN = r"\b[A-Z][A-Z][0-9][0-9](?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3})?+)\b"
+_SSN = r"\b[0-9]++-[0-9]++-[0-9]++\b"
 _BYTE_VALUE = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9]?)$"
 
 #: Score of a confirmed match without context, words nearby that support it, and what they add.
 SCORES = {
-    "email": (0.90, "mail|contact|write to", 0.05),
-    "ip": (0.60, "ip|host|server|address", 0.20),
-    "card": (0.70, "card|visa|credit|payment", 0.25),
-    "phone": (0.60, "call|phone|tel|mobile|fax", 0.25),
-    "iban": (0.80, "iban|bank|account", 0.15),
+    "email": (0.90, "e-?mails?|mails?|contact|write to", 0.05),
+    "ip": (0.60, "ip|hosts?|servers?|address|addresses", 0.20),
+    "card": (0.70, "cards?|visa|mastercard|credit|payments?", 0.25),
+    "phone": (0.60, "calls?|phones?|telephone|tel|mobile|fax", 0.25),
+    "iban": (0.80, "iban|banks?|accounts?", 0.15),
     "ssn": (0.30, "ssn|social security", 0.50),
 }
 CONTEXT_CHARS, KEEP_FROM = 32, 0.5
@@ -69,12 +70,13 @@ def _confirmed(s: Column) -> Column:
     count = F.length(digits)
     byte_parts = F.forall(F.split(value, r"\."), lambda p: p.rlike(_BYTE_VALUE))
     groups = F.split(value, "-")
+    bare = F.replace(value, F.lit(" "), F.lit(""))
     return (
         F.when(kind == "email", F.lit(True))
         .when(kind == "ip", byte_parts)
         .when(kind == "card", F.when(count.between(12, 19), luhn(digits)).otherwise(F.lit(False)))
         .when(kind == "phone", count.between(9, 15))
-        .when(kind == "iban", F.when(F.length(value).between(15, 34), mod97(value)).otherwise(F.lit(False)))
+        .when(kind == "iban", F.when(F.length(bare).between(15, 34), mod97(bare)).otherwise(F.lit(False)))
         .otherwise((F.length(groups[0]) == 3) & (F.length(groups[1]) == 2) & (F.length(groups[2]) == 4))
     )
 
@@ -83,7 +85,7 @@ def _scored(s: Column, text: Column) -> Column:
     around = F.lower(F.concat_ws(" ", text.substr(F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS))), text.substr(s["end"] + 1, F.lit(CONTEXT_CHARS))))
     score = F.lit(0.0)
     for kind, (base, words, more) in SCORES.items():
-        score = F.when(s["kind"] == kind, F.lit(base) + F.when(around.rlike(words), F.lit(more)).otherwise(F.lit(0.0))).otherwise(score)
+        score = F.when(s["kind"] == kind, F.lit(base) + F.when(around.rlike(rf"\b(?:{words})\b"), F.lit(more)).otherwise(F.lit(0.0))).otherwise(score)
     return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score.alias("score"))
 
 
@@ -106,7 +108,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         guarded(t, t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), _IP, "ip").alias("__ip"),
         guarded(t, chain, _CARD, "card").alias("__card"),
         guarded(t, t.rlike(r"\+[0-9]"), _PHONE, "phone").alias("__phone"),
-        guarded(t, t.rlike("[A-Z][A-Z][0-9][0-9][A-Z0-9]{11}"), _IBAN, "iban").alias("__iban"),
+        guarded(t, t.rlike(r"[A-Z][A-Z][0-9][0-9]\x20?[A-Z0-9]{4}"), _IBAN, "iban").alias("__iban"),
         guarded(t, dashed, _SSN, "ssn").alias("__ssn"),
     )
     every = F.filter(F.concat(*[F.col(f"__{k}") for k in KINDS]), _confirmed)
