@@ -12,7 +12,8 @@ and if hardly any text is left the names do not count.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -50,6 +51,8 @@ _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li td th pre blockquote dd dt figca
 
 #: A named part goes if this share of it is links, or if it holds less than this share of the page's text.
 LINKED, SHARE = 0.5, 0.5
+#: Ancestors further away than this share of a paragraph's points get none.
+NEAR = 1e-6
 #: Names do not count if less than this share of the text is left.
 LITTLE = 0.2
 
@@ -64,17 +67,13 @@ class Node:
         self.score, self.length, self.linked = 0.0, 0, 0
 
 
-def _unwanted(tag: str, raw: str, parent: Node) -> tuple[bool, int]:
+def _unwanted(tag: str, raw: str, in_article: bool) -> tuple[bool, int]:
     """Whether the element is no text by its kind, and how far its class or id says so: 1 in a part of a name, 2 as a whole name."""
     if tag in _DROPPED:
         return True, 0
-    if tag == "header":
+    if tag == "header" and not in_article:
         # The head of an article holds its title; that of a page does not.
-        node = parent
-        while node is not None and node.tag not in ("article", "main"):
-            node = node.parent
-        if node is None:
-            return True, 0
+        return True, 0
     if not raw or raw.isspace():
         return False, 0
     attributes = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(raw)}
@@ -90,36 +89,80 @@ def _unwanted(tag: str, raw: str, parent: Node) -> tuple[bool, int]:
     return False, 1 if _PARTS.isdisjoint(named.split()) else 2
 
 
+class _Open:
+    """The open elements; by name too, so that an end that matches none costs no walk, however deep the page is."""
+
+    def __init__(self, root: Node) -> None:
+        self.node, self.names = root, Counter()
+
+    def enter(self, child: Node) -> None:
+        self.node = child
+        self.names[child.tag] += 1
+
+    def leave_to(self, parent: Node) -> None:
+        while self.node is not parent:
+            self.names[self.node.tag] -= 1
+            self.node = self.node.parent
+
+    def has(self, tags: Iterable[str]) -> bool:
+        return any(self.names[t] > 0 for t in tags)
+
+    def end(self, tag: str) -> None:
+        """Close the innermost ``tag``; ends of inline elements and paragraphs don't leave a table's cell."""
+        if self.names[tag] <= 0:
+            return
+        up = self.node
+        while up is not None and up.tag != tag:
+            up = None if up.tag in ("td", "th", "table") and tag in ("p", "li", "b", "i", "a", "span") else up.parent
+        if up is not None and up.parent is not None:
+            self.leave_to(up.parent)
+
+    def imply(self, tag: str) -> None:
+        """Close what a start of ``tag`` ends without saying so."""
+        if tag in _BLOCK and self.names["p"] > 0:
+            up = self.node
+            while up is not None and up.tag not in _BLOCK:
+                up = up.parent
+            if up is not None and up.tag == "p":
+                self.leave_to(up.parent)
+        if tag in _CLOSES and self.has(_CLOSES[tag]):
+            up = self.node
+            while up is not None and up.tag not in _SCOPES:
+                if up.tag in _CLOSES[tag]:
+                    self.leave_to(up.parent)
+                    break
+                up = up.parent
+
+
 def parse(html: str) -> Node:
-    """The tree; ends that are missing are implied, and an unfinished tag at the end of the page is markup."""
-    root = Node("html", None, False)
-    node, at = root, 0
+    """The tree; ends that are missing are implied, and an unfinished tag at the end of the page is markup.
+
+    References are decoded in each text between tags, never across a tag.
+    """
+    root, at = Node("html", None, False), 0
+    held = _Open(root)
     while at < len(html):
         m = _TOKEN.match(html, at)
         at = m.end()
         tag = m[2]
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
-                node.inside.append(m[0])
+                held.node.inside.append(unescape(m[0]))
             continue
         tag = tag.lower()
         if m[1]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = None if up.tag in ("td", "th", "table") and tag in ("p", "li", "b", "i", "a", "span") else up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            held.end(tag)
             continue
         if tag == "br":
-            node.inside.append(" ")
+            held.node.inside.append(" ")
             continue
         if tag in ("html", "body"):
             continue
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
             if tag == "hr":
-                node.inside.append(Node("hr", node, False))
-            elif tag not in ("wbr",):
-                node.inside.append(" ") if tag == "img" else None
+                held.node.inside.append(Node("hr", held.node, False))
+            elif tag == "img":
+                held.node.inside.append(" ")
             continue
         if tag in _RAW:
             end = _RAW_END[tag].search(html, at)
@@ -127,24 +170,13 @@ def parse(html: str) -> Node:
             close = html.find(">", at)
             at = len(html) if close < 0 else close + 1
             continue
-        if tag in _BLOCK:
-            up = node
-            while up is not None and up.tag not in _BLOCK:
-                up = up.parent
-            if up is not None and up.tag == "p":
-                node = up.parent
-        if tag in _CLOSES:
-            up = node
-            while up is not None and up.tag not in _SCOPES:
-                if up.tag in _CLOSES[tag]:
-                    node = up.parent
-                    break
-                up = up.parent
-        unwanted, named = _unwanted(tag, m[3], node)
+        held.imply(tag)
+        node = held.node
+        unwanted, named = _unwanted(tag, m[3], held.has(("article", "main")))
         child = Node(tag, node, node.dropped or unwanted)
         child.named = named
         node.inside.append(child)
-        node = child
+        held.enter(child)
     return root
 
 
@@ -184,7 +216,7 @@ def _best(root: Node) -> Node:
     for node, own, commas in paragraphs:
         points = 1.0 + commas + min(own / 100.0, 3.0) + own / 1000.0
         up, share = (node.parent if node.tag in _PARAGRAPHS and node.parent is not None else node), 1.0
-        while up is not None:
+        while up is not None and share > NEAR:
             up.score += points * share
             seen[id(up)] = up
             up, share = up.parent, share / 2.0
@@ -193,12 +225,14 @@ def _best(root: Node) -> Node:
         value = node.score * (1.0 - node.linked / max(node.length, 1)) * (1.5 if node.tag in ("article", "main") else 1.0)
         if value > high or value == high and node.parent is not None and top is root:
             top, high = node, value
-    # Points spread over sections of one article meet in it.
-    up = top.parent
-    while up is not None:
-        if up.tag in ("article", "main") and not up.dropped:
-            top = up
-        up = up.parent
+    # Points spread over sections of one article meet in it: the nearest article around the best container, else the nearest main part.
+    around = [top]
+    while around[-1].parent is not None:
+        around.append(around[-1].parent)
+    for tag in ("article", "main"):
+        for up in around:
+            if up.tag == tag and not up.dropped:
+                return up
     return top
 
 
@@ -223,7 +257,7 @@ def _blocks(nodes: list[Node]) -> list[str]:
     held: list[str] = []
 
     def close() -> None:
-        text = " ".join(unescape("".join(held)).split())
+        text = " ".join("".join(held).split())
         if text:
             out.append(text)
         held.clear()
