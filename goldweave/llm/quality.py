@@ -2,15 +2,19 @@
 
 Everything is Column expressions.  Each document gives a vector of transformed
 statistics.  For every (language, source) a minimum-covariance-determinant
-estimate is made by concentration steps: from the centre and scatter of a
-half of the documents, distances of all are computed, and those nearest form
-the next half.  All steps are grouped sums and a quantile sketch, so a group
-of any size is combined before it is shuffled and never gathered.
+estimate is made by concentration steps: from the centre and scatter of a core
+of the documents, distances of all are computed, and those nearest form the
+next core.  The steps begin from three cores (nearest the medians in all
+statistics together, in the worst of them, and nearest the mean by the scatter
+of all) and go on until no determinant gets smaller; of each group's three
+ends the one of the least determinant stays.  All steps are grouped sums and
+counts in bins, so a group of any size is combined before it is shuffled and
+never gathered, and the order of rows does not matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldweave.llm.durable import durable
@@ -18,8 +22,10 @@ from goldweave.llm.spans import let
 
 WINDOW = 5
 MIN_WORDS, REPEAT_PERCENT = 10, 20
-#: Share of a group that forms the estimate, steps of concentration, and the least group that is judged.
-CORE_SHARE, STEPS, MIN_GROUP = 0.75, 3, 50
+#: Share of a group that forms the estimate, most steps of concentration, and the least group with an estimate of its own.
+CORE_SHARE, STEPS, MIN_GROUP = 0.75, 12, 50
+#: Bins of a factor of two of squared distances, and of one unit of a statistic.
+DISTANCE_BINS, FEATURE_BINS = 64, 256
 #: Squared distance beyond which a document is an outlier: five dimensions, the chi-square quantile of 1 - 1e-9.
 CUTOFF = 51.0
 #: Median of chi-square with five degrees of freedom, to which the median distance of a group is scaled.
@@ -131,93 +137,169 @@ def _inverse(cells: Column, d: int) -> Column:
     return cells
 
 
+def _determinant(cells: Column, d: int) -> Column:
+    """The logarithm of the determinant of a positive definite matrix: the sum of its pivots' logarithms."""
+
+    def step(k: int):
+        def body(acc: Column) -> Column:
+            a = acc["a"]
+            pivot = F.greatest(F.get(a, k * d + k), F.lit(1e-9))
+            left = [F.get(a, i * d + j) - F.get(a, i * d + k) * F.get(a, k * d + j) / pivot if i > k and j > k else F.lit(0.0) for i in range(d) for j in range(d)]
+            return F.struct(F.array(*left).alias("a"), (acc["s"] + F.log(pivot)).alias("s"))
+
+        return body
+
+    acc = F.struct(cells.alias("a"), F.lit(0.0).alias("s"))
+    for k in range(d):
+        acc = let(acc, step(k))
+    return acc["s"]
+
+
 def _factors(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """Centre m0, m1, ... and the inverse scatter of each group."""
+    """Centre m0, m1, ..., the inverse scatter of each group, and the logarithm of its determinant."""
     d = len(FEATURES)
     cells = []
     for i in range(d):
         for j in range(d):
             cell = F.col(f"p{max(i, j)}{min(i, j)}") - F.col(f"m{i}") * F.col(f"m{j}")
             cells.append(F.greatest(cell, F.lit(0.0)) + RIDGE[FEATURES[i]] if i == j else cell)
-    return moments.select(*keys, *[f"m{i}" for i in range(d)], _inverse(F.array(*cells), d).alias("inverse"))
+    out = moments.select(*keys, *[f"m{i}" for i in range(d)], F.array(*cells).alias("scatter"))
+    return out.select(*keys, *[f"m{i}" for i in range(d)], _inverse(F.col("scatter"), d).alias("inverse"), _determinant(F.col("scatter"), d).alias("determinant"))
+
+
+def _match(rows: DataFrame, named: DataFrame, keys: list[str]) -> Column:
+    """Equality of groups, of which nulls are some of their own; ``named`` has g_ before its keys."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & rows[k].eqNullSafe(named[f"g_{k}"])
+    return out
+
+
+def _quantiles(rows: DataFrame, keys: list[str], bins: dict[str, Column], shares: list[float]) -> DataFrame:
+    """For each group and name of ``bins`` the least bin below which with it at least each share of the rows lies: q_<name>[i].
+
+    Rows are counted in bins, of which a group has few, so this is exact up to
+    a bin and the same however rows are dealt.
+    """
+    cells = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("int").alias("bin")) for n, c in bins.items()])).alias("x"))
+    counts = cells.groupBy(*keys, "x.name", "x.bin").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys, "name")
+    counts = counts.select(*keys, "name", "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("all"))
+    least = lambda n, q: F.min(F.when((F.col("name") == n) & (F.col("upto") >= F.col("all") * q), F.col("bin")))
+    return counts.groupBy(*keys).agg(*[F.array(*[least(n, q) for q in shares]).alias(f"q_{n}") for n in bins])
+
+
+def _distance_bin(d2: Column) -> Column:
+    return F.floor(F.log2(F.greatest(d2, F.lit(1e-9))) * DISTANCE_BINS)
+
+
+def _distance_of(bin_: Column) -> Column:
+    """The upper edge of a bin."""
+    return F.pow(F.lit(2.0), (bin_ + 1) / F.lit(float(DISTANCE_BINS)))
 
 
 def _distances(rows: DataFrame, factors: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with d2, the squared Mahalanobis distance from their group's centre."""
-    match = None
-    for k in keys:
-        c = rows[k].eqNullSafe(factors[f"g_{k}"])
-        match = c if match is None else match & c
     d = len(FEATURES)
     away = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(FEATURES)]
     total = F.lit(0.0)
     for i in range(d):
         for j in range(i + 1):
             total = total + F.lit(1.0 if i == j else 2.0) * away[i] * away[j] * F.get("inverse", i * d + j)
-    return rows.join(factors, match, "left").select(*rows.columns, total.alias("d2"))
+    return rows.join(factors, _match(rows, factors, keys), "left").select(*rows.columns, total.alias("d2"))
 
 
 def _named(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumnsRenamed({k: f"g_{k}" for k in keys})
 
 
+def _starts(pool: DataFrame, groups: list[str]) -> DataFrame:
+    """Rows of each of the three starts with d2, the distance by which the first core is chosen."""
+    bins = {f: F.floor(F.col(f) * FEATURE_BINS) for f in FEATURES}
+    mid = _named(durable(_quantiles(pool, groups, bins, [0.25, 0.5, 0.75]), "medians"), groups)
+    every = _named(durable(_factors(_moments(pool, groups), groups), "factors"), groups)
+    rows = _distances(pool, every, groups).withColumnRenamed("d2", "by_all")
+    rows = rows.join(mid, _match(rows, mid, groups), "left")
+    parts = []
+    for f in FEATURES:
+        spread = (F.col(f"q_{f}")[2] - F.col(f"q_{f}")[0]) / F.lit(FEATURE_BINS * 1.349)
+        centre = (F.col(f"q_{f}")[1] + 0.5) / FEATURE_BINS
+        parts.append(F.pow(F.col(f) - centre, 2) / (spread * spread + RIDGE[f]))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    starts = [total, F.greatest(*parts), F.col("by_all")]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("start"), c.alias("d2")) for i, c in enumerate(starts)])).alias("s")
+    return rows.select(*groups, *FEATURES, each).select(*groups, "s.start", *FEATURES, "s.d2")
+
+
+def _least_determinant(pool: DataFrame, groups: list[str]) -> DataFrame:
+    """The factors of each group's core of the least determinant; columns g_<key>."""
+    keys = [*groups, "start"]
+    near = _starts(pool, groups)
+    three = pool.select(*groups, F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("start"), *FEATURES)
+    best: DataFrame | None = None
+    for _ in range(STEPS):
+        bound = _named(durable(_quantiles(near, keys, {"d2": _distance_bin(F.col("d2"))}, [CORE_SHARE]), "bounds"), keys)
+        core = near.join(bound, _match(near, bound, keys), "left").where(F.col("d2") <= _distance_of(F.col("q_d2")[0]))
+        found = durable(_factors(_moments(core.select(*keys, *FEATURES), keys), keys), "factors")
+        if best is None:
+            best = found
+        else:
+            old = _named(best.select(*keys, F.col("determinant").alias("old")), keys)
+            smaller = found.join(old, _match(found, old, keys)).where(F.col("determinant") < F.col("old") - 1e-3)
+            if smaller.isEmpty():
+                break
+            # A step that doesn't help a start leaves it as it was.
+            least = found.unionByName(best).groupBy(*keys).agg(F.min_by(F.struct(*[c for c in found.columns if c not in keys]), "determinant").alias("f"))
+            best = durable(least.select(*keys, "f.*"), "factors")
+        near = _distances(three, _named(best, keys), keys)
+    order = F.struct("determinant", "start")
+    least = best.groupBy(*groups).agg(F.min_by(F.struct(*[c for c in best.columns if c not in keys]), order).alias("f"))
+    return _named(durable(least.select(*groups, "f.*"), "factors"), groups)
+
+
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     Base rules fail below ten words or with more than 20 % repeated words.
     Other documents are rejected if their scaled squared distance in their
-    group exceeds ``cutoff``; groups of fewer than ``MIN_GROUP`` such documents
-    are judged by the estimate over all groups.  Null keys form groups of
-    their own.  Null and empty texts have no words and fail.  Repeated rows
-    count as often as they occur, and further columns are not read.  No rows
-    give no rows.  ``distance`` is null where the base rules failed.
+    group exceeds ``cutoff``; those of groups with fewer than ``MIN_GROUP``
+    such documents, too few for a scatter of their own, are judged by the
+    estimate over all documents that pass the base rules.  Null keys form
+    groups of their own.  Null and empty texts have no words and fail.
+    Repeated rows count as often as they occur, and further columns are not
+    read.  No rows give no rows.  ``distance`` is null where the base rules
+    failed.
     """
     names = [f"k{i}" for i in range(len(keys))]
     stats = statistics(docs, id_col=id_col, text_col=text_col, keys=list(keys))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     stats = durable(stats.select("*", failed.alias("base_failed"), *features()), "statistics")
     judged = stats.where("not base_failed").select(*names, *FEATURES)
-    sizes = judged.groupBy(*names).agg(F.count("*").alias("size"))
-    sizes = durable(sizes.withColumn("size", F.col("size")), "sizes")
+    sizes = _named(durable(judged.groupBy(*names).agg(F.count("*").alias("size")), "sizes"), names)
+    groups = ["rest", *[f"c{i}" for i in range(len(names))]]
 
     def grouped(rows: DataFrame) -> DataFrame:
-        """Rows with g0, g1...: their group, or nulls and the flag of the rest for small groups."""
-        s = _named(sizes, names)
-        match = None
-        for k in names:
-            c = rows[k].eqNullSafe(s[f"g_{k}"])
-            match = c if match is None else match & c
+        """Rows with their group: rest 0 and their keys, or rest 1 and nulls in small groups."""
         small = F.coalesce(F.col("size"), F.lit(0)) < MIN_GROUP
-        out = rows.join(s, match, "left").withColumn("rest", small.cast("int"))
+        out = rows.join(sizes, _match(rows, sizes, names), "left").withColumn("rest", small.cast("int"))
         return out.select(*rows.columns, "rest", *[F.when(~small, F.col(k)).alias(f"c{i}") for i, k in enumerate(names)])
 
-    groups = ["rest", *[f"c{i}" for i in range(len(names))]]
-    pool = grouped(judged).select(*groups, *FEATURES)
-    # Start from the coordinatewise median: the rows near it in every feature.
-    share = [CORE_SHARE]
-    mid = pool.groupBy(*groups).agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f"q_{f}") for f in FEATURES])
-    mid = _named(durable(mid, "medians"), groups)
-    match = None
-    for g in groups:
-        c = F.col(g).eqNullSafe(F.col(f"g_{g}"))
-        match = c if match is None else match & c
-    radius = F.lit(0.0)
-    for f in FEATURES:
-        spread = (F.col(f"q_{f}")[2] - F.col(f"q_{f}")[0]) / 1.349
-        radius = radius + F.pow(F.col(f) - F.col(f"q_{f}")[1], 2) / (spread * spread + RIDGE[f])
-    near = pool.join(mid, match, "left").withColumn("d2", radius).select(*groups, *FEATURES, "d2")
-    factors = None
-    for _ in range(STEPS):
-        near = near if factors is None else _distances(pool, factors, groups)
-        bound = _named(durable(near.groupBy(*groups).agg(F.percentile_approx("d2", share, 2000)[0].alias("bound")), "bounds"), groups)
-        core = near.join(bound, match, "left").where("d2 <= bound")
-        factors = _named(durable(_factors(_moments(core, groups), groups), "factors"), groups)
+    own = grouped(judged)
+    none = [F.lit(None).cast(judged.schema[k].dataType).alias(f"c{i}") for i, k in enumerate(names)]
+    pool = own.where("rest = 0").select(*groups, *FEATURES)
+    if not sizes.where(F.col("size") < MIN_GROUP).isEmpty():
+        pool = pool.unionByName(judged.select(F.lit(1).alias("rest"), *none, *FEATURES))
+    pool = durable(pool, "pool")
+    factors = _least_determinant(pool, groups)
     final = _distances(pool, factors, groups)
-    scale = _named(durable(final.groupBy(*groups).agg(F.percentile_approx("d2", 0.5, 2000).alias("half")), "scales"), groups)
-    whole = grouped(stats)
-    measured = _distances(whole, factors, groups).join(scale, match, "left")
+    scale = _named(durable(_quantiles(final, groups, {"d2": _distance_bin(F.col("d2"))}, [0.5]), "scales"), groups)
+    whole = _distances(grouped(stats), factors, groups)
+    measured = whole.join(scale, _match(whole, scale, groups), "left")
     # The estimate of a core is too small; medians of distances put it right, but never enlarge distances.
-    distance = F.when(~F.col("base_failed"), F.col("d2") * F.least(F.lit(1.0), F.lit(CHI2_MEDIAN) / F.greatest(F.col("half"), F.lit(1e-9))))
+    half = F.greatest(_distance_of(F.col("q_d2")[0]), F.lit(1e-9))
+    distance = F.when(~F.col("base_failed"), F.col("d2") * F.least(F.lit(1.0), F.lit(CHI2_MEDIAN) / half))
     measured = measured.withColumn("distance", distance)
     return measured.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
