@@ -671,8 +671,3 @@ def incremental_batch(spark, sf_dir):
 @query(None)
 def stratified(spark, sf_dir):
     return cards.stratified(table(spark, sf_dir, "labels"), "quality", {0: 0.5, 1: 0.2})
-
-
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mutual best pairs of the two halves of the documents."""
-    return mutual_best(spark, sf_dir)

@@ -33,4 +33,5 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["l_id", "r_id", "confidence"]
+    got = entry.entry(spark)
+    assert got.columns == ["l_id", "r_id", "confidence", "rank_fusion"] and got.count() > 0
