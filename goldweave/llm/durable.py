@@ -1,8 +1,9 @@
 """Tables that cut lineage and survive lost executors.
 
 Intermediate results are written as Parquet under ``spark.checkpoint.dir``,
-the folder that all executors share.  Only where that setting is missing (as
-in tests) is a folder of this machine used instead.
+the folder that all executors share.  Where that setting is missing, a session
+in one process (as in tests) uses a folder of this machine, and any other one
+is refused.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        master = spark.sparkContext.master
+        if not found.isDefined() and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = found.get() if found.isDefined() else tempfile.gettempdir() + "/goldweave-checkpoints"
     return root.rstrip("/")
 

@@ -122,3 +122,31 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(width):
         total += words[j : n - width + 1 + j] * weight[j]
     return splitmix(total)
+
+
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_inverse_powers = np.ones(1, dtype=U)
+
+
+class Runs:
+    """Hashes of runs of words by a rolling polynomial modulo 2**64.
+
+    Prefix sums of words times powers of the base's inverse make every width
+    cost the same.
+    """
+
+    def __init__(self, words: np.ndarray) -> None:
+        global _inverse_powers
+        n = len(words)
+        if len(_inverse_powers) < n:
+            table = np.full(max(n, 1 << 16), U(_INVERSE), dtype=U)
+            table[0] = U(1)
+            _inverse_powers = np.multiply.accumulate(table)
+        self.sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(words * _inverse_powers[:n], dtype=U)))
+        self.powers = _power_table(n + 1)
+
+    def at(self, places: np.ndarray, width: int) -> np.ndarray:
+        """The hashes of the ``width`` words at each place; places without as many give anything."""
+        low = np.clip(places, 0, max(len(self.sums) - 1 - width, 0))
+        high = np.minimum(low + width, len(self.sums) - 1)
+        return splitmix((self.sums[high] - self.sums[low]) * self.powers[low] + U(width))

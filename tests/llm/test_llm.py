@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -135,6 +136,18 @@ def test_blocks_join_components_of_large_buckets(spark, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows, 2, 80)
 
 
+def test_rows_that_repeat_ids(spark):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 30) for _ in range(3))
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, c), (4, b), (5, ""), (5, None), (6, c + " x")] * 2
+    df = docs_of(spark, rows).withColumns({"key": F.lit("clash"), "rep": F.lit(2), "row": F.lit(0)})
+    got = minhash.drop_near_duplicates(df).collect()
+    # Id 3 has two texts, so it can't go whole; every text is still there once.
+    assert {(r.doc_id, r.text or "") for r in got} == {(1, a), (3, b), (3, c), (5, "")} and len(got) == 4
+    found = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert found == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 3)}
+
+
 def test_one_of_each_group_stays(spark):
     df = docs_of(spark, [(2, "a b c d e f"), (1, "A b c d e f"), (3, "other text of six words here"), (3, "other text of six words here"), (None, "a b c d e f")])
     assert sorted((r.doc_id for r in minhash.drop_near_duplicates(df).collect()), key=str) == [1, 3, None]
@@ -186,6 +199,30 @@ def test_raw_elements_behind_letters_that_grow_in_lower_case():
     assert html_extract.main_text(page) == "İ" * 30 + " before\nAfter the script.\nLast."
 
 
+PARAGRAPHS = [f"Paragraph {i}, of the text, with commas, that goes on for long enough to count." for i in range(4)]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="content has-footer"><p>{0}</p><p>{1}</p></div>', "{0}\n{1}"),
+        ('<div id="search-engine-history"><p>{0}</p><p>{1}</p></div><nav><p>stray</p></nav>', "{0}\n{1}"),
+        ("<main><article><p>{0}</p><p>{1}</p><p>{2}</p></article><article><p>Short</p></article></main>", "{0}\n{1}\n{2}"),
+        ("<p>AT&<b>amp;</b>T {0}</p>", "AT&amp;T {0}"),
+        ("<table><tr><td><p>{0}</p></table><p>{1}", "{0}\n{1}"),
+    ],
+)
+def test_pages_by_hand(page, want):
+    assert html_extract.main_text(page.format(*PARAGRAPHS)) == want.format(*PARAGRAPHS)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "<p>{0}", "<div>" * 50_000 + "</span>" * 50_000 + "<p>{0}", "<b>" * 50_000 + "<p>x" * 1000 + "<p>{0}", "<p>{0}" + "</div>" * 100_000])
+def test_deep_pages_are_no_slower_than_long_ones(page):
+    began = time.process_time()
+    assert PARAGRAPHS[0] in html_extract.main_text(page.format(*PARAGRAPHS))
+    assert time.process_time() - began < 20
+
+
 def test_html_extraction_on_pages(spark, sf):
     from html import unescape
 
@@ -240,6 +277,18 @@ def test_encoder_equals_one_call_of_the_tokenizer():
         assert np.frombuffer(encoder.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_encoder_on_random_strings():
+    from tokenizers import Tokenizer
+
+    t, encoder, rng = Tokenizer.from_file(queries.tokenizer_path()), packing.CachedEncoder(queries.tokenizer_path()), random.Random(12)
+    assert encoder.piecewise
+    signs = list("abcXYZéÉßİıΑΣς日本ñ019½²Ⅷ .,;:!?'\"()[]{}<>|/\\-_=+*&^%$#@~`“”‘’«»…–—€£¥°™®©😀🎉（）、。　\u00a0\u200b\u0301\u0327\t\n")
+    signs += ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'s", "'T", "'re", "it's ", "Word. ", "end” ", "e\u0301"]
+    for _ in range(20_000):
+        x = "".join(rng.choice(signs) for _ in range(rng.randint(1, 14)))
+        assert np.frombuffer(encoder.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
 def test_cuts_are_the_cheapest():
     rng = np.random.default_rng(2)
     for _ in range(30):
@@ -253,7 +302,7 @@ def test_cuts_are_the_cheapest():
             for j in range(i):
                 size = at[i] - at[j]
                 if size <= window:
-                    exact = size & (size - 1) == 0 and (16 * size >= window or i == len(at) - 1)
+                    exact = size & (size - 1) == 0
                     best[i] = min(best[i], best[j] + (0 if exact else window - size) + fee[i] + packing.SEQUENCE_COST)
         assert packing.plan_cuts(place, cost, window)[1] == best[-1]
 
@@ -289,6 +338,44 @@ def test_repeated_passages(spark):
     assert compact_windows.repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def test_passages_of_which_earlier_documents_hold_halves(spark):
+    rng = random.Random(23)
+    rows, want = [], {}
+    for at in range(0, 320, 4):
+        passage = prose(rng, 55).split()
+        for n, part in enumerate((passage[:28], passage[28:], passage, passage)):
+            rows.append((at + n, " ".join([prose(rng, 60), *part, prose(rng, 60)])))
+        want[at + 3] = at + 2
+    got = compact_windows.repeated_passages(docs_of(spark, rows)).collect()
+    assert {r.doc_id: r.other_id for r in got} == want
+
+
+def test_recall_of_loose_passages(spark):
+    """Passages of 60 to 120 words in which words changed, among documents with a common line before them; brute force is the passage itself."""
+    rng = random.Random(29)
+    line, rows, want = prose(rng, 18), [(i, "") for i in range(40)], set()
+    rows = [(i, " ".join([prose(rng, 50), line, prose(rng, 50)])) for i, _ in rows]
+    for at in range(100, 500, 2):
+        passage = prose(rng, rng.randint(60, 120)).split()
+        changed = list(passage)
+        for _ in range(len(passage) // 60):
+            changed[rng.randrange(len(changed))] = "zz"
+        x, y = (np.asarray(w) for w in words.hash_texts([" ".join(passage), " ".join(changed)]))
+        if compact_windows._similarity(x, y, 5) >= 0.8:
+            want.add(at + 1)
+        rows += [(at, " ".join([line, *passage, prose(rng, 50)])), (at + 1, " ".join([prose(rng, 50), line, *changed]))]
+    got = {r.doc_id for r in compact_windows.repeated_passages(docs_of(spark, rows)).collect()}
+    assert len(want) >= 150 and len(got & want) >= 0.97 * len(want) and not any(i < 100 for i in got)
+
+
+def test_repeated_rows_and_long_texts_of_passages(spark):
+    rng = random.Random(31)
+    passage = prose(rng, 60)
+    rows = [(1, "x " + passage)] * 3 + [(2, prose(rng, 9) + " " + passage), (3, "word " * 60_000), (4, prose(rng, 100_000) + " " + passage)]
+    got = compact_windows.repeated_passages(docs_of(spark, rows)).collect()
+    assert {r.doc_id for r in got} == {2, 4} and all(r.other_id < r.doc_id and r.n_words >= 50 for r in got)
+
+
 def test_passages_behind_lines_of_earlier_documents(spark):
     rng = random.Random(17)
     rows, want, at = [], {}, 0
@@ -316,8 +403,8 @@ def test_passages_with_an_inserted_or_deleted_word(n):
         a, b = (np.asarray(x).astype(np.uint32) for x in words.hash_texts(texts))
         x, y = 40 + np.arange(5), 40 + np.arange(5)
         # One anchor, on one side of the edit, with the narrow bounds of its window.
-        spots = [(int(x[2]), 40, 85, int(y[2]), 40, 85)]
-        got = compact_windows.passages_of_pair(b, a, spots)
+        spots = [(int(x[2]), 40, 85, int(y[2]), 40, 85, -1)]
+        got = compact_windows.passages_of_pair(compact_windows.Shingled(b, 5), compact_windows.Shingled(a, 5), spots)
         shared = compact_windows._similarity(b[40 : 40 + len(changed)], a[40 : 40 + n], 5)
         if shared >= 0.8:
             whole += 1
@@ -330,27 +417,67 @@ def test_passages_with_an_inserted_or_deleted_word(n):
 
 def test_decontamination(spark):
     rng = random.Random(6)
-    items = [(i, prose(rng, 30)) for i in range(12)] + [(50, "too short"), (51, None)]
+    items = [(i, prose(rng, 30)) for i in range(12)] + [(50, "quite short"), (51, None), (52, "")]
     half = items[0][1].split()
     moved = " ".join(half[15:]) + " " + prose(rng, 9) + " " + " ".join(half[:15])
-    rows = [*ODD, (1, prose(rng, 40) + " " + items[3][1].upper() + " " + prose(rng, 10)), (2, moved), (3, prose(rng, 90)), (4, " ".join(half[:10]) + " " + prose(rng, 50)), (5, "too short")]
+    rows = [*ODD, (1, prose(rng, 40) + " " + items[3][1].upper() + " " + prose(rng, 10)), (2, moved), (3, prose(rng, 90)), (4, " ".join(half[:10]) + " " + prose(rng, 50)), (5, "a Quite short one"), (6, "quite a short"), (1, items[3][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = docs_of(spark, rows).withColumn("item_id", F.lit("clash"))
     for block in (1 << 20, 200):
         got = {(r.doc_id, r.item_id): r for r in decontaminate.find_contamination(df, bench, block_chars=block).collect()}
-        assert set(got) == {(1, "3"), (2, "0")} and got[(2, "0")].n_tiles == 2 and got[(1, "3")].coverage == 1.0
+        assert set(got) == {(1, "3"), (2, "0"), (5, "50")} and got[(2, "0")].n_tiles == 2 and got[(1, "3")].coverage == 1.0
     left = decontaminate.drop_contaminated(df, bench)
-    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {1, 2}
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {1, 2, 5}
     assert decontaminate.find_contamination(df, bench.limit(0)).count() == 0
 
 
 def test_tiles_do_not_overlap():
-    tiles = decontaminate.tile([(8, 0, 0), (8, 4, 4), (5, 20, 2)], 3)
+    tiles = decontaminate.tile([(8, 0, 0), (8, 4, 4), (5, 20, 2)], 3, 30, 20)
     used = [p + i for n, p, _ in tiles for i in range(n)]
     own = [q + i for n, _, q in tiles for i in range(n)]
     assert len(used) == len(set(used)) and len(own) == len(set(own))
 
 
+def brute_coverage(doc, item, least):
+    """Greedy string tiling by looking at all pairs of places again and again."""
+    used_d, used_i, covered = set(), set(), 0
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(doc)):
+            for q in range(len(item)):
+                n = 0
+                while p + n < len(doc) and q + n < len(item) and doc[p + n] == item[q + n] and p + n not in used_d and q + n not in used_i:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, q)
+        n, p, q = best
+        if n < min(least, len(item)):
+            return covered / len(item)
+        used_d.update(range(p, p + n)), used_i.update(range(q, q + n))
+        covered += n
+
+
+@pytest.mark.parametrize("pairs", [1 << 21, 0])
+def test_coverage_against_brute_force(monkeypatch, pairs):
+    monkeypatch.setattr(decontaminate.runs, "__defaults__", (pairs,))
+    rng = random.Random(pairs)
+    for _ in range(150):
+        letters = "abcdefghijklmnop"[: rng.choice([1, 2, 3, 16])]
+        item = [rng.choice(letters) for _ in range(rng.randint(1, 14))]
+        doc = [rng.choice(letters) for _ in range(rng.randint(0, 12))] + item[rng.randint(0, 5) :] + [rng.choice(letters) for _ in range(8)] + item[: rng.randint(0, 9)]
+        index = decontaminate.ItemIndex(["x"], [" ".join(item)], 3)
+        got = decontaminate.contaminated(next(words.hash_texts([" ".join(doc)])) if doc else np.empty(0, np.uint64), index, 1e-9)
+        assert (got[0][1] if got else 0.0) == pytest.approx(brute_coverage(doc, item, 3))
+
+
+def test_long_texts_that_repeat_themselves_are_tiled():
+    text = "spam ham spam ham eggs " * 40_000 + "tail"
+    item = "spam ham spam ham eggs " * 60
+    index = decontaminate.ItemIndex(["x"], [item], 5)
+    (found,) = decontaminate.contaminated(next(words.hash_texts([text])), index, 0.6)
+    assert found[1] == 1.0 and found[3] == 300
+
+
 # ---- 7 and 8 ---------------------------------------------------------------------
 
 
@@ -418,6 +545,13 @@ def test_random_keys_are_found(spark):
     assert not any(r.spans for r in secrets.find_secrets(docs_of(spark, [(i, f"a {x} b") for i, x in enumerate(plain)])).select("doc_id", F.filter("spans", lambda s: s["kind"] == "entropy").alias("spans")).collect())
 
 
+def test_very_long_runs_cost_in_proportion(spark):
+    rng = random.Random(10)
+    run = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000))
+    got = secrets.find_secrets(docs_of(spark, [(1, f"a {run} b")])).first().spans
+    assert ("entropy", 2, 200_002) in [(s.kind, s.start, s.end) for s in got]
+
+
 def test_entropy_of_a_window(spark):
     run = "aaaaabbbbbcccccdddddk9X2pLq8Vn3Zr7Tb5Wm1"
     want = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(run[i : i + 20]).values()) for i in range(len(run) - 19))
@@ -463,6 +597,58 @@ def test_quality(spark, sf):
     assert quality.quality(rows.limit(0)).count() == 0
 
 
+def brute_factors(x):
+    """Centre and scatter of the core of the least determinant, by numpy, with the bins of the operator."""
+    ridge = np.diag([quality.RIDGE[f] for f in quality.FEATURES])
+    fit = lambda rows: (rows.mean(axis=0), np.cov(rows.T, bias=True) + ridge)
+    far = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    at = lambda v, q: np.sort(v)[math.ceil(q * len(v)) - 1]
+
+    def core(d):
+        edge = 2 ** ((math.floor(math.log2(max(at(d, quality.CORE_SHARE), 1e-9)) * quality.DISTANCE_BINS) + 1) / quality.DISTANCE_BINS)
+        return x[d <= edge]
+
+    low, mid, high = ([math.floor(at(x[:, j], q) * quality.FEATURE_BINS) for j in range(5)] for q in (0.25, 0.5, 0.75))
+    spread = (np.array(high) - np.array(low)) / (quality.FEATURE_BINS * 1.349)
+    parts = (x - (np.array(mid) + 0.5) / quality.FEATURE_BINS) ** 2 / (spread**2 + np.diag(ridge))
+    ends = []
+    for d in (parts.sum(axis=1), parts.max(axis=1), far(*fit(x))):
+        best = fit(core(d))
+        for _ in range(quality.STEPS - 1):
+            new = fit(core(far(*best)))
+            if np.linalg.slogdet(new[1])[1] < np.linalg.slogdet(best[1])[1]:
+                best = new
+        ends.append(best)
+    return min(ends, key=lambda e: np.linalg.slogdet(e[1])[1]), far
+
+
+def test_verdicts_against_numpy(spark):
+    rng = random.Random(41)
+    rows = [(i, prose(rng, rng.randint(20, 200)) + " #$%" * rng.choice([0, 0, 1, 9]), "en", "a" if i < 90 else "b") for i in range(150)]
+    rows += [(200 + i, " ".join(w + "%" * 9 for w in prose(rng, 30).split()), "en", "a") for i in range(18)] + [(300, prose(rng, 40), None, None), (301, prose(rng, 50), "de", None)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], DOCS)
+    stats = {r.id: [r[f] for f in quality.FEATURES] for r in quality.statistics(df, id_col="doc_id", text_col="text", keys=["lang"]).select("id", *quality.features()).collect()}
+    got = {r.doc_id: r for r in quality.quality(df.unionByName(df.where("doc_id = 300"))).collect()}
+    every = [i for i in stats if not got[i].base_failed]
+    for group in ([i for i in every if i < 90 or 200 <= i < 300], [i for i in every if 90 <= i < 150], None):
+        ids = group if group is not None else [*every, 300]
+        x = np.array([stats[i] for i in ids])
+        (centre, scatter), far = brute_factors(x)
+        d = far(centre, scatter) if False else np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+        half = 2 ** ((math.floor(math.log2(np.sort(d)[math.ceil(0.5 * len(d)) - 1]) * quality.DISTANCE_BINS) + 1) / quality.DISTANCE_BINS)
+        for i, value in zip(ids, d * min(1.0, quality.CHI2_MEDIAN / half), strict=True):
+            if group is not None or i >= 300:
+                assert got[i].distance == pytest.approx(value, rel=0.02), i
+                assert got[i].kept == (got[i].distance <= quality.CUTOFF)
+
+
+def test_outliers_that_would_hide_one_another(spark):
+    rng = random.Random(43)
+    rows = [(i, prose(rng, rng.randint(80, 300))) for i in range(120)] + [(500 + i, " ".join(w + "%%%%%%%%" for w in prose(rng, 200).split())) for i in range(25)]
+    got = {r.doc_id: r.kept for r in quality.quality(docs_of(spark, rows)).collect()}
+    assert all(got[i] == (i < 500) for i in got)
+
+
 def test_outlier_is_rejected(spark):
     rng = random.Random(7)
     rows = [(i, prose(rng, rng.randint(80, 300))) for i in range(120)] + [(500, " ".join(w + "%%%%%%%%" for w in prose(rng, 200).split()))]
@@ -474,6 +660,28 @@ def test_outlier_is_rejected(spark):
 # ---- 10 ------------------------------------------------------------------------
 
 
+def test_risk_against_the_formula():
+    rng = np.random.default_rng(4)
+    zp, zu, prior = rng.normal(1, 1, 30), rng.normal(-1, 1, 200), 0.2
+    loss = lambda z, y: math.log(1 + math.exp(-y * z))
+    plus, minus = toxicity.nnpu_risk(zp, zu, prior)
+    assert plus == pytest.approx(prior * sum(loss(z, 1) for z in zp) / 30)
+    assert minus == pytest.approx(sum(loss(z, -1) for z in zu) / 200 - prior * sum(loss(z, -1) for z in zp) / 30)
+    # The gradient steps lower the corrected risk.
+    positive, unlabelled = toxicity.Presence([[0]] * 30, 2), toxicity.Presence([[0]] * 20 + [[1]] * 180, 2)
+    weights, bias = toxicity.nnpu_fit(positive, unlabelled, 0.1)
+    assert weights[0] + bias > 0 > weights[1] + bias
+
+
+def test_bounds_of_the_sample_hold_for_repeated_ids(spark):
+    docs = docs_of(spark, [(i % 7, f"vile words {i}") for i in range(300)])
+    labels = spark.createDataFrame([(i % 7, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    usable = labels.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    got = Counter(r.kind for r in toxicity._sample(docs, usable, 20, 30).collect())
+    assert got == {1: 20, 0: 30}
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 300
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     bad = ["vile", "nasty", "awful"]
