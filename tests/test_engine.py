@@ -1,4 +1,5 @@
 import json
+import shutil
 
 import pytest
 
@@ -12,10 +13,18 @@ A = [("a1", "Norton Antivirus 2007 Pack", "Symantec", "20"), ("a2", "Norton Anti
 B = [("b1", "Norton Antivirus 2007 Pack Win", "Symantec", "20"), ("b2", "Norton Antivirus 2007 Pack PC", "Symantec", "20"), ("b3", "Acme Photo Studio Suite Mac", "Acme", "50"), ("b4", "Acme Photo Studio Suite Win", "Acme", "50"), ("b5", "Bonus Garden Tools", "Yard", "7")]
 
 
+@pytest.fixture(scope="module")
+def resolved(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("master")
+    return root, Engine(spark, str(root)).resolve(spark.createDataFrame(A, COLS), spark.createDataFrame(B, COLS))
+
+
 @pytest.fixture()
-def run(spark, tmp_path):
-    engine = Engine(spark, str(tmp_path))
-    return engine, engine.resolve(spark.createDataFrame(A, COLS), spark.createDataFrame(B, COLS))
+def run(spark, resolved, tmp_path):
+    """An engine on a copy of the resolved master."""
+    root, found = resolved
+    shutil.copytree(root, tmp_path / "master")
+    return Engine(spark, str(tmp_path / "master")), found
 
 
 def answer(engine, run_id, offset=0, limit=50, drop=0, extra=False, title="Chosen title"):
