@@ -344,18 +344,21 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     rows = found.where("doc_id is not null").join(named.select("key", "component_id"), "key", "left")
     sets = F.xxhash64(F.coalesce("key", F.lit(b"")))
     by_id = rows.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("times"), F.min(sets).alias("low"), F.max(sets).alias("high"))
-    by_id = durable(by_id.select("doc_id", (F.col("component") < F.col("doc_id")).alias("copy"), F.col("times") > 1, F.col("low") < F.col("high")).toDF("doc_id", "copy", "twice", "several"), "ids")
-    gone = by_id.where("copy and not several").select(F.col("doc_id").alias("__own_id"))
-    own = F.col(f"`{id_col}`").cast("long") == F.col("__own_id")
-    left = docs.join(gone, own, "left_anti")
-    twice = by_id.where("twice and (several or not coalesce(copy, false))").select(F.col("doc_id").alias("__own_id"))
+    copy = F.coalesce(F.col("component") < F.col("doc_id"), F.lit(False))
+    by_id = durable(by_id.select("doc_id", copy, F.col("times") > 1, F.col("low") < F.col("high")).toDF("doc_id", "copy", "twice", "several"), "ids")
+    state = by_id.select("doc_id", F.expr("copy and not several").alias("gone"), F.expr("twice and (several or not copy)").alias("again"))
+    # Ids that go are a share of the input, so they outgrow a broadcast; a join with them would shuffle every text.
+    own = F.col(f"`{id_col}`").cast("long")
+    left = bloom.rows_without(docs, own, state.where("gone or again").select("doc_id"), state.where("not (gone or again)").select("doc_id"))
+    twice = state.where("again").select("doc_id")
     if twice.isEmpty():
+        forget(by_id)
         return left
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    again = left.join(twice, own, "left_semi").select(row, F.col(f"`{text_col}`").alias("text"))
+    again = bloom.rows_in(docs, own, twice).select(row, F.col(f"`{text_col}`").alias("text"))
     kind = again.schema["row"].dataType.simpleString()
     keyed = again.mapInArrow(_keyed(k, 1), f"row {kind}, key binary")
     order = F.struct(*[F.col(f"row.`{f.name}`") for f in docs.schema if f.dataType.simpleString().split("<")[0] not in ("map", "variant")])
     least = keyed.groupBy(F.col(f"row.`{id_col}`").alias("__own_id"), "key").agg(F.min_by("row", order).alias("row"))
     one = least.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
-    return left.join(twice, own, "left_anti").unionByName(one)
+    return left.unionByName(one)

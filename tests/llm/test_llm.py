@@ -65,6 +65,19 @@ def test_bloom_loses_nothing(spark):
     assert not bloom.may_hold(bloom.build(spark.range(0), 0), np.arange(10)).any()
 
 
+@pytest.mark.parametrize("bits", [8, 12, 28])
+def test_rows_without_ids_are_exact_however_full_the_filters(spark, monkeypatch, bits):
+    monkeypatch.setattr(bloom, "LEAST", min(bits, bloom.LEAST))
+    monkeypatch.setattr(bloom, "MOST", bits)
+    rows = spark.createDataFrame([(i % 900 if i % 50 else None, str(i)) for i in range(1500)], "id long, text string")
+    ids, others = spark.range(0, 900, 3), spark.range(900).where("id % 3 > 0")
+    got = Counter((r.id, r.text) for r in bloom.rows_without(rows, F.col("id"), ids, others).collect())
+    assert got == Counter((r.id, r.text) for r in rows.collect() if r.id is None or r.id % 3)
+    assert bloom.rows_without(rows, F.col("id"), ids, ids.limit(0)).where("id % 3 = 0").count() == 0
+    got = Counter((r.id, r.text) for r in bloom.rows_in(rows, F.col("id"), ids).collect())
+    assert got == Counter((r.id, r.text) for r in rows.collect() if r.id is not None and r.id % 3 == 0)
+
+
 # ---- 1 -------------------------------------------------------------------------
 
 
@@ -154,6 +167,43 @@ def test_one_of_each_group_stays(spark):
     assert minhash.drop_near_duplicates(df.limit(0)).columns == df.columns
 
 
+def shuffled_rows(df, column):
+    """Rows that the exchanges of a collected plan wrote, of those that carry the column."""
+    total, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        if kind == "ShuffleExchangeExec" and column in plan.schema().simpleString():
+            total += plan.metrics().apply("shuffleRecordsWritten").value()
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_few_texts_are_shuffled_to_drop_copies(spark, repeat):
+    rng = random.Random(12)
+    texts = [prose(rng, 12) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t.upper()) for i, t in enumerate(texts[:300])] + [(2000 + i, "") for i in range(20)]
+    rows += [(7, texts[7]), (8, texts[9]), (None, texts[0])] * repeat
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = minhash.drop_near_duplicates(docs_of(spark, rows))
+        got = Counter((r.doc_id, r.text) for r in left.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = Counter({(i, t): 1 for i, t in enumerate(texts)} | {(2000 + i, ""): 1 for i in range(20)})
+    if repeat:
+        want += Counter([(None, texts[0]), (8, texts[9])])
+        del want[9, texts[9]]  # id 8 holds it too
+    assert got == want
+    assert shuffled_rows(left, "text") < len(rows) / 10
+
+
 def test_sketch_estimates_high_similarity():
     rng = np.random.default_rng(1)
     limit = minhash.sketch_limit(0.8, 96)
