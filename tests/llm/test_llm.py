@@ -462,6 +462,57 @@ def test_passages_with_an_inserted_or_deleted_word(n):
     assert whole >= 150 and found == whole
 
 
+def test_a_pair_hashes_no_shingles_again(monkeypatch):
+    """Cutting a loose stretch into its similar parts costs no new hashes or sets of words."""
+    rng = random.Random(41)
+    passage = prose(rng, 400).split()
+    changed = [f"zz{i}" if i % 80 < 20 and i % 3 == 0 else w for i, w in enumerate(passage)]
+    a, b = (compact_windows.Shingled(x.astype(np.uint32), 5) for x in words.hash_texts([" ".join(passage), " ".join(changed)]))
+    calls = []
+    monkeypatch.setattr(compact_windows, "shingles", lambda *x: calls.append(x) or words.shingles(*x))
+    got = compact_windows.passages_of_pair(b, a, [(30, 21, 78, 30, 21, 78, -1)])
+    assert not calls
+    assert len(got) == 5 and all(s == s2 and e - s >= 60 for s, e, s2, _, _ in got)
+    assert all(v == compact_windows._similarity(b.words[s:e], a.words[s2:e2], 5) for s, e, s2, e2, v in got)
+
+
+def test_shingles_of_texts_that_repeat_themselves():
+    """Equal shingles, similarities and places of two texts against plain loops over them."""
+    rng = np.random.default_rng(43)
+    for trial in range(60):
+        k, kinds = int(rng.integers(1, 6)), int(rng.integers(1, 40))
+        x, y = (rng.integers(0, kinds, int(rng.integers(k, 150))).astype(np.uint32) for _ in range(2))
+        own, other = compact_windows.Shingled(x, k), compact_windows.Shingled(y, k)
+        pair = compact_windows.Compared(own, other, k)
+        low, high = sorted(rng.integers(-60, 60, 2).tolist())
+        every = {(i, i - j) for i, v in enumerate(own.shingles) for j, w in enumerate(other.shingles) if v == w}
+        at, on = pair.matches(low, high)
+        assert len(at) == len(set(zip(at.tolist(), on.tolist(), strict=True))) and (np.diff(at) >= 0).all()
+        assert {m for m in zip(at.tolist(), on.tolist(), strict=True) if low <= m[1] <= high} == {m for m in every if low <= m[1] <= high} and set(zip(at.tolist(), on.tolist(), strict=True)) <= every
+        for _ in range(20):
+            (s, e), (lo, hi) = (sorted(rng.choice(len(z) + 1, 2, replace=False).tolist()) for z in (x, y))
+            assert pair.similarity(s, e, lo, hi) == compact_windows._similarity(x[s:e], y[lo:hi], k)
+        if not len(at):
+            continue
+        a, b = int(at[0]), int(at[-1]) + k
+        want, length = [-1] * (b - a), [0] * (b - a)
+        for shift in np.unique(on).tolist():
+            i = a
+            while i < b:
+                j = i
+                while j < b and 0 <= j - shift < len(y) and x[j] == y[j - shift]:
+                    j += 1
+                for m in range(i, j):
+                    if j - i > length[m - a] and (j - i >= k or len(np.unique(on)) == 1):
+                        want[m - a], length[m - a] = m - shift, j - i
+                i = max(j, i + 1)
+        cells, compact_windows._CELLS = compact_windows._CELLS, 50 if trial % 2 else 1 << 20
+        try:
+            assert compact_windows._where(pair, a, b, at, on).tolist() == want
+        finally:
+            compact_windows._CELLS = cells
+
+
 # ---- 6 -------------------------------------------------------------------------
 
 
