@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldweave.llm import compact_windows, decontaminate, html_extract, minhash, packing, pii, quality, secrets, toxicity, url_filter
+from goldweave.llm import annulus, compact_windows, decontaminate, fill_in_middle, html_extract, minhash, packing, pii, quality, secrets, token_counts, toxicity, url_filter
 from goldweave.llm.spans import count_kind, joined
 
 #: Fixed values of the query: (verdict, host, path).
@@ -79,6 +79,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,9 +110,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_token_counts": op13_token_counts,
     "pipeline": pipeline,
 }
 
+_WHITE, _INK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+
+
+def _clustering_sql() -> str:
+    """The rounds of ``op12`` one after the other: distances to all centroids, then floors of means."""
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND abs(CAST(x AS DOUBLE)) < 524288)) = 64)""",
+        """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS k, v AS c FROM kept QUALIFY k < 40)""",
+    ]
+    near = """a{r} AS MATERIALIZED (
+  SELECT row_id, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, k := k)) AS near
+  FROM (SELECT row_id, vec_id, v, k, CAST(list_inner_product(v, v) + list_inner_product(c, c) - 2 * list_inner_product(v, c) AS BIGINT) AS d FROM kept, c{r}) GROUP BY row_id)"""
+    move = """c{s} AS MATERIALIZED (
+  SELECT c{r}.k, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+    SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS c FROM (
+      SELECT near.k AS k, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, range(1, 65) AS t(i) GROUP BY near.k, i) GROUP BY k) m ON m.k = c{r}.k)"""
+    for r in range(5):
+        steps += [near.format(r=r), move.format(r=r, s=r + 1)]
+    steps.append(near.format(r=5))
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + """
+SELECT vec_id, CAST(near.k AS INTEGER) AS cluster, near.d AS distance, CAST(sum(near.d) OVER (PARTITION BY near.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(near.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON c5.k = near.k
+"""
+    )
+
+
 _OP1_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": f"""
@@ -141,4 +191,25 @@ least_id AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_i
 SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
 FROM sized s JOIN least_id l ON s.doc_id = l.doc_id
 """,
+    "op11_fill_in_middle": f"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WHITE}*{_INK}+|{_WHITE}+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+numbers AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM cut),
+placed AS (
+  SELECT doc_id, text, u, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers),
+parts AS (
+  SELECT doc_id, text, n, form, array_to_string(list_slice(u, 1, a), '') AS p, array_to_string(list_slice(u, a + 1, b), '') AS m, array_to_string(list_slice(u, b + 1, n), '') AS s
+  FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+""",
+    "op12_centroid_clustering": _clustering_sql(),
 }
