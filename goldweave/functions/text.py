@@ -170,6 +170,11 @@ def _cut(text: Column, n: int):
     return lambda i: F.substring(text, i, n)
 
 
+def words(norm: Column) -> Column:
+    """The words of a normalised text, with repeats."""
+    return F.filter(F.split(norm, " "), lambda t: t != "")
+
+
 def char_ngrams(norm: Column, low: int = 3, high: int = 5) -> Column:
     """N-grams of words padded by a space on either side, with repeats."""
 

@@ -142,20 +142,28 @@ def uncovered_members(expected: DataFrame, given: DataFrame) -> DataFrame:
     return expected.select("cluster_id", "member").distinct().join(merged, ["cluster_id", "member"], "left_anti")
 
 
+def members_of(columns: list[str]) -> Column:
+    """The distinct records of a group as an array of structs in the order of their fields; attributes, if any, come last and as a map."""
+    fields = ["source_table", "source_id", "title", "manufacturer", "price"]
+    # Maps neither sort nor compare, so they are entries until the set is made.
+    entries = F.map_entries("attributes") if "attributes" in columns else F.lit(None).cast("array<struct<key:string,value:string>>")
+    found = F.array_sort(F.collect_set(F.struct(*fields, F.array_sort(entries).alias("e"))))
+    return F.transform(found, lambda m: F.struct(*[m[c].alias(c) for c in fields], F.map_from_entries(m["e"]).alias("attributes")))
+
+
 def joined_results(records: DataFrame, results: DataFrame) -> DataFrame:
     """Entities of decided clusters with their members' records: cluster_id, entity_pos, title, confidence, reason, members.
 
     ``records`` has cluster_id, node_id, source_table, source_id, title,
-    manufacturer, price and max_confidence; members that no record has, and
-    clusters that are not asked for, are left out.  ``foreign_title`` warns of
-    a title that none of the members has.
+    manufacturer, price, max_confidence and perhaps attributes; members that
+    no record has, and clusters that are not asked for, are left out.
+    ``foreign_title`` warns of a title that none of the members has.
     """
     wanted = results.where(is_merge(F.col("decision"))).select("cluster_id", "entity_pos", "canonical_title", "confidence", "reason", F.col("member").alias("node_id"))
     both = records.join(wanted, ["cluster_id", "node_id"])
-    member = F.struct("source_table", "source_id", "title", "manufacturer", "price")
     out = both.groupBy("cluster_id", "entity_pos").agg(
         F.first("canonical_title").alias("title"), F.coalesce(F.max("confidence"), F.max("max_confidence"), F.lit(0.9)).alias("confidence"), F.max("reason").alias("reason"),
-        F.array_sort(F.collect_set(member)).alias("members"),
+        members_of(records.columns).alias("members"),
     )
     same = F.exists("members", lambda m: m["title"] == F.col("title"))
     return out.withColumn("foreign_title", ~F.coalesce(same, F.lit(False)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldweave.functions.text import jaccard
+from goldweave.functions.numeric import normalize_price
+from goldweave.functions.text import jaccard, normalize_manufacturer, normalize_text, tokens
 
 ROUGH, TOP_K, POSTING_RATIO, POSTING_FLOOR = 0.18, 40, 0.08, 25
 
@@ -58,17 +59,29 @@ def block_canonical(left: DataFrame, right: DataFrame, *, rough: float = ROUGH,
 
 
 def with_sides(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs with what scoring needs of both records."""
+    """Pairs with what scoring and the master need of both records: normal forms, raw makers, and attributes where there are any."""
 
     def side(df: DataFrame, p: str) -> DataFrame:
+        raw = [F.col(c).alias(f"{p}_{c}") for c in ("manufacturer", "attributes") if c in df.columns]
         return df.select(
             F.col("id").alias(f"{p}_id"), F.col("title").alias(f"{p}_title"), F.col("title_norm").alias(f"{p}_norm"), F.col("manufacturer_norm").alias(f"{p}_maker"),
-            F.col("price_norm").alias(f"{p}_price"), F.col("tokens").alias(f"{p}_tokens"),
+            F.col("price_norm").alias(f"{p}_price"), F.col("tokens").alias(f"{p}_tokens"), *raw,
         )
 
     return pairs.join(side(left, "l"), "l_id").join(side(right, "r"), "r_id")
 
 
+def pair_sides(pairs: DataFrame) -> DataFrame:
+    """Labeled pairs with the raw columns l_id, l_title, ..., r_price in the columns of ``with_sides``; others stay."""
+    out = pairs
+    for p in ("l", "r"):
+        norm = normalize_text(F.col(f"{p}_title"))
+        out = out.withColumns({
+            f"{p}_norm": norm, f"{p}_maker": normalize_manufacturer(F.col(f"{p}_manufacturer")), f"{p}_price": normalize_price(F.col(f"{p}_price")), f"{p}_tokens": tokens(norm),
+        })
+    return out
+
+
 def rough_score(l_parts: Column, r_parts: Column, weights: list[float]) -> Column:
     """Weighted overlap of the columns' tokens; columns that are empty on both sides don't count."""
     total, used = F.lit(0.0), F.lit(0.0)

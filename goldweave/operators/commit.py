@@ -2,9 +2,10 @@
 
 A candidate is one row: ``cand_id``, ``title``, ``source``, ``confidence``,
 ``reason``, an explicit ``entity_id`` or null, ``members``
-(array<struct<source_table, source_id, title, manufacturer, price>>), the two
-sides ``table1`` and ``table2`` (struct<id, title, manufacturer, price>, or
-null), ``attributes`` (map of further columns) and ``scores``.
+(array<struct<source_table, source_id, title, manufacturer, price, attributes>>),
+the two sides ``table1`` and ``table2`` (struct<id, title, manufacturer, price,
+attributes>, or null), ``attributes`` (map of further columns) and ``scores``.
+The attributes of a record map the columns of the schema plan to their texts.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from goldweave.functions.numeric import normalize_price
 from goldweave.functions.text import normalize_text
 from goldweave.operators.golden import insert_missing, present, selected_side, source_label, status_for, upsert
 
-SIDE = "struct<id:string,title:string,manufacturer:string,price:string>"
-MEMBER = "struct<source_table:string,source_id:string,title:string,manufacturer:string,price:string>"
+ATTRIBUTES = "map<string,string>"
+SIDE = f"struct<id:string,title:string,manufacturer:string,price:string,attributes:{ATTRIBUTES}>"
+MEMBER = f"struct<source_table:string,source_id:string,title:string,manufacturer:string,price:string,attributes:{ATTRIBUTES}>"
 SCORES = "struct<gbt_score:double,mlp_score:double,lexical_score:double,rank_fusion_score:double,confidence:double>"
 CANDIDATE = (
     f"cand_id string, title string, source string, confidence double, reason string, entity_id string, members array<{MEMBER}>, table1 {SIDE}, table2 {SIDE}, "
@@ -36,7 +38,7 @@ def candidates_from_members(entities: DataFrame) -> DataFrame:
     ``entities`` has cand_id, title, source, confidence, reason, members and scores.
     """
     first = lambda t: F.get(F.filter("members", lambda m: m["source_table"] == t), 0)
-    side = lambda m: F.when(m.isNotNull(), F.struct(m["source_id"].alias("id"), m["title"].alias("title"), m["manufacturer"].alias("manufacturer"), m["price"].alias("price")))
+    side = lambda m: F.when(m.isNotNull(), F.struct(m["source_id"].alias("id"), m["title"].alias("title"), m["manufacturer"].alias("manufacturer"), m["price"].alias("price"), m["attributes"].alias("attributes")))
     longest = F.array_max(F.transform("members", lambda m, i: F.struct(F.length(F.coalesce(m["title"], F.lit(""))).alias("n"), (-i).alias("i"), m["title"].alias("t"))))["t"]
     return entities.select(
         "cand_id", F.coalesce(present(F.col("title")), longest, F.lit(UNTITLED)).alias("title"), "source", F.coalesce("confidence", F.lit(0.9)).alias("confidence"), "reason",
@@ -45,29 +47,26 @@ def candidates_from_members(entities: DataFrame) -> DataFrame:
     )
 
 
-_REF = "struct<source_table:string,source_id:string,title:string,manufacturer:string,price:string>"
-
-
 def _refs(members: Column) -> Column:
     """All references of a candidate in order: its members, then its sides, but not a side that is an entity."""
-    own = F.filter(members, lambda m: present(m["source_table"]).isNotNull() & present(m["source_id"]).isNotNull())
-    none = F.array().cast(f"array<{_REF}>")
+    named = F.filter(members, lambda m: present(m["source_table"]).isNotNull() & present(m["source_id"]).isNotNull())
+    none = F.array().cast(f"array<{MEMBER}>")
 
     def side(name: str, counts: Column) -> Column:
         s = F.col(name)
-        one = F.struct(F.lit(name).alias("source_table"), s["id"].alias("source_id"), s["title"].alias("title"), s["manufacturer"].alias("manufacturer"), s["price"].alias("price"))
-        return F.coalesce(F.when(present(s["id"]).isNotNull() & counts, F.array(one).cast(f"array<{_REF}>")), none)
+        one = F.struct(F.lit(name).alias("source_table"), s["id"].alias("source_id"), s["title"].alias("title"), s["manufacturer"].alias("manufacturer"), s["price"].alias("price"), s["attributes"].alias("attributes"))
+        return F.coalesce(F.when(present(s["id"]).isNotNull() & counts, F.array(one).cast(f"array<{MEMBER}>")), none)
 
     entity = F.startswith(F.col("table1.id"), F.lit(_ENTITY))
-    return F.concat(F.coalesce(own.cast(f"array<{_REF}>"), none), side("table1", ~entity), side("table2", F.lit(True)))
+    return F.concat(F.coalesce(named.cast(f"array<{MEMBER}>"), none), side("table1", ~entity), side("table2", F.lit(True)))
 
 
 def source_refs(candidates: DataFrame) -> DataFrame:
-    """(cand_id, pos, source_table, source_id, title, manufacturer, price); a candidate without any reference is an incoming row of its own id."""
+    """(cand_id, source_table, source_id, pos, title, manufacturer, price, attributes); a candidate without any reference is an incoming row of its own id."""
     refs = _refs(F.col("members"))
-    alone = F.array(F.struct(F.lit("incoming").alias("source_table"), F.col("cand_id").alias("source_id"), "title", F.lit(None).alias("manufacturer"), F.lit(None).alias("price")).cast(_REF))
+    alone = F.array(F.struct(F.lit("incoming").alias("source_table"), F.col("cand_id").alias("source_id"), "title", F.lit(None).alias("manufacturer"), F.lit(None).alias("price"), F.lit(None).alias("attributes")).cast(MEMBER))
     out = candidates.select("cand_id", F.posexplode(F.when(F.size(refs) > 0, refs).otherwise(alone)).alias("pos", "r")).select("cand_id", "pos", "r.*")
-    first = [F.min_by(c, "pos").alias(c) for c in ("title", "manufacturer", "price")]
+    first = [F.min_by(c, "pos").alias(c) for c in ("title", "manufacturer", "price", "attributes")]
     return out.groupBy("cand_id", "source_table", "source_id").agg(F.min("pos").alias("pos"), *first)
 
 
@@ -117,22 +116,23 @@ def with_lineage(candidates: DataFrame) -> DataFrame:
 
 
 def _of_side(field: str) -> Column:
-    """The selected side's value, else the attribute, else the first side's, else the second's."""
+    """The selected side's value, else the attribute, else the first side's, else the second's, else the first member's that has one."""
     own = F.when(F.col("selected_side") == "table1", F.col(f"table1.{field}")).when(F.col("selected_side") == "table2", F.col(f"table2.{field}"))
-    return F.coalesce(present(own), present(F.element_at("attributes", F.lit(field))), present(F.col(f"table1.{field}")), present(F.col(f"table2.{field}")))
+    member = F.get(F.filter(F.transform("members", lambda m: present(m[field])), lambda v: v.isNotNull()), 0)
+    return F.coalesce(present(own), present(F.element_at("attributes", F.lit(field))), present(F.col(f"table1.{field}")), present(F.col(f"table2.{field}")), member)
 
 
 def master_value(source: str, output: str) -> Column:
-    """A master column's value: by the selected side, the second, the first, the attributes, then the members."""
+    """A master column's value: by the selected side, the second, the first, the attributes, then the members.
+
+    Of each record the attribute of that name counts before its own field.
+    """
     known = source in ("title", "manufacturer", "price")
-    tries = []
-    if known:
-        own = F.when(F.col("selected_side") == "table1", F.col(f"table1.{source}")).when(F.col("selected_side") == "table2", F.col(f"table2.{source}"))
-        tries += [own, F.col(f"table2.{source}"), F.col(f"table1.{source}")]
-    tries.append(F.element_at("attributes", F.lit(source)))
-    if known:
-        tries.append(F.get(F.filter(F.transform("members", lambda m: m[source]), lambda v: present(v).isNotNull()), 0))
-    value = F.coalesce(*[present(t) for t in tries])
+    of = lambda r: [present(F.element_at(r["attributes"], F.lit(source))), *([present(r[source])] if known else [])]
+    own = [F.when(F.col("selected_side") == t, F.coalesce(*of(F.col(t)))) for t in ("table1", "table2")]
+    tries = [*own, *of(F.col("table2")), *of(F.col("table1")), present(F.element_at("attributes", F.lit(source)))]
+    tries.append(F.get(F.filter(F.transform("members", lambda m: F.coalesce(*of(m))), lambda v: v.isNotNull()), 0))
+    value = F.coalesce(*tries, *([F.col("title")] if source in ("title", "name") else []))
     return normalize_price(value).cast("string") if output in ("price", "amount", "list_price") else value
 
 
@@ -144,7 +144,7 @@ def master_record(candidates: DataFrame, specs: list[tuple[str, str]]) -> DataFr
 
 
 def golden_payload(candidates: DataFrame, specs: list[tuple[str, str]]) -> DataFrame:
-    """(cand_id, title, manufacturer, price, selected_source_table, status, payload) with the payload as JSON."""
+    """(cand_id, title, manufacturer, price, selected_source_table, status, payload, attributes): the payload as JSON, and what its master record holds besides title, maker and price as a map."""
     out = master_record(with_lineage(candidates), specs)
     out = out.withColumns({"manufacturer": _of_side("manufacturer"), "price": normalize_price(_of_side("price")), "status": status_for(F.col("source"))})
     payload = F.struct(
@@ -152,15 +152,19 @@ def golden_payload(candidates: DataFrame, specs: list[tuple[str, str]]) -> DataF
         "confidence", "reason", F.struct(F.col("table1.id").alias("table1"), F.col("table2.id").alias("table2")).alias("source_ids"), F.col("scores").alias("match_scores"),
         F.struct("members", "table1", "table2", "attributes").alias("candidate"),
     )
-    return out.select("cand_id", "title", "manufacturer", "price", "selected_source_table", "status", "source", "confidence", "reason", F.to_json(payload).alias("payload"), "table1", "table2", "scores")
+    entries = [F.struct(F.lit(o).alias("key"), F.col("master_record").getField(o).alias("value")) for o, source in specs if source not in ("title", "manufacturer", "price")]
+    record = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull())) if entries else F.lit(None)
+    return out.select(
+        "cand_id", "title", "manufacturer", "price", "selected_source_table", "status", "source", "confidence", "reason", F.to_json(payload).alias("payload"), record.cast(ATTRIBUTES).alias("attributes"), "table1", "table2", "scores"
+    )
 
 
-def commit(tables: dict[str, DataFrame], candidates: DataFrame, *, specs: list[tuple[str, str]] | None = None, run_id: str = "") -> dict[str, DataFrame]:
-    """The tables entities, golden, links, aliases, decisions and log after the candidates are written.
+def changes(links: DataFrame, candidates: DataFrame, *, specs: list[tuple[str, str]] | None = None, run_id: str = "") -> dict[str, DataFrame]:
+    """What the candidates change: rows to upsert in entities and golden, to insert in links and aliases, to append to decisions and log.
 
     Each candidate goes to its owner, else to an entity whose id is made from
     its references; of several candidates of one entity the last by ``cand_id``
-    gives its row.  Links and aliases are added where they are missing.
+    gives its row.  ``links`` needs to hold only the candidates' references.
     """
     specs = specs or [("title", "title"), ("manufacturer", "manufacturer"), ("price", "price")]
     candidates = candidates.withColumn("title", F.coalesce(present(F.col("title")), present(F.col("table1.title")), present(F.col("table2.title")), F.lit(UNTITLED)))
@@ -168,13 +172,13 @@ def commit(tables: dict[str, DataFrame], candidates: DataFrame, *, specs: list[t
     refs = source_refs(candidates)
     name = F.sha2(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "source_table", "source_id"))), "|"), 256)
     fresh = refs.groupBy("cand_id").agg(name.alias("fresh"))
-    held = owners(candidates, tables["links"])
+    held = owners(candidates, links)
     owned = fresh.join(held, "cand_id", "left").select("cand_id", F.coalesce("entity_id", "fresh").alias("entity_id"), "conflict", "entity_ids")
     rows = made.join(owned, "cand_id")
     last = rows.groupBy("entity_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "entity_id"]), "cand_id").alias("x")).select("entity_id", "x.*")
-    entities = last.select("entity_id", F.col("title").alias("canonical_title"), "manufacturer", "price", "status", "selected_source_table", F.greatest("confidence", F.lit(0.0)).alias("confidence"))
+    entities = last.select("entity_id", F.col("title").alias("canonical_title"), "manufacturer", "price", "status", "selected_source_table", F.greatest("confidence", F.lit(0.0)).alias("confidence"), "attributes")
     golden = last.select("entity_id", "title", "manufacturer", "price", "selected_source_table", F.col("payload").alias("source_payload"), "source", "confidence")
-    links = refs.join(owned, "cand_id").select("entity_id", "source_table", "source_id", "title", "manufacturer", normalize_price(F.col("price")).alias("price"))
+    linked = refs.join(owned, "cand_id").select("entity_id", "source_table", "source_id", "title", "manufacturer", normalize_price(F.col("price")).alias("price"), "attributes")
     names = alias_refs(candidates).join(owned, "cand_id").select("entity_id", "alias_title", "normalized_title", "source_table", "source_id")
     decision = F.when(F.col("source").isin("llm", "human", "auto"), "same_entity").otherwise("uncertain")
     decisions = made.select(
@@ -183,28 +187,40 @@ def commit(tables: dict[str, DataFrame], candidates: DataFrame, *, specs: list[t
     )
     log = rows.select(F.lit("commit").alias("operation"), F.to_json(F.struct("title", "source", "confidence", "reason", "entity_id")).alias("payload"))
     clash = owned.where("conflict").select(F.lit("entity_link_conflict").alias("operation"), F.to_json(F.struct("cand_id", "entity_ids")).alias("payload"))
-    more = lambda n, df: tables[n].unionByName(df, allowMissingColumns=True) if n in tables else df
-    return {
-        "entities": upsert(tables["entities"], entities, ["entity_id"]),
-        "golden": upsert(tables["golden"], golden, ["entity_id"]),
-        "links": insert_missing(tables["links"], links, ["source_table", "source_id"]),
-        "aliases": insert_missing(tables["aliases"], names, ["entity_id", "normalized_title", "source_table", "source_id"]),
-        "decisions": more("decisions", decisions),
-        "log": more("log", log.unionByName(clash)),
-    }
+    return {"entities": entities, "golden": golden, "links": linked, "aliases": names, "decisions": decisions, "log": log.unionByName(clash)}
+
+
+#: Keys by which rows of the master tables are told apart; what has none is appended.
+UPSERT_KEYS = {"entities": ["entity_id"], "golden": ["entity_id"]}
+INSERT_KEYS = {"links": ["source_table", "source_id"], "aliases": ["entity_id", "normalized_title", "source_table", "source_id"]}
+
+
+def commit(tables: dict[str, DataFrame], candidates: DataFrame, *, specs: list[tuple[str, str]] | None = None, run_id: str = "") -> dict[str, DataFrame]:
+    """The tables entities, golden, links, aliases, decisions and log after the ``changes`` of the candidates."""
+    out = {}
+    for n, df in changes(tables["links"], candidates, specs=specs, run_id=run_id).items():
+        if n in UPSERT_KEYS:
+            out[n] = upsert(tables[n], df, UPSERT_KEYS[n])
+        elif n in INSERT_KEYS:
+            out[n] = insert_missing(tables[n], df, INSERT_KEYS[n])
+        else:
+            out[n] = tables[n].unionByName(df, allowMissingColumns=True) if n in tables else df
+    return out
 
 
 def master_view(golden: DataFrame, entities: DataFrame, specs: list[tuple[str, str]]) -> DataFrame:
     """One row per golden record: id, a column for each of (output, source), status, selected_source_table, confidence.
 
     A value comes from the payload's master record, else from the candidate's
-    attributes, second and first side, else from the golden record.
+    attributes, second and first side and their attributes, else from the
+    golden record.
     """
     columns = []
     for output, source in specs:
         p = F.col("g.source_payload")
         last = F.col("g.title") if output in ("title", "name") else F.col(f"g.{source}").cast("string") if source in ("manufacturer", "price") else F.lit(None).cast("string")
-        tries = [json_value(p, "master_record", output), json_value(p, "candidate", "attributes", source), json_value(p, "candidate", "table2", source), json_value(p, "candidate", "table1", source)]
+        paths = [("master_record", output), ("candidate", "attributes", source), *[("candidate", t, *rest, source) for t in ("table2", "table1") for rest in (("attributes",), ())]]
+        tries = [json_value(p, *path) for path in paths]
         columns.append(F.coalesce(*tries, last).alias(output))
     both = golden.alias("g").join(entities.alias("e"), F.col("g.entity_id") == F.col("e.entity_id"))
     return both.select(F.col("g.entity_id").alias("id"), *columns, F.col("e.status").alias("status"), F.col("g.selected_source_table").alias("selected_source_table"), F.col("g.confidence").alias("confidence"))

@@ -35,13 +35,32 @@ def tfidf_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def _one_array(rows: DataFrame, key: str, values: list[str], name: str) -> DataFrame:
+    """(key, name): the rows of each record as one array, sorted by term; a record has as many as its title has terms."""
+    return rows.groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("term", *values))).alias(name))
+
+
+def _met(left: Column, right: Column, weigh) -> Column:
+    """The sum of ``weigh(x, y)`` over the terms of both arrays.
+
+    Both arrays together are sorted, so that equal terms are neighbours; a
+    fold looks at each element and the one before it.
+    """
+    both = F.array_sort(F.concat(left, right))
+    none = F.get(F.slice(both, 1, 0), 0)
+    zero = F.struct(none.alias("last"), F.lit(0.0).alias("sum"))
+    step = lambda acc, x: F.struct(x.alias("last"), F.when(acc["last"]["term"] == x["term"], acc["sum"] + weigh(acc["last"], x)).otherwise(acc["sum"]).alias("sum"))
+    return F.coalesce(F.aggregate(both, zero, step, lambda acc: acc["sum"]), F.lit(0.0))
+
+
 def sparse_dot(pairs: DataFrame, left: DataFrame, right: DataFrame, name: str) -> DataFrame:
-    """(l_id, r_id, name): the dot product of each pair's vectors; pairs without a common term give 0."""
-    l = left.select(F.col("id").alias("l_id"), "term", F.col("w").alias("wl"))  # noqa: E741
-    r = right.select(F.col("id").alias("r_id"), "term", F.col("w").alias("wr"))
-    keys = pairs.select("l_id", "r_id")
-    dots = keys.join(l, "l_id").join(r, ["r_id", "term"]).groupBy("l_id", "r_id").agg(F.sum(F.col("wl") * F.col("wr")).alias(name))
-    return keys.join(dots, ["l_id", "r_id"], "left").select("l_id", "r_id", F.coalesce(name, F.lit(0.0)).alias(name))
+    """(l_id, r_id, name): the dot product of each pair's vectors; pairs without a common term give 0.
+
+    Vectors are gathered once per record, and a pair meets one array a side.
+    """
+    l, r = _one_array(left, "l_id", ["w"], "__l"), _one_array(right, "r_id", ["w"], "__r")  # noqa: E741
+    both = pairs.select("l_id", "r_id").join(l, "l_id", "left").join(r, "r_id", "left")
+    return both.select("l_id", "r_id", _met(F.col("__l"), F.col("__r"), lambda x, y: x["w"] * y["w"]).alias(name))
 
 
 def bm25_statistics(records: DataFrame) -> DataFrame:
@@ -52,27 +71,29 @@ def bm25_statistics(records: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(size)).withColumn("idf", idf)  # the right side is one row
 
 
-def bm25_similarity(pairs: DataFrame, records: DataFrame, stats: DataFrame) -> DataFrame:
-    """(l_id, r_id, title_bm25_similarity), symmetric and scaled by the larger self score.
-
-    ``records`` has id and words, the words of the title with repeats.
-    """
+def _bm25_weights(records: DataFrame, stats: DataFrame) -> DataFrame:
+    """(id, term, tf, s): the score that one occurrence of a word in another title finds in the record."""
     counts = records.select("id", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     weighted = counts.join(stats.select("term", "idf", "avg_len"), "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1e-9))))
-    weighted = weighted.select("id", "term", "tf", part.alias("s"))
-    own = weighted.groupBy("id").agg(F.sum(F.col("tf") * F.col("s")).alias("self"))
-    l = weighted.select(F.col("id").alias("l_id"), "term", F.col("tf").alias("tfl"), F.col("s").alias("sl"))  # noqa: E741
-    r = weighted.select(F.col("id").alias("r_id"), "term", F.col("tf").alias("tfr"), F.col("s").alias("sr"))
-    keys = pairs.select("l_id", "r_id")
-    both = keys.join(l, "l_id").join(r, ["r_id", "term"]).groupBy("l_id", "r_id")
+    return weighted.select("id", "term", F.col("tf").cast("double").alias("tf"), part.alias("s"))
+
+
+def bm25_similarity(pairs: DataFrame, records: DataFrame, stats: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """(l_id, r_id, title_bm25_similarity), symmetric and scaled by the larger self score.
+
+    ``records`` has id and words, the words of the title with repeats; with
+    ``right``, whose ids may repeat the left ones, it holds the left side only.
+    """
+    weights = _bm25_weights(records, stats)
+    other = weights if right is None else _bm25_weights(right, stats)
+    own = lambda p: F.aggregate(F.col(f"__{p}"), F.lit(0.0), lambda acc, x: acc + x["tf"] * x["s"])
+    l, r = _one_array(weights, "l_id", ["tf", "s"], "__l"), _one_array(other, "r_id", ["tf", "s"], "__r")  # noqa: E741
+    out = pairs.select("l_id", "r_id").join(l, "l_id", "left").join(r, "r_id", "left")
     # Each word of one title, as often as it occurs, looks up its score in the other.
-    both = both.agg((F.sum(F.col("tfl") * F.col("sr")) + F.sum(F.col("tfr") * F.col("sl"))).alias("both"))
-    out = keys.join(both, ["l_id", "r_id"], "left")
-    out = out.join(own.select(F.col("id").alias("l_id"), F.col("self").alias("self_l")), "l_id", "left").join(own.select(F.col("id").alias("r_id"), F.col("self").alias("self_r")), "r_id", "left")
-    top = F.greatest(F.coalesce("self_l", F.lit(0.0)), F.coalesce("self_r", F.lit(0.0)), F.lit(1e-9))
-    value = F.coalesce("both", F.lit(0.0)) / (2 * top)
-    return out.select("l_id", "r_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("title_bm25_similarity"))
+    both = _met(F.col("__l"), F.col("__r"), lambda x, y: x["tf"] * y["s"] + y["tf"] * x["s"])
+    top = F.greatest(F.coalesce(own("l"), F.lit(0.0)), F.coalesce(own("r"), F.lit(0.0)), F.lit(1e-9))
+    return out.select("l_id", "r_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), both / (2 * top))).alias("title_bm25_similarity"))
 
 
 def token_features(pairs: DataFrame) -> DataFrame:
@@ -96,32 +117,66 @@ def token_features(pairs: DataFrame) -> DataFrame:
     )
 
 
+#: Terms of a title by kind: what the cosines and BM25 count.
+KINDS = {"char": T.char_ngrams, "word": T.word_ngrams, "token": T.words}
+COUNTS, VOLUMES = "kind string, term string, df long", "n_docs long, words long"
+
+
+def title_counts(records: DataFrame) -> DataFrame:
+    """(kind, term, df): how many titles hold each term.  Counts of disjoint sets of records add up."""
+    norm = F.coalesce("title_norm", F.lit(""))
+
+    def tagged(kind: str) -> Column:
+        return F.transform(F.array_distinct(KINDS[kind](norm)), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+
+    terms = [tagged(kind) for kind in KINDS]
+    return records.select(F.explode(F.concat(*terms)).alias("t")).groupBy("t.kind", "t.term").agg(F.count("*").alias("df"))
+
+
+def title_volumes(records: DataFrame) -> DataFrame:
+    """(n_docs, words): titles and their words; one row."""
+    return records.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size(T.words(F.coalesce("title_norm", F.lit(""))))), F.lit(0)).cast("long").alias("words"))
+
+
 class FeatureBuilder:
-    """Statistics of all titles, fit once; ``transform`` adds the thirteen features to pairs."""
+    """Statistics of titles; ``transform`` adds the thirteen features to pairs.
+
+    The statistics are sums, ``counts`` (kind, term, df) and ``volumes``
+    (n_docs, words), so those of several sets of records are added by a union.
+    """
+
+    def __init__(self, counts: DataFrame, volumes: DataFrame) -> None:
+        self.counts, self.volumes = counts, volumes
 
-    def __init__(self) -> None:
-        self.idf: dict[str, DataFrame] = {}
-        self.stats: DataFrame | None = None
+    @classmethod
+    def fit(cls, records: DataFrame) -> FeatureBuilder:
+        return cls(title_counts(records), title_volumes(records))
 
-    def fit(self, records: DataFrame) -> FeatureBuilder:
-        n = records.count()
-        for name, terms in (("char", T.char_ngrams(F.col("title_norm"))), ("word", T.word_ngrams(F.col("title_norm")))):
-            self.idf[name] = tfidf_idf(term_counts(records, terms), n)
-        self.stats = bm25_statistics(_words(records))
-        return self
+    @staticmethod
+    def columns_needed(pairs: DataFrame) -> list[str]:
+        return [c for c in ("l_id", "r_id", "l_norm", "r_norm", "l_tokens", "r_tokens", "l_maker", "r_maker", "l_price", "r_price") if c not in pairs.columns]
 
-    def transform(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    def transform(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (columns of ``blocking.with_sides``) with the features; the titles come from the pairs themselves."""
+        if missing := self.columns_needed(pairs):
+            raise ValueError(f"pairs lack {missing}")
+        size = self.volumes.agg(F.sum("n_docs").alias("n"), F.sum("words").alias("w")).first()
+        n, words = size["n"] or 0, size["w"] or 0
         pairs = settled(pairs)  # every feature reads the pairs
+        counts = self.counts.groupBy("kind", "term").agg(F.sum("df").alias("df"))
+        own = [pairs.select(F.col(f"{p}_id").alias("id"), F.col(f"{p}_norm").alias("title_norm")).dropDuplicates(["id"]) for p in ("l", "r")]
         out = token_features(pairs)
-        for name, terms in (("char", T.char_ngrams), ("word", T.word_ngrams)):
-            sides = [tfidf_vectors(term_counts(x, terms(F.col("title_norm"))), self.idf[name]) for x in (left, right)]
+        for name in ("char", "word"):
+            idf = counts.where(F.col("kind") == name).select("term", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+            sides = [tfidf_vectors(term_counts(x, KINDS[name](F.col("title_norm"))), idf) for x in own]
             out = out.join(sparse_dot(pairs, *sides, f"{name}_tfidf_cosine"), ["l_id", "r_id"])
-        both = _words(left).union(_words(right))
-        return out.join(bm25_similarity(pairs, both, self.stats), ["l_id", "r_id"])
+        stats = counts.where("kind = 'token'").select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.lit(words / max(n, 1)).alias("avg_len"))
+        left, right = (_words(x) for x in own)
+        return out.join(bm25_similarity(pairs, left, stats, right), ["l_id", "r_id"])
 
 
 def _words(records: DataFrame) -> DataFrame:
-    return records.select("id", F.filter(F.split("title_norm", " "), lambda t: t != "").alias("words"))
+    return records.select("id", T.words(F.col("title_norm")).alias("words"))
 
 
 def lexical_score() -> Column:

@@ -71,8 +71,9 @@ def entity_table(rows: DataFrame, source: str) -> DataFrame:
 
 
 def golden_from_entities(entities: DataFrame) -> DataFrame:
-    """One golden row for each entity."""
-    payload = F.to_json(F.struct(F.col("canonical_title").alias("title"), "manufacturer", "price"))
+    """One golden row for each entity; its attributes, where the table has them, are the payload's master record."""
+    record = [F.col("attributes").alias("master_record")] if "attributes" in entities.columns else []
+    payload = F.to_json(F.struct(F.col("canonical_title").alias("title"), "manufacturer", "price", *record))
     return entities.select("entity_id", F.col("canonical_title").alias("title"), "manufacturer", "price", payload.alias("source_payload"), F.lit("entity_snapshot").alias("source"), "confidence")
 
 
@@ -118,7 +119,7 @@ def safe_alias_groups(entities: DataFrame, aliases: DataFrame, *, spread: float
     return g.where((F.size("members") > 1) & (F.col("makers") <= 1) & near).select("normalized_title", "keep", "members")
 
 
-_MERGED = ("entity_id", "canonical_title", "manufacturer", "price", "confidence")
+_MERGED = ("entity_id", "canonical_title", "manufacturer", "price", "confidence", "attributes")
 
 
 def merge_decisions(remap: DataFrame, run_id: str, reason: str) -> DataFrame:
@@ -132,7 +133,8 @@ def merge_decisions(remap: DataFrame, run_id: str, reason: str) -> DataFrame:
 def merge_entities(entities: DataFrame, aliases: DataFrame, links: DataFrame, remap: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables after each ``entity_id`` of ``remap`` has gone into its ``keep``.
 
-    The longest title, the first maker and price, and the highest confidence survive.
+    The longest title, the first maker, price and value of each attribute, and
+    the highest confidence survive.
     """
     to = F.coalesce("keep", "entity_id")
     moved = entities.join(remap, "entity_id", "left").withColumn("to", to)
@@ -143,6 +145,13 @@ def merge_entities(entities: DataFrame, aliases: DataFrame, links: DataFrame, re
         F.max("confidence").alias("confidence"), *[F.min_by(c, "entity_id").alias(c) for c in entities.columns if c not in _MERGED],
     )
 
+    if "attributes" in entities.columns:
+        # Attributes are merged as rows, so that no list grows with the entities of one title.
+        each = moved.select("to", "entity_id", F.explode("attributes").alias("k", "v")).where(present(F.col("v")).isNotNull())
+        each = each.groupBy(F.col("to").alias("entity_id"), "k").agg(F.min_by("v", "entity_id").alias("v"))
+        kept = each.groupBy("entity_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attributes"))
+        merged = merged.join(kept, "entity_id", "left").select(*entities.columns)
+
     def follow(df: DataFrame, keys: list[str]) -> DataFrame:
         return df.join(remap, "entity_id", "left").withColumn("entity_id", to).drop("keep").dropDuplicates(keys)
 

@@ -29,7 +29,9 @@ def apply_choices(task: DataFrame, choices: DataFrame) -> DataFrame:
     rows = task.join(wanted, "position")
     title = F.coalesce(F.nullif(F.when(F.col("choice") == "table1", F.col("l_title")), F.lit("")), F.nullif("r_title", F.lit("")), F.nullif("l_title", F.lit("")))
     text = lambda c: F.col(c).cast("string") if c in task.columns else F.lit(None).cast("string")
-    side = lambda p: F.struct(text(f"{p}_id").alias("id"), text(f"{p}_title").alias("title"), text(f"{p}_maker").alias("manufacturer"), text(f"{p}_price").alias("price"))
+    more = lambda p: F.col(f"{p}_attributes") if f"{p}_attributes" in task.columns else F.lit(None)
+    maker = lambda p: text(f"{p}_manufacturer" if f"{p}_manufacturer" in task.columns else f"{p}_maker")
+    side = lambda p: F.struct(text(f"{p}_id").alias("id"), text(f"{p}_title").alias("title"), maker(p).alias("manufacturer"), text(f"{p}_price").alias("price"), more(p).alias("attributes"))
     fields = {x.split(" ", 1)[0]: x.split(" ", 1)[1] for x in _fields(CANDIDATE)}
     made = {
         "cand_id": F.concat_ws(":", "task_id", F.col("position").cast("string")), "title": title, "source": F.lit("human"), "confidence": F.col("confidence"),

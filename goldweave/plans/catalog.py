@@ -647,7 +647,7 @@ def train_gbt(spark, sf_dir):
     """Pairs with the thirteen features and the probability of a small boosted model."""
     left, right = sides(spark, sf_dir)
     pairs = blocked(spark, sf_dir)
-    built = features.FeatureBuilder().fit(left.unionByName(right)).transform(pairs, left, right)
+    built = features.FeatureBuilder.fit(left.unionByName(right)).transform(pairs)
     data = graph.settled(built.withColumn("label", (F.col("l_norm") == F.col("r_norm")).cast("double")))
     return scoring.probability(scoring.train_gbt(data, rounds=10), data, "gbt_score").select("l_id", "r_id", "gbt_score")
 
@@ -656,7 +656,7 @@ def train_gbt(spark, sf_dir):
 def fuse_scores(spark, sf_dir):
     """Confidence of pairs without models: the lexical score stands for both."""
     left, right = sides(spark, sf_dir)
-    built = features.FeatureBuilder().fit(left.unionByName(right)).transform(blocked(spark, sf_dir), left, right)
+    built = features.FeatureBuilder.fit(left.unionByName(right)).transform(blocked(spark, sf_dir))
     empty = F.lit(None).cast("double")
     return scoring.fused_scores(built.withColumns({"gbt_score": empty, "mlp_score": empty})).select("l_id", "r_id", r6(F.col("confidence")).alias("confidence"))
 

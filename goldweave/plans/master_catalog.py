@@ -519,7 +519,7 @@ def train_mlp(spark, sf_dir):
     """Pairs with the probability of a small network over the thirteen features."""
     left, right = sides(spark, sf_dir)
     p = adjacent(spark, sf_dir)
-    built = features.FeatureBuilder().fit(left.unionByName(right)).transform(p, left, right)
+    built = features.FeatureBuilder.fit(left.unionByName(right)).transform(p)
     data = graph.settled(built.withColumn("label", (F.col("title_token_jaccard") > 0.15).cast("double")))
     return scoring.probability(scoring.train_mlp(data, rounds=30), data, "mlp_score").select("l_id", "r_id", "mlp_score")
 

@@ -127,31 +127,3 @@ def latest_reports(spark: SparkSession, pattern: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-
-
-class Store:
-    """Master tables as Parquet under one folder; a write makes a new version, then points to it."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
-
-    def version(self, name: str) -> int:
-        try:
-            row = self.spark.read.json(self._pointer(name)).agg(F.max("version")).first()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
-        return int(row[0] or 0)
-
-    def read(self, name: str) -> DataFrame | None:
-        v = self.version(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/v{v}") if v else None
-
-    def write(self, name: str, df: DataFrame) -> None:
-        v = self.version(name) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{v}")
-        self.spark.createDataFrame([(v,)], "version int").coalesce(1).write.mode("append").json(self._pointer(name))

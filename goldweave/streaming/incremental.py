@@ -30,7 +30,7 @@ def resolve_stream(stream: DataFrame, engine: Engine, checkpoint: str, *, name:
     def batch(df: DataFrame, epoch: int) -> None:
         if df.isEmpty():
             return
-        run = engine.resolve_incremental(df, name=name)
+        run = engine.resolve_incremental(df, name=name, epoch=f"{name}:{epoch}")
         engine.finalize(run.run_id)
         if after:
             after(run, epoch)

@@ -3,7 +3,7 @@ import shutil
 
 import pytest
 
-from goldweave.operators import adjudicate, cards, commit, evaluation, golden, scoring
+from goldweave.operators import adjudicate, cards, commit, evaluation, feature_model, golden, scoring
 from goldweave.plans import profile
 from goldweave.plans.engine import Engine, SchemaMismatch
 from goldweave.sources import tables
@@ -145,10 +145,10 @@ def test_duplicate_aliases_merge_to_the_end(spark):
 
 
 def test_members_fill_the_sides(spark):
-    rows = [("c", None, "llm", None, "", [("table2", "1", "Long title here", "M", "3"), ("table1", "7", "Short", None, None), ("table2", "2", "x", None, None)])]
+    rows = [("c", None, "llm", None, "", [("table2", "1", "Long title here", "M", "3", {"x": "y"}), ("table1", "7", "Short", None, None, None), ("table2", "2", "x", None, None, None)])]
     df = spark.createDataFrame(rows, f"cand_id string, title string, source string, confidence double, reason string, members array<{commit.MEMBER}>").selectExpr("*", f"cast(null as {commit.SCORES}) as scores")
     got = commit.candidates_from_members(df).first()
-    assert (got.title, got.confidence, got.table1.id, got.table2.id, got.table2.manufacturer) == ("Long title here", 0.9, "7", "1", "M")
+    assert (got.title, got.confidence, got.table1.id, got.table2.id, got.table2.manufacturer, got.table2.attributes) == ("Long title here", 0.9, "7", "1", "M", {"x": "y"})
     assert [(r.source_table, r.source_id) for r in commit.source_refs(commit.candidates_from_members(df)).orderBy("pos").collect()] == [("table2", "1"), ("table1", "7"), ("table2", "2")]
 
 
@@ -183,8 +183,65 @@ def test_models_are_kept_and_read(spark, tmp_path):
     data = spark.createDataFrame([(float(i % 2), *[float((i * (k + 3)) % 7) for k in range(len(FEATURES))]) for i in range(40)], "label double, " + ", ".join(f"{f} double" for f in FEATURES))
     model = scoring.train_gbt(data, rounds=3)
     scoring.save_models(str(tmp_path / "m"), {"gbt": model}, {"f1": 0.5})
-    models, metrics = scoring.load_models(spark, str(tmp_path / "m"))
-    assert metrics == {"f1": 0.5} and models["mlp"] is None
+    models, metrics = feature_model.load(spark, str(tmp_path / "m"))
+    assert metrics == {"f1": 0.5} and models["mlp"] is None and models["features"] is None
     one, two = (sorted(r.s for r in scoring.probability(m, data, "s").collect()) for m in (model, models["gbt"]))
     assert one == two
-    assert scoring.load_models(spark, str(tmp_path / "none")) == ({"gbt": None, "mlp": None}, {})
+    assert feature_model.load(spark, str(tmp_path / "none")) == ({"features": None, "gbt": None, "mlp": None}, {})
+
+
+BEER = "id string, Beer_Name string, Brew_Factory_Name string, Style string, ABV string"
+
+
+def test_every_planned_column_reaches_the_master(spark, tmp_path):
+    a = [("1", "Red Barn Amber Ale", "Red Barn Brewing", "Amber Ale", "5.20 %"), ("2", "Cask Works Porter", "Cask Works", "Porter", "-")]
+    b = [("1", "Red Barn Amber Ale", "Red Barn Brewing Co.", "American Amber", ""), ("9", "Lone Lager", "Peak", None, "4.1 %")]
+    engine = Engine(spark, str(tmp_path))
+    run = engine.resolve(spark.createDataFrame(a, BEER), spark.createDataFrame(b, BEER))
+    for _ in range(2):  # before the golden table is made from the entities, and after
+        view = {r.Beer_Name: r for r in engine.master().collect()}
+        assert set(engine.master().columns) == {"id", "Beer_Name", "Brew_Factory_Name", "Style", "ABV", "status", "selected_source_table", "confidence"}
+        assert view["Cask Works Porter"].Brew_Factory_Name == "Cask Works" and view["Cask Works Porter"].ABV == "-"
+        red = view["Red Barn Amber Ale"]
+        assert (red.Brew_Factory_Name, red.Style, red.ABV) == ("Red Barn Brewing", "Amber Ale", "5.20 %")
+        assert view["Lone Lager"].Style is None and view["Lone Lager"].ABV == "4.1 %"
+        engine.finalize(run.run_id)
+    held = {r.canonical_title: r.attributes for r in engine.table("entities").collect()}
+    assert held["Lone Lager"] == {"Beer_Name": "Lone Lager", "Brew_Factory_Name": "Peak", "ABV": "4.1 %"}
+    later = engine.resolve_incremental(spark.createDataFrame([("7", "Late Stout", "Night", "Stout", "6 %")], BEER))
+    engine.finalize(later.run_id)
+    assert [(r.Style, r.ABV) for r in engine.master().where("Beer_Name = 'Late Stout'").collect()] == [("Stout", "6 %")]
+    assert engine.repair(spark.createDataFrame([("8", "Lost Pils", "Dale", "Pils", "")], BEER), "table2") == 1
+    assert engine.master().where("Beer_Name = 'Lost Pils'").first().Style == "Pils"
+
+
+def test_restaurants_keep_their_columns(spark, tmp_path):
+    names = "id string, title string, addr string, city string, phone string, type string"
+    a = spark.createDataFrame([("1", "Chez Anna", "5 Main St", "Oslo", "555-1000", "french"), ("2", "Delta Grill", "1 Hill Rd", "Rome", "555-2000", "sushi")], names)
+    b = spark.createDataFrame([("4", "Chez Anna", "5 Main Street", "Oslo", "555 1000", "bistro"), ("5", "Sushi Go", "9 Bay", "Kobe", "555-3000", "sushi")], names)
+    engine = Engine(spark, str(tmp_path))
+    engine.resolve(a, b)
+    assert engine.specs()[0] == ("name", "title")
+    view = {r["name"]: r for r in engine.master().collect()}
+    assert {"name", "addr", "city", "phone", "type"} < set(engine.master().columns)
+    assert view["Chez Anna"].addr == "5 Main St" and view["Sushi Go"].phone == "555-3000" and len(view) == 3
+
+
+def test_golden_records_hold_raw_makers(spark, tmp_path):
+    a = spark.createDataFrame([("a1", "Red barn amber ale kit", "Red Barn Brewing", "5"), ("a2", "Office Visio Standard 2007", "MS", "9")], COLS)
+    b = spark.createDataFrame([("b1", "Red barn amber ale kit", "Red Barn Brewing", "5"), ("b2", "Office Visio Standard 2007", "Microsoft", "9"), ("b3", "Cask Works porter kit", "Cask Works", "7")], COLS)
+    engine = Engine(spark, str(tmp_path))
+    run = engine.resolve(a, b)
+    engine.finalize(run.run_id)
+    makers = {r.title: r.manufacturer for r in engine.golden().collect()}
+    assert makers == {"Red barn amber ale kit": "Red Barn Brewing", "Office Visio Standard 2007": "MS", "Cask Works porter kit": "Cask Works"}
+    assert {r.manufacturer for r in engine.table("links").collect()} == {"Red Barn Brewing", "MS", "Microsoft", "Cask Works"}
+
+
+def test_merged_entities_fill_each_others_attributes(spark):
+    kind = "entity_id string, canonical_title string, manufacturer string, price double, status string, confidence double, attributes map<string,string>"
+    rows = [("e1", "Long enough title", None, None, "s", 0.5, {"x": "1", "y": " "}), ("e2", "long enough title", "M", 2.0, "s", 0.7, {"y": "2", "x": "9"}), ("e3", "Another title here", None, None, "s", 0.5, None)]
+    e = spark.createDataFrame(rows, kind)
+    none = spark.createDataFrame([], "entity_id string, alias_title string, normalized_title string, source_table string, source_id string")
+    merged, _, _ = golden.merge_entities(e, none, none.select("entity_id", "source_table", "source_id"), golden.duplicate_titles(e))
+    assert {r.entity_id: r.attributes for r in merged.collect()} == {"e1": {"x": "1", "y": "2"}, "e3": None}
