@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +158,12 @@ class PrefixCounter:
         return np.concatenate(out).astype(np.int32)
 
 
+@lru_cache(maxsize=2)
+def _counter(path: str) -> PrefixCounter:
+    """The counter of a Python worker; its tables serve all tasks that the worker runs."""
+    return PrefixCounter(path)
+
+
 def _spelling(pre_tokenizers: object) -> list[str]:
     """The character that stands for each byte in a byte-level vocabulary."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -201,7 +208,7 @@ def _counted(docs: DataFrame, path: str, id_col: str, text_col: str, limit: int
     bound_batches(docs.sparkSession, 256)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = _counter(path)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             size = pa.array([len(t.encode("utf-8")) if t else 0 for t in texts], pa.int64())
