@@ -43,9 +43,10 @@ _PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar sidenav aside menu nav navbar navigation "
     "breadcrumb breadcrumbs pagination pager footer foot masthead topbar cookie cookies consent gdpr notice notices alert banner popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar search comment comments "
-    "commentlist reply replies respond disqus discussion".split()
+    "commentlist feedback reply replies respond disqus discussion".split()
 )
-_WHOLE = frozenset({"html", "body", "article", "main"})
+_WHOLE = frozenset({"html", "body", "main"})
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li td th pre blockquote dd dt figcaption".split())
 
 
@@ -58,12 +59,14 @@ LITTLE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "inside", "dropped", "named", "score", "length", "linked")
+    __slots__ = ("tag", "parent", "inside", "dropped", "named", "head", "score", "length", "linked")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.inside: list = []
         self.named = 0
+        #: The head of a main part that is in no article: it stays only for a heading, and not with a menu's links.
+        self.head = False
         self.score, self.length, self.linked = 0.0, 0, 0
 
 
@@ -174,7 +177,7 @@ def parse(html: str) -> Node:
         node = held.node
         unwanted, named = _unwanted(tag, m[3], held.has(("article", "main")))
         child = Node(tag, node, node.dropped or unwanted)
-        child.named = named
+        child.named, child.head = named, tag == "header" and not held.has(("article",))
         node.inside.append(child)
         held.enter(child)
     return root
@@ -241,14 +244,26 @@ def _kept(top: Node) -> list[Node]:
     if top.parent is None:
         return [top]
     need = max(3.0, 0.2 * top.score)
-    out = []
+    out: list[Node] = []
+    heading: list[Node] = []
     for x in top.parent.inside:
-        if not isinstance(x, Node) or x.dropped:
+        if not isinstance(x, Node):
+            heading = [] if x.strip() else heading
             continue
+        if x.dropped:
+            continue
+        if x is top:
+            # A heading just before the container is the text's own.
+            out += [] if top.tag in _WHOLE or top.tag == "article" else heading
         density = x.linked / max(x.length, 1)
         alike = x.score * (1 - density) >= need and x.tag == top.tag or x.tag == "p" and x.length > 80 and density < 0.25
         if x is top or alike and top.tag not in ("html", "body"):
             out.append(x)
+            heading = []
+        elif x.tag in _HEADINGS and density < LINKED:
+            heading.append(x)
+        elif x.length:
+            heading = []
     return out
 
 
@@ -284,11 +299,18 @@ def main_text(html: str | None) -> str:
         return ""
     root = parse(html)
     top = _best(root)
-    named, holders = _named(root)
+    _drop_heads(root)
+    named, holders, told = _named(root)
     if not named:
         return "\n".join(_blocks(_kept(top)))
     size = root.length
     path = set()
+    if not told and top.tag == "article" and not top.named:
+        # No article stands outside named parts, so the best one protects what holds it.
+        up = top.parent
+        while up is not None:
+            holders.add(id(up))
+            up = up.parent
     while top is not None:
         path.add(id(top))
         if top.named < 2:
@@ -300,31 +322,53 @@ def main_text(html: str | None) -> str:
     text = _text_again(root)
     # Those that hold the best container come back first, then all.
     for back in ([x for x in gone if id(x) in path], gone):
-        if back and len(text) < LITTLE * size:
+        if back and len(text) < LITTLE * size and not (told and text):
             for x in back:
                 x.dropped = False
             text = _text_again(root)
     return text
 
 
-def _named(root: Node) -> tuple[list[Node], set[int]]:
-    """Kept nodes whose class or id names another part, and the ids of nodes that hold an article."""
+def _named(root: Node) -> tuple[list[Node], set[int], bool]:
+    """Kept nodes whose class or id names another part, the ids of nodes that hold an article or main part, and whether there is such an article.
+
+    An article counts if no name speaks against it and it lies in no other
+    article and in no part that is named as a whole: those are comments.
+    """
     named: list[Node] = []
     holders: set[int] = set()
-    stack = [root]
+    told = False
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
+        node, within = stack.pop()
         if node.dropped:
             continue
         if node.named:
             named.append(node)
-        if node.tag in ("article", "main"):
+        if node.tag == "main" or node.tag == "article" and not node.named and not within:
+            told = told or node.tag == "article"
             up = node.parent
             while up is not None and id(up) not in holders:
                 holders.add(id(up))
                 up = up.parent
-        stack.extend(x for x in node.inside if isinstance(x, Node))
-    return named, holders
+        within = within or node.tag == "article" or node.named == 2
+        stack.extend((x, within) for x in node.inside if isinstance(x, Node))
+    return named, holders, told
+
+
+def _drop_heads(root: Node) -> None:
+    """Heads of main parts outside articles go, unless they hold a heading and few links."""
+    stack, heads = [(root, None)], []
+    while stack:
+        node, head = stack.pop()
+        if node.head and not node.dropped:
+            head = [node, False]
+            heads.append(head)
+        if head and node.tag in _HEADINGS:
+            head[1] = True
+        stack.extend((x, head) for x in node.inside if isinstance(x, Node))
+    for node, heading in heads:
+        node.dropped = not heading or node.linked >= LINKED * node.length
 
 
 def _text_again(root: Node) -> str:
