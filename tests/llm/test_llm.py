@@ -822,3 +822,91 @@ def test_pipeline(spark, sf):
         assert before - 60 < held.count() <= before, name
     ids = {r.doc_id for r in held.select("doc_id").collect()}
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == ids
+
+
+STORY = "<p>" + "This is the story, told at length with commas, names, and places, so that it scores. " * 3 + "</p>"
+REMARK = "<p>" + "I disagree, strongly, with all that, and say so at some length here, my friends. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<article><h1>Told</h1>{STORY}{STORY}<div id='comments'>" + f"<article class='comment-body'>{REMARK}</article>" * 2 + "</div></article>",
+        f"<article><h1>Told</h1>{STORY}</article><div id='comments'>" + f"<article>{REMARK}</article>" * 5 + "</div>",
+        "<main><article><h1>Told</h1><p>Short story, indeed.</p></article><section class='comments'>" + f"<article class='comment'>{REMARK}</article>" * 8 + "</section></main>",
+        f"<main><h1>Told</h1>{STORY}{STORY}<section class='comments'>" + f"<div class='comment'>{REMARK}</div>" * 2 + "</section></main>",
+        f"<div><div><h1>Told</h1>{STORY}{STORY}</div><div class='comments'>" + f"<div>{REMARK}</div>" * 2 + "</div></div>",
+    ],
+)
+def test_reader_comments_go_with_and_without_articles(html):
+    text = html_extract.main_text(f"<html><body><nav>menu</nav>{html}</body></html>")
+    assert text.startswith("Told\n") and "story" in text and "disagree" not in text
+
+
+def test_heads_of_main_parts_and_headings_beside_the_container():
+    menu = "<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul>"
+    assert "Home" not in html_extract.main_text(f"<main><header>{menu}</header>{STORY}{STORY}</main>")
+    assert html_extract.main_text(f"<main><header><h1>Told</h1></header>{STORY}{STORY}</main>").startswith("Told\n")
+    assert html_extract.main_text(f"<div><h1>Told</h1><div>{STORY}{STORY}</div></div>").startswith("Told\n")
+    assert "Useful?" not in html_extract.main_text(f"<article>{STORY}<div class='user-feedback'>Useful? yes no</div>{STORY}</article>")
+
+
+def test_repeated_pages_give_a_row_each(spark):
+    rows = [(1, "u", f"<article>{STORY}</article>")] * 3 + [(1, "u", None)]
+    got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
+    assert sorted(r.n_chars > 0 for r in got) == [False, True, True, True]
+
+
+def groups_of(links, ids):
+    """The components of the links, each by its least id."""
+    label = {i: i for i in ids}
+    for a, b in links:
+        x, y = sorted((label[a], label[b]))
+        label = {i: x if v == y else v for i, v in label.items()}
+    return label
+
+
+def test_runs_in_passages_with_different_centres_are_linked(spark):
+    """A and B share 60 words; earlier X and Y hold them with a word in nine changed, amid A's and B's own surroundings."""
+    rng = random.Random(41)
+    rows, want = [], set()
+    for g in range(40):
+        shared, *around = (prose(rng, n).split() for n in (60, 70, 70, 70, 70))
+        left, right, other_left, other_right = around
+
+        def loose(w, start):
+            return [f"q{rng.randrange(10**6)}" if i % 9 == start else x for i, x in enumerate(w)]
+
+        for n, words_ in enumerate(([*left, *loose(shared, 2), *right], [*other_left, *loose(shared, 6), *other_right], [*left, *shared, *right], [*other_left, *shared, *other_right])):
+            rows.append((g * 4 + n, " ".join(words_)))
+        want.add((g * 4 + 2, g * 4 + 3))
+    got = {(r.other_id, r.doc_id) for r in compact_windows.repeated_passages(docs_of(spark, rows)).collect()}
+    label = groups_of(got, range(160))
+    assert all(label[a] == label[b] for a, b in want)
+    assert all(label[g * 4] == label[g * 4 + 2] and label[g * 4 + 1] == label[g * 4 + 3] for g in range(40))
+    assert len(set(label.values())) == 40
+
+
+def test_documents_that_share_fifty_words_against_all_pairs(spark):
+    """Texts of stretches of a small stock, so that shared runs overlap, differ in length and lie in other passages: groups hold those of all pairs."""
+    rng = random.Random(43)
+    stock = [prose(rng, rng.choice([20, 30, 45, 52, 70])).split() for _ in range(30)]
+    rows = []
+    for i in range(90):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = list(rng.choice(stock))
+            if rng.random() < 0.3:
+                w[rng.randrange(len(w))] = f"z{rng.randrange(999)}"
+            parts += [*w, *([prose(rng, 6)] if rng.random() < 0.6 else [])]
+        rows.append((i, " ".join(parts)))
+    runs = {}
+    for i, t in rows:
+        w = t.split()
+        for j in range(len(w) - 49):
+            runs.setdefault(tuple(w[j : j + 50]), set()).add(i)
+    exact = {(min(d), x) for d in runs.values() for x in d if x != min(d)}
+    got = [(r.other_id, r.doc_id, r.similarity, r.n_words) for r in compact_windows.repeated_passages(docs_of(spark, rows).withColumns({"held": F.lit("clash"), "rep": F.lit(1)})).collect()]
+    assert exact and all(s >= 0.8 and n >= 50 and a < b for a, b, s, n in got)
+    label = groups_of([x[:2] for x in got], range(90))
+    assert all(label[a] == label[b] for a, b in exact)
