@@ -7,8 +7,9 @@
 2. Texts with one set collapse to their smallest id, however many there are.
 3. Representatives that share a band value are candidates.  Buckets with the
    same members count as one.  First each representative is compared with the
-   centre (smallest id) with which it shares most bands; this joins large
-   groups without forming their pairs.  Then buckets that still hold several
+   centre (smallest id) with which it shares most bands, if their sizes and
+   odd sketches let the pair pass; this joins large groups without forming
+   their pairs, and texts are fetched for pairs that passed only.  Then buckets that still hold several
    components are dealt into blocks of bounded size.  A first pass over blocks
    reads odd sketches only and tells which members have a partner in another
    component that can't be ruled out; a second one reads the texts of these.
@@ -129,13 +130,40 @@ def _buckets(reps: DataFrame, total: int) -> DataFrame:
     return every.groupBy("centre", "n", "x", "y").agg(F.min("bucket").alias("bucket"), F.count("*").alias("weight")).select("bucket", "centre", "n", "weight")
 
 
+def _within(limit: int, percent: int):
+    """(a, b) of pairs whose sizes and odd sketches don't rule the similarity out."""
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            one, two = (batch.column(n).to_numpy() for n in (2, 3))
+            left, right = (np.frombuffer(b"".join(batch.column(n).to_pylist()), dtype=U).reshape(len(batch), -1) for n in (4, 5))
+            far = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+            may = (100 * np.minimum(one, two) >= percent * np.maximum(one, two)) & (far <= limit)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(may)), batch.column(1).filter(pa.array(may))], ["a", "b"])
+
+    return within
+
+
+def _likely(stars: DataFrame, reps: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Those of ``stars(a, b)`` that the sketches let pass; sketches meet, no texts do."""
+    stars = durable(stars, "votes")
+    own = reps.select("rep", "n_shingles", "sketch")
+    there = stars.join(own.toDF("b", "of_b", "sketch_b").hint("merge"), "b")
+    degree = durable(stars.groupBy("a").agg(F.count("*").alias("n")).join(own.toDF("a", "of_a", "sketch_a").hint("merge"), "a"), "centres")
+    both = with_hot(there, degree, "a", stars.count(), BLOCK)
+    out = durable(both.select("a", "b", "of_a", "of_b", "sketch_a", "sketch_b").mapInArrow(_within(limit, percent), "a long, b long"), "likely")
+    forget(stars), forget(degree)
+    return out
+
+
 def _star_links(texts: DataFrame, stars: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``stars(a, b)``, each ``b`` with one centre ``a`` of a smaller id, whose full sets are similar enough.
 
     Texts go to their centre once.  A centre of many partners is copied for
     each block of them, so no task holds more than a block.
     """
-    stars = durable(stars, "votes")
     degree = durable(stars.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("copies")), "degree")
     centres = degree.select(F.col("a").alias("doc_id"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
     members = with_hot(stars, degree, "a", stars.count(), BLOCK).select(F.col("b").alias("doc_id"), F.col("a").alias("centre"), F.expr("cast(pmod(xxhash64(b), copies) as int)").alias("salt"))
@@ -286,9 +314,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     forget(buckets)
     votes = shared.where("rep <> centre").groupBy("rep", "centre").agg(F.sum("weight").alias("n"))
     best = votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("best"))
-    first = _star_links(texts, best.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b")), k, percent)
-    labels = connected_components(first)
     limit = sketch_limit(percent / 100, bands * rows)
+    likely = _likely(best.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b")), reps, limit, percent)
+    first = _star_links(texts, likely, k, percent)
+    labels = connected_components(first)
     rest = _cross_component_links(shared.select("bucket", "rep"), texts, reps, labels, total, k, limit, percent)
     forget(reps), forget(shared)
     if not rest.isEmpty():
