@@ -214,9 +214,26 @@ def namespaced(df: DataFrame, prefix: str, ids: list[str], columns: list[str]) -
     return df.select(*[(F.concat(F.lit(f"{prefix}:"), value(c)) if c in ids else value(c)).alias(c) for c in columns])
 
 
-def stratified(df: DataFrame, label: str, fractions: dict, seed: int = 42) -> DataFrame:
-    """About the share of each label's rows."""
-    return df.sampleBy(label, fractions, seed=seed)
+def stratified(df: DataFrame, label: str, fractions: dict, key: str, seed: int = 42) -> DataFrame:
+    """Exactly the share of each label's rows (its half to even), those with the smallest hashes of seed and key.
+
+    Labels without a fraction, and null ones, give no rows.  The last hash to
+    keep is found by counts of hash prefixes, and only rows of the prefix that
+    it lies in, one of 65,536, are sorted.
+    """
+    share = F.create_map(*[x for k, v in fractions.items() for x in (F.lit(k), F.lit(float(v)))])
+    rows = df.where(F.col(label).isin(list(fractions))).withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
+    rows = rows.withColumn("__b", F.substring("__h", 1, 4))
+    bins = rows.groupBy(label, "__b").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(label).orderBy("__b")
+    upto = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    want = F.bround(F.sum("__n").over(Window.partitionBy(label)) * F.element_at(share, F.col(label))).cast("long")
+    cut = bins.select(label, "__b", (want - (upto - F.col("__n"))).alias("__left"), "__n").where("__left > 0")
+    # Bins that are kept whole, and of each label the one in which the sample ends.
+    whole = rows.join(cut.where("__left >= __n").select(label, "__b"), [label, "__b"], "left_semi")
+    part = rows.join(cut.where("__left < __n").select(label, "__b", "__left"), [label, "__b"])
+    part = part.withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy("__h", key))).where("__r <= __left")
+    return whole.select(*df.columns).unionByName(part.select(*df.columns))
 
 
 def write_cards(cards: DataFrame, path: str) -> None:

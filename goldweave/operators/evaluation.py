@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldweave.functions.text import folded
+from goldweave.operators.graph import AUTO, MARGIN, running_sums, with_margins
 
 
 def precision_recall(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
@@ -41,17 +42,65 @@ def _by_score(labeled: DataFrame, score: str) -> DataFrame:
 
 def roc_auc(labeled: DataFrame, score: str) -> DataFrame:
     """Area under the curve by ranks with ties averaged, from counts per distinct score."""
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    c = _by_score(labeled, score).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    good = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
+    c = running_sums(_by_score(labeled, score), "s", ["n"])
+    good = F.sum(F.col("p") * (F.col("upto_n") - F.col("n") / 2))
     return c.agg(F.round(good / (F.sum("p") * F.sum("n")), 6).alias("roc_auc"))
 
 
 def average_precision(labeled: DataFrame, score: str) -> DataFrame:
     """Sum of precision at each distinct score times the recall that it adds."""
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    c = _by_score(labeled, score).withColumns({"tp": F.sum("p").over(w), "all": F.sum(F.col("p") + F.col("n")).over(w)})
-    return c.agg(F.round(F.sum(F.col("tp") / F.col("all") * F.col("p")) / F.sum("p"), 6).alias("average_precision"))
+    c = running_sums(_by_score(labeled, score), "s", ["p", "n"])
+    # What stands at a score or above it.
+    above = lambda v: F.col(f"all_{v}") - F.col(f"upto_{v}") + F.col(v)
+    tp = above("p")
+    return c.agg(F.round(F.sum(tp / (tp + above("n")) * F.col("p")) / F.sum("p"), 6).alias("average_precision"))
+
+
+def score_quantiles(scored: DataFrame, score: str, shares: list[float]) -> DataFrame:
+    """(q, score): for each share the score at place floor((n - 1) * q) of the rising order."""
+    counts = running_sums(scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("k")), "s", ["k"])
+    each = counts.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in shares])))
+    at = F.floor((F.col("all_k") - 1) * F.col("q"))
+    return each.where((F.col("upto_k") > at) & (F.col("upto_k") - F.col("k") <= at)).select("q", F.col("s").alias("score"))
+
+
+# Rules by which scored pairs are taken, and the thresholds that they are tried with.
+RULES = ["all_above", "mutual_top_1to1", "mutual_top_margin_1to1"]
+THRESHOLDS = [0.95, 0.94, 0.92, 0.90, 0.88, 0.85, 0.82, 0.80, 0.78, 0.75, 0.72, 0.70, 0.68, 0.65, 0.60]
+
+
+def rule_sweep(scored: DataFrame, truth: DataFrame, thresholds: list[float] = THRESHOLDS, margins: list[float] = (MARGIN,), *, high: float = AUTO) -> DataFrame:
+    """Measures of each rule for every threshold, and of the margin rule for every margin, against the pairs of ``truth``.
+
+    All pairs of a threshold count; or those that are the best of both ends;
+    or of these the ones below ``high``, without a conflict, that lead at both
+    ends by the margin.  A pair survives up to one threshold and one margin,
+    so it is counted once, in the cell of the last ones it survives, and sums
+    over the grid from its far end give all measures: the pairs are read once
+    whatever the grid's size.
+    """
+    grid_t, grid_m = sorted({float(t) for t in thresholds}), sorted({float(m) for m in margins})
+    known = truth.select("l_id", "r_id").distinct().withColumn("__y", F.lit(1))
+    rows = with_margins(scored).join(known, ["l_id", "r_id"], "left")
+    both = (F.col("l_rank") == 1) & (F.col("r_rank") == 1)
+    lead = F.least("l_margin", "r_margin")
+    last = lambda grid, v: sum((F.when(v >= g, 1).otherwise(0) for g in grid), F.lit(0))
+    held = [
+        F.struct(F.lit(0).alias("rule"), F.lit(0).alias("j")),
+        F.when(both, F.struct(F.lit(1).alias("rule"), F.lit(0).alias("j"))),
+        F.when(both & (F.col("confidence") < high) & ~F.col("conflict"), F.struct(F.lit(2).alias("rule"), last(grid_m, lead).alias("j"))),
+    ]
+    each = rows.select(F.explode(F.array_compact(F.array(*held))).alias("h"), last(grid_t, F.col("confidence")).alias("i"), F.coalesce("__y", F.lit(0)).alias("y"))
+    cells = each.select("h.*", "i", "y").groupBy("rule", "i", "j").agg(F.sum("y").alias("tp"), F.count("*").alias("n"))
+    # The grid has one row for each rule, threshold and margin.
+    points = [(r, i + 1, t, j + (r == 2), m if r == 2 else None) for r in range(3) for i, t in enumerate(grid_t) for j, m in enumerate(grid_m if r == 2 else [None])]
+    grid = scored.sparkSession.createDataFrame(points, "rule int, i int, threshold double, j int, margin double")
+    found = grid.alias("g").join(cells.alias("c"), (F.col("g.rule") == F.col("c.rule")) & (F.col("c.i") >= F.col("g.i")) & (F.col("c.j") >= F.col("g.j")), "left")
+    sums = found.groupBy("g.rule", "g.threshold", "g.margin").agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("predicted"))
+    out = sums.crossJoin(F.broadcast(known.agg(F.count("*").alias("total"))))  # one row
+    fp, fn = F.col("predicted") - F.col("tp"), F.col("total") - F.col("tp")
+    rule = F.get(F.array(*[F.lit(r) for r in RULES]), F.col("rule")).alias("rule")
+    return out.select(rule, "threshold", "margin", "tp", fp.alias("fp"), fn.alias("fn"), *[v.alias(k) for k, v in precision_recall(F.col("tp"), fp, fn).items()], "predicted")
 
 
 def cluster_keys(links: DataFrame) -> DataFrame:

@@ -182,6 +182,23 @@ def merge_duplicate_aliases(entities: DataFrame, aliases: DataFrame, links: Data
         entities, aliases, links = (settled(t) for t in merge_entities(entities, aliases, links, remap))
 
 
+def chart_series(entities: DataFrame, decisions: DataFrame, links: DataFrame) -> DataFrame:
+    """(series, label, n): entities by the table of their title and by state, decisions, source rows by table, and entities by their links.
+
+    Nulls count as ``unknown``.
+    """
+    of = lambda df, c, name: df.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("label")).agg(F.count("*").alias("n")).select(F.lit(name).alias("series"), "label", "n")
+    sizes = entities.select("entity_id").join(links.groupBy("entity_id").agg(F.count("*").alias("k")), "entity_id", "left").select(F.coalesce("k", F.lit(0)).alias("k"))
+    parts = [
+        of(entities, "selected_source_table", "selected_source_table"), of(entities, "status", "status"), of(decisions, "decision", "decision"), of(links, "source_table", "source_table"),
+        of(sizes, "k", "links_of_entity"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def entity_quality(entities: DataFrame, golden: DataFrame, links: DataFrame, aliases: DataFrame, decisions: DataFrame, *, expected_a: int | None = None, expected_b: int | None = None) -> DataFrame:
     """One row of counts, coverage and ``valid``.
 
@@ -209,25 +226,25 @@ def entity_quality(entities: DataFrame, golden: DataFrame, links: DataFrame, ali
     return one.withColumn("valid", ok & F.col("coverage_a") & F.col("coverage_b"))
 
 
-def search(records: DataFrame, query: str, fields: list[str], *, limit: int = 10) -> DataFrame:
-    """Records by the best rule over their fields: exact, prefix, contained, initials, characters.
+def text_fields(records: DataFrame, fields: list[str]) -> Column:
+    """All texts of the fields as one array; a field may be an array of texts, such as the aliases."""
+    kinds = dict(records.dtypes)
+    return F.concat(*[F.coalesce(F.col(f), F.array().cast("array<string>")) if kinds[f].startswith("array") else F.array(F.col(f).cast("string")) for f in fields])
 
-    A field may be an array of texts, such as the aliases.
-    """
-    from goldweave.functions.text import compact, initials
 
-    q = "".join(ch for ch in query.lower() if ch.isascii() and ch.isalnum() or "一" <= ch <= "鿿")
-    chars = F.array(*[F.lit(c) for c in q]) if q else F.array().cast("array<string>")
+def rule_score(c: Column, i: Column, q: Column) -> Column:
+    """The score of a query for a field's compact text and initials: exact, prefix, contained, initials, characters; null for none."""
+    every = F.forall(F.split(q, ""), lambda x: F.contains(c, x))
+    return (
+        F.when((c == "") | (q == ""), None).when(c == q, 1.0).when(F.startswith(c, q), 0.94).when(F.contains(c, q), 0.86)
+        .when(F.startswith(i, q), 0.78).when(F.contains(i, q), 0.70).when(every, 0.48)
+    )
 
-    def score(f: Column) -> Column:
-        c, i = compact(f), initials(f)
-        every = F.forall(chars, lambda x: F.contains(c, x))
-        return (
-            F.when(c == "", None).when(c == q, 1.0).when(F.startswith(c, F.lit(q)), 0.94).when(F.contains(c, F.lit(q)), 0.86)
-            .when(F.startswith(i, F.lit(q)), 0.78).when(F.contains(i, F.lit(q)), 0.70).when(every, 0.48)
-        )
 
-    kinds = dict(records.dtypes)
-    texts = [F.col(f) if kinds[f].startswith("array") else F.array(F.col(f).cast("string")) for f in fields]
-    best = F.array_max(F.transform(F.concat(*texts), lambda x: score(F.coalesce(x, F.lit("")))))
-    return records.withColumn("score", best).where(F.col("score").isNotNull() & F.lit(bool(q))).orderBy(F.desc("score"), F.desc("confidence"), "entity_id").limit(min(max(limit, 1), 100))
+def search(records: DataFrame, query: str, fields: list[str], *, limit: int = 10) -> DataFrame:
+    """Records by the best rule over their fields, from a scan of all of them; ``search_index`` answers many queries at once."""
+    from goldweave.functions.text import compact, initials
+
+    q = compact(F.lit(query))
+    best = F.array_max(F.transform(text_fields(records, fields), lambda x: rule_score(compact(F.coalesce(x, F.lit(""))), initials(F.coalesce(x, F.lit(""))), q)))
+    return records.withColumn("score", best).where("score is not null").orderBy(F.desc("score"), F.desc("confidence"), "entity_id").limit(min(max(limit, 1), 100))

@@ -117,6 +117,24 @@ def rank_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return out.withColumn(name, (F.col("__before") + F.col("__r")).cast("long")).drop("__p", "__r", "__before", *[f"__k{i}" for i in range(len(keys))])
 
 
+def running_sums(df: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """``df`` with ``upto_<v>``, the sum of each value over the rows whose key is not larger, and ``all_<v>``, its sum over all rows.
+
+    Keys are distinct.  Rows are sorted in range partitions; only the
+    partitions' sums, one row each, meet in one task.
+    """
+    own = settled(df.repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id()))
+    sums = own.groupBy("__p").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
+    w = Window.orderBy("__p")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = sums.select("__p", *[c for v in values for c in (
+        F.coalesce(F.sum(f"__s_{v}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"__b_{v}"), F.sum(f"__s_{v}").over(whole).alias(f"all_{v}"),
+    )])
+    inner = Window.partitionBy("__p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    out = own.withColumns({f"__u_{v}": F.sum(v).over(inner) for v in values}).join(F.broadcast(before), "__p")  # one row per partition
+    return out.select(*df.columns, *[c for v in values for c in ((F.col(f"__b_{v}") + F.col(f"__u_{v}")).alias(f"upto_{v}"), F.col(f"all_{v}"))])
+
+
 def numbered(found: DataFrame) -> DataFrame:
     """Clusters in the order of their best confidence, from 1."""
     out = rank_rows(found.withColumn("__c", -F.col("max_confidence")), [F.col("__c"), F.col("component")], "cluster_seq")

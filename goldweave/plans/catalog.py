@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from goldweave.functions import numeric as N
 from goldweave.functions import text as T
 from goldweave.operators import adjudicate, blocking, cards, evaluation, features, golden, graph, prepare, scoring
+from goldweave.operators import search_index as indexed
 from goldweave.plans import profile
 from goldweave.streaming.incremental import arrivals
 
@@ -315,6 +316,13 @@ def bm25_similarity(spark, sf_dir):
 # ---- blocking, ranks, clusters ----------------------------------------------
 
 
+@query(f"{MARGINS} SELECT l_id, r_id, round(c, 6) AS confidence FROM mg WHERE l_rank = 1 AND r_rank = 1 AND l_margin >= 0.01 AND r_margin >= 0.01 AND c >= 0.2 AND c < 1.0")
+def mutual_best_wide(spark, sf_dir):
+    """The clear best of both ends with bounds that the documents' titles reach, whatever their makers and prices."""
+    s = scored(spark, sf_dir).withColumn("conflict", F.lit(False))
+    return graph.mutual_best(s, low=0.2, high=1.0, margin=0.01).select("l_id", "r_id", r6(F.col("confidence")).alias("confidence"))
+
+
 @query(f"{BLOCKED} SELECT l_id, r_id, round(s, 6) AS rough_score, rk AS rank FROM top")
 def block_schema(spark, sf_dir):
     return blocked(spark, sf_dir).select("l_id", "r_id", r6(F.col("rough_score")).alias("rough_score"), F.col("rank").cast("long").alias("rank"))
@@ -394,13 +402,7 @@ def unmatched_anti(spark, sf_dir):
 
 @query(f"WITH {LABELED}, o AS (SELECT score, row_number() OVER (ORDER BY score, doc_id) - 1 AS i, count(*) OVER () AS n FROM lab) SELECT q, round(score, 6) AS score FROM o, (VALUES (0.1), (0.5), (0.9)) v(q) WHERE i = CAST(floor((n - 1) * q) AS BIGINT)")
 def score_quantiles(spark, sf_dir):
-    s = labeled(spark, sf_dir)
-    out = s.agg(F.count("*").alias("n"))
-    counts = s.groupBy("score").agg(F.count("*").alias("k"))
-    upto = counts.withColumn("to", F.sum("k").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)))
-    want = out.select(F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.floor((F.col("n") - 1) * q).alias("at")) for q in (0.1, 0.5, 0.9)])).alias("w")).select("w.*")
-    hit = upto.crossJoin(F.broadcast(want)).where((F.col("to") > F.col("at")) & (F.col("to") - F.col("k") <= F.col("at")))  # three rows
-    return hit.select("q", r6(F.col("score")).alias("score"))
+    return evaluation.score_quantiles(labeled(spark, sf_dir), "score", [0.1, 0.5, 0.9]).select("q", r6(F.col("score")).alias("score"))
 
 
 # ---- golden records ---------------------------------------------------------
@@ -536,6 +538,28 @@ def search(spark, sf_dir):
     return golden.search(p, "Red Widget", ["title"], limit=25).select("entity_id", "score")
 
 
+_LOW = "lower(regexp_replace({0}, '[^0-9a-zA-Z]', '', 'g'))"
+_INI = "list_aggregate(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^0-9a-z]+'), lambda w: w <> ''), lambda w: substr(w, 1, 1)), 'string_agg', '')"
+
+
+@query(
+    f"""WITH f AS (SELECT p_partkey AS entity_id, p_retailprice AS conf, {_LOW.format("p_name")} AS c, {_INI} AS i FROM part),
+qs AS (SELECT p_partkey AS query_id, {_LOW.format("CASE p_partkey % 300 WHEN 0 THEN p_name WHEN 100 THEN split_part(p_name, ' ', -1) ELSE substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1) END")} AS q FROM part WHERE p_partkey % 100 = 0),
+s AS (SELECT query_id, entity_id, conf, CASE WHEN c = '' OR q = '' THEN NULL WHEN c = q THEN 1.0 WHEN starts_with(c, q) THEN 0.94 WHEN contains(c, q) THEN 0.86 WHEN starts_with(i, q) THEN 0.78 WHEN contains(i, q) THEN 0.70
+  WHEN len(list_filter(string_split(q, ''), lambda x: NOT contains(c, x))) = 0 THEN 0.48 END AS score FROM f, qs),
+r AS (SELECT query_id, entity_id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, conf DESC, entity_id) AS rank FROM s WHERE score IS NOT NULL)
+SELECT * FROM r WHERE rank <= 20"""
+)
+def search_index(spark, sf_dir):
+    """Every part whose key is divisible by 100 asks for its name, a word of it or two initials among all parts; the 20 best of each."""
+    p = table(spark, sf_dir, "part")
+    k, name = F.col("p_partkey"), F.col("p_name")
+    text = F.when(k % 300 == 0, name).when(k % 300 == 100, F.split_part(name, F.lit(" "), F.lit(-1))).otherwise(F.concat(F.substring(name, 1, 1), F.substring(F.split_part(name, F.lit(" "), F.lit(2)), 1, 1)))
+    index = indexed.build(p.select(k.alias("entity_id"), F.col("p_retailprice").alias("confidence"), name.alias("title")), ["title"])
+    found = indexed.search_all(index, p.where(k % 100 == 0).select(k.alias("query_id"), text.alias("query")), limit=20, places=(200,))
+    return found.select("query_id", "entity_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("SELECT n_name AS status, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def dashboard(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("status")).agg(F.count("*").alias("n"))
@@ -668,6 +692,29 @@ def incremental_batch(spark, sf_dir):
     return out.select(F.col("window.start").alias("day"), "event_type", "n")
 
 
-@query(None)
+@query(
+    """WITH h AS (SELECT doc_id, quality, toxic, md5('42:' || doc_id) AS h, count(*) OVER (PARTITION BY quality) AS n FROM labels),
+r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY h, doc_id) AS r FROM h)
+SELECT doc_id, quality, toxic FROM r WHERE r <= CAST(round_even(n * CASE quality WHEN 0 THEN 0.5 WHEN 1 THEN 0.2 ELSE 0.0 END, 0) AS BIGINT)"""
+)
 def stratified(spark, sf_dir):
-    return cards.stratified(table(spark, sf_dir, "labels"), "quality", {0: 0.5, 1: 0.2})
+    return cards.stratified(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "quality", {0: 0.5, 1: 0.2}, "doc_id")
+
+
+_GRID = f"(SELECT unnest({list(evaluation.THRESHOLDS)}) AS threshold)"
+
+
+@query(
+    f"""{MARGINS}, truth AS (SELECT a.id AS l_id, b.id AS r_id FROM a JOIN b ON a.t = b.t AND a.t <> ''),
+g AS (SELECT mg.*, truth.l_id IS NOT NULL AS y FROM mg LEFT JOIN truth ON mg.l_id = truth.l_id AND mg.r_id = truth.r_id),
+cells AS (SELECT rule, threshold, margin FROM {_GRID}, (VALUES ('all_above', CAST(NULL AS DOUBLE)), ('mutual_top_1to1', NULL), ('mutual_top_margin_1to1', 0.0), ('mutual_top_margin_1to1', 0.04), ('mutual_top_margin_1to1', 0.1)) v(rule, margin)),
+c AS (SELECT rule, threshold, margin, count(*) FILTER (WHERE l_id IS NOT NULL AND y) AS tp, count(l_id) AS predicted FROM cells LEFT JOIN g ON c >= threshold
+  AND (rule = 'all_above' OR l_rank = 1 AND r_rank = 1 AND (rule = 'mutual_top_1to1' OR c < 0.94 AND NOT x AND least(l_margin, r_margin) >= margin)) GROUP BY rule, threshold, margin),
+f AS (SELECT *, predicted - tp AS fp, (SELECT count(*) FROM truth) - tp AS fn FROM c),
+pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM f)
+SELECT rule, threshold, margin, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1, predicted FROM pr"""
+)
+def rule_sweep(spark, sf_dir):
+    left, right = sides(spark, sf_dir)
+    same = left.select(F.col("id").alias("l_id"), "title_norm").join(right.select(F.col("id").alias("r_id"), "title_norm"), "title_norm").where("title_norm <> ''")
+    return evaluation.rule_sweep(scored(spark, sf_dir), same, margins=[0.0, 0.04, 0.1])

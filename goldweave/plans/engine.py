@@ -47,6 +47,8 @@ SCHEMAS = {
     "runs": "run_id string, payload string, updated_at double",
     "tasks": "task_id string, position long, status string, confidence double, l_id string, r_id string, l_title string, r_title string, l_maker string, r_maker string, l_price string, r_price string, "
     "l_manufacturer string, r_manufacturer string, l_attributes map<string,string>, r_attributes map<string,string>",
+    "sources": "snapshot string, source_table string, source_id string, title string, manufacturer string, price string, attributes map<string,string>",
+    "snapshots": "snapshot string, source_table string, rows long",
     "term_counts": f"epoch string, {features.COUNTS}",
     "term_volumes": f"epoch string, {features.VOLUMES}",
 }
@@ -174,7 +176,7 @@ class Engine:
         if reason := reason or schema.incompatible(a, b, found):
             raise SchemaMismatch(reason)
         left, right = (graph.settled(schema.apply_profile(x, found, side)) for x, side in ((a, "a"), (b, "b")))
-        pairs = blocking.block_schema(left, right, cap=blocking.posting_cap(right.count(), self.most_postings), weights=schema.part_weights(found))
+        pairs = blocking.block_schema(left, right, cap=blocking.posting_cap(right.count(), self.most_postings), weights=schema.part_weights(found), blocking=schema.blocking_parts(found))
         scored = self.schema_scores(schema.with_mapped(pairs, found), found)
         strict = found.entity_type in ("product", "unknown", "")
         return self._plan(scored.withColumn("conflict", _conflict() if strict else F.lit(False)), left, right, names, found, titles=(left, right))
@@ -247,12 +249,25 @@ class Engine:
         expected = {} if names[0] == "master" else {"expected_a": left.count(), "expected_b": right.count()}
         document = {"status": run.status, "profile": found.as_dict() if found else None, "clusters": pending.count(), "low": low, "names": names, **expected}
         change = self.store.change()
+        kept = [(left, names[0])] * (names[0] != "master") + [(right, names[1])]
+        document["snapshots"] = {name: self._snapshot(change, _rows(df, name, "l").drop("side", "id"), name) for df, name in kept}
         change.append("runs", self._rows("runs", (run.run_id, json.dumps(document), time.time())))
         self._count_titles(change, epoch or run.run_id, *titles)
         self._commit(change, run, scored, left, right, names)
         change.commit()
         return run
 
+    def _snapshot(self, change: Change, rows: DataFrame, name: str) -> str:
+        """Keep a copy of source rows under the hash of their content, unless there is one; the hash, which the order of the rows does not change."""
+        entries = F.array_sort(F.map_entries("attributes"))
+        each = F.xxhash64(*[c for c in rows.columns if c != "attributes"], entries)
+        n, one, two = rows.agg(F.count("*"), F.bit_xor(each), F.sum(each.cast("decimal(38,0)"))).first()
+        digest = f"{name}-{n}-{(one or 0) & (1 << 64) - 1:016x}-{int(two or 0) & (1 << 64) - 1:016x}"
+        if self.table("snapshots").where(F.col("snapshot") == digest).isEmpty():
+            change.append("sources", self._shaped("sources", rows.withColumn("snapshot", F.lit(digest))))
+            change.append("snapshots", self._rows("snapshots", (digest, name, n)))
+        return digest
+
     def _commit(self, change: Change, run: Run, scored: DataFrame, left: DataFrame, right: DataFrame, names: tuple[str, str]) -> None:
         """Merged pairs and unmatched rows become entities; rows of pending clusters wait for their decision."""
         whole = scored.join(run.auto.select("l_id", "r_id"), ["l_id", "r_id"], "left_semi")
@@ -362,11 +377,16 @@ class Engine:
         return json.loads(last["payload"])["profile"] if last else None
 
     def adjudicate(self, run_id: str, resolver: Resolver, *, limit: int = 30, rounds: int = 100) -> dict:
-        """All waiting clusters, batch by batch, by a resolver from members to answers(answer); failures are collected."""
-        offset, committed, failures = 0, 0, []
+        """All waiting clusters, batch by batch, by a resolver from members to answers(answer); failures are collected.
+
+        After ``rounds`` batches the reply says by ``has_more`` and
+        ``next_offset`` what is left, as it does where a failure ends it.
+        """
+        offset, committed, failures, more = 0, 0, [], True
         for _ in range(rounds):
             members = self.cluster_batch(run_id, offset, limit)
             if members.isEmpty():
+                more = False
                 break
             answers = [r["answer"] for r in resolver(members).select("answer").collect()]  # a batch of at most 100 clusters
             merged = {"clusters": [c for a in answers for c in adjudicate.result_object(a).get("clusters", [])]}
@@ -381,12 +401,13 @@ class Engine:
             offset = to
             if not more:
                 break
-        return {"committed_count": committed, "next_offset": offset, "failures": failures}
+        left = self.table("waiting").where((F.col("run_id") == run_id) & (F.col("cluster_seq") > offset)).agg(F.count_distinct("cluster_id")).first()[0]
+        return {"committed_count": committed, "next_offset": offset, "has_more": left > 0, "left": left, "failures": failures}
 
     # ---- finalise ----------------------------------------------------------------
 
     def finalize(self, run_id: str) -> DataFrame:
-        """Undecided rows by their titles, then duplicate titles and aliases, then the golden table and its quality."""
+        """Undecided rows by their titles, source rows that lost their link, then duplicate titles and aliases, then the golden table and its quality."""
         keys = ["source_table", "source_id"]
         left = self.table("waiting").where((F.col("run_id") == run_id) & (F.col("source_table") != "master")).join(self.table("links").select(*keys), keys, "left_anti")
         left = graph.settled(left.dropDuplicates(keys))
@@ -400,9 +421,31 @@ class Engine:
                 F.when(many, "one safe title").otherwise("left open").alias("reason"), "members", F.lit(None).cast(commit.SCORES).alias("scores"),
             )
             self._write(commit.candidates_from_members(made), run_id, self.specs())
+        self._repair_snapshots(run_id)
         self.merge_duplicates(run_id)
         return self.quality()
 
+    def _repair_snapshots(self, run_id: str) -> None:
+        """Link the run's source rows that no entity holds, from the copies that were kept of both tables."""
+        try:
+            snapshots = self.run_document(run_id).get("snapshots") or {}
+        except KeyError:
+            return
+        for name, digest in snapshots.items():
+            own = self.table("sources").where(F.col("snapshot") == digest)
+            n = self._relink(own.drop("snapshot"), name)
+            if n:
+                self._log("repair_links", {"source_table": name, "count": n, "run_id": run_id})
+
+    def _relink(self, rows: DataFrame, name: str) -> int:
+        """Entities of their own for rows (source_table, source_id, title, manufacturer, price, attributes) without a link; the number of them."""
+        links = self.table("links").where(F.col("source_table") == name).select("source_id")
+        lost = graph.settled(rows.join(links, "source_id", "left_anti"))
+        n = lost.count()
+        if n:
+            self._write(self._single(lost, "auto", "repaired link"), "", self.specs())
+        return n
+
     def merge_duplicates(self, run_id: str = "") -> None:
         """Merge entities of one safe title, then of one safe alias, and bring the golden table up to date; only changed rows are written."""
         before, aliases, links = (self.table(x) for x in ("entities", "aliases", "links"))
@@ -435,12 +478,8 @@ class Engine:
 
     def repair(self, source: DataFrame, name: str) -> int:
         """Link source rows that no entity holds; the number of them."""
-        ready = self._canonical(source)
-        links = self.table("links").where(F.col("source_table") == name).select(F.col("source_id").alias("id"))
-        lost = graph.settled(_rows(ready.join(links, "id", "left_anti"), name, "l"))
-        n = lost.count()
+        n = self._relink(_rows(self._canonical(source), name, "l").drop("side", "id"), name)
         if n:
-            self._write(self._single(lost, "auto", "repaired link"), "", self.specs())
             self._log("repair_links", {"source_table": name, "count": n})
         return n
 
@@ -486,14 +525,12 @@ class Engine:
         read = golden.golden_read(self.table("golden"), self.table("aliases"), self.table("links"))
         return golden.search(read, query, ["title", "manufacturer", "selected_source_table", "source", "aliases", "links"], limit=limit)
 
-    def dashboard(self) -> dict[str, DataFrame]:
-        return {
-            "sources": self.table("entities").groupBy("selected_source_table").count(),
-            "states": self.table("entities").groupBy("status").count(),
-            "decisions": self.table("decisions").groupBy("decision").count(),
-            "runs": latest_run(self.table("runs")),
-            "quality": self.quality(),
-        }
+    def dashboard(self, truth: DataFrame | None = None) -> dict[str, DataFrame]:
+        """The series of the charts, runs, quality, and with a reference its evaluation."""
+        out = {
+            "series": golden.chart_series(self.table("entities"), self.table("decisions"), self.table("links")), "runs": latest_run(self.table("runs")), "quality": self.quality(),
+        }
+        return out if truth is None else out | {"evaluation": self.evaluate(truth)}
 
     # ---- review ------------------------------------------------------------------
 

@@ -18,6 +18,7 @@ from goldweave.plans.catalog import (
     ADJACENT, ALI, QUERIES, SQL, COMPONENTS, ENT, LABELED, RECORDS, SCORED, adjacent, aliases, entities, jac, kept_pairs, labeled, norm, query, r6, routes, scored, sides, stop_sql, table, toks,
 )
 from goldweave.sources import tables as sources
+from goldweave.sources.store import scratch
 
 # ---- schema regime --------------------------------------------------------------
 
@@ -61,7 +62,7 @@ def profiled_neighbours(spark, sf_dir) -> DataFrame:
 
 def profiled_pairs(spark, sf_dir) -> DataFrame:
     left, right = profiled(spark, sf_dir)
-    return blocking.block_schema(left, right, cap=blocking.posting_cap(right.count()), weights=schema.part_weights(PLAN))
+    return blocking.block_schema(left, right, cap=blocking.posting_cap(right.count()), weights=schema.part_weights(PLAN), blocking=schema.blocking_parts(PLAN))
 
 
 TOP = f"""WITH {PARTS}, cap AS (SELECT greatest(25, CAST(floor(count(*) * 0.08) AS BIGINT)) AS c FROM b),
@@ -261,11 +262,63 @@ def commit_candidates(spark, sf_dir):
     return one(done["entities"], "entities").crossJoin(one(done["links"], "links")).crossJoin(one(conflicts, "conflicts")).crossJoin(one(done["decisions"], "decisions"))  # single rows
 
 
-@query("SELECT c_custkey AS id, c_name || ' plus' AS name, c_mktsegment AS maker, 'llm_active' AS status, 'tableB' AS selected_source_table FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 4 = 0")
+#: The entities that the candidates become: new ones by the hash of their references, those of a link, and ten of the master.
+_OWNED = """own AS (SELECT *, CAST(c_custkey AS VARCHAR) AS t, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 10 AS VARCHAR) WHEN c_custkey % 4 = 0 THEN 'e' || c_custkey
+ELSE sha256('table1:' || c_custkey || '|table2:' || c_custkey) END AS entity_id FROM customer),
+last AS (SELECT entity_id, arg_max(c_name, t) || ' plus' AS title, arg_max(c_mktsegment, t) AS maker, arg_max(round_even(abs(c_acctbal)::DECIMAL(20,4), 2)::DOUBLE, t) AS price FROM own GROUP BY entity_id)"""
+
+
+@query(f"WITH {_OWNED} SELECT entity_id AS id, title AS name, maker, 'llm_active' AS status, 'tableB' AS selected_source_table FROM last")
 def master_view(spark, sf_dir):
     done = _committed(spark, sf_dir)
     v = commit.master_view(done["golden"], done["entities"], [("name", "title"), ("maker", "manufacturer")])
-    return v.where(F.col("id").rlike("^e[0-9]{1,18}$")).select(F.expr("try_cast(substring(id, 2) as long)").alias("id"), "name", "maker", "status", "selected_source_table")
+    return v.select("id", "name", "maker", "status", "selected_source_table")
+
+
+@query(f"WITH {_OWNED} SELECT entity_id, title AS canonical_title, maker AS manufacturer, price, 'llm_active' AS status, CAST(0.8 AS DOUBLE) AS confidence FROM last")
+def commit_entities(spark, sf_dir):
+    return _committed(spark, sf_dir)["entities"].select("entity_id", "canonical_title", "manufacturer", "price", "status", "confidence")
+
+
+@query(
+    f"""WITH {_OWNED}, lk AS (SELECT entity_id, 'table1' AS source_table FROM own UNION ALL SELECT CASE WHEN c_custkey % 4 = 0 THEN 'e' || c_custkey ELSE entity_id END, 'table2' FROM own),
+per AS (SELECT last.entity_id, count(lk.entity_id) AS k FROM last LEFT JOIN lk ON last.entity_id = lk.entity_id GROUP BY last.entity_id)
+SELECT 'selected_source_table' AS series, 'tableB' AS label, count(*) AS n FROM last UNION ALL SELECT 'status', 'llm_active', count(*) FROM last UNION ALL SELECT 'decision', 'same_entity', count(*) FROM own
+UNION ALL SELECT 'source_table', source_table, count(*) FROM lk GROUP BY source_table UNION ALL SELECT 'links_of_entity', CAST(k AS VARCHAR), count(*) FROM per GROUP BY k"""
+)
+def chart_series(spark, sf_dir):
+    done = _committed(spark, sf_dir)
+    return golden.chart_series(done["entities"], done["decisions"], done["links"])
+
+
+@query(
+    f"""WITH {_OWNED} SELECT entity_id, 'table1' AS source_table, t AS source_id FROM own
+UNION ALL SELECT CASE WHEN c_custkey % 4 = 0 THEN 'e' || c_custkey ELSE entity_id END, 'table2', t FROM own"""
+)
+def commit_links(spark, sf_dir):
+    """All links after the commit: those of the second table that every fourth customer had before stay."""
+    return _committed(spark, sf_dir)["links"].select("entity_id", "source_table", "source_id")
+
+
+@query(
+    """SELECT sha256('table1:' || s_suppkey || '|table2:' || (s_suppkey + 1000000)) AS id, s_name AS Beer_Name, 'Works ' || n_name || ' ' || s_suppkey AS Brew_Factory_Name, 'style ' || (s_suppkey % 7) AS Style,
+CAST(s_suppkey % 12 AS VARCHAR) || ' %' AS ABV, 'backend_active' AS status, 'tableA' AS selected_source_table FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+)
+def engine_master(spark, sf_dir):
+    """Two tables of the suppliers as beers through the whole engine: schema plan, blocking, scores, routes, commit, finalisation, and the view of the planned columns."""
+    from goldweave.plans.engine import Engine
+
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey")
+    beers = s.select(
+        k.alias("id"), F.col("s_name").alias("Beer_Name"), F.concat_ws(" ", F.lit("Works"), "n_name", k.cast("string")).alias("Brew_Factory_Name"), F.concat(F.lit("style "), (k % 7).cast("string")).alias("Style"),
+        F.concat((k % 12).cast("string"), F.lit(" %")).alias("ABV"),
+    )
+    engine = Engine(spark, scratch(spark, "engine_master"))
+    run = engine.resolve(beers, beers.withColumn("id", F.col("id") + 1_000_000))
+    engine.finalize(run.run_id)
+    # The whole view: a page would hold 10,000 rows at most.
+    return commit.master_view(engine.table("golden"), engine.table("entities"), engine.specs()).drop("confidence")
 
 
 @query(

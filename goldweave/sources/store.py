@@ -10,6 +10,7 @@ One writer at a time: a second one finds its base manifest outdated and fails.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from copy import deepcopy
 
@@ -23,6 +24,18 @@ BUCKETS, BUCKET_ROWS = 4, 1_000_000
 MOST_FOLDERS = 16
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder that the session names for checkpoints; in one process, without it, on this machine."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        found = context._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = found.get() if found.isDefined() else tempfile.mkdtemp()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Conflict(RuntimeError):
     """Another writer has changed the tables meanwhile."""
 

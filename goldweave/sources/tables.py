@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from goldweave.functions.jsontext import is_json
 from goldweave.functions.text import field_name
+from goldweave.sources import split_csv
 
 # Texts that stand for a missing value in CSV files.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -45,15 +46,26 @@ def valid_encoding(spark: SparkSession, path: str) -> str:
     return ENCODINGS[-1]
 
 
-def read_csv(spark: SparkSession, reference: object, *, limit: int = 0, encoding: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, reference: object, *, limit: int = 0, encoding: str | None = None, split: bool | None = None) -> DataFrame:
     """All columns as strings; texts that mean missing become null.
 
     Without ``encoding`` the first one that fits is taken.  ``limit`` keeps
-    the first rows of a sample run; 0 keeps all.
+    the first rows of a sample run; 0 keeps all.  Quoted fields may hold line
+    ends: files that fit one task are read by one, larger ones (or all, by
+    ``split``) are cut into records by many, with the same rows.
     """
     path = resolve_reference(reference)
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding or valid_encoding(spark, path)).csv(path)
-    raw = raw.select(*[F.when(~F.trim(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c.lstrip("\ufeff")) for c in raw.columns])
+    encoding = encoding or valid_encoding(spark, path)
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding)
+    if split is None:
+        split = split_csv.largest(spark, path) > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if split:
+        names = spark.read.option("header", True).option("escape", '"').option("encoding", encoding).csv(path).columns
+        raw = split_csv.parsed(spark, path, names, encoding)
+    else:
+        raw = reader.csv(path)
+    own = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    raw = raw.select(*[F.when(~F.trim(own(c)).isin(*MISSING), own(c)).alias(c.lstrip("\ufeff")) for c in raw.columns])
     return limited(raw, limit)
 
 

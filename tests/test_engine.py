@@ -82,10 +82,37 @@ def test_resolver_goes_through_all_batches(run, spark):
         return spark.createDataFrame([(json.dumps(answer(engine, found.run_id, offset, 1)),)], "answer string")
 
     done = engine.adjudicate(found.run_id, resolve, limit=1)
-    assert done == {"committed_count": 2, "next_offset": 2, "failures": []}
+    assert done == {"committed_count": 2, "next_offset": 2, "has_more": False, "left": 0, "failures": []}
     assert engine.run_document({"match_run_id": found.run_id})["run_id"] == found.run_id == engine.run_document()["run_id"]
 
 
+def test_a_resolver_that_runs_out_of_rounds_says_so(run, spark):
+    engine, found = run
+    one = lambda members: spark.createDataFrame([(json.dumps(answer(engine, found.run_id, members.agg({"cluster_seq": "min"}).first()[0] - 1, 1)),)], "answer string")
+    done = engine.adjudicate(found.run_id, one, limit=1, rounds=1)
+    assert done == {"committed_count": 1, "next_offset": 1, "has_more": True, "left": 1, "failures": []}
+
+
+def test_lost_links_come_back_from_the_snapshots(run, spark):
+    engine, found = run
+    engine.finalize(found.run_id)
+    gone = engine.table("links").where("source_id in ('a5', 'b1')").select("source_table", "source_id")
+    assert gone.count() == 2
+    change = engine.store.change()
+    change.upsert("links", engine.table("links").limit(0), ["source_table", "source_id"], deletes=gone)
+    change.commit()
+    assert engine.table("links").count() == 8 and not engine.quality().first().valid
+    quality = engine.finalize(found.run_id).first()
+    assert quality.valid and (quality.links_a, quality.links_b) == (5, 5)
+    assert engine.table("log").where("operation = 'repair_links'").count() == 2
+    assert engine.table("snapshots").count() == 2
+    change = engine.store.change()
+    rows = engine.table("sources").where("source_table = 'table1'").drop("snapshot")
+    assert engine._snapshot(change, rows.repartition(3), "table1") in {r.snapshot for r in engine.table("snapshots").collect()} and "sources" in change.tables
+    series = {(r.series, r.label): r.n for r in engine.dashboard()["series"].collect()}
+    assert series["source_table", "table1"] == 5 and sum(n for (s, _), n in series.items() if s == "status") == engine.table("entities").count()
+
+
 def test_review_choices_are_committed(run, spark):
     engine, found = run
     rows = [(0.5, "a5", "b5", "Quicken Home", "Bonus Garden Tools"), (0.4, "a1", "b1", "L", "R")]
