@@ -131,42 +131,37 @@ def _buckets(reps: DataFrame, total: int) -> DataFrame:
 
 
 def _within(limit: int, percent: int):
-    """(a, b) of pairs whose sizes and odd sketches don't rule the similarity out."""
+    """(a, b, copies) of pairs whose sizes and odd sketches don't rule the similarity out."""
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            one, two = (batch.column(n).to_numpy() for n in (2, 3))
-            left, right = (np.frombuffer(b"".join(batch.column(n).to_pylist()), dtype=U).reshape(len(batch), -1) for n in (4, 5))
+            one, two = (batch.column(n).to_numpy() for n in (3, 4))
+            left, right = (np.frombuffer(b"".join(batch.column(n).to_pylist()), dtype=U).reshape(len(batch), -1) for n in (5, 6))
             far = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
-            may = (100 * np.minimum(one, two) >= percent * np.maximum(one, two)) & (far <= limit)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(may)), batch.column(1).filter(pa.array(may))], ["a", "b"])
+            may = pa.array((100 * np.minimum(one, two) >= percent * np.maximum(one, two)) & (far <= limit))
+            yield pa.RecordBatch.from_arrays([batch.column(n).filter(may) for n in range(3)], ["a", "b", "copies"])
 
     return within
 
 
-def _likely(stars: DataFrame, reps: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Those of ``stars(a, b)`` that the sketches let pass; sketches meet, no texts do."""
-    stars = durable(stars, "votes")
-    own = reps.select("rep", "n_shingles", "sketch")
-    there = stars.join(own.toDF("b", "of_b", "sketch_b").hint("merge"), "b")
-    degree = durable(stars.groupBy("a").agg(F.count("*").alias("n")).join(own.toDF("a", "of_a", "sketch_a").hint("merge"), "a"), "centres")
-    both = with_hot(there, degree, "a", stars.count(), BLOCK)
-    out = durable(both.select("a", "b", "of_a", "of_b", "sketch_a", "sketch_b").mapInArrow(_within(limit, percent), "a long, b long"), "likely")
-    forget(stars), forget(degree)
-    return out
-
-
-def _star_links(texts: DataFrame, stars: DataFrame, k: int, percent: int) -> DataFrame:
+def _star_links(texts: DataFrame, stars: DataFrame, reps: DataFrame, k: int, percent: int, limit: int) -> DataFrame:
     """Those of ``stars(a, b)``, each ``b`` with one centre ``a`` of a smaller id, whose full sets are similar enough.
 
-    Texts go to their centre once.  A centre of many partners is copied for
-    each block of them, so no task holds more than a block.
+    Sizes and sketches meet first, and only texts of pairs that they let pass
+    go to their centre, once.  A centre of many partners is copied for each
+    block of them, so no task holds more than a block.
     """
-    degree = durable(stars.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("copies")), "degree")
+    stars = durable(stars, "votes")
+    own = reps.select("rep", "n_shingles", "sketch")
+    degree = stars.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("copies"))
+    degree = durable(degree.join(own.toDF("a", "of_a", "sketch_a").hint("merge"), "a"), "degree")
+    there = stars.join(own.toDF("b", "of_b", "sketch_b").hint("merge"), "b")
+    both = with_hot(there, degree, "a", stars.count(), BLOCK).select("a", "b", "copies", "of_a", "of_b", "sketch_a", "sketch_b")
+    likely = both.mapInArrow(_within(limit, percent), "a long, b long, copies int")
     centres = degree.select(F.col("a").alias("doc_id"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-    members = with_hot(stars, degree, "a", stars.count(), BLOCK).select(F.col("b").alias("doc_id"), F.col("a").alias("centre"), F.expr("cast(pmod(xxhash64(b), copies) as int)").alias("salt"))
+    members = likely.select(F.col("b").alias("doc_id"), F.col("a").alias("centre"), F.expr("cast(pmod(xxhash64(b), copies) as int)").alias("salt"))
     placed = durable(centres.union(members), "stars")
     rows = bloom.rows_of(texts, placed.select("doc_id")).join(placed.hint("merge"), "doc_id").select("centre", "salt", "doc_id", "text")
 
@@ -315,8 +310,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     votes = shared.where("rep <> centre").groupBy("rep", "centre").agg(F.sum("weight").alias("n"))
     best = votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("best"))
     limit = sketch_limit(percent / 100, bands * rows)
-    likely = _likely(best.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b")), reps, limit, percent)
-    first = _star_links(texts, likely, k, percent)
+    first = _star_links(texts, best.select((-F.col("best.c")).alias("a"), F.col("rep").alias("b")), reps, k, percent, limit)
     labels = connected_components(first)
     rest = _cross_component_links(shared.select("bucket", "rep"), texts, reps, labels, total, k, limit, percent)
     forget(reps), forget(shared)
