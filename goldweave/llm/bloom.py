@@ -18,6 +18,8 @@ from goldweave.llm.durable import durable, forget
 from goldweave.llm.words import U, splitmix
 
 LEAST, MOST = 20, 28
+#: Partitions in which a filter comes to the driver.
+ASKED = 8
 #: Bits of one row that comes to the driver.
 _CELL = 1 << 12
 #: Makes the places in a second filter independent of those in the first.
@@ -57,7 +59,8 @@ def build(values: DataFrame, count: int) -> bytes:
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary()), pa.array([batch.column(1).to_numpy().tobytes()], pa.binary())], ["cells", "bits"])
 
     table = np.zeros(1 << (size - 6), dtype=np.int64)
-    for row in words.mapInArrow(joined, "cells binary, bits binary").toLocalIterator():
+    # The driver asks for one partition after the other, each by a job of its own: few of them.
+    for row in words.mapInArrow(joined, "cells binary, bits binary").coalesce(ASKED).toLocalIterator(prefetchPartitions=True):
         table[np.frombuffer(row["cells"], dtype=np.int32)] = np.frombuffer(row["bits"], dtype=np.int64)
     return table.tobytes()
 
