@@ -115,7 +115,7 @@ def dataset_cards(dataset: str, a: DataFrame, b: DataFrame, splits: DataFrame |
     shown = top.groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("example_values"))
     out = out.join(shown, "field", "left").withColumn("example_values", F.coalesce("example_values", F.array().cast("array<string>")))
     rows = out.select("field", "importance", "recommended_match_method", "position").collect()  # one row per field
-    best = [r["field"] for r in sorted((r for r in rows if r["importance"] is not None), key=lambda r: (-r["importance"], r["position"]))[:5]]
+    best = [r["field"] for r in sorted((r for r in rows if r["importance"] is not None), key=lambda r: (r["importance"], r["field"]), reverse=True)[:5]]
     told = "; ".join(f"{r['field']}: {r['recommended_match_method']}" for r in sorted(rows, key=lambda r: r["position"]) if r["field"].lower() not in ID_FIELDS)
     sizes = [str(x.count()) for x in (a, b)]
     marks = "; ".join(f"{r['split']}: {r['positive']} positive, {r['negative']} negative" for r in splits.orderBy("split").collect()) if splits is not None else "none"
@@ -214,6 +214,15 @@ def namespaced(df: DataFrame, prefix: str, ids: list[str], columns: list[str]) -
     return df.select(*[(F.concat(F.lit(f"{prefix}:"), value(c)) if c in ids else value(c)).alias(c) for c in columns])
 
 
+def mixed(parts: list[tuple[str, DataFrame]], ids: list[str], columns: list[str]) -> DataFrame:
+    """The tables of several datasets as one, whose ids tell the dataset."""
+    out = None
+    for prefix, df in parts:
+        one = namespaced(df, prefix, ids, columns)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def stratified(df: DataFrame, label: str, fractions: dict, key: str, seed: int = 42) -> DataFrame:
     """Exactly the share of each label's rows (its half to even), those with the smallest hashes of seed and key.
 

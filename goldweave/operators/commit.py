@@ -35,8 +35,13 @@ _ENTITY = "entity:"
 def candidates_from_members(entities: DataFrame) -> DataFrame:
     """Candidates of decided clusters: ``members`` in order fill both sides with the first of each source table.
 
-    ``entities`` has cand_id, title, source, confidence, reason, members and scores.
+    ``entities`` has cand_id, title, source, confidence, reason, members and
+    scores; members may lack attributes.
     """
+    fields = entities.schema["members"].dataType.elementType.fieldNames()
+    if "attributes" not in fields:
+        whole = F.transform("members", lambda m: F.struct(*[m[f].alias(f) for f in fields], F.lit(None).cast(ATTRIBUTES).alias("attributes")))
+        entities = entities.withColumn("members", whole)
     first = lambda t: F.get(F.filter("members", lambda m: m["source_table"] == t), 0)
     side = lambda m: F.when(m.isNotNull(), F.struct(m["source_id"].alias("id"), m["title"].alias("title"), m["manufacturer"].alias("manufacturer"), m["price"].alias("price"), m["attributes"].alias("attributes")))
     longest = F.array_max(F.transform("members", lambda m, i: F.struct(F.length(F.coalesce(m["title"], F.lit(""))).alias("n"), (-i).alias("i"), m["title"].alias("t"))))["t"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldweave.functions.text import folded
@@ -145,6 +145,22 @@ def cross_pairs(links: DataFrame) -> DataFrame:
     return of("table1", "l_id").join(of("table2", "r_id"), "entity_id").select("l_id", "r_id").distinct()
 
 
+def pair_counts(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row, tp, fp and fn: pairs (l_id, r_id) in both, in the first and in the second only; repeated pairs count once."""
+    keys = ["l_id", "r_id"]
+    both = predicted.select(*keys).distinct().withColumn("p", F.lit(1)).join(truth.select(*keys).distinct().withColumn("t", F.lit(1)), keys, "full")
+    return both.agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+
+
+def shapes(links: DataFrame) -> DataFrame:
+    """(shape, n): how many entities hold rows of one table or of both, one of each or more."""
+    of = lambda t: F.count_if(F.col("source_table") == t)
+    each = links.groupBy("entity_id").agg(of("table1").alias("a"), of("table2").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    shape = F.when((a == 1) & (b == 1), "merged_1x1").when((a > 0) & (b > 0), "merged_multi").when(a > 0, "only_a").when(b > 0, "only_b").otherwise("none")
+    return each.groupBy(shape.alias("shape")).agg(F.count("*").alias("n"))
+
+
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole, 6)).otherwise(0.0)
 
@@ -171,8 +187,7 @@ def eval_report(predicted: DataFrame, truth: DataFrame, entities: DataFrame) ->
         own = F.startswith("ref", F.lit(f"{table}:"))
         seen = refs.where(own).agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias(f"{name}_covered"), F.count_if(F.col("p").isNull()).alias(f"{name}_missing"), F.count_if(F.col("t").isNull()).alias(f"{name}_extra"))
         out = out.crossJoin(seen)  # single rows
-    pairs = cross_pairs(predicted).withColumn("p", F.lit(1)).join(cross_pairs(truth).withColumn("t", F.lit(1)), ["l_id", "r_id"], "full")
-    out = out.crossJoin(pairs.agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn")))
+    out = out.crossJoin(pair_counts(cross_pairs(predicted), cross_pairs(truth)))
     c = F.col
     return out.withColumns(
         {
@@ -190,6 +205,34 @@ def mismatches(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return one(t, p, "missing_reference_cluster").unionByName(one(p, t, "extra_predicted_cluster")).orderBy(F.desc("side"), "members")
 
 
+def mismatch_rows(predicted: DataFrame, truth: DataFrame, entities: DataFrame) -> DataFrame:
+    """(side, refs, reference_title, predicted_entity_id, predicted_title) of clusters that only one of the two has, the missing ones first."""
+    named = truth.groupBy("entity_id").agg(F.min("title").alias("reference_title"))
+    t = clusters_of(truth).join(named, "entity_id").select(F.col("members").alias("refs"), "reference_title")
+    p = clusters_of(predicted).join(entities.select("entity_id", F.col("canonical_title").alias("predicted_title")), "entity_id", "left").select(F.col("members").alias("refs"), F.col("entity_id").alias("predicted_entity_id"), "predicted_title")
+    missing = t.join(p.select("refs"), "refs", "left_anti").withColumn("side", F.lit("missing_reference_cluster"))
+    out = missing.unionByName(p.join(t.select("refs"), "refs", "left_anti").withColumn("side", F.lit("extra_predicted_cluster")), allowMissingColumns=True)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return out.select("side", "refs", text("reference_title"), text("predicted_entity_id"), text("predicted_title")).orderBy(F.desc("side"), "refs")
+
+
+def case_summary(cases: DataFrame) -> DataFrame:
+    """What each run of a whole workflow came to: coverage of both tables, and whether it passed.
+
+    ``cases`` has case, positive, relation_type, ingest_status, quality_valid,
+    links_a, links_b, rows_a and rows_b.  A pair of tables of one kind passes
+    if it is not rejected and its master is valid; other pairs pass if they
+    are rejected.
+    """
+    rejected = F.coalesce(F.col("relation_type") == "dataset_type_mismatch", F.lit(False)) | F.coalesce(F.col("ingest_status") == "reupload_required", F.lit(False))
+    share = lambda n, of: F.round(F.when(F.col(of) > 0, F.coalesce(n, F.lit(0)) / F.col(of)).otherwise(0.0), 6)
+    return cases.select(
+        "case", F.when(F.col("positive"), "positive").otherwise("negative").alias("expected"),
+        F.when(F.col("positive"), ~rejected & F.coalesce("quality_valid", F.lit(False))).otherwise(rejected).alias("passed"), rejected.alias("rejected"),
+        share(F.col("links_a"), "rows_a").alias("coverage_a"), share(F.col("links_b"), "rows_b").alias("coverage_b"),
+    )
+
+
 def weight_grid(names: list[str], step: int = 5) -> list[tuple[float, ...]]:
     """All weights of the names in steps of ``step`` percent that sum to one."""
     units = 100 // step

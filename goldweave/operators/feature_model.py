@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,7 +132,7 @@ def load(spark: SparkSession, path: str) -> tuple[dict, dict]:
     kinds = {"features": TitleFeaturesModel}
     for name in json.loads(row["models"]):
         try:
-            models[name] = kinds.get(name, scoring.PipelineModel).load(f"{path}/{name}")
+            models[name] = kinds.get(name, PipelineModel).load(f"{path}/{name}")
         except Exception:
             if name != "features":  # classifiers can't be replaced; features are fitted anew
                 raise

@@ -183,4 +183,5 @@ def lexical_score() -> Column:
     total = F.lit(0.0)
     for name in LEXICAL:
         total = total + F.col(name)
-    return total / len(LEXICAL)
+    # Rounded, so that scores that are equal but for the order of a sum share a rank.
+    return F.round(total / len(LEXICAL), 9)

@@ -52,6 +52,11 @@ def unmatched(source: DataFrame, matched: DataFrame) -> DataFrame:
     return source.join(matched.select("id").distinct(), "id", "left_anti")
 
 
+def unlinked(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Rows (source_id, ...) of the source table ``name`` that no entity holds."""
+    return rows.join(links.where(F.col("source_table") == name).select("source_id"), "source_id", "left_anti")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` with rows of ``new`` in place of those with the same keys; files have no MERGE."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)

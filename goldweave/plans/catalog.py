@@ -10,13 +10,15 @@ entities and their links.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldweave.functions import numeric as N
 from goldweave.functions import text as T
+from goldweave.functions.jsontext import json_value
 from goldweave.operators import adjudicate, blocking, cards, evaluation, features, golden, graph, prepare, scoring
 from goldweave.operators import search_index as indexed
 from goldweave.plans import profile
@@ -234,9 +236,8 @@ def column_profile(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type HAVING count(*) >= (SELECT greatest(1, CAST(floor(0.1 * count(*)) AS BIGINT)) FROM events)")
 def dominant_category(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    least = e.agg(F.greatest(F.lit(1), F.floor(0.1 * F.count("*"))).alias("least"))
-    return e.groupBy("event_type").agg(F.count("*").alias("n")).crossJoin(F.broadcast(least)).where("n >= least").select("event_type", "n")  # one row
+    found = profile.dominant(table(spark, sf_dir, "events").select(F.col("event_type").alias("v")))
+    return found.select(F.col("v").alias("event_type"), "n")
 
 
 @query("SELECT quality AS label, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM labels) AS DOUBLE), 6) AS share FROM labels GROUP BY quality")
@@ -484,8 +485,9 @@ def link_if_missing(spark, sf_dir):
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
 def repair_links(spark, sf_dir):
-    lost = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(lost, "o_orderkey", "left_anti").select("o_orderkey")
+    held = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.lit("table1").alias("source_table"), F.col("l_orderkey").alias("source_id"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_id"))
+    return golden.unlinked(rows, held, "table1").select(F.col("source_id").alias("o_orderkey"))
 
 
 @query(f"{ADJACENT} SELECT l_id, r_id, CASE WHEN length(rt) > length(lt) THEN r_id ELSE l_id END AS chosen FROM pr")
@@ -589,7 +591,8 @@ def candidate_batch(spark, sf_dir):
 
 @query("SELECT CAST(event_id AS VARCHAR) AS cluster_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_extract(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("cluster_id"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").cast("string").alias("cluster_id"), json_value(F.col("props"), "k").cast("long").alias("k"))
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS cluster_id, event_type AS canonical_title, 'table1:' || user_id AS member FROM events")
@@ -643,24 +646,19 @@ def cluster_exact(spark, sf_dir):
 @query(f"{MARGINS}, t AS (SELECT l_id, r_id FROM sc WHERE c >= 0.8), p AS (SELECT l_id, r_id FROM mg WHERE l_rank = 1 AND r_rank = 1) SELECT (SELECT count(*) FROM (SELECT * FROM p INTERSECT SELECT * FROM t)) AS tp, (SELECT count(*) FROM (SELECT * FROM p EXCEPT SELECT * FROM t)) AS fp, (SELECT count(*) FROM (SELECT * FROM t EXCEPT SELECT * FROM p)) AS fn")
 def pair_setops(spark, sf_dir):
     s = scored(spark, sf_dir)
-    t, p = s.where("confidence >= 0.8").select("l_id", "r_id"), graph.mutual_top(s, 0.0).select("l_id", "r_id")
-    one = lambda df, n: df.agg(F.count("*").alias(n))
-    return one(p.intersect(t), "tp").crossJoin(one(p.exceptAll(t), "fp")).crossJoin(one(t.exceptAll(p), "fn"))  # single rows
+    return evaluation.pair_counts(graph.mutual_top(s, 0.0), s.where("confidence >= 0.8"))
 
 
 @query("WITH e AS (SELECT c_nationkey AS id, count(*) AS a FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS id, count(*) AS b FROM supplier GROUP BY 1), x AS (SELECT coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM e FULL JOIN s ON e.id = s.id) SELECT CASE WHEN a = 1 AND b = 1 THEN 'merged_1x1' WHEN a > 0 AND b > 0 THEN 'merged_multi' WHEN a > 0 THEN 'only_a' ELSE 'only_b' END AS shape, count(*) AS n FROM x GROUP BY 1")
 def entity_shapes(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("id"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-    x = a.unionByName(b).groupBy("id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    shape = F.when((F.col("a") == 1) & (F.col("b") == 1), "merged_1x1").when((F.col("a") > 0) & (F.col("b") > 0), "merged_multi").when(F.col("a") > 0, "only_a").otherwise("only_b")
-    return x.groupBy(shape.alias("shape")).agg(F.count("*").alias("n"))
+    of = lambda name, key, t: table(spark, sf_dir, name).select(F.col(key).alias("entity_id"), F.lit(t).alias("source_table"))
+    return evaluation.shapes(of("customer", "c_nationkey", "table1").unionByName(of("supplier", "s_nationkey", "table2")))
 
 
 @query("SELECT 'amazon:' || p_partkey AS id, p_name AS title FROM part UNION ALL SELECT 'other:' || s_suppkey, s_name FROM supplier")
 def mixed_union(spark, sf_dir):
-    one = lambda df, p, k, t: df.select(F.concat_ws(":", F.lit(p), F.col(k)).alias("id"), F.col(t).alias("title"))
-    return one(table(spark, sf_dir, "part"), "amazon", "p_partkey", "p_name").unionByName(one(table(spark, sf_dir, "supplier"), "other", "s_suppkey", "s_name"))
+    one = lambda name, k, t: table(spark, sf_dir, name).select(F.col(k).alias("id"), F.col(t).alias("title"))
+    return cards.mixed([("amazon", one("part", "p_partkey", "p_name")), ("other", one("supplier", "s_suppkey", "s_name"))], ["id"], ["id", "title"])
 
 
 # ---- models and streams -----------------------------------------------------
@@ -676,7 +674,27 @@ def train_gbt(spark, sf_dir):
     return scoring.probability(scoring.train_gbt(data, rounds=10), data, "gbt_score").select("l_id", "r_id", "gbt_score")
 
 
-@query(None)
+def _own_names(sql: str, prefix: str) -> str:
+    """A fragment whose tables have names of their own."""
+    return re.sub(r"\b(cw|pad|wl|terms|tf|idf|raw|nrm|vec)\b", rf"{prefix}\1", sql)
+
+
+def _dots(prefix: str) -> str:
+    return f"{prefix}dots AS (SELECT l_id, r_id, sum(x.w * y.w) AS d FROM top JOIN {prefix}vec x ON x.id = l_id JOIN {prefix}vec y ON y.id = r_id AND x.term = y.term GROUP BY l_id, r_id)"
+
+
+@query(
+    f"""{BLOCKED}, {_own_names(CHAR_TERMS + ", " + TFIDF, "ch_")}, {_own_names(WORD_TERMS + ", " + TFIDF, "wo_")}, {_dots("ch_")}, {_dots("wo_")},
+bw AS (SELECT id, list_filter(string_split(t, ' '), lambda w: w <> '') AS w FROM rec), bst AS (SELECT count(*) AS n, avg(len(w)) AS al FROM bw), bex AS (SELECT id, len(w) AS ln, unnest(w) AS term FROM bw),
+btf AS (SELECT id, ln, term, count(*) AS n FROM bex GROUP BY id, ln, term), bidf AS (SELECT term, ln(1 + ((SELECT n FROM bst) - count(*) + 0.5) / (count(*) + 0.5)) AS v FROM btf GROUP BY term),
+bsc AS (SELECT id, btf.term, n, v * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * ln / (SELECT al FROM bst))) AS s FROM btf JOIN bidf ON btf.term = bidf.term), bslf AS (SELECT id, sum(n * s) AS v FROM bsc GROUP BY id),
+bbo AS (SELECT l_id, r_id, sum(x.n * y.s) + sum(y.n * x.s) AS v FROM top JOIN bsc x ON x.id = l_id JOIN bsc y ON y.id = r_id AND x.term = y.term GROUP BY l_id, r_id),
+lx AS (SELECT top.l_id, top.r_id, round((coalesce(ch_dots.d, 0) + coalesce(wo_dots.d, 0) + CAST({jac("a.k", "b.k")} AS DOUBLE) + CAST({jac(stop_sql("a.t"), stop_sql("b.t"))} AS DOUBLE) + CAST({jac(num_sql("a.t"), num_sql("b.t"))} AS DOUBLE)
+  + greatest(0.0, least(1.0, coalesce(bbo.v, 0.0) / (2 * greatest(coalesce(p.v, 0.0), coalesce(q.v, 0.0), 1e-9))))) / 6, 9) AS s
+  FROM top JOIN a ON a.id = top.l_id JOIN b ON b.id = top.r_id LEFT JOIN ch_dots ON ch_dots.l_id = top.l_id AND ch_dots.r_id = top.r_id LEFT JOIN wo_dots ON wo_dots.l_id = top.l_id AND wo_dots.r_id = top.r_id
+  LEFT JOIN bbo ON bbo.l_id = top.l_id AND bbo.r_id = top.r_id LEFT JOIN bslf p ON p.id = top.l_id LEFT JOIN bslf q ON q.id = top.r_id)
+SELECT l_id, r_id, round(0.45 * (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0) / count(*) OVER () + 0.55 * s, 6) AS confidence FROM lx"""
+)
 def fuse_scores(spark, sf_dir):
     """Confidence of pairs without models: the lexical score stands for both."""
     left, right = sides(spark, sf_dir)
@@ -701,13 +719,13 @@ def stratified(spark, sf_dir):
     return cards.stratified(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "quality", {0: 0.5, 1: 0.2}, "doc_id")
 
 
-_GRID = f"(SELECT unnest({list(evaluation.THRESHOLDS)}) AS threshold)"
+_THRESHOLDS = f"(SELECT unnest({list(evaluation.THRESHOLDS)}) AS threshold)"
 
 
 @query(
     f"""{MARGINS}, truth AS (SELECT a.id AS l_id, b.id AS r_id FROM a JOIN b ON a.t = b.t AND a.t <> ''),
 g AS (SELECT mg.*, truth.l_id IS NOT NULL AS y FROM mg LEFT JOIN truth ON mg.l_id = truth.l_id AND mg.r_id = truth.r_id),
-cells AS (SELECT rule, threshold, margin FROM {_GRID}, (VALUES ('all_above', CAST(NULL AS DOUBLE)), ('mutual_top_1to1', NULL), ('mutual_top_margin_1to1', 0.0), ('mutual_top_margin_1to1', 0.04), ('mutual_top_margin_1to1', 0.1)) v(rule, margin)),
+cells AS (SELECT rule, threshold, margin FROM {_THRESHOLDS}, (VALUES ('all_above', CAST(NULL AS DOUBLE)), ('mutual_top_1to1', NULL), ('mutual_top_margin_1to1', 0.0), ('mutual_top_margin_1to1', 0.04), ('mutual_top_margin_1to1', 0.1)) v(rule, margin)),
 c AS (SELECT rule, threshold, margin, count(*) FILTER (WHERE l_id IS NOT NULL AND y) AS tp, count(l_id) AS predicted FROM cells LEFT JOIN g ON c >= threshold
   AND (rule = 'all_above' OR l_rank = 1 AND r_rank = 1 AND (rule = 'mutual_top_1to1' OR c < 0.94 AND NOT x AND least(l_margin, r_margin) >= margin)) GROUP BY rule, threshold, margin),
 f AS (SELECT *, predicted - tp AS fp, (SELECT count(*) FROM truth) - tp AS fn FROM c),

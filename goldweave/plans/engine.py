@@ -15,7 +15,7 @@ from goldweave.functions.text import normalize_text
 from goldweave.operators import adjudicate, blocking, commit, evaluation, feature_model, features, golden, graph, prepare, review, scoring
 from goldweave.plans import profile as schema
 from goldweave.sources.store import Change, Store
-from goldweave.sources.tables import latest_run, master_scan, read_header
+from goldweave.sources.tables import latest_run, master_scan, read_header, write_report
 
 
 class SchemaMismatch(ValueError):
@@ -168,6 +168,25 @@ class Engine:
 
     # ---- matching ----------------------------------------------------------------
 
+    def ingest(self, a: DataFrame, b: DataFrame, *, override: dict | None = None, judge: Callable[[dict], bool] | None = None) -> dict:
+        """The gate before ``resolve``: tables of one header pass, others if the plan, or ``judge`` on it, relates them.
+
+        The reply's status is ``reupload_required``, ``llm_required`` (decide,
+        then finalise) or ``completed`` (finalise).
+        """
+        strict = schema.strict_match(a.columns, b.columns)
+        found = self.analyze_schema(a, b, override)
+        related = strict or (judge(found.as_dict()) if judge else found.related)
+        gate = "strict_schema_matched" if strict else "schema_judged"
+        refuse = lambda why: {"status": "reupload_required", "relation_type": "dataset_type_mismatch", "gate": gate, "message": why, "next": None}
+        if not related:
+            return refuse(found.reason)
+        try:
+            run = self.resolve(a, b, override=override if found.related else {**(override or {}), "related": True})
+        except SchemaMismatch as e:
+            return refuse(str(e))
+        return {"status": run.status, "relation_type": "same_entity_table", "gate": gate, "match_run_id": run.run_id, "message": "", "next": "adjudicate" if run.status == "llm_required" else "finalize"}
+
     def resolve(self, a: DataFrame, b: DataFrame, *, override: dict | None = None, names: tuple[str, str] = ("table1", "table2")) -> Run:
         """Initial load: profile, candidates, scores, routes, and master tables."""
         a, b = prepare.rename_aliases(a), prepare.rename_aliases(b)
@@ -439,8 +458,7 @@ class Engine:
 
     def _relink(self, rows: DataFrame, name: str) -> int:
         """Entities of their own for rows (source_table, source_id, title, manufacturer, price, attributes) without a link; the number of them."""
-        links = self.table("links").where(F.col("source_table") == name).select("source_id")
-        lost = graph.settled(rows.join(links, "source_id", "left_anti"))
+        lost = graph.settled(golden.unlinked(rows, self.table("links"), name))
         n = lost.count()
         if n:
             self._write(self._single(lost, "auto", "repaired link"), "", self.specs())
@@ -521,6 +539,11 @@ class Engine:
         links = self.table("links").select("entity_id", F.concat_ws(":", "source_table", "source_id").alias("ref"))
         return evaluation.eval_report(links, truth, self.table("entities"))
 
+    def report(self, truth: DataFrame, path: str) -> None:
+        """Write the measures against a reference, and the clusters that differ."""
+        links = self.table("links").select("entity_id", F.concat_ws(":", "source_table", "source_id").alias("ref"))
+        write_report(self.evaluate(truth), evaluation.mismatch_rows(links, truth, self.table("entities")), path)
+
     def search(self, query: str, limit: int = 10) -> DataFrame:
         read = golden.golden_read(self.table("golden"), self.table("aliases"), self.table("links"))
         return golden.search(read, query, ["title", "manufacturer", "selected_source_table", "source", "aliases", "links"], limit=limit)

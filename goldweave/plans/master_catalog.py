@@ -158,6 +158,21 @@ def pair_features(spark, sf_dir):
     return p.select("l_id", "r_id", *[r6(F.col(c).cast("double")).alias(c) for c in ("title_token_jaccard", "important_token_jaccard", "manufacturer_similarity", "price_similarity", "price_log_delta")])
 
 
+@query(
+    """SELECT s_suppkey AS "case", CASE WHEN s_suppkey % 2 = 0 THEN 'positive' ELSE 'negative' END AS expected, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 ELSE s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 END AS passed,
+s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 AS rejected, CASE WHEN s_nationkey > 0 THEN round(CAST(s_suppkey % 11 AS DOUBLE) / s_nationkey, 6) ELSE 0.0 END AS coverage_a, CASE WHEN s_nationkey > 0 THEN round(CAST(s_suppkey % 13 AS DOUBLE) / s_nationkey, 6) ELSE 0.0 END AS coverage_b FROM supplier"""
+)
+def case_summary(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    k, rows = F.col("s_suppkey"), F.col("s_nationkey")
+    cases = s.select(
+        k.alias("case"), (k % 2 == 0).alias("positive"), F.when(k % 3 == 0, "dataset_type_mismatch").when(k % 4 == 0, "same_entity_table").alias("relation_type"),
+        F.when(k % 5 == 0, "reupload_required").otherwise("completed").alias("ingest_status"), (k % 7 != 0).alias("quality_valid"), (k % 11).alias("links_a"), (k % 13).alias("links_b"),
+        rows.alias("rows_a"), rows.alias("rows_b"),
+    )
+    return evaluation.case_summary(cases)
+
+
 # ---- sources --------------------------------------------------------------------
 
 
@@ -198,7 +213,7 @@ def candidates(spark, sf_dir) -> DataFrame:
     text = k.cast("string")
     member = lambda t, i, title: F.struct(F.lit(t).alias("source_table"), i.alias("source_id"), title.alias("title"), F.col("c_mktsegment").alias("manufacturer"), F.col("c_acctbal").cast("string").alias("price"))
     members = F.array(member("table1", text, F.col("c_name")), member("table2", text, F.concat("c_name", F.lit(" plus"))))
-    linked = F.struct(F.concat(F.lit("entity:"), (F.col("k") % 10).cast("string")).alias("id"), F.lit("Master").alias("title"), F.lit(None).alias("manufacturer"), F.lit(None).alias("price"))
+    linked = F.struct(F.concat(F.lit("entity:"), (F.col("k") % 10).cast("string")).alias("id"), F.lit("Master").alias("title"), F.lit(None).alias("manufacturer"), F.lit(None).alias("price"), F.lit(None).alias("attributes"))
     rows = c.select(text.alias("cand_id"), F.concat("c_name", F.lit(" plus")).alias("title"), F.lit("llm").alias("source"), F.lit(0.8).alias("confidence"), F.lit("test").alias("reason"), members.alias("members"), F.lit(None).cast(commit.SCORES).alias("scores"), k.alias("k"))
     made = commit.candidates_from_members(rows.drop("k")).join(rows.select("cand_id", "k"), "cand_id")
     return made.withColumn("table1", F.when(F.col("k") % 3 == 0, linked.cast(commit.SIDE)).otherwise(F.col("table1"))).drop("k")

@@ -137,5 +137,16 @@ def latest_reports(spark: SparkSession, pattern: str) -> DataFrame:
     return out.where(is_json(F.col("text"))).orderBy(F.desc("modified"), F.desc("path"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, *, mark: bool = False) -> None:
+    """CSV with a header; with ``fields`` just these, missing ones empty, and with ``mark`` behind a byte order mark."""
+    if fields is not None:
+        df = df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit("")).alias(c) for c in fields])
+    if mark:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_report(report: DataFrame, mismatches: DataFrame, path: str) -> None:
+    """The measures of a comparison as JSON and the clusters that differ as CSV below ``path``."""
+    report.coalesce(1).write.mode("overwrite").json(f"{path}/report")
+    write_csv(mismatches, f"{path}/mismatches", ["side", "refs", "reference_title", "predicted_entity_id", "predicted_title"], mark=True)

@@ -272,3 +272,27 @@ def test_merged_entities_fill_each_others_attributes(spark):
     none = spark.createDataFrame([], "entity_id string, alias_title string, normalized_title string, source_table string, source_id string")
     merged, _, _ = golden.merge_entities(e, none, none.select("entity_id", "source_table", "source_id"), golden.duplicate_titles(e))
     assert {r.entity_id: r.attributes for r in merged.collect()} == {"e1": {"x": "1", "y": "2"}, "e3": None}
+
+
+def test_the_gate_and_its_branches(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "m"))
+    papers = spark.createDataFrame([("1", "Deep sets", "A. B", "VLDB", "2001")], "id string, title string, authors string, venue string, year string")
+    goods = spark.createDataFrame(A, COLS)
+    refused = engine.ingest(goods, papers)
+    assert refused["status"] == "reupload_required" and refused["gate"] == "schema_judged" and engine.store.read("runs") is None
+    assert engine.ingest(goods, goods.withColumnRenamed("manufacturer", "Maker"), judge=lambda plan: False)["status"] == "reupload_required"
+    reply = engine.ingest(goods, spark.createDataFrame(B, COLS))
+    assert (reply["gate"], reply["status"], reply["next"]) == ("strict_schema_matched", "llm_required", "adjudicate")
+    assert engine.run_document()["run_id"] == reply["match_run_id"]
+    engine.finalize(reply["match_run_id"])
+    truth = engine.table("links").selectExpr("case when source_id = 'a5' then 'other' else entity_id end as entity_id", "title", "concat(source_table, ':', source_id) as ref")
+    engine.report(truth.where("ref <> 'table2:b5'"), str(tmp_path / "r"))
+    rows = tables.read_csv(spark, str(tmp_path / "r" / "mismatches"))
+    assert rows.columns == ["side", "refs", "reference_title", "predicted_entity_id", "predicted_title"] and {r.side for r in rows.collect()} == {"extra_predicted_cluster"}
+    assert spark.read.json(str(tmp_path / "r" / "report")).count() == 1
+
+
+def test_written_fields_are_fixed(spark, tmp_path):
+    tables.write_csv(spark.createDataFrame([("1", "x", "y")], "id string, extra string, title string").coalesce(1), str(tmp_path / "o"), ["id", "title", "price"], mark=True)
+    text = next((tmp_path / "o").glob("part-*")).read_text(encoding="utf-8")
+    assert text.startswith("\ufeffid,title,price\n1,y,")
