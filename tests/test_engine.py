@@ -96,7 +96,7 @@ def test_a_resolver_that_runs_out_of_rounds_says_so(run, spark):
 def test_lost_links_come_back_from_the_snapshots(run, spark):
     engine, found = run
     engine.finalize(found.run_id)
-    gone = engine.table("links").where("source_id in ('a5', 'b1')").select("source_table", "source_id")
+    gone = engine.table("links").where("source_id in ('a5', 'b5')").select("source_table", "source_id")
     assert gone.count() == 2
     change = engine.store.change()
     change.upsert("links", engine.table("links").limit(0), ["source_table", "source_id"], deletes=gone)
