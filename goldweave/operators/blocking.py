@@ -96,7 +96,7 @@ def rough_score(l_parts: Column, r_parts: Column, weights: list[float]) -> Colum
 
 
 #: Places of a left row's tokens, the rarest first, that a round looks up; the last round takes the rest.
-ROUNDS = (2, 6)
+ROUNDS = (4,)
 #: Pairs of one token that one task may bring; a token of more is split over several.
 TOKEN_PAIRS = 1 << 22
 _EPS = 1e-9
