@@ -146,3 +146,31 @@ def test_plans_name_their_blocking_parts():
     plan = profile.header_plan(["id", "Beer_Name", "Brew_Factory_Name", "Style", "ABV"])
     assert profile.blocking_parts(plan) == [1, 2] and profile.master_specs(plan) == [(c, c) for c in ("Beer_Name", "Brew_Factory_Name", "Style", "ABV")]
     assert blocking.posting_cap(1000) == 80
+
+
+def test_blocks_of_both_sides_against_all_pairs(spark, monkeypatch):
+    """Several blocks a side, a token in most rows, rows of more than 255 tokens, ids as texts, and no row for a pair that shares a common token only."""
+    rng = random.Random(11)
+    word = lambda: f"w{min(int(rng.expovariate(0.1)), 50)}"
+    make = lambda i: record(i, [" ".join(["common"] + [word() for _ in range(rng.randint(0, 8))]), rng.choice(["acme", "zed"])], [0, 1])
+    left, right = [make(i) for i in range(90)], [make(i) for i in range(1000, 1130)]
+    left[3] = record(3, [" ".join(f"x{k}" for k in range(300)), "acme"], [0, 1])
+    right[5] = record(1005, [" ".join(f"x{k}" for k in range(20, 310)), "zed"], [0, 1])
+    monkeypatch.setattr(blocking, "TOKEN_PAIRS", 1500)
+    monkeypatch.setattr(blocking, "BLOCK_ROWS", 25)
+    assert blocking._blocks(90, 130) == (5, 2) and blocking._blocks(0, 0) == (1, 1)
+    step = blocking.best_of_block
+
+    def seen(a, b, **kw):
+        out = step(a, b, **kw)
+        assert a.num_rows < 90 and b.num_rows < 130 and out.num_rows <= kw["top_k"] * a.num_rows, "a task holds a side whole, or returns more than its best"
+        return out
+
+    monkeypatch.setattr(blocking, "best_of_block", seen)
+    frames = [spark.createDataFrame(x, RECORD) for x in (left, right)]
+    want = brute(left, right, 60, [0.7, 0.3], [0, 1], top_k=4)
+    assert any(a == 3 and b == 1005 for a, b, _ in want)
+    assert got(blocking.block_schema(*frames, cap=60, weights=[0.7, 0.3], blocking=[0, 1], top_k=4)) == want
+    texts = [f.withColumn("id", f.id.cast("string")) for f in frames]
+    found = {(int(a), int(b), s) for a, b, s in got(blocking.block_schema(*texts, cap=60, weights=[0.7, 0.3], blocking=[0, 1], top_k=4))}
+    assert found == want
