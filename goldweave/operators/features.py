@@ -31,8 +31,10 @@ def tfidf_idf(counts: DataFrame, n_docs: int) -> DataFrame:
 def tfidf_vectors(counts: DataFrame, idf: DataFrame) -> DataFrame:
     """(id, term, w) with unit length per record."""
     raw = counts.join(idf.select("term", "idf"), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    # The terms of a record meet once, for its length and its weights.
+    own = raw.groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("ts"))
+    norm = F.sqrt(F.aggregate("ts", F.lit(0.0), lambda acc, t: acc + t["w"] * t["w"]))
+    return own.withColumn("norm", norm).select("id", "norm", F.explode("ts").alias("t")).select("id", "t.term", (F.col("t.w") / F.col("norm")).alias("w"))
 
 
 def _one_array(rows: DataFrame, key: str, values: list[str], name: str) -> DataFrame:

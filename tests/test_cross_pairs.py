@@ -32,3 +32,17 @@ def test_counts_do_not_make_the_pairs(spark):
     t = p.where("not endswith(ref, '7')").selectExpr("entity_id", "ref", "'x' as title")
     row = evaluation.eval_report(p, t, p.selectExpr("entity_id", "'X' as canonical_title").distinct()).first()
     assert (row.tp, row.fp, row.fn) == (20_000 * 16_000, 20_000 * 4_000, 0)
+
+
+def test_vectors_look_up_each_term_once(spark):
+    """The weights of a record come with its length, not from a second pass over all terms."""
+    from goldweave.operators import features
+
+    rows = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["b", "c"])], "id long, words array<string>")
+    counts = features.term_counts(rows, rows.words)
+    vectors = features.tfidf_vectors(counts, features.tfidf_idf(counts, 2))
+    length = {r.id: r.n for r in vectors.groupBy("id").agg({"w": "sum"}).withColumnRenamed("sum(w)", "n").collect()}
+    assert set(length) == {1, 2}
+    for i in (1, 2):
+        assert abs(sum(r.w**2 for r in vectors.where(f"id = {i}").collect()) - 1) < 1e-12
+    assert vectors._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
