@@ -78,3 +78,12 @@ def test_json_texts(spark):
 
 def test_field_names():
     assert [T.field_name(x) for x in ("table1.Title", "LTABLE_name", " right_id ", "price")] == ["Title", "name", "id", "price"]
+
+
+def test_columns_that_are_normalised_together_share_a_python_worker(spark):
+    from goldweave.functions.text import normalize_text
+
+    rows = spark.createDataFrame([("ﬁne", "a&amp;b", None), ("x", "Ｙ", "z")], "a string, b string, c string")
+    out = rows.select(*[normalize_text(rows[c]).alias(c) for c in rows.columns])
+    assert [tuple(r) for r in out.collect()] == [("fine", "a b", ""), ("x", "y", "z")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") == 1
