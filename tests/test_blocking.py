@@ -174,3 +174,49 @@ def test_blocks_of_both_sides_against_all_pairs(spark, monkeypatch):
     texts = [f.withColumn("id", f.id.cast("string")) for f in frames]
     found = {(int(a), int(b), s) for a, b, s in got(blocking.block_schema(*texts, cap=60, weights=[0.7, 0.3], blocking=[0, 1], top_k=4))}
     assert found == want
+
+
+def _lists(rng, ids, size):
+    import pyarrow as pa
+
+    rows = [[f"w{k}" for k in sorted({min(int(rng.expovariate(0.05)), 90) for _ in range(rng.randint(0, size))})] for _ in ids]
+    return pa.table({"id": pa.array(ids, pa.int64()), "p0": pa.array(rows, pa.list_(pa.string()))})
+
+
+@pytest.mark.parametrize(("rough", "top_k"), [(0.18, 40), (0.5, 3), (0.0, 7), (0.18, None)])
+def test_blocks_of_titles_name_their_common_tokens_only(rough, top_k):
+    """A block of titles is told which tokens are no keys, instead of a second list of tokens for each row; sizes and counts alone decide."""
+    import pyarrow as pa
+
+    from goldweave.operators.overlap import best_of_block
+
+    rng = random.Random(7)
+    left, right = _lists(rng, list(range(70)), 12), _lists(rng, list(range(1000, 1511)), 14)
+    common = {"w0", "w1", "w5"}
+    right = right.append_column("common", pa.array([[t for t in row if t in common] for row in right["p0"].to_pylist()], pa.list_(pa.string())))
+    schema = pa.schema([("l_id", pa.int64()), ("r_id", pa.int64()), ("s", pa.float64())])
+    found = best_of_block(left, right, weights=[1.0], rough=rough, top_k=top_k, schema=schema)
+    want = set()
+    for a in left.to_pylist():
+        x = set(a["p0"])
+        scored = [(-jaccard(x, y["p0"]), y["id"]) for y in right.to_pylist() if (x & set(y["p0"])) - common and jaccard(x, y["p0"]) >= rough]
+        want |= {(a["id"], i, -s) for s, i in sorted(scored)[:top_k]}
+    assert want and set(zip(*(c.to_pylist() for c in found.columns), strict=True)) == want
+
+
+def test_candidates_beyond_the_bound_of_a_share_are_left_out(monkeypatch):
+    """Rows of many candidates: the bound changes no result, with ties at the last place."""
+    import pyarrow as pa
+
+    from goldweave.operators import overlap
+
+    rng = random.Random(9)
+    make = lambda ids: _lists(rng, ids, 9).append_column("p1", pa.array([[rng.choice("abc")] if rng.random() < 0.8 else [] for _ in ids], pa.list_(pa.string())))
+    left, right = make(list(range(50))), make(list(range(1000, 1400)))
+    both = lambda t: t.append_column("keys", pa.array([sorted(set(a + b)) for a, b in zip(t["p0"].to_pylist(), t["p1"].to_pylist(), strict=True)], pa.list_(pa.string())))
+    schema = pa.schema([("l_id", pa.int64()), ("r_id", pa.int64()), ("s", pa.float64())])
+    run = lambda: overlap.best_of_block(both(left), both(right), weights=[0.7, 0.3], rough=0.1, top_k=5, schema=schema)
+    want = run()
+    monkeypatch.setattr(overlap, "_MANY", 20)
+    monkeypatch.setattr(overlap, "_SHARE", 3)
+    assert run().equals(want) and want.num_rows > 200
