@@ -5,6 +5,11 @@ its grams: the postings of its rarest gram hold all such fields.  Fields that
 hold its characters in any order come last in every answer, so they are
 looked up by its rarest character, the records of the highest confidence
 first, and only for queries whose answer is not full yet.
+
+Fields of one text fare alike in every query, and so do fields of the same
+characters where only these count.  So queries meet different texts and
+different sets of characters, each query text once, and of those that fit
+only the first records are fetched: as many as an answer holds.
 """
 
 from __future__ import annotations
@@ -26,7 +31,11 @@ PLACES = (1_000, 20_000, 400_000)
 
 @dataclass
 class SearchIndex:
-    """``fields`` (entity_id, confidence, place, c, i), ``grams`` (kind, gram, entity_id, c, i), ``sizes`` (kind, gram, n), ``chars`` (gram, place, entity_id, c, i)."""
+    """``fields`` (entity_id, confidence, place, c, i), ``grams`` (kind, gram, c, i), ``sizes`` (kind, gram, n), ``chars`` (m, place, entity_id).
+
+    ``grams`` and ``sizes`` are over different texts; ``m`` is the characters
+    of a text, each once.
+    """
 
     fields: DataFrame
     grams: DataFrame
@@ -57,22 +66,39 @@ def build(records: DataFrame, names: list[str]) -> SearchIndex:
     each = ranked.select("entity_id", "confidence", "place", F.explode(F.array_distinct(text_fields(records, names))).alias("f"))
     fields = settled(each.select("entity_id", "confidence", "place", compact(F.col("f")).alias("c"), initials(F.col("f")).alias("i")).where("c <> ''").distinct())
 
+    forms = settled(fields.select("c", "i").distinct())
+
     def posted(kind: str) -> DataFrame:
         runs = F.array_distinct(F.concat(*[_grams(F.col(kind), n) for n in range(1, GRAM + 1)]))
-        return fields.select(F.lit(kind).alias("kind"), F.explode(runs).alias("gram"), "entity_id", "c", "i")
+        return forms.select(F.lit(kind).alias("kind"), F.explode(runs).alias("gram"), "c", "i")
 
     grams = settled(posted("c").unionByName(posted("i")))
     sizes = settled(grams.groupBy("kind", "gram").agg(F.count("*").alias("n")))
-    chars = fields.select(F.explode(_grams(F.col("c"), 1)).alias("gram"), "place", "entity_id", "c", "i")
+    chars = fields.select(_held(F.col("c")).alias("m"), "place", "entity_id").distinct()
     return SearchIndex(fields, grams, sizes, settled(chars))
 
 
+def _held(text: Column) -> Column:
+    """The distinct characters of a text, in order."""
+    return F.array_join(F.array_sort(_grams(text, 1)), "")
+
+
 def _rarest(asked: DataFrame, sizes: DataFrame, kind: str, size: Column) -> DataFrame:
-    """(query_id, q, gram): each query's gram of fewest postings; queries with a gram that no field has are left out."""
-    each = asked.select("query_id", "q", F.explode(_grams(F.col("q"), size)).alias("gram"))
+    """``asked`` (q and others) with each query's gram of fewest postings; queries with a gram that no field has are left out."""
+    each = asked.select("*", F.explode(_grams(F.col("q"), size)).alias("gram"))
     found = each.join(sizes.where(F.col("kind") == kind).select("gram", "n"), "gram", "left")
-    best = found.groupBy("query_id", "q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
-    return best.where("g.n > 0").select("query_id", "q", F.col("g.gram").alias("gram"))
+    best = found.groupBy(*asked.columns).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    return best.where("g.n > 0").select(*asked.columns, F.col("g.gram").alias("gram"))
+
+
+def _first(rows: DataFrame, by: list[str], order: list[Column | str], limit: int) -> DataFrame:
+    """The first ``limit`` rows of each group."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= limit)
+
+
+def _answers(rows: DataFrame, limit: int) -> DataFrame:
+    """(q, entity_id, place, score): the ``limit`` best records of each query text, each by its best score."""
+    return settled(_first(rows.groupBy("q", "entity_id", "place").agg(F.max("score").alias("score")), ["q"], [F.desc("score"), "place"], limit).drop("rank"))
 
 
 def search_all(index: SearchIndex, queries: DataFrame, *, limit: int = 10, places: tuple[int, ...] = PLACES) -> DataFrame:
@@ -84,25 +110,30 @@ def search_all(index: SearchIndex, queries: DataFrame, *, limit: int = 10, place
     """
     limit = min(max(limit, 1), 100)
     asked = settled(queries.select("query_id", compact(F.coalesce("query", F.lit(""))).alias("q")).where("q <> ''").distinct())
-    found = None
+    texts = settled(asked.select("q").distinct())
+    met = None
     for kind in ("c", "i"):
-        by = _rarest(asked, index.sizes, kind, F.least(F.length("q"), F.lit(GRAM)))
-        met = by.join(index.grams.where(F.col("kind") == kind), "gram")
-        held = met.where(F.contains(F.col(kind), F.col("q"))).select("query_id", "q", "entity_id", rule_score(F.col("c"), F.col("i"), F.col("q")).alias("score"))
-        found = held if found is None else found.unionByName(held)
-    found = settled(found.where("score is not null").groupBy("query_id", "q", "entity_id").agg(F.max("score").alias("score")))
+        by = _rarest(texts, index.sizes, kind, F.least(F.length("q"), F.lit(GRAM)))
+        held = by.join(index.grams.where(F.col("kind") == kind), "gram").where(F.contains(F.col(kind), F.col("q"))).select("q", "c", "i")
+        met = held if met is None else met.unionByName(held)
+    met = met.distinct().withColumn("score", rule_score(F.col("c"), F.col("i"), F.col("q"))).where("score is not null")
+    # A record behind as many others of its text can't be among the best.
+    tops = _first(index.fields.select("c", "i", "place", "entity_id"), ["c", "i"], ["place"], limit).drop("rank")
+    found = _answers(met.join(tops, ["c", "i"]), limit)
+    alike = settled(_first(index.chars, ["m"], ["place"], limit).drop("rank"))
     at = 0
     for to in (*places, None):
-        full = found.groupBy("query_id", "q").agg(F.count("*").alias("k")).where(F.col("k") >= limit)
-        open_ = settled(asked.join(full, ["query_id", "q"], "left_anti"))
+        full = found.groupBy("q").agg(F.count("*").alias("k")).where(F.col("k") >= limit)
+        open_ = settled(texts.join(full, "q", "left_anti").select(F.col("q").alias("text"), _held(F.col("q")).alias("q")))
         if open_.isEmpty():
             break
-        by = _rarest(open_, index.sizes, "c", F.lit(1))
-        block = index.chars.where((F.col("place") > at) & (F.col("place") <= to) if to else F.col("place") > at)
-        met = by.join(block, "gram").select("query_id", "q", "entity_id", rule_score(F.col("c"), F.col("i"), F.col("q")).alias("score")).where("score is not null")
-        more = met.groupBy("query_id", "q", "entity_id").agg(F.max("score").alias("score"))
-        found = settled(found.unionByName(more).groupBy("query_id", "q", "entity_id").agg(F.max("score").alias("score")))
+        block = settled(alike.where((F.col("place") > at) & (F.col("place") <= to) if to else F.col("place") > at))
+        by = _rarest(open_.select("q").distinct(), index.sizes, "c", F.lit(1))
+        sets = block.select("m").distinct().select("m", F.explode(_grams(F.col("m"), 1)).alias("gram"))
+        fits = by.join(sets, "gram").where(F.forall(F.split("q", ""), lambda x: F.contains(F.col("m"), x))).select("q", "m")
+        # Of these fewer than ``limit`` are found already, by a better rule.
+        more = _first(fits.join(block, "m").select("q", "place", "entity_id").distinct(), ["q"], ["place"], limit)
+        more = more.join(open_, "q").select(F.col("text").alias("q"), "entity_id", "place", F.lit(0.48).alias("score"))
+        found = _answers(found.unionByName(more), limit)
         at = to
-    own = index.fields.select("entity_id", "place").distinct()
-    w = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "place")
-    return found.join(own, "entity_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "entity_id", "score", "rank")
+    return _first(found.join(asked, "q"), ["query_id", "q"], [F.desc("score"), "place"], limit).select("query_id", "entity_id", "score", "rank")

@@ -43,3 +43,17 @@ def test_an_index_touches_few_records(spark):
     assert by.count() == 20 and by.join(index.grams.where("kind = 'c'"), "gram").count() < 0.05 * 20 * 2_000
     best = search_index.search_all(index, asked.select("query_id", F.col("q").alias("query")), limit=1).collect()
     assert sorted((r.query_id, r.entity_id, r.score) for r in best) == [(i, f"e{i:05d}", 0.86) for i in range(0, 2_000, 100)]
+
+
+def test_copies_of_records_add_no_comparisons(spark):
+    """Queries meet different texts and sets of characters; copies only wait behind the first of their text."""
+    names = ["red ring", "blue gear", "red gear", "grid beer"]
+    table = lambda n: spark.createDataFrame([(f"e{i:04d}", names[i % 4], None, (i * 7 % 10) / 10) for i in range(n)], RECORDS)
+    few, many = (search_index.build(table(n), ["title"]) for n in (40, 400))
+    assert few.grams.count() == many.grams.count()
+    asked = spark.createDataFrame([(1, "rg"), (2, "Red Gear"), (3, "der"), (4, "gear"), (5, "rg"), (6, "grid")], "query_id int, query string")
+    got = {}
+    for r in search_index.search_all(many, asked, limit=5, places=(30,)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.entity_id, r.score))
+    for k, q in asked.collect():
+        assert got[k] == [(r.entity_id, r.score) for r in golden.search(table(400), q, ["title"], limit=5).collect()], q
