@@ -165,16 +165,17 @@ class FeatureBuilder:
         size = self.volumes.agg(F.sum("n_docs").alias("n"), F.sum("words").alias("w")).first()
         n, words = size["n"] or 0, size["w"] or 0
         pairs = settled(pairs)  # every feature reads the pairs
-        counts = self.counts.groupBy("kind", "term").agg(F.sum("df").alias("df"))
-        own = [pairs.select(F.col(f"{p}_id").alias("id"), F.col(f"{p}_norm").alias("title_norm")).dropDuplicates(["id"]) for p in ("l", "r")]
+        # Each similarity is made by a plan of its own: one plan of all of them fills the driver.
+        counts = settled(self.counts.groupBy("kind", "term").agg(F.sum("df").alias("df")))
+        own = [settled(pairs.select(F.col(f"{p}_id").alias("id"), F.col(f"{p}_norm").alias("title_norm")).dropDuplicates(["id"])) for p in ("l", "r")]
         out = token_features(pairs)
         for name in ("char", "word"):
             idf = counts.where(F.col("kind") == name).select("term", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
             sides = [tfidf_vectors(term_counts(x, KINDS[name](F.col("title_norm"))), idf) for x in own]
-            out = out.join(sparse_dot(pairs, *sides, f"{name}_tfidf_cosine"), ["l_id", "r_id"])
+            out = out.join(settled(sparse_dot(pairs, *sides, f"{name}_tfidf_cosine")), ["l_id", "r_id"])
         stats = counts.where("kind = 'token'").select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.lit(words / max(n, 1)).alias("avg_len"))
         left, right = (_words(x) for x in own)
-        return out.join(bm25_similarity(pairs, left, stats, right), ["l_id", "r_id"])
+        return out.join(settled(bm25_similarity(pairs, left, stats, right)), ["l_id", "r_id"])
 
 
 def _words(records: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from goldweave.functions import text as T
 from goldweave.operators import adjudicate, blocking, cards, commit, evaluation, features, golden, graph, prepare, review, scoring
 from goldweave.plans import profile as schema
 from goldweave.plans.catalog import (
-    ADJACENT, ALI, QUERIES, SQL, COMPONENTS, ENT, LABELED, RECORDS, SCORED, adjacent, aliases, entities, jac, kept_pairs, labeled, norm, query, r6, routes, scored, sides, stop_sql, table, toks,
+    ADJACENT, ALI, QUERIES, SQL, COMPONENTS, ENT, LABELED, RECORDS, SCORED, adjacent, aliases, entities, jac, kept_pairs, labeled, neighbours, norm, query, r6, records, routes, scored, sides, stop_sql, table, toks,
 )
 from goldweave.sources import tables as sources
 from goldweave.sources.store import scratch
@@ -584,9 +584,8 @@ def rename_aliases(spark, sf_dir):
 @query(None)
 def train_mlp(spark, sf_dir):
     """Pairs with the probability of a small network over the thirteen features."""
-    left, right = sides(spark, sf_dir)
-    p = adjacent(spark, sf_dir)
-    built = features.FeatureBuilder.fit(left.unionByName(right)).transform(p)
+    r = graph.settled(records(spark, sf_dir))  # texts are read once
+    built = features.FeatureBuilder.fit(r).transform(neighbours(r))
     data = graph.settled(built.withColumn("label", (F.col("title_token_jaccard") > 0.15).cast("double")))
     return scoring.probability(scoring.train_mlp(data, rounds=30), data, "mlp_score").select("l_id", "r_id", "mlp_score")
 
