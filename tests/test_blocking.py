@@ -220,3 +220,28 @@ def test_candidates_beyond_the_bound_of_a_share_are_left_out(monkeypatch):
     monkeypatch.setattr(overlap, "_MANY", 20)
     monkeypatch.setattr(overlap, "_SHARE", 3)
     assert run().equals(want) and want.num_rows > 200
+
+
+def test_a_block_counts_equal_titles_once(monkeypatch):
+    """Left rows of the same tokens are counted once, and so are the common tokens that rows have alike."""
+    import pyarrow as pa
+
+    from goldweave.operators import overlap
+
+    lists = pa.list_(pa.string())
+    titles = [["the", "of", "red"], ["of", "blue", "the"], ["red", "of", "the"], ["the"], ["green"], ["the", "of", "red"]]
+    others = [["the", "of", "red", "x"], ["the", "of"], ["blue", "of"], ["green", "y"], ["red"]]
+    left = pa.table({"id": pa.array(range(6), pa.int64()), "p0": pa.array(titles, lists)})
+    right = pa.table({"id": pa.array(range(5), pa.int64()), "p0": pa.array(others, lists), "common": pa.array([[w for w in x if w in ("the", "of")] for x in others], lists)})
+    schema = pa.schema([("l_id", pa.int64()), ("r_id", pa.int64()), ("rough_score", pa.float64())])
+    added, add = [], overlap._Tokens.add
+    monkeypatch.setattr(overlap._Tokens, "add", lambda self, codes, to: (added.extend(codes), add(self, codes, to))[1])
+    got = overlap.best_of_block(left, right, weights=[1.0], rough=0.1, top_k=5, schema=schema).to_pylist()
+    want = []
+    for i, a in enumerate(titles):
+        for j, b in enumerate(others):
+            both = set(a) & set(b)
+            if both - {"the", "of"}:
+                want.append({"l_id": i, "r_id": j, "rough_score": len(both) / len(set(a) | set(b))})
+    assert sorted(got, key=lambda x: (x["l_id"], x["r_id"])) == want
+    assert len(added) == 6  # "the of" and "the" once, and one key for each of three titles
