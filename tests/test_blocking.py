@@ -245,3 +245,52 @@ def test_a_block_counts_equal_titles_once(monkeypatch):
                 want.append({"l_id": i, "r_id": j, "rough_score": len(both) / len(set(a) | set(b))})
     assert sorted(got, key=lambda x: (x["l_id"], x["r_id"])) == want
     assert len(added) == 6  # "the of" and "the" once, and one key for each of three titles
+
+
+@pytest.mark.parametrize(("rough", "top_k", "size"), [(0.18, 40, 12), (0.18, 3, 12), (0.5, 3, 6), (0.05, 7, 40), (0.18, None, 14), (0.18, 1, 2)])
+def test_titles_that_meet_by_tokens_against_all_pairs(monkeypatch, rough, top_k, size):
+    """Copies on both sides, ties, one-token and long titles, and tokens that are no keys; ids are not in the order of rows."""
+    import pyarrow as pa
+
+    from goldweave.operators import overlap
+
+    monkeypatch.setattr(overlap, "MANY_TITLES", 1)
+    monkeypatch.setattr(overlap, "_HELD", 64)
+    rng = random.Random(size)
+    left, right = _lists(rng, list(range(150)), size), _lists(rng, rng.sample(range(1000, 3000), 500), size)
+    left = pa.concat_tables([left, left.slice(0, 40).set_column(0, "id", pa.array(range(200, 240), pa.int64()))])
+    right = pa.concat_tables([right, right.slice(0, 200).set_column(0, "id", pa.array(range(500, 700), pa.int64()))])
+    common = {"w0", "w1", "w5"}
+    right = right.append_column("common", pa.array([[t for t in row if t in common] for row in right["p0"].to_pylist()], pa.list_(pa.string())))
+    schema = pa.schema([("l_id", pa.int64()), ("r_id", pa.int64()), ("s", pa.float64())])
+    found = overlap.best_of_block(left, right, weights=[1.0], rough=rough, top_k=top_k, schema=schema)
+    want = set()
+    for a in left.to_pylist():
+        x = set(a["p0"])
+        scored = [(-jaccard(x, y["p0"]), y["id"]) for y in right.to_pylist() if (x & set(y["p0"])) - common and jaccard(x, y["p0"]) >= rough]
+        want |= {(a["id"], i, -s) for s, i in sorted(scored)[:top_k]}
+    assert want and found.num_rows == len(want) and set(zip(*(c.to_pylist() for c in found.columns), strict=True)) == want
+    assert overlap.best_of_block(left, right.slice(0, 0), weights=[1.0], rough=rough, top_k=top_k, schema=schema).num_rows == 0
+
+
+def test_few_pairs_of_titles_are_compared(monkeypatch):
+    """Nearly all rows share tokens: few pairs are compared, and with twice the rows less than twice as many."""
+    import pyarrow as pa
+
+    from goldweave.operators import overlap
+
+    monkeypatch.setattr(overlap, "MANY_TITLES", 1)
+    step, asked = overlap._Titles._compared, []
+    monkeypatch.setattr(overlap._Titles, "_compared", lambda self, x, y, rough: (asked.append(len(x)), step(self, x, y, rough))[1])
+    schema = pa.schema([("l_id", pa.int64()), ("r_id", pa.int64()), ("s", pa.float64())])
+    word = lambda rng: f"w{min(int(rng.paretovariate(0.5)), 3000)}"
+    n, found = 8000, {}
+    for rows in (n, 2 * n):
+        rng = random.Random(3)
+        make = lambda ids: pa.table({"id": pa.array(ids, pa.int64()), "p0": pa.array([sorted({word(rng) for _ in range(12)}) for _ in ids], pa.list_(pa.string()))})
+        left, right = make(list(range(300))), make(list(range(10**6, 10**6 + rows)))
+        right = right.append_column("common", pa.array([[]] * rows, pa.list_(pa.string())))
+        asked.clear()
+        assert overlap.best_of_block(left, right, weights=[1.0], rough=0.18, top_k=5, schema=schema).num_rows > 1000
+        found[rows] = sum(asked)
+    assert 0 < found[2 * n] < 1.9 * found[n] and found[n] < 0.05 * 300 * n, found
