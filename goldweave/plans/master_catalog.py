@@ -583,11 +583,11 @@ def rename_aliases(spark, sf_dir):
 
 @query(None)
 def train_mlp(spark, sf_dir):
-    """Pairs with the probability of a small network over the thirteen features."""
+    """Pairs with the probability of a network over the thirteen features, trained until it settles or has had all its rounds."""
     r = graph.settled(records(spark, sf_dir))  # texts are read once
     built = features.FeatureBuilder.fit(r).transform(neighbours(r))
     data = graph.settled(built.withColumn("label", (F.col("title_token_jaccard") > 0.15).cast("double")))
-    return scoring.probability(scoring.train_mlp(data, rounds=30), data, "mlp_score").select("l_id", "r_id", "mlp_score")
+    return scoring.probability(scoring.train_mlp(data), data, "mlp_score").select("l_id", "r_id", "mlp_score")
 
 
 @query(f"WITH {ENT}, {ALI} SELECT ent.entity_id, count(*) AS n FROM ent JOIN ali ON ent.entity_id = ali.entity_id WHERE {norm('alias_title')} <> '' GROUP BY ent.entity_id")
