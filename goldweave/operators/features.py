@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from goldweave.functions import text as T
 from goldweave.functions.numeric import price_log_delta, price_similarity
+from goldweave.operators import similarity
 from goldweave.operators.graph import settled
+from goldweave.operators.similarity import B, K1
 
-K1, B = 1.5, 0.75
 FEATURES = (
     "char_tfidf_cosine", "word_tfidf_cosine", "title_token_jaccard", "title_bm25_similarity", "important_token_jaccard", "important_token_containment",
     "number_token_jaccard", "number_token_exact_match", "manufacturer_similarity", "price_similarity", "title_length_ratio", "same_first_token", "price_log_delta",
@@ -158,24 +163,53 @@ class FeatureBuilder:
     def columns_needed(pairs: DataFrame) -> list[str]:
         return [c for c in ("l_id", "r_id", "l_norm", "r_norm", "l_tokens", "r_tokens", "l_maker", "r_maker", "l_price", "r_price") if c not in pairs.columns]
 
-    def transform(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` (columns of ``blocking.with_sides``) with the features; the titles come from the pairs themselves."""
+    def transform(self, pairs: DataFrame, records: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        """``pairs`` (columns of ``blocking.with_sides``) with the features.
+
+        The titles come from the left and the right ``records`` (id,
+        title_norm) where they are given, else from the pairs themselves.
+        """
         if missing := self.columns_needed(pairs):
             raise ValueError(f"pairs lack {missing}")
         size = self.volumes.agg(F.sum("n_docs").alias("n"), F.sum("words").alias("w")).first()
         n, words = size["n"] or 0, size["w"] or 0
-        pairs = settled(pairs)  # every feature reads the pairs
-        # Each similarity is made by a plan of its own: one plan of all of them fills the driver.
         counts = settled(self.counts.groupBy("kind", "term").agg(F.sum("df").alias("df")))
-        own = [settled(pairs.select(F.col(f"{p}_id").alias("id"), F.col(f"{p}_norm").alias("title_norm")).dropDuplicates(["id"])) for p in ("l", "r")]
-        out = token_features(pairs)
-        for name in ("char", "word"):
-            idf = counts.where(F.col("kind") == name).select("term", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-            sides = [tfidf_vectors(term_counts(x, KINDS[name](F.col("title_norm"))), idf) for x in own]
-            out = out.join(settled(sparse_dot(pairs, *sides, f"{name}_tfidf_cosine")), ["l_id", "r_id"])
-        stats = counts.where("kind = 'token'").select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.lit(words / max(n, 1)).alias("avg_len"))
-        left, right = (_words(x) for x in own)
-        return out.join(settled(bm25_similarity(pairs, left, stats, right)), ["l_id", "r_id"])
+        if records is None:
+            pairs = settled(pairs)  # titles and features read the pairs
+            records = tuple(pairs.select(F.col(f"{p}_id").alias("id"), F.col(f"{p}_norm").alias("title_norm")) for p in ("l", "r"))
+        left, right = (settled(r.select("id", "title_norm").dropDuplicates(["id"])) for r in records)
+        held = settled(word_counts(left.unionByName(right), counts).union(counts.where("kind = 'word' and contains(term, ' ')").select("term", F.array(F.col("df").cast("int")))))
+        own = {"n": n, "avg_len": words / max(n, 1)}
+        # Each side is made by a plan of its own: one plan of all fills the driver.
+        left = settled(with_counts(left, held).select(F.col("id").alias("l_id"), F.col("title_norm").alias("l_title"), "held"))
+        out = StructType([right.schema["id"], right.schema["title_norm"], *[StructField(c, DoubleType()) for c in ("char_norm", "word_norm", "own")]])
+        right = settled(with_counts(right, held).mapInArrow(partial(similarity.lengths, **own, schema=to_arrow_schema(out)), out)).withColumnsRenamed({"id": "r_id", "title_norm": "r_title"})
+        met = pairs.select("l_id", "r_id").distinct().join(right, "r_id").join(left, "l_id").select("l_id", "r_id", "l_title", "held", "r_title", "char_norm", "word_norm", "own")
+        out = StructType([met.schema["l_id"], met.schema["r_id"], *[StructField(c, DoubleType()) for c in ("char_tfidf_cosine", "word_tfidf_cosine", "title_bm25_similarity")]])
+        return token_features(pairs).join(met.mapInArrow(partial(similarity.similarities, **own, schema=to_arrow_schema(out)), out), ["l_id", "r_id"])
+
+
+def pieces(norm: Column) -> Column:
+    """The distinct words of a title and then its pairs of words, in the order of ``similarity.Title``."""
+    return F.array_distinct(F.concat(T.words(norm), T.word_ngrams(norm)))
+
+
+def word_counts(records: DataFrame, counts: DataFrame) -> DataFrame:
+    """(term, held) of each word of the titles: how many titles hold it as a word, as a word of the n-grams, and each of its n-grams of characters; 0 if unknown."""
+    words = records.select(F.explode(T.words(F.col("title_norm"))).alias("word")).distinct()
+    tagged = lambda kind, terms: F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+    whole = F.array("word")
+    each = words.select("word", F.posexplode(F.concat(tagged("token", whole), tagged("word", whole), tagged("char", T.char_ngrams(F.col("word"))))).alias("i", "t"))
+    found = each.select("word", "i", "t.kind", "t.term").join(counts, ["kind", "term"], "left").select("word", F.struct("i", F.coalesce("df", F.lit(0)).cast("int").alias("df")).alias("d"))
+    return found.groupBy(F.col("word").alias("term")).agg(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["df"]).alias("held"))
+
+
+def with_counts(records: DataFrame, held: DataFrame) -> DataFrame:
+    """(id, title_norm, held): the counts of a title's ``pieces``, one after another."""
+    each = records.select("id", F.posexplode(pieces(F.col("title_norm"))).alias("i", "term")).join(held, "term", "left")
+    each = each.select("id", F.struct("i", F.coalesce("held", F.array(F.lit(0))).alias("held")).alias("h"))
+    own = each.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("h")), lambda h: h["held"])).alias("held"))
+    return records.join(own, "id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<int>")))
 
 
 def _words(records: DataFrame) -> DataFrame:
