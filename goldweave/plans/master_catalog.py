@@ -15,7 +15,7 @@ from goldweave.functions import text as T
 from goldweave.operators import adjudicate, blocking, cards, commit, evaluation, features, golden, graph, prepare, review, scoring
 from goldweave.plans import profile as schema
 from goldweave.plans.catalog import (
-    ADJACENT, ALI, QUERIES, SQL, COMPONENTS, ENT, LABELED, RECORDS, SCORED, adjacent, aliases, entities, jac, kept_pairs, labeled, neighbours, norm, query, r6, records, routes, scored, sides, stop_sql, table, toks,
+    ADJACENT, ALI, QUERIES, SQL, COMPONENTS, ENT, LABELED, RECORDS, SCORED, adjacent, aliases, entities, jac, kept_of, labeled, neighbours, norm, query, r6, records, routes, scored, sides, stop_sql, table, toks,
 )
 from goldweave.sources import tables as sources
 from goldweave.sources.store import scratch
@@ -360,7 +360,7 @@ def matched_ids(spark, sf_dir):
 @query(f"{COMPONENTS}, used AS (SELECT l_id FROM rt2 UNION SELECT l_id FROM mb), used_r AS (SELECT r_id FROM rt2 UNION SELECT r_id FROM mb) SELECT count(*) AS n, round(max(c), 6) AS best FROM sc WHERE c < 0.59 AND l_id NOT IN (SELECT l_id FROM used) AND r_id NOT IN (SELECT r_id FROM used_r)")
 def low_pairs(spark, sf_dir):
     s = scored(spark, sf_dir)
-    used = kept_pairs(spark, sf_dir).select("l_id", "r_id").union(graph.mutual_best(s).select("l_id", "r_id"))
+    used = kept_of(s).select("l_id", "r_id").union(graph.mutual_best(s).select("l_id", "r_id"))
     return graph.low_pairs(s, used).agg(F.count("*").alias("n"), r6(F.max("confidence")).alias("best"))
 
 
